@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.operators import admin
+from agora.operators import admin, listings, provider
 from agora.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,13 +46,36 @@ def queries() -> dict[str, Query]:
         "latest_bids": _on_tables(admin.latest_bids),
         "latest_transactions": _on_tables(admin.latest_transactions),
         "latest_promotions": _on_tables(admin.latest_promotions),
+        # provider dashboard, all providers
+        "provider_overview": _on_tables(provider.provider_overview),
+        "provider_monthly_revenue": _on_tables(provider.provider_monthly_revenue),
+        "provider_bid_status": _on_tables(provider.provider_bid_status),
+        "provider_categories": _on_tables(provider.provider_categories),
+        "revenue_trend": _on_tables(provider.revenue_trend),
+        "admin_revenue_trend": _on_tables(provider.admin_revenue_trend),
+        "provider_bids": _on_tables(provider.provider_bids),
+        "provider_recent_bids": _on_tables(provider.provider_recent_bids),
+        # per-user listings
+        "open_requests": _on_tables(listings.open_requests),
+        "open_requests_all": _on_tables(listings.open_requests_all),
+        "newest_open_request": _on_tables(listings.newest_open_request),
+        "client_requests": _on_tables(listings.client_requests),
+        "request_bid_board": _on_tables(listings.request_bid_board),
+        "user_conversations": _on_tables(listings.user_conversations),
+        "conversation_thread": _on_tables(listings.conversation_thread),
+        "pending_reviews": _on_tables(listings.pending_reviews),
+        "provider_reviews": _on_tables(listings.provider_reviews),
+        "provider_promotions": _on_tables(listings.provider_promotions),
+        "active_promotions": _on_tables(listings.active_promotions),
+        "provider_recent_lists": _on_tables(listings.provider_recent_lists),
     }
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from agora.plans import admin_sql
+    from agora.plans import admin_sql, listing_sql, provider_sql
 
     out: dict[str, str] = {}
-    out.update(admin_sql.SQL)
+    for part in (admin_sql, provider_sql, listing_sql):
+        out.update(part.SQL)
     return out
