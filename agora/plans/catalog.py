@@ -12,7 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.operators import admin, listings, provider
+from agora.operators import admin, commands, listings, promotions, provider, settlement
+from agora.sources.commands import derive_batch
 from agora.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,25 @@ def _on_tables(fn) -> Query:
     return run
 
 
+def _on_batch(batch: str, fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load(spark, sf_dir)
+        return fn(t, derive_batch(t, batch))
+    run.__doc__ = fn.__doc__
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
+def _settled(part: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = load(spark, sf_dir)
+        s = settlement.settle(t, derive_batch(t, "accept_commands"))
+        return getattr(s, part)
+    run.__name__ = f"settle_{part}"
+    run.__doc__ = settlement.__doc__
+    return run
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         # admin block
@@ -68,14 +88,30 @@ def queries() -> dict[str, Query]:
         "provider_promotions": _on_tables(listings.provider_promotions),
         "active_promotions": _on_tables(listings.active_promotions),
         "provider_recent_lists": _on_tables(listings.provider_recent_lists),
+        # promotions and settlement
+        "promotion_asof": _on_tables(promotions.promotion_asof),
+        "accept_commands": _settled("results"),
+        "settle_bids": _settled("bids"),
+        "settle_requests": _settled("requests"),
+        "settle_conversations": _settled("conversations"),
+        "promotion_settlement": _settled("transactions"),
+        # command validators
+        "register_commands": _on_batch("register_commands", commands.validate_register),
+        "request_commands": _on_batch("request_commands", commands.validate_request),
+        "bid_commands": _on_batch("bid_commands", commands.validate_bid),
+        "complete_commands": _on_batch("complete_commands", commands.validate_complete),
+        "message_commands": _on_batch("message_commands", commands.validate_message),
+        "review_commands": _on_batch("review_commands", commands.validate_review),
+        "promotion_commands": _on_batch("promotion_commands", commands.validate_promotion),
+        "toggle_commands": _on_batch("toggle_commands", commands.validate_toggle),
     }
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from agora.plans import admin_sql, listing_sql, provider_sql
+    from agora.plans import admin_sql, command_sql, listing_sql, provider_sql
 
     out: dict[str, str] = {}
-    for part in (admin_sql, provider_sql, listing_sql):
+    for part in (admin_sql, provider_sql, listing_sql, command_sql):
         out.update(part.SQL)
     return out
