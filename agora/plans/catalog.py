@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.operators import admin, commands, listings, promotions, provider, settlement
+from agora.operators import admin, commands, display, listings, promotions, provider, quality, settlement
 from agora.sources.commands import derive_batch
 from agora.sources.tables import load
 
@@ -104,14 +104,27 @@ def queries() -> dict[str, Query]:
         "review_commands": _on_batch("review_commands", commands.validate_review),
         "promotion_commands": _on_batch("promotion_commands", commands.validate_promotion),
         "toggle_commands": _on_batch("toggle_commands", commands.validate_toggle),
+        "key_lookup": _on_batch("bid_commands", display.key_lookup),
+        # scans, quality, display
+        "scan_counts": _on_tables(quality.scan_counts),
+        "real_users": _on_tables(display.real_users),
+        "dq_unique": _on_tables(quality.dq_unique),
+        "dq_orphans": _on_tables(quality.dq_orphans),
+        "dq_enums": _on_tables(quality.dq_enums),
+        "dq_nulls": _on_tables(quality.dq_nulls),
+        "dq_lengths": _on_tables(quality.dq_lengths),
+        "erase_users": _on_tables(quality.erase_demo_users),
+        "labelled_status": _on_tables(display.labelled_status),
+        "user_greetings": _on_tables(display.user_greetings),
+        "formatted_money": _on_tables(display.formatted_money),
     }
     return q
 
 
 def oracle_sql() -> dict[str, str]:
-    from agora.plans import admin_sql, command_sql, listing_sql, provider_sql
+    from agora.plans import admin_sql, command_sql, listing_sql, provider_sql, quality_sql
 
     out: dict[str, str] = {}
-    for part in (admin_sql, provider_sql, listing_sql, command_sql):
+    for part in (admin_sql, provider_sql, listing_sql, command_sql, quality_sql):
         out.update(part.SQL)
     return out
