@@ -99,17 +99,22 @@ def validate_request(t: Tables, cmds: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- VA3
-def validate_bid(t: Tables, cmds: DataFrame) -> DataFrame:
+def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """VA3: non-positive request id, price or duration, or blank details ->
     invalid_bid_data; request missing or not open -> request_not_open;
-    provider already bid on it (table or earlier in batch) -> already_submitted."""
+    provider already bid on it (table or earlier in batch) -> already_submitted.
+    ``earlier`` adds (request_id, provider_id) pairs accepted by previous
+    batches (streaming ingest)."""
     c = cmds.select("command_id", "event_time", "request_id", "provider_id",
                     php_float("price").alias("_price"), php_int("duration_days").alias("_dur"),
                     php_trim("details").alias("details"))
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("status").alias("_rstatus")),
                    ["request_id"], c.select("request_id"))
     c = c.join(req, "request_id", "left")
-    bids = restrict(t.bids.select("request_id", "provider_id"), ["request_id", "provider_id"],
+    pairs = t.bids.select("request_id", "provider_id")
+    if earlier is not None:
+        pairs = pairs.unionByName(earlier.select("request_id", "provider_id"))
+    bids = restrict(pairs, ["request_id", "provider_id"],
                     c.select("request_id", "provider_id")).distinct().withColumn("_has", F.lit(True))
     c = c.join(bids, ["request_id", "provider_id"], "left")
     invalid = ((F.col("request_id") <= 0) | (F.col("_price") <= 0) | (F.col("_dur") <= 0)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from agora.operators import admin, commands, display, listings, promotions, provider, quality, settlement
 from agora.sources.commands import derive_batch
+from agora.streaming import demo as stream_demo
 from agora.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,6 +118,9 @@ def queries() -> dict[str, Query]:
         "labelled_status": _on_tables(display.labelled_status),
         "user_greetings": _on_tables(display.user_greetings),
         "formatted_money": _on_tables(display.formatted_money),
+        # streaming (run to completion with availableNow)
+        "stream_bid_ingest": _on_tables(stream_demo.bid_ingest),
+        "stream_monthly_revenue": _on_tables(stream_demo.monthly_revenue),
     }
     return q
 

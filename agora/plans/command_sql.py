@@ -200,3 +200,5 @@ FROM (SELECT *, CASE WHEN promotion_id <= 0 THEN NULL
                   FROM toggle_commands c LEFT JOIN promotions p ON p.id = c.promotion_id) a) b) x""".replace(
         "ACTIVE_INT", it("c.active"))),
 }
+
+SQL["stream_bid_ingest"] = SQL["bid_commands"]
