@@ -29,6 +29,11 @@ LABELS_EN = {
 }
 
 
+def label(key: str) -> str:
+    """Lookup of a constant key (fallback: the key itself)."""
+    return LABELS_EN.get(key, key)
+
+
 def label_table(spark: SparkSession, lang: str = "en") -> DataFrame:
     rows = [(lang, k, v) for k, v in LABELS_EN.items()]
     return F.broadcast(spark.createDataFrame(rows, "lang string, key string, text string"))

@@ -15,11 +15,12 @@ semi-joined to those keys map-side, and only the survivors meet the batch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.config import BROADCAST_MAX_ROWS
 from agora.functions.text import parse_date, php_float, php_int, php_trim
+from agora.operators.ranking import day_bucket, first_per_key, previous_within
 from agora.sources.tables import Tables
 
 
@@ -41,11 +42,13 @@ def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame) -> DataFr
     return table.join(kk, cond, "left_semi")
 
 
-def first_wins(df: DataFrame, candidate: Column, keys: list[str]) -> Column:
-    """True for candidates that are not the first candidate of their key
-    (ordered by event_time, command_id)."""
-    w = Window.partitionBy(*keys, candidate).orderBy("event_time", "command_id")
-    return candidate & (F.row_number().over(w) > 1)
+def first_wins(df: DataFrame, candidate: Column, keys: list[str]) -> DataFrame:
+    """Add ``_dup``: a candidate that is not the first candidate of its key
+    (ordered by event_time, command_id). Skew-safe: the first of each key
+    comes from a grouped ``min`` (map-side combine), not a window."""
+    df = df.withColumn("_cand", candidate)
+    df = first_per_key(df, [*keys, "_cand"], ["event_time", "command_id"], "_isfirst")
+    return df.withColumn("_dup", F.col("_cand") & ~F.col("_isfirst")).drop("_cand", "_isfirst")
 
 
 def _decide(df: DataFrame, rules: list[tuple[Column, str]], ok: str = "accepted") -> DataFrame:
@@ -74,7 +77,7 @@ def validate_register(t: Tables, cmds: DataFrame) -> DataFrame:
     bad_role = ~F.col("role").isin("client", "provider")
     known_c = F.coalesce(F.col("_known"), F.lit(False))
     cand = ~blank & ~bad_role & ~known_c
-    c = c.withColumn("_dup", first_wins(c, cand, ["email_key"]))
+    c = first_wins(c, cand, ["email_key"])
     out = _decide(c, [(blank, "all_required"), (bad_role, "invalid_role"),
                       (known_c | F.col("_dup"), "email_exists")])
     return out.select("command_id", "name", "email", "role", "status", "reason")
@@ -122,7 +125,7 @@ def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -
     not_open = F.coalesce(F.col("_rstatus") != "open", F.lit(True))
     has = F.coalesce(F.col("_has"), F.lit(False))
     cand = ~invalid & ~not_open & ~has
-    c = c.withColumn("_dup", first_wins(c, cand, ["request_id", "provider_id"]))
+    c = first_wins(c, cand, ["request_id", "provider_id"])
     out = _decide(c, [(invalid, "invalid_bid_data"), (not_open, "request_not_open"),
                       (has | F.col("_dup"), "already_submitted")])
     return out.select("command_id", "request_id", "provider_id",
@@ -144,7 +147,7 @@ def validate_complete(t: Tables, cmds: DataFrame) -> DataFrame:
     invalid = F.col("request_id") <= 0
     fails = F.coalesce((F.col("_owner") != F.col("client_id")) | (F.col("_rstatus") != "in_progress"), F.lit(True))
     cand = ~invalid & ~fails
-    c = c.withColumn("_dup", first_wins(c, cand, ["request_id"]))
+    c = first_wins(c, cand, ["request_id"])
     out = _decide(c, [(invalid, "invalid_request"), (fails | F.col("_dup"), "complete_failed")])
     return out.select("command_id", "client_id", "request_id", "status", "reason")
 
@@ -194,7 +197,7 @@ def validate_review(t: Tables, cmds: DataFrame) -> DataFrame:
                           & (F.col("_rstatus") == "completed"), F.lit(False))
     reviewed = F.coalesce(F.col("_reviewed"), F.lit(False))
     cand = ~invalid & eligible & ~reviewed
-    c = c.withColumn("_dup", first_wins(c, cand, ["request_id"]))
+    c = first_wins(c, cand, ["request_id"])
     out = _decide(c, [(invalid, "invalid"), (~eligible | reviewed | F.col("_dup"), "save_failed")])
     return out.select("command_id", "client_id", "request_id", "provider_id",
                       F.col("rating").cast("int").alias("rating"), "comment", "status", "reason")
@@ -232,9 +235,10 @@ def validate_toggle(t: Tables, cmds: DataFrame) -> DataFrame:
     c = c.join(promo, "promotion_id", "left")
     ignored = F.col("promotion_id") <= 0
     owner = F.coalesce(F.col("_owner") == F.col("provider_id"), F.lit(False)) & ~ignored
-    w = Window.partitionBy("promotion_id", owner).orderBy("event_time", "command_id")
-    c = c.withColumn("_before", F.coalesce(F.lag("active").over(w), F.col("_cur")))
     c = c.withColumn("_owner_ok", owner)
+    c = previous_within(c, ["promotion_id", "_owner_ok"], ["event_time", "command_id"], "active",
+                        day_bucket("event_time", descending=False), "_prev")
+    c = c.withColumn("_before", F.coalesce(F.col("_prev"), F.col("_cur")))
     out = _decide(c, [(ignored, "ignored"),
                       (~F.col("_owner_ok") | (F.col("active") == F.col("_before")), "status_update_failed")])
     out = out.withColumn("status", F.when(ignored, F.lit("ignored")).otherwise(F.col("status"))) \

@@ -29,10 +29,10 @@ def user_greetings(t: Tables) -> DataFrame:
     labels = L.label_table(t.spark)
     u = FL.real_users(t).select("id", "name", "role")
     u = L.with_label(u, F.concat(F.lit("role."), F.col("role")), "role_label", labels)
-    u = L.with_label(u, F.lit("dashboard.welcome"), "_welcome", labels)
-    u = L.with_label(u, F.lit("dashboard.role"), "_role_t", labels)
-    return u.select("id", L.fill(F.col("_welcome"), name=F.col("name")).alias("welcome"),
-                    L.fill(F.col("_role_t"), role=F.col("role_label")).alias("role_line"))
+    welcome = F.lit(L.label("dashboard.welcome"))
+    role_line = F.lit(L.label("dashboard.role"))
+    return u.select("id", L.fill(welcome, name=F.col("name")).alias("welcome"),
+                    L.fill(role_line, role=F.col("role_label")).alias("role_line"))
 
 
 def formatted_money(t: Tables) -> DataFrame:

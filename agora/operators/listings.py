@@ -2,9 +2,11 @@
 FI9, SO1, SO5, FN19).
 
 A reference listing is ``WHERE owner = ? ORDER BY created_at DESC``. In bulk
-every row keeps its owner key and a ``rank`` from ``row_number`` over a
-window partitioned by the owner (id breaks timestamp ties), so one job
-serves every owner and no global single-partition sort is needed.
+every row keeps its owner key and its exact position ``rank`` in that
+owner's list (id breaks timestamp ties), so one job serves every owner.
+The rank is computed by :func:`agora.operators.ranking.rank_within`, which
+splits a hot owner by day instead of sorting it in one task; previews (the
+dashboard's first 5) use a per-owner top-k.
 Correlated scalar subqueries (bid count, rating average) become a
 pre-aggregation joined back on the key.
 """
@@ -13,18 +15,25 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.config import AS_OF
 from agora.functions import metrics as M
 from agora.operators import filters as FL
+from agora.operators.ranking import day_bucket, rank_within, top_k_within
 from agora.sources.tables import Tables
 
 
-def _ranked(df: DataFrame, owner: str, *order) -> DataFrame:
-    w = Window.partitionBy(owner).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w))
+def _ranked(df: DataFrame, owner: str, *order, bucket=None, k: int | None = None,
+            name: str = "rank") -> DataFrame:
+    """Rank per owner. Full listings use the skew-safe bucketed ranking
+    (default bucket: the day of ``created_at``, newest first); previews
+    (``k``) keep only the first ``k`` per owner via ``WindowGroupLimit``."""
+    if k is not None:
+        return top_k_within(df, [owner], list(order), k, name)
+    b = bucket if bucket is not None else day_bucket("created_at", descending=True)
+    return rank_within(df, [owner], list(order), b, name)
 
 
 def open_requests(t: Tables, real_only: bool = True) -> DataFrame:
@@ -76,10 +85,11 @@ def request_bid_board(t: Tables, real_only: bool = True) -> DataFrame:
         b = FL.with_name(t.bids, "provider_id", "provider_name", t)
     rating = provider_rating(t)
     b = b.join(rating, b["provider_id"] == rating["_pid"], "left").drop("_pid")
-    return _ranked(b, "request_id", F.asc("price"), F.asc("created_at"), F.asc("id"))
+    return _ranked(b, "request_id", F.asc("price"), F.asc("created_at"), F.asc("id"),
+                   bucket=F.floor(F.col("price")))
 
 
-def user_conversations(t: Tables, real_only: bool = True) -> DataFrame:
+def user_conversations(t: Tables, real_only: bool = True, k: int | None = None) -> DataFrame:
     """JN4 + FI4: conversations of every participant (client or provider)
     with request title and both names, newest first per user. The OR over
     two keys becomes an explode of the distinct participants."""
@@ -89,7 +99,7 @@ def user_conversations(t: Tables, real_only: bool = True) -> DataFrame:
     c = FL.with_name(c, "client_id", "client_name", t, real_only=real_only)
     c = FL.with_name(c, "provider_id", "provider_name", t, real_only=real_only)
     c = c.withColumn("user_id", F.explode(F.array_distinct(F.array("client_id", "provider_id"))))
-    return _ranked(c, "user_id", F.desc("created_at"), F.desc("id"))
+    return _ranked(c, "user_id", F.desc("created_at"), F.desc("id"), k=k)
 
 
 def conversation_thread(t: Tables) -> DataFrame:
@@ -100,8 +110,8 @@ def conversation_thread(t: Tables) -> DataFrame:
     m = m.join(conv, m["conversation_id"] == conv["_cid"], "left")
     m = m.withColumn("from_client", F.coalesce(F.col("sender_id") == F.col("_client"), F.lit(False)))
     m = m.drop("_cid", "_client")
-    w = Window.partitionBy("conversation_id").orderBy(F.asc("sent_at"), F.asc("id"))
-    return m.withColumn("seq", F.row_number().over(w))
+    return _ranked(m, "conversation_id", F.asc("sent_at"), F.asc("id"),
+                   bucket=day_bucket("sent_at", descending=False), name="seq")
 
 
 def pending_reviews(t: Tables, real_only: bool = True) -> DataFrame:
@@ -117,7 +127,7 @@ def pending_reviews(t: Tables, real_only: bool = True) -> DataFrame:
     return _ranked(r, "client_id", F.desc("created_at"), F.desc("id")).drop("created_at")
 
 
-def provider_reviews(t: Tables, real_only: bool = True) -> DataFrame:
+def provider_reviews(t: Tables, real_only: bool = True, k: int | None = None) -> DataFrame:
     """JN7: each provider's reviews with client name and request title,
     newest first per provider."""
     rv = FL.keep_real(t.reviews, "provider_id", t) if real_only else t.reviews.join(
@@ -126,7 +136,7 @@ def provider_reviews(t: Tables, real_only: bool = True) -> DataFrame:
     req = t.service_requests.select(F.col("id").alias("_rid"), "title")
     rv = rv.join(req, rv["request_id"] == req["_rid"], "inner").drop("_rid")
     rv = rv.withColumn("rating_text", F.concat(F.col("rating").cast("string"), F.lit("/5")))
-    return _ranked(rv, "provider_id", F.desc("created_at"), F.desc("id"))
+    return _ranked(rv, "provider_id", F.desc("created_at"), F.desc("id"), k=k)
 
 
 def promotion_display(p: DataFrame) -> DataFrame:
@@ -139,10 +149,10 @@ def promotion_display(p: DataFrame) -> DataFrame:
     })
 
 
-def provider_promotions(t: Tables, real_only: bool = True) -> DataFrame:
+def provider_promotions(t: Tables, real_only: bool = True, k: int | None = None) -> DataFrame:
     """JN11: each provider's promotions newest first, with display text."""
     p = FL.keep_real(t.promotions, "provider_id", t) if real_only else t.promotions
-    return _ranked(promotion_display(p), "provider_id", F.desc("created_at"), F.desc("id"))
+    return _ranked(promotion_display(p), "provider_id", F.desc("created_at"), F.desc("id"), k=k)
 
 
 def active_promotions(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
@@ -156,10 +166,10 @@ def active_promotions(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
 def provider_recent_lists(t: Tables, k: int = 5) -> DataFrame:
     """SO6 on the other dashboard lists: per provider, the first ``k``
     conversations, reviews and promotions (row counts per list)."""
-    conv = user_conversations(t).where(F.col("rank") <= k).select(
+    conv = user_conversations(t, k=k).select(
         F.col("user_id").alias("provider_id"), F.lit("conversations").alias("list"))
-    rev = provider_reviews(t).where(F.col("rank") <= k).select("provider_id", F.lit("reviews").alias("list"))
-    pro = provider_promotions(t).where(F.col("rank") <= k).select("provider_id", F.lit("promotions").alias("list"))
+    rev = provider_reviews(t, k=k).select("provider_id", F.lit("reviews").alias("list"))
+    pro = provider_promotions(t, k=k).select("provider_id", F.lit("promotions").alias("list"))
     provs = t.user_flags().where(F.col("role") == "provider").select(F.col("id").alias("_p"))
     conv = conv.join(provs, conv["provider_id"] == provs["_p"], "left_semi")
     return (conv.unionByName(rev).unionByName(pro)

@@ -18,6 +18,7 @@ from agora.config import AS_OF
 from agora.functions import metrics as M
 from agora.operators import filters as FL
 from agora.operators.admin import _msum, real_sales
+from agora.operators.ranking import day_bucket, rank_within, top_k_within
 from agora.sources.tables import Tables
 
 
@@ -120,9 +121,8 @@ def provider_categories(t: Tables, k: int = 5) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("bids_count"),
                   F.count_if(F.col("status") == "accepted").alias("accepted_count"),
                   _msum("final_price").alias("revenue")))
-    w = Window.partitionBy("provider_id").orderBy(F.desc("revenue"), F.desc("accepted_count"),
-                                                  F.desc("bids_count"), F.asc("category"))
-    return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    order = [F.desc("revenue"), F.desc("accepted_count"), F.desc("bids_count"), F.asc("category")]
+    return top_k_within(agg, ["provider_id"], order, k)
 
 
 def _php_num(x) -> F.Column:
@@ -173,7 +173,7 @@ def admin_revenue_trend(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
     return sparkline(series, ["_all"], base).drop("_all")
 
 
-def provider_bids(t: Tables, real_only: bool = True) -> DataFrame:
+def provider_bids(t: Tables, real_only: bool = True, k: int | None = None) -> DataFrame:
     """JN3: every bid with its request title/status, ranked per provider
     newest first (``rank``); with ``real_only`` both parties are real."""
     if real_only:
@@ -184,11 +184,14 @@ def provider_bids(t: Tables, real_only: bool = True) -> DataFrame:
         b = t.bids.join(req, t.bids["request_id"] == req["r_id"], "inner").drop("r_id")
     b = b.select(*[F.col(c) for c in t.bids.columns],
                  F.col("r_title").alias("request_title"), F.col("r_status").alias("request_status"))
-    w = Window.partitionBy("provider_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return b.withColumn("rank", F.row_number().over(w))
+    order = [F.desc("created_at"), F.desc("id")]
+    if k is not None:
+        return top_k_within(b, ["provider_id"], order, k)
+    return rank_within(b, ["provider_id"], order, day_bucket("created_at", descending=True))
 
 
 def provider_recent_bids(t: Tables, k: int = 5) -> DataFrame:
     """SO6: the dashboard preview, first ``k`` of each provider's bid list
-    (rank filter right after the window, so Spark prunes per group)."""
-    return provider_bids(t).where(F.col("rank") <= k)
+    (``WindowGroupLimit``: at most ``k`` rows per provider leave each map
+    task, so a hot provider does not reach one reducer whole)."""
+    return provider_bids(t, k=k)

@@ -48,7 +48,7 @@ def validate_accept(t: Tables, cmds: DataFrame) -> DataFrame:
     c = c.join(bids, "bid_id", "left")
     ok = F.coalesce((F.col("_owner") == F.col("client_id")) & (F.col("_brq") == F.col("request_id"))
                     & (F.col("_rstatus") == "open"), F.lit(False))
-    c = c.withColumn("_dup", first_wins(c, ok, ["request_id"]))
+    c = first_wins(c, ok, ["request_id"])
     out = _decide(c, [(~ok, "cannot_accept"), (F.col("_dup"), "accept_failed")])
     return out.select("command_id", "event_time", "client_id", "request_id", "bid_id",
                       F.col("_bprov").alias("provider_id"), F.col("_bprice").alias("price"),

@@ -13,9 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agora.operators import admin, commands, display, listings, promotions, provider, quality, settlement
-from agora.sources.commands import derive_batch
 from agora.streaming import demo as stream_demo
-from agora.sources.tables import load
+from agora.sources.tables import load, load_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,16 +30,23 @@ def _on_tables(fn) -> Query:
 def _on_batch(batch: str, fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load(spark, sf_dir)
-        return fn(t, derive_batch(t, batch))
+        return fn(t, load_batch(t, batch))
     run.__doc__ = fn.__doc__
     run.__name__ = getattr(fn, "__name__", "query")
     return run
 
 
+_SETTLED: dict = {}
+
+
 def _settled(part: str) -> Query:
+    """One settlement per loaded snapshot: the four outputs derive from the
+    same frozen accepted set (ST-E), whichever output is asked first."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load(spark, sf_dir)
-        s = settlement.settle(t, derive_batch(t, "accept_commands"))
+        s = _SETTLED.get(id(t))
+        if s is None:
+            s = _SETTLED[id(t)] = settlement.settle(t, load_batch(t, "accept_commands"))
         return getattr(s, part)
     run.__name__ = f"settle_{part}"
     run.__doc__ = settlement.__doc__

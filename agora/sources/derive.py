@@ -175,17 +175,19 @@ def duckdb_prelude() -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def derive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lazily derive the eight marketplace tables from ``sf_dir``."""
+def derive_tables(spark: SparkSession, sf_dir: str, persist=None) -> dict[str, DataFrame]:
+    """Derive the eight marketplace tables from ``sf_dir`` (lazy).
+
+    ``persist(name, df) -> df`` may materialize each step (e.g. write and
+    re-read it) so later steps reuse it instead of recomputing it."""
     frames: dict[str, DataFrame] = {
         n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in DRIVER_TABLES
     }
     for name, sql in STEPS:
         text = sql.replace("{ts}", "TIMESTAMP_NTZ")
         refs = {k: v for k, v in frames.items() if "{" + k + "}" in text}
-        frames[name] = spark.sql(text, **refs)
-    out = {}
-    for name, schema in SCHEMAS.items():
-        df = frames[name]
-        out[name] = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    return out
+        df = spark.sql(text, **refs)
+        if name in SCHEMAS:
+            df = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields])
+        frames[name] = persist(name, df) if persist is not None else df
+    return {name: frames[name] for name in SCHEMAS}

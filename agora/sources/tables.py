@@ -128,11 +128,41 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Tables:
         hit = _LOADED.get(key)
     if hit is not None:
         return hit
-    derived = Tables.from_frames(derive_tables(spark, sf_dir))
     if materialize:
         path = scratch_path(spark, "tables")
-        derived.write(path)
+
+        def persist(name: str, df: DataFrame) -> DataFrame:
+            df.write.parquet(f"{path}/{name}")
+            return spark.read.parquet(f"{path}/{name}")
+
+        derive_tables(spark, sf_dir, persist)
         derived = Tables.from_parquet(spark, path)
+    else:
+        derived = Tables.from_frames(derive_tables(spark, sf_dir))
     with _LOCK:
         _LOADED[key] = derived
     return derived
+
+
+_BATCHES: dict[tuple, DataFrame] = {}
+
+
+def load_batch(t: Tables, name: str) -> DataFrame:
+    """A derived command batch, written once as parquet in the shared
+    checkpoint folder (as a real batch would arrive: as files) and read
+    back, so validators and size checks never recompute its derivation."""
+    from agora.sources.commands import SCHEMAS as CMD_SCHEMAS
+    from agora.sources.commands import derive_batch
+
+    key = (id(t), name)
+    with _LOCK:
+        hit = _BATCHES.get(key)
+    if hit is not None:
+        return hit
+    spark = t.spark
+    path = scratch_path(spark, f"batch-{name}")
+    derive_batch(t, name).write.parquet(path)
+    df = spark.read.schema(CMD_SCHEMAS[name]).parquet(path)
+    with _LOCK:
+        _BATCHES[key] = df
+    return df

@@ -1,6 +1,9 @@
-"""Run the two streams over files that replay whole driver-derived tables
-arriving in time order (three appends split by event time), then read the
-sinks. Used by the registered ``stream_*`` queries and the tests."""
+"""Run the two streams the way a scheduled incremental job does: the whole
+driver-derived input arrives in time slices (each an append of files to
+the source folder) and after each arrival the stream runs with
+``availableNow`` on the same checkpoint, so every slice is one micro-batch
+and state carries over. Used by the registered ``stream_*`` queries and the
+tests; results equal the batch operators on the same rows."""
 
 from __future__ import annotations
 
@@ -8,40 +11,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.config import scratch_path
-from agora.sources.commands import derive_batch
-from agora.sources.tables import Tables
+from agora.sources.tables import Tables, load_batch
 from agora.streaming.jobs import start_bid_ingest, start_monthly_revenue
 
+CUTS = ["1997-01-01 00:00:00", "1999-01-01 00:00:00"]
+
 
-def _replay(df: DataFrame, ts: str, path: str, cuts: list[str]) -> None:
-    """Append ``df`` to ``path`` in time slices (each slice its own files)."""
+def _slices(df: DataFrame, ts: str):
     lo = None
-    for hi in cuts + [None]:
+    for hi in CUTS + [None]:
         cond = F.lit(True)
         if lo is not None:
             cond = cond & (F.col(ts) >= F.lit(lo).cast("timestamp_ntz"))
         if hi is not None:
             cond = cond & (F.col(ts) < F.lit(hi).cast("timestamp_ntz"))
-        df.where(cond).write.mode("append").parquet(path)
+        yield df.where(cond)
         lo = hi
 
 
-CUTS = ["1997-01-01 00:00:00", "1999-01-01 00:00:00"]
+def _arrive_and_run(df: DataFrame, ts: str, base: str, start) -> None:
+    for part in _slices(df, ts):
+        part.write.mode("append").parquet(f"{base}/source")
+        q = start(f"{base}/source", f"{base}/sink", f"{base}/checkpoint")
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
 
 
 def bid_ingest(t: Tables) -> DataFrame:
+    """ST1 over the whole bid command batch arriving in three slices."""
     spark = t.spark
     base = scratch_path(spark, "st1")
-    _replay(derive_batch(t, "bid_commands"), "event_time", f"{base}/source", CUTS)
-    q = start_bid_ingest(t, f"{base}/source", f"{base}/sink", f"{base}/checkpoint")
-    q.awaitTermination()
+    _arrive_and_run(load_batch(t, "bid_commands"), "event_time", base,
+                    lambda src, sink, ck: start_bid_ingest(t, src, sink, ck))
     return spark.read.parquet(f"{base}/sink").drop("batch")
 
 
 def monthly_revenue(t: Tables) -> DataFrame:
+    """ST2 over the whole transactions table arriving in three slices."""
     spark = t.spark
     base = scratch_path(spark, "st2")
-    _replay(t.transactions, "created_at", f"{base}/source", CUTS)
-    q = start_monthly_revenue(t, f"{base}/source", f"{base}/sink", f"{base}/checkpoint")
-    q.awaitTermination()
+    _arrive_and_run(t.transactions, "created_at", base,
+                    lambda src, sink, ck: start_monthly_revenue(t, src, sink, ck))
     return spark.read.parquet(f"{base}/sink")

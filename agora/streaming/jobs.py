@@ -40,11 +40,13 @@ def _has_data(spark: SparkSession, path: str) -> bool:
 
 
 def start_bid_ingest(t: Tables, source: str, sink: str, checkpoint: str,
-                     files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
+                     files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
     """ST1: validated ingest of bid command files into ``sink``."""
     spark = t.spark
-    stream = (spark.readStream.schema(CMD_SCHEMAS["bid_commands"])
-              .option("maxFilesPerTrigger", files_per_trigger).parquet(source))
+    reader = spark.readStream.schema(CMD_SCHEMAS["bid_commands"])
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.parquet(source)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         earlier = None
@@ -69,10 +71,13 @@ def monthly_revenue_plan(t: Tables, transactions: DataFrame) -> DataFrame:
 
 
 def start_monthly_revenue(t: Tables, source: str, sink: str, checkpoint: str,
-                          files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
+                          files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
     """ST2: continuous revenue per calendar month into ``sink``."""
     spark = t.spark
-    tx = spark.readStream.schema(TRANSACTIONS).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    reader = spark.readStream.schema(TRANSACTIONS)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    tx = reader.parquet(source)
     agg = monthly_revenue_plan(t, tx)
 
     def process(batch: DataFrame, batch_id: int) -> None:
