@@ -15,7 +15,7 @@ DEMO_DOMAIN = "@pmms.local"
 AS_OF = _dt.date(2001, 7, 15)
 
 # Largest key set we broadcast after counting it (8 bytes per id).
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = int(os.environ.get("AGORA_BROADCAST_MAX_ROWS", "2000000"))
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,

@@ -87,16 +87,16 @@ def validate_register(t: Tables, cmds: DataFrame) -> DataFrame:
 def validate_request(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA2: blank title/category/location/due date, budget <= 0 or a due
     date that does not parse -> invalid_data; a budget beyond DECIMAL(10,2)
-    -> create_failed (the insert would fail)."""
+    -> create_failed (the insert would fail in strict mode)."""
     c = cmds.select("command_id", "client_id",
                     php_trim("title").alias("title"), php_trim("category").alias("category"),
                     php_float("budget").alias("_budget"), php_trim("location").alias("location"),
                     php_trim("due_date").alias("_due"), parse_date("due_date").alias("due_date"))
     invalid = ((F.col("title") == "") | (F.col("category") == "") | (F.col("_budget") <= 0)
                | (F.col("location") == "") | (F.col("_due") == "") | F.col("due_date").isNull())
-    too_big = F.col("_budget") >= F.lit(99999999.995)
+    too_big = F.col("_budget").try_cast("decimal(10,2)").isNull()
     out = _decide(c, [(invalid, "invalid_data"), (too_big, "create_failed")])
-    out = out.withColumn("budget", F.when(~too_big, F.col("_budget").cast("decimal(10,2)")))
+    out = out.withColumn("budget", F.col("_budget").try_cast("decimal(10,2)"))
     return out.select("command_id", "client_id", "title", "category", "budget", "location",
                       "due_date", "status", "reason")
 
@@ -105,7 +105,9 @@ def validate_request(t: Tables, cmds: DataFrame) -> DataFrame:
 def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """VA3: non-positive request id, price or duration, or blank details ->
     invalid_bid_data; request missing or not open -> request_not_open;
-    provider already bid on it (table or earlier in batch) -> already_submitted.
+    provider already bid on it (table or earlier in batch) -> already_submitted;
+    price beyond DECIMAL(10,2) or duration beyond INT -> send_failed (the
+    insert fails).
     ``earlier`` adds (request_id, provider_id) pairs accepted by previous
     batches (streaming ingest)."""
     c = cmds.select("command_id", "event_time", "request_id", "provider_id",
@@ -124,13 +126,15 @@ def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -
                | (F.col("details") == ""))
     not_open = F.coalesce(F.col("_rstatus") != "open", F.lit(True))
     has = F.coalesce(F.col("_has"), F.lit(False))
-    cand = ~invalid & ~not_open & ~has
+    # the insert itself fails (strict mode) when a value does not fit its column
+    unfit = F.col("_price").try_cast("decimal(10,2)").isNull() | F.col("_dur").try_cast("int").isNull()
+    cand = ~invalid & ~not_open & ~has & ~unfit
     c = first_wins(c, cand, ["request_id", "provider_id"])
     out = _decide(c, [(invalid, "invalid_bid_data"), (not_open, "request_not_open"),
-                      (has | F.col("_dup"), "already_submitted")])
+                      (has | (~unfit & F.col("_dup")), "already_submitted"), (unfit, "send_failed")])
     return out.select("command_id", "request_id", "provider_id",
-                      F.when(F.col("status") == "accepted", F.col("_price").cast("decimal(10,2)")).alias("price"),
-                      F.when(F.col("status") == "accepted", F.col("_dur").cast("int")).alias("duration_days"),
+                      F.when(F.col("status") == "accepted", F.col("_price").try_cast("decimal(10,2)")).alias("price"),
+                      F.when(F.col("status") == "accepted", F.col("_dur").try_cast("int")).alias("duration_days"),
                       "details", "status", "reason")
 
 
@@ -207,16 +211,17 @@ def validate_review(t: Tables, cmds: DataFrame) -> DataFrame:
 def validate_promotion(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA8: blank title or dates, type not percent/fixed, value <= 0 ->
     invalid (start <= end and percent <= 100 are not checked, as in the
-    reference)."""
+    reference); a value beyond DECIMAL(10,2) -> create_failed."""
     c = cmds.select("command_id", "provider_id", php_trim("title").alias("title"),
                     php_trim(F.coalesce(F.col("discount_type"), F.lit("percent"))).alias("discount_type"),
                     php_float("discount_value").alias("_value"),
                     php_trim("start_date").alias("start_date"), php_trim("end_date").alias("end_date"))
     invalid = ((F.col("title") == "") | ~F.col("discount_type").isin("percent", "fixed")
                | (F.col("_value") <= 0) | (F.col("start_date") == "") | (F.col("end_date") == ""))
-    out = _decide(c, [(invalid, "invalid")])
+    unfit = F.col("_value").try_cast("decimal(10,2)").isNull()
+    out = _decide(c, [(invalid, "invalid"), (unfit, "create_failed")])
     return out.select("command_id", "provider_id", "title", "discount_type",
-                      F.when(F.col("status") == "accepted", F.col("_value").cast("decimal(10,2)")).alias("discount_value"),
+                      F.when(F.col("status") == "accepted", F.col("_value").try_cast("decimal(10,2)")).alias("discount_value"),
                       "start_date", "end_date", "status", "reason")
 
 

@@ -115,12 +115,12 @@ FROM (SELECT *, CASE WHEN blank THEN 'all_required' WHEN bad_role THEN 'invalid_
 
     "request_commands": q(f"""
 SELECT command_id, client_id, title, category,
-       CASE WHEN NOT too_big THEN CAST(budget_v AS DECIMAL(10,2)) END AS budget,
+       TRY_CAST(budget_v AS DECIMAL(10,2)) AS budget,
        location, due_date, {status()}, reason
 FROM (SELECT *, CASE WHEN title = '' OR category = '' OR budget_v <= 0 OR location = '' OR due_raw = ''
                           OR due_date IS NULL THEN 'invalid_data'
                      WHEN too_big THEN 'create_failed' END AS reason
-      FROM (SELECT *, budget_v >= 99999999.995 AS too_big
+      FROM (SELECT *, TRY_CAST(budget_v AS DECIMAL(10,2)) IS NULL AS too_big
             FROM (SELECT command_id, client_id, {trim('title')} AS title, {trim('category')} AS category,
                          {fl('budget')} AS budget_v, {trim('location')} AS location,
                          {trim('due_date')} AS due_raw, TRY_CAST({trim('due_date')} AS DATE) AS due_date
@@ -132,8 +132,10 @@ SELECT command_id, request_id, provider_id,
        CASE WHEN reason IS NULL THEN CAST(dur AS INTEGER) END AS duration_days,
        details, {status()}, reason
 FROM (SELECT *, CASE WHEN invalid THEN 'invalid_bid_data' WHEN not_open THEN 'request_not_open'
-                     WHEN has OR {dup('request_id, provider_id', 'cand')} THEN 'already_submitted' END AS reason
-      FROM (SELECT *, NOT invalid AND NOT not_open AND NOT has AS cand
+                     WHEN has OR (NOT unfit AND {dup('request_id, provider_id', 'cand')}) THEN 'already_submitted'
+                     WHEN unfit THEN 'send_failed' END AS reason
+      FROM (SELECT *, NOT invalid AND NOT not_open AND NOT has AND NOT unfit AS cand
+            FROM (SELECT *, TRY_CAST(price_v AS DECIMAL(10,2)) IS NULL OR TRY_CAST(dur AS INTEGER) IS NULL AS unfit
             FROM (SELECT c.command_id, c.event_time, c.request_id, c.provider_id,
                          {fl('c.price')} AS price_v, {it('c.duration_days')} AS dur, {trim('c.details')} AS details,
                          (c.request_id <= 0 OR {fl('c.price')} <= 0 OR {it('c.duration_days')} <= 0
@@ -141,7 +143,7 @@ FROM (SELECT *, CASE WHEN invalid THEN 'invalid_bid_data' WHEN not_open THEN 're
                          COALESCE(r.status <> 'open', true) AS not_open,
                          EXISTS (SELECT 1 FROM bids b WHERE b.request_id = c.request_id
                                  AND b.provider_id = c.provider_id) AS has
-                  FROM bid_commands c LEFT JOIN service_requests r ON r.id = c.request_id) a) b) x"""),
+                  FROM bid_commands c LEFT JOIN service_requests r ON r.id = c.request_id) a0) a) b) x"""),
 
     "complete_commands": q(f"""
 SELECT command_id, client_id, request_id, {status()}, reason
@@ -179,7 +181,8 @@ SELECT command_id, provider_id, title, discount_type,
        CASE WHEN reason IS NULL THEN CAST(value_v AS DECIMAL(10,2)) END AS discount_value,
        start_date, end_date, {status()}, reason
 FROM (SELECT *, CASE WHEN title = '' OR discount_type NOT IN ('percent', 'fixed') OR value_v <= 0
-                          OR start_date = '' OR end_date = '' THEN 'invalid' END AS reason
+                          OR start_date = '' OR end_date = '' THEN 'invalid'
+                     WHEN TRY_CAST(value_v AS DECIMAL(10,2)) IS NULL THEN 'create_failed' END AS reason
       FROM (SELECT command_id, provider_id, {trim('title')} AS title,
                    {trim("coalesce(discount_type, 'percent')")} AS discount_type,
                    {fl('discount_value')} AS value_v, {trim('start_date')} AS start_date,

@@ -126,3 +126,19 @@ def test_seed_accept_applies_promotion(spark):
     ac = batch(spark, "accept_commands", [(1, T, 2, 11, 101)])
     tx = ST.settle(t, ac).transactions.collect()[0]
     assert (tx["original_price"], tx["discount_amount"], tx["final_price"]) == (D("900.00"), D("180.00"), D("720.00"))
+
+
+def test_values_that_do_not_fit_fail_like_the_insert(spark, real_tables):
+    b = batch(spark, "bid_commands", [
+        (1, T, 10, 4, "123456789012", "3", "too expensive"),
+        (2, T, 10, 5, "10", "99999999999", "too long"),
+        (3, T + dt.timedelta(1), 10, 4, "400", "3", "fits"),   # the unfit command 1 does not block it
+    ])
+    got = {r[0]: r[1] for r in C.validate_bid(real_tables, b).select("command_id", "reason").collect()}
+    assert got == {1: "send_failed", 2: "send_failed", 3: None}
+    r = batch(spark, "request_commands", [(1, T, 2, "t", "c", "1e12", "l", "2001-08-01"),
+                                          (2, T, 2, "t", "c", "-1e12", "l", "2001-08-01")])
+    got = {x[0]: x[1] for x in C.validate_request(real_tables, r).select("command_id", "reason").collect()}
+    assert got == {1: "create_failed", 2: "invalid_data"}
+    p = batch(spark, "promotion_commands", [(1, T, 3, "big", "fixed", "5e9", "2001-07-01", "2001-08-01")])
+    assert C.validate_promotion(real_tables, p).collect()[0]["reason"] == "create_failed"
