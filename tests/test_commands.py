@@ -142,3 +142,19 @@ def test_values_that_do_not_fit_fail_like_the_insert(spark, real_tables):
     assert got == {1: "create_failed", 2: "invalid_data"}
     p = batch(spark, "promotion_commands", [(1, T, 3, "big", "fixed", "5e9", "2001-07-01", "2001-08-01")])
     assert C.validate_promotion(real_tables, p).collect()[0]["reason"] == "create_failed"
+
+
+def test_accepted_commands_append_as_rows(spark, real_tables, tmp_path):
+    from agora.sources.sinks import append, new_rows
+    from agora.sources.tables import Tables
+
+    b = batch(spark, "bid_commands", [(7, T, 10, 4, "400", "3", "ok"), (8, T, 10, 3, "1", "1", "dup")])
+    rows_ = new_rows("bid", C.validate_bid(real_tables, b), b)
+    assert [(f.name, f.dataType) for f in rows_.schema] == [(f.name, f.dataType) for f in real_tables.bids.schema]
+    real_tables.write(str(tmp_path / "snap"))
+    append(rows_, str(tmp_path / "snap" / "bids"))
+    snap = Tables.from_parquet(spark, str(tmp_path / "snap"))
+    assert sorted(r[0] for r in snap.bids.select("id").collect()) == [7, 100, 101, 102]
+    p = batch(spark, "promotion_commands", [(9, T, 3, "New", "percent", "15", "2001-07-01", "2001-08-01")])
+    prow = new_rows("promotion", C.validate_promotion(real_tables, p), p).collect()[0]
+    assert (prow["id"], prow["is_active"], str(prow["start_date"])) == (9, 1, "2001-07-01")
