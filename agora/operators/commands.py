@@ -18,18 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.config import BROADCAST_MAX_ROWS
 from agora.functions.text import parse_date, php_float, php_int, php_trim
+from agora.operators.filters import checked_broadcast
 from agora.operators.ranking import day_bucket, first_per_key, previous_within
 from agora.sources.tables import Tables
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a count bounded by ``max_rows + 1`` proves it
-    small; otherwise return it unchanged (the planner shuffles)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame) -> DataFrame:
     """Rows of ``table`` whose key appears in ``keys`` (columns named like
     ``table_keys``), via a size-checked broadcast semi-join."""

@@ -18,9 +18,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from agora.config import BROADCAST_MAX_ROWS
 from agora.sources.tables import Tables
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only if a count bounded by ``max_rows + 1`` proves it
+    small; otherwise return it unchanged (the planner shuffles)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def only(df: DataFrame, col: str, ids: DataFrame | None) -> DataFrame:
+    """Restrict ``df`` to the ids of a one-column frame (the single-user
+    call of the reference is ``ids`` with one row). No-op for ``None``."""
+    if ids is None:
+        return df
+    k = checked_broadcast(ids.select(F.col(ids.columns[0]).alias("_only")).distinct())
+    return df.join(k, df[col] == k["_only"], "left_semi")
+
+
 def is_demo_email(email: Column | str, domain: str) -> Column:
     """``email LIKE '%<domain>'`` under a case-insensitive collation."""
     c = F.col(email) if isinstance(email, str) else email

@@ -55,10 +55,12 @@ def newest_open_request(t: Tables) -> DataFrame:
     return open_requests(t, real_only=True).limit(1)
 
 
-def client_requests(t: Tables, real_only: bool = True) -> DataFrame:
+def client_requests(t: Tables, real_only: bool = True, ids: DataFrame | None = None) -> DataFrame:
     """AG8: each client's requests with the number of bids (all bids, not
-    demo-filtered; 0 when none), ranked newest first per client."""
+    demo-filtered; 0 when none), ranked newest first per client. ``ids``
+    restricts to some clients."""
     r = FL.requests_real_client(t) if real_only else t.service_requests
+    r = FL.only(r, "client_id", ids)
     counts = t.bids.groupBy(F.col("request_id").alias("_rid")).agg(F.count(F.lit(1)).alias("_n"))
     j = r.join(counts, r["id"] == counts["_rid"], "left")
     j = j.select(*[F.col(c) for c in t.service_requests.columns],
@@ -73,9 +75,11 @@ def provider_rating(t: Tables) -> DataFrame:
             .agg(M.exact_avg(F.sum("rating"), n, 0, 2).alias("rating_avg")))
 
 
-def request_bid_board(t: Tables, real_only: bool = True) -> DataFrame:
+def request_bid_board(t: Tables, real_only: bool = True, ids: DataFrame | None = None) -> DataFrame:
     """JN2 + AG9: every request's bids with provider name and the provider's
-    average rating (NULL when unreviewed), cheapest first per request."""
+    average rating (NULL when unreviewed), cheapest first per request.
+    ``ids`` restricts to some requests."""
+    t = t.replace(bids=FL.only(t.bids, "request_id", ids))
     if real_only:
         b = FL.keep_real(t.bids, "provider_id", t)
         req = FL.requests_real_client(t).select(F.col("id").alias("_req"))
@@ -89,23 +93,26 @@ def request_bid_board(t: Tables, real_only: bool = True) -> DataFrame:
                    bucket=F.floor(F.col("price")))
 
 
-def user_conversations(t: Tables, real_only: bool = True, k: int | None = None) -> DataFrame:
+def user_conversations(t: Tables, real_only: bool = True, k: int | None = None,
+                       ids: DataFrame | None = None) -> DataFrame:
     """JN4 + FI4: conversations of every participant (client or provider)
     with request title and both names, newest first per user. The OR over
-    two keys becomes an explode of the distinct participants."""
+    two keys becomes an explode of the distinct participants. ``ids``
+    restricts to some users."""
     c = t.mkt_conversations
     req = t.service_requests.select(F.col("id").alias("_rid"), "title")
     c = c.join(req, c["request_id"] == req["_rid"], "inner").drop("_rid")
     c = FL.with_name(c, "client_id", "client_name", t, real_only=real_only)
     c = FL.with_name(c, "provider_id", "provider_name", t, real_only=real_only)
     c = c.withColumn("user_id", F.explode(F.array_distinct(F.array("client_id", "provider_id"))))
-    return _ranked(c, "user_id", F.desc("created_at"), F.desc("id"), k=k)
+    return _ranked(FL.only(c, "user_id", ids), "user_id", F.desc("created_at"), F.desc("id"), k=k)
 
 
-def conversation_thread(t: Tables) -> DataFrame:
+def conversation_thread(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     """JN5: messages with sender name, oldest first per conversation
-    (``seq``); ``from_client`` tells the two sides apart."""
-    m = FL.with_name(t.messages, "sender_id", "sender_name", t)
+    (``seq``); ``from_client`` tells the two sides apart. ``ids``
+    restricts to some conversations."""
+    m = FL.with_name(FL.only(t.messages, "conversation_id", ids), "sender_id", "sender_name", t)
     conv = t.mkt_conversations.select(F.col("id").alias("_cid"), F.col("client_id").alias("_client"))
     m = m.join(conv, m["conversation_id"] == conv["_cid"], "left")
     m = m.withColumn("from_client", F.coalesce(F.col("sender_id") == F.col("_client"), F.lit(False)))
@@ -114,10 +121,11 @@ def conversation_thread(t: Tables) -> DataFrame:
                    bucket=day_bucket("sent_at", descending=False), name="seq")
 
 
-def pending_reviews(t: Tables, real_only: bool = True) -> DataFrame:
+def pending_reviews(t: Tables, real_only: bool = True, ids: DataFrame | None = None) -> DataFrame:
     """JN6 + FI8: completed requests of each client not yet reviewed, with
-    the provider's name (an unassigned request drops out), newest first."""
-    r = t.service_requests.where(F.col("status") == "completed")
+    the provider's name (an unassigned request drops out), newest first.
+    ``ids`` restricts to some clients."""
+    r = FL.only(t.service_requests.where(F.col("status") == "completed"), "client_id", ids)
     r = FL.keep_real(r, "client_id", t) if real_only else r.join(
         t.all_names().select("_uid"), F.col("client_id") == F.col("_uid"), "left_semi")
     rv = t.reviews.select(F.col("request_id").alias("_rv"))
@@ -127,9 +135,11 @@ def pending_reviews(t: Tables, real_only: bool = True) -> DataFrame:
     return _ranked(r, "client_id", F.desc("created_at"), F.desc("id")).drop("created_at")
 
 
-def provider_reviews(t: Tables, real_only: bool = True, k: int | None = None) -> DataFrame:
+def provider_reviews(t: Tables, real_only: bool = True, k: int | None = None,
+                     ids: DataFrame | None = None) -> DataFrame:
     """JN7: each provider's reviews with client name and request title,
-    newest first per provider."""
+    newest first per provider. ``ids`` restricts to some providers."""
+    t = t.replace(reviews=FL.only(t.reviews, "provider_id", ids))
     rv = FL.keep_real(t.reviews, "provider_id", t) if real_only else t.reviews.join(
         t.all_names().select("_uid"), F.col("provider_id") == F.col("_uid"), "left_semi")
     rv = FL.with_name(rv, "client_id", "client_name", t, real_only=real_only)
@@ -149,9 +159,12 @@ def promotion_display(p: DataFrame) -> DataFrame:
     })
 
 
-def provider_promotions(t: Tables, real_only: bool = True, k: int | None = None) -> DataFrame:
-    """JN11: each provider's promotions newest first, with display text."""
-    p = FL.keep_real(t.promotions, "provider_id", t) if real_only else t.promotions
+def provider_promotions(t: Tables, real_only: bool = True, k: int | None = None,
+                        ids: DataFrame | None = None) -> DataFrame:
+    """JN11: each provider's promotions newest first, with display text.
+    ``ids`` restricts to some providers."""
+    p = FL.only(t.promotions, "provider_id", ids)
+    p = FL.keep_real(p, "provider_id", t) if real_only else p
     return _ranked(promotion_display(p), "provider_id", F.desc("created_at"), F.desc("id"), k=k)
 
 

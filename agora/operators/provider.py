@@ -22,17 +22,25 @@ from agora.operators.ranking import day_bucket, rank_within, top_k_within
 from agora.sources.tables import Tables
 
 
-def real_providers(t: Tables) -> DataFrame:
+IdFrame = DataFrame | None
+
+
+def real_providers(t: Tables, ids: IdFrame = None) -> DataFrame:
     """(provider_id): real users with the provider role — the rows of the
-    bulk dashboard (a provider without activity gets zeros)."""
-    return (t.user_flags().where((F.col("role") == "provider") & ~F.col("is_demo"))
-            .select(F.col("id").alias("provider_id")))
+    bulk dashboard (a provider without activity gets zeros). ``ids``
+    optionally restricts every provider operator to some providers."""
+    return FL.only(t.user_flags().where((F.col("role") == "provider") & ~F.col("is_demo"))
+                   .select(F.col("id").alias("provider_id")), "provider_id", ids)
+
+
+def _bids(t: Tables, ids: IdFrame) -> DataFrame:
+    return FL.bids_real_parties(t.replace(bids=FL.only(t.bids, "provider_id", ids)))
 
 
-def bid_summary(t: Tables) -> DataFrame:
+def bid_summary(t: Tables, ids: IdFrame = None) -> DataFrame:
     """AG1 per provider."""
     n = F.count(F.lit(1))
-    return FL.bids_real_parties(t).groupBy("provider_id").agg(
+    return _bids(t, ids).groupBy("provider_id").agg(
         n.alias("total_bids"),
         F.count_if(F.col("status") == "accepted").alias("accepted_bids"),
         F.count_if(F.col("status") == "pending").alias("pending_bids"),
@@ -41,10 +49,10 @@ def bid_summary(t: Tables) -> DataFrame:
     )
 
 
-def sales_summary(t: Tables) -> DataFrame:
+def sales_summary(t: Tables, ids: IdFrame = None) -> DataFrame:
     """AG2 per provider: transactions counted with COUNT(t.id) over requests
     won (a won request without a transaction adds nothing)."""
-    req = FL.requests_real_parties(t).select(F.col("id").alias("r_id"),
+    req = FL.only(FL.requests_real_parties(t), "selected_provider_id", ids).select(F.col("id").alias("r_id"),
                                              F.col("selected_provider_id").alias("provider_id"))
     tx = t.transactions.select(F.col("id").alias("t_id"), "request_id", "final_price", "discount_amount")
     j = req.join(tx, req["r_id"] == tx["request_id"], "left")
@@ -55,9 +63,9 @@ def sales_summary(t: Tables) -> DataFrame:
     )
 
 
-def review_summary(t: Tables) -> DataFrame:
+def review_summary(t: Tables, ids: IdFrame = None) -> DataFrame:
     """AG3 per provider: count and ROUND(AVG(rating), 2), exact decimal."""
-    rv = FL.keep_real(FL.keep_real(t.reviews, "provider_id", t), "client_id", t)
+    rv = FL.keep_real(FL.keep_real(FL.only(t.reviews, "provider_id", ids), "provider_id", t), "client_id", t)
     n = F.count(F.lit(1))
     return rv.groupBy("provider_id").agg(
         n.alias("reviews_count"),
@@ -65,23 +73,23 @@ def review_summary(t: Tables) -> DataFrame:
     )
 
 
-def promotion_summary(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
+def promotion_summary(t: Tables, as_of: _dt.date = AS_OF, ids: IdFrame = None) -> DataFrame:
     """AG4 per provider: promotions and those active on ``as_of``."""
-    p = FL.keep_real(t.promotions, "provider_id", t)
+    p = FL.keep_real(FL.only(t.promotions, "provider_id", ids), "provider_id", t)
     active = (F.col("is_active") == 1) & F.lit(as_of).between(F.col("start_date"), F.col("end_date"))
     return p.groupBy("provider_id").agg(F.count(F.lit(1)).alias("promotions_count"),
                                         F.count_if(active).alias("active_promotions"))
 
 
-def provider_overview(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
+def provider_overview(t: Tables, as_of: _dt.date = AS_OF, ids: IdFrame = None) -> DataFrame:
     """PR3: the four summaries merged per real provider, zeros when empty,
     plus the acceptance percent (FN1). All parts are keyed by provider_id,
     so the merge joins are between provider-sized aggregates."""
-    base = real_providers(t)
-    out = (base.join(bid_summary(t), "provider_id", "left")
-               .join(sales_summary(t), "provider_id", "left")
-               .join(review_summary(t), "provider_id", "left")
-               .join(promotion_summary(t, as_of), "provider_id", "left"))
+    base = real_providers(t, ids)
+    out = (base.join(bid_summary(t, ids), "provider_id", "left")
+               .join(sales_summary(t, ids), "provider_id", "left")
+               .join(review_summary(t, ids), "provider_id", "left")
+               .join(promotion_summary(t, as_of, ids), "provider_id", "left"))
     zero_long = ["total_bids", "accepted_bids", "pending_bids", "rejected_bids", "sales_count",
                  "reviews_count", "promotions_count", "active_promotions"]
     fills = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in zero_long}
@@ -93,26 +101,26 @@ def provider_overview(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
     return out.withColumn("acceptance_percent", M.percentage("accepted_bids", "total_bids"))
 
 
-def provider_monthly_revenue(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
+def provider_monthly_revenue(t: Tables, as_of: _dt.date = AS_OF, ids: IdFrame = None) -> DataFrame:
     """AG5 per provider: months from five months before ``as_of`` onward."""
-    s = real_sales(t).where(F.col("created_at") >= M.month_bound(as_of, 5))
+    s = FL.only(real_sales(t), "provider_id", ids).where(F.col("created_at") >= M.month_bound(as_of, 5))
     return (s.groupBy("provider_id",
                       F.date_format("created_at", "yyyy-MM").alias("month_key"),
                       F.date_format("created_at", "MMM").alias("month_label"))
              .agg(_msum("final_price").alias("revenue")))
 
 
-def provider_bid_status(t: Tables) -> DataFrame:
+def provider_bid_status(t: Tables, ids: IdFrame = None) -> DataFrame:
     """AG6: bids per (provider, status)."""
-    return (FL.bids_real_parties(t).groupBy("provider_id", "status")
+    return (_bids(t, ids).groupBy("provider_id", "status")
             .agg(F.count(F.lit(1)).alias("total")))
 
 
-def provider_categories(t: Tables, k: int = 5) -> DataFrame:
+def provider_categories(t: Tables, k: int = 5, ids: IdFrame = None) -> DataFrame:
     """AG7 + SO3: per provider and category, bids, accepted bids and revenue
     (a transaction counts only for the provider that won the request); the
     top ``k`` categories per provider by revenue, accepted, bids."""
-    b = FL.bids_real_parties(t).select("provider_id", "request_id", "status",
+    b = _bids(t, ids).select("provider_id", "request_id", "status",
                                        "r_category", "r_selected_provider_id")
     tx = t.transactions.select(F.col("request_id").alias("t_request_id"), "final_price")
     j = b.join(tx, (b["request_id"] == tx["t_request_id"])
@@ -159,9 +167,9 @@ def sparkline(series: DataFrame, key: list[str], base: DataFrame) -> DataFrame:
                       F.coalesce(F.col("points_text"), F.lit("10,72 190,72")).alias("points"))
 
 
-def revenue_trend(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
+def revenue_trend(t: Tables, as_of: _dt.date = AS_OF, ids: IdFrame = None) -> DataFrame:
     """FN6 per real provider over AG5."""
-    return sparkline(provider_monthly_revenue(t, as_of), ["provider_id"], real_providers(t))
+    return sparkline(provider_monthly_revenue(t, as_of, ids), ["provider_id"], real_providers(t, ids))
 
 
 def admin_revenue_trend(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
@@ -173,9 +181,10 @@ def admin_revenue_trend(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
     return sparkline(series, ["_all"], base).drop("_all")
 
 
-def provider_bids(t: Tables, real_only: bool = True, k: int | None = None) -> DataFrame:
+def provider_bids(t: Tables, real_only: bool = True, k: int | None = None, ids: IdFrame = None) -> DataFrame:
     """JN3: every bid with its request title/status, ranked per provider
     newest first (``rank``); with ``real_only`` both parties are real."""
+    t = t.replace(bids=FL.only(t.bids, "provider_id", ids))
     if real_only:
         b = FL.bids_real_parties(t)
     else:
