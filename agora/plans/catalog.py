@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from agora.operators import admin, commands, display, listings, promotions, provider, quality, settlement
+from agora.plans import sql_api
 from agora.streaming import demo as stream_demo
 from agora.sources.tables import load, load_batch
 
@@ -124,6 +125,9 @@ def queries() -> dict[str, Query]:
         "labelled_status": _on_tables(display.labelled_status),
         "user_greetings": _on_tables(display.user_greetings),
         "formatted_money": _on_tables(display.formatted_money),
+        # SQL API (parameterised statements)
+        "category_sales_sql": _on_tables(sql_api.category_sales_sql),
+        "active_promotions_sql": _on_tables(sql_api.active_promotions_sql),
         # streaming (run to completion with availableNow)
         "stream_bid_ingest": _on_tables(stream_demo.bid_ingest),
         "stream_monthly_revenue": _on_tables(stream_demo.monthly_revenue),
@@ -137,4 +141,6 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for part in (admin_sql, provider_sql, listing_sql, command_sql, quality_sql):
         out.update(part.SQL)
+    out["category_sales_sql"] = out["category_sales"]
+    out["active_promotions_sql"] = out["active_promotions"]
     return out
