@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from agora.functions.labels import LABELS_EN
 from agora.operators.quality import ENUMS, FOREIGN_KEYS, UNIQUE_KEYS
-from agora.plans.command_sql import CMDS, trim  # noqa: F401
+from agora.plans.command_sql import CMDS
 from agora.plans.sqlkit import oracle, real
 from agora.sources import schemas as S
 from agora.sources.tables import TABLE_NAMES
