@@ -87,7 +87,9 @@ def request_bid_board(t: Tables, real_only: bool = True, ids: DataFrame | None =
         b = FL.with_name(b, "provider_id", "provider_name", t)
     else:
         b = FL.with_name(t.bids, "provider_id", "provider_name", t)
-    rating = provider_rating(t)
+    # one row per provider: broadcast when proven small (a hot provider's
+    # bids then stay in their map tasks); otherwise AQE splits the skew
+    rating = FL.checked_broadcast(provider_rating(t))
     b = b.join(rating, b["provider_id"] == rating["_pid"], "left").drop("_pid")
     return _ranked(b, "request_id", F.asc("price"), F.asc("created_at"), F.asc("id"),
                    bucket=F.floor(F.col("price")))

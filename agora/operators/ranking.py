@@ -59,8 +59,12 @@ def top_k_within(df: DataFrame, owner: list[str], order: list[Column], k: int,
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
     """Add boolean ``flag``: the row is the smallest by ``order`` (a total
     order, ascending) among the rows of its key."""
+    from agora.operators.filters import checked_broadcast
+
     o = F.struct(*[F.col(c) for c in order])
-    firsts = df.groupBy(*keys).agg(F.min(o).alias("_first"))
+    # one row per key: broadcast when proven small, so a hot key's rows
+    # never meet in one join task; beyond the bound AQE splits skew
+    firsts = checked_broadcast(df.groupBy(*keys).agg(F.min(o).alias("_first")))
     j = df.join(firsts, keys, "left")
     return j.withColumn(flag, F.coalesce(o == F.col("_first"), F.lit(False))).drop("_first")
 
