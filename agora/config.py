@@ -14,6 +14,10 @@ from pyspark.sql import SparkSession
 DEMO_DOMAIN = "@pmms.local"
 AS_OF = _dt.date(2001, 7, 15)
 
+# Owners with more rows than this are "hot": their per-owner windows are
+# split (see agora.operators.ranking); everyone else uses a plain window.
+HOT_ROWS = int(os.environ.get("AGORA_HOT_ROWS", "1000000"))
+
 # Largest key set we broadcast after counting it (8 bytes per id).
 BROADCAST_MAX_ROWS = int(os.environ.get("AGORA_BROADCAST_MAX_ROWS", "2000000"))
 

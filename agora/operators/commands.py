@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from agora.functions.text import parse_date, php_float, php_int, php_trim
 from agora.operators.filters import checked_broadcast
-from agora.operators.ranking import day_bucket, first_per_key, previous_within
+from agora.operators.ranking import first_per_key, previous_within, time_bucket
 from agora.sources.tables import Tables
 
 
@@ -236,7 +236,7 @@ def validate_toggle(t: Tables, cmds: DataFrame) -> DataFrame:
     owner = F.coalesce(F.col("_owner") == F.col("provider_id"), F.lit(False)) & ~ignored
     c = c.withColumn("_owner_ok", owner)
     c = previous_within(c, ["promotion_id", "_owner_ok"], ["event_time", "command_id"], "active",
-                        day_bucket("event_time", descending=False), "_prev")
+                        time_bucket("event_time", descending=False), "_prev")
     c = c.withColumn("_before", F.coalesce(F.col("_prev"), F.col("_cur")))
     out = _decide(c, [(ignored, "ignored"),
                       (~F.col("_owner_ok") | (F.col("active") == F.col("_before")), "status_update_failed")])

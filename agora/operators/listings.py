@@ -4,9 +4,10 @@ FI9, SO1, SO5, FN19).
 A reference listing is ``WHERE owner = ? ORDER BY created_at DESC``. In bulk
 every row keeps its owner key and its exact position ``rank`` in that
 owner's list (id breaks timestamp ties), so one job serves every owner.
-The rank is computed by :func:`agora.operators.ranking.rank_within`, which
-splits a hot owner by day instead of sorting it in one task; previews (the
-dashboard's first 5) use a per-owner top-k.
+The rank is computed by :func:`agora.operators.ranking.rank_within`: a
+plain window for ordinary owners, and for hot owners (more than
+``HOT_ROWS`` rows) an exact bucketed rank split by minute, so no task sorts
+a hot owner whole; previews (the dashboard's first 5) use a per-owner top-k.
 Correlated scalar subqueries (bid count, rating average) become a
 pre-aggregation joined back on the key.
 """
@@ -21,18 +22,19 @@ from pyspark.sql import functions as F
 from agora.config import AS_OF
 from agora.functions import metrics as M
 from agora.operators import filters as FL
-from agora.operators.ranking import day_bucket, rank_within, top_k_within
+from agora.operators.ranking import rank_within, time_bucket, top_k_within
 from agora.sources.tables import Tables
 
 
 def _ranked(df: DataFrame, owner: str, *order, bucket=None, k: int | None = None,
             name: str = "rank") -> DataFrame:
-    """Rank per owner. Full listings use the skew-safe bucketed ranking
-    (default bucket: the day of ``created_at``, newest first); previews
-    (``k``) keep only the first ``k`` per owner via ``WindowGroupLimit``."""
+    """Rank per owner. Full listings use the skew-safe ranking (hot owners
+    bucketed, by default by the minute of ``created_at``, newest first);
+    previews (``k``) keep only the first ``k`` per owner via
+    ``WindowGroupLimit``."""
     if k is not None:
         return top_k_within(df, [owner], list(order), k, name)
-    b = bucket if bucket is not None else day_bucket("created_at", descending=True)
+    b = bucket if bucket is not None else time_bucket("created_at", descending=True)
     return rank_within(df, [owner], list(order), b, name)
 
 
@@ -120,7 +122,7 @@ def conversation_thread(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     m = m.withColumn("from_client", F.coalesce(F.col("sender_id") == F.col("_client"), F.lit(False)))
     m = m.drop("_cid", "_client")
     return _ranked(m, "conversation_id", F.asc("sent_at"), F.asc("id"),
-                   bucket=day_bucket("sent_at", descending=False), name="seq")
+                   bucket=time_bucket("sent_at", descending=False), name="seq")
 
 
 def pending_reviews(t: Tables, real_only: bool = True, ids: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from agora.config import AS_OF
 from agora.functions import metrics as M
 from agora.operators import filters as FL
 from agora.operators.admin import _msum, real_sales
-from agora.operators.ranking import day_bucket, rank_within, top_k_within
+from agora.operators.ranking import rank_within, time_bucket, top_k_within
 from agora.sources.tables import Tables
 
 
@@ -196,7 +196,7 @@ def provider_bids(t: Tables, real_only: bool = True, k: int | None = None, ids:
     order = [F.desc("created_at"), F.desc("id")]
     if k is not None:
         return top_k_within(b, ["provider_id"], order, k)
-    return rank_within(b, ["provider_id"], order, day_bucket("created_at", descending=True))
+    return rank_within(b, ["provider_id"], order, time_bucket("created_at", descending=True))
 
 
 def provider_recent_bids(t: Tables, k: int = 5) -> DataFrame:

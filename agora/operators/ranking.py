@@ -4,11 +4,14 @@
 a provider holding a third of all bids that task sorts a third of the
 table. The helpers here keep exact results while splitting hot owners:
 
-* :func:`rank_within` — exact ``row_number`` per owner. Rows are split by
-  (owner, bucket) where the bucket is monotone in the ranking order (e.g.
-  the day of the timestamp); per-bucket counts (a partial aggregation)
-  give each bucket's offset through a window over the small count table;
-  the final ``row_number`` runs per (owner, bucket) and adds the offset.
+* :func:`rank_within` — exact ``row_number`` per owner. A per-owner count
+  (partial aggregation) finds the hot owners (more than ``HOT_ROWS`` rows;
+  there are at most rows / ``HOT_ROWS`` of them, so their id list is small
+  and broadcast). Cold owners get the plain window. Hot owners' rows are
+  split by (owner, bucket) where the bucket is monotone in the ranking
+  order (e.g. the minute of the timestamp); per-bucket counts give each
+  bucket's offset through a window over the small count table, and the
+  final ``row_number`` runs per (owner, bucket) plus the offset.
 * :func:`top_k_within` — first ``k`` rows per owner through ``row_number
   <= k``, which Spark plans as ``WindowGroupLimit``: each map task keeps at
   most ``k`` rows per owner before the shuffle.
@@ -27,24 +30,49 @@ from pyspark.sql import functions as F
 DAY_SECONDS = 86400
 
 
-def day_bucket(ts: str, descending: bool) -> Column:
-    """A bucket monotone in ``ts`` (one per calendar day), negated for a
-    descending order so buckets always grow along the ranking."""
-    d = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / DAY_SECONDS)
+def time_bucket(ts: str, descending: bool, seconds: int = 60) -> Column:
+    """A bucket monotone in ``ts`` (one per ``seconds`` window, a minute by
+    default), negated for a descending order so buckets always grow along
+    the ranking."""
+    d = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds)
     return -d if descending else d
 
 
+def day_bucket(ts: str, descending: bool) -> Column:
+    return time_bucket(ts, descending, DAY_SECONDS)
+
+
+def split_hot(df: DataFrame, owner: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cold rows, hot rows): hot owners hold more than ``hot_rows`` rows.
+    The hot-owner list is at most rows / hot_rows long and is broadcast
+    after a bounded count."""
+    from agora.config import HOT_ROWS
+    from agora.operators.filters import checked_broadcast
+
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    hot = checked_broadcast(df.groupBy(*owner).agg(F.count(F.lit(1)).alias("_n"))
+                            .where(F.col("_n") > limit).select(*owner))
+    return df.join(hot, owner, "left_anti"), df.join(hot, owner, "left_semi")
+
+
 def rank_within(df: DataFrame, owner: list[str], order: list[Column], bucket: Column,
-                name: str = "rank") -> DataFrame:
+                name: str = "rank", hot_rows: int | None = None) -> DataFrame:
     """Exact ``row_number()`` over ``owner`` ordered by ``order`` (which must
-    be a total order), computed without one task per owner. ``bucket`` must
-    be non-decreasing along ``order`` (NULL buckets sort first)."""
+    be a total order) without any task holding a hot owner's rows.
+    ``bucket`` must be non-decreasing along ``order`` (NULL buckets first)."""
+    cold, hot = split_hot(df, owner, hot_rows)
+    plain = cold.withColumn(name, F.row_number().over(Window.partitionBy(*owner).orderBy(*order)))
+    return plain.unionByName(_bucketed_rank(hot, owner, order, bucket, name))
+
+
+def _bucketed_rank(df: DataFrame, owner: list[str], order: list[Column], bucket: Column,
+                   name: str) -> DataFrame:
     b = df.withColumn("_bkt", bucket)
     counts = b.groupBy(*owner, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     w = (Window.partitionBy(*owner).orderBy(F.asc_nulls_first("_bkt"))
          .rowsBetween(Window.unboundedPreceding, -1))
     offs = counts.select(*owner, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    j = b.join(offs, [*owner, "_bkt"], "inner") if owner else b.join(offs, ["_bkt"], "inner")
+    j = b.join(offs, [*owner, "_bkt"], "inner")
     w2 = Window.partitionBy(*owner, "_bkt").orderBy(*order)
     return j.withColumn(name, (F.row_number().over(w2) + F.col("_off")).cast("int")).drop("_bkt", "_off")
 
@@ -70,11 +98,20 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str], flag: str) -
 
 
 def previous_within(df: DataFrame, owner: list[str], order: list[str], value: str, bucket: Column,
-                    name: str) -> DataFrame:
-    """``lag(value)`` per owner along ``order`` (ascending, total), split by
-    (owner, bucket) with ``bucket`` non-decreasing along ``order``. The
-    first row of a bucket takes the last value of the nearest earlier
-    non-empty bucket, found on the small per-bucket table."""
+                    name: str, hot_rows: int | None = None) -> DataFrame:
+    """``lag(value)`` per owner along ``order`` (ascending, total). Cold
+    owners use the plain window; hot owners are split by (owner, bucket)
+    with ``bucket`` non-decreasing along ``order``: the first row of a
+    bucket takes the last value of the nearest earlier non-empty bucket,
+    found on the small per-bucket table."""
+    cold, hot = split_hot(df, owner, hot_rows)
+    w = Window.partitionBy(*owner).orderBy(*[F.col(c) for c in order])
+    plain = cold.withColumn(name, F.lag(value).over(w))
+    return plain.unionByName(_bucketed_previous(hot, owner, order, value, bucket, name))
+
+
+def _bucketed_previous(df: DataFrame, owner: list[str], order: list[str], value: str, bucket: Column,
+                       name: str) -> DataFrame:
     b = df.withColumn("_bkt", bucket)
     o = F.struct(*[F.col(c) for c in order])
     last = b.groupBy(*owner, "_bkt").agg(F.max_by(F.col(value), o).alias("_last"))

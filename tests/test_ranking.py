@@ -27,15 +27,24 @@ def test_rank_within_matches_window(spark):
     df = data(spark)
     order = [F.desc("created_at"), F.desc("id")]
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(*order)))
-    got = rank_within(df, ["owner"], order, day_bucket("created_at", descending=True))
-    assert got.select("id", "rank").exceptAll(want.select("id", "rank")).count() == 0
-    assert got.count() == df.count()
+    for hot_rows in (100, 10**9):   # owner 1 hot (bucketed path) / nobody hot (plain window)
+        got = rank_within(df, ["owner"], order, day_bucket("created_at", descending=True), hot_rows=hot_rows)
+        assert got.select("id", "rank").exceptAll(want.select("id", "rank")).count() == 0
+        assert got.count() == df.count()
     asc = [F.asc("price"), F.asc("created_at"), F.asc("id")]
     want2 = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(*asc)))
-    got2 = rank_within(df, ["owner"], asc, F.floor(F.col("price") / 50))
+    got2 = rank_within(df, ["owner"], asc, F.floor(F.col("price") / 50), hot_rows=100)
     assert got2.select("id", "rank").exceptAll(want2.select("id", "rank")).count() == 0
 
 
+def test_hot_owner_is_split_off(spark):
+    from agora.operators.ranking import split_hot
+    df = data(spark)
+    cold, hot = split_hot(df, ["owner"], 100)
+    assert {r[0] for r in hot.select("owner").distinct().collect()} == {1}
+    assert cold.count() + hot.count() == df.count()
+
+
 def test_top_k_within(spark):
     df = data(spark)
     order = [F.desc("created_at"), F.desc("id")]
@@ -57,7 +66,8 @@ def test_previous_within(spark):
     df = data(spark).withColumnRenamed("created_at", "event_time").withColumnRenamed("id", "command_id")
     w = Window.partitionBy("owner").orderBy("event_time", "command_id")
     want = df.withColumn("prev", F.lag("v").over(w))
-    got = previous_within(df, ["owner"], ["event_time", "command_id"], "v",
-                          day_bucket("event_time", descending=False), "prev")
-    diff = got.select("command_id", "prev").exceptAll(want.select("command_id", "prev"))
-    assert diff.count() == 0 and got.count() == df.count()
+    for hot_rows in (100, 10**9):
+        got = previous_within(df, ["owner"], ["event_time", "command_id"], "v",
+                              day_bucket("event_time", descending=False), "prev", hot_rows=hot_rows)
+        diff = got.select("command_id", "prev").exceptAll(want.select("command_id", "prev"))
+        assert diff.count() == 0 and got.count() == df.count()
