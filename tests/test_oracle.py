@@ -36,3 +36,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["category", "requests_count", "revenue"]
     assert df.count() >= 0
+
+
+HOT_PATH = ["provider_bids", "request_bid_board", "client_requests", "user_conversations",
+            "provider_reviews", "toggle_commands"]
+
+
+@pytest.mark.parametrize("name", HOT_PATH)
+def test_matches_oracle_with_every_owner_hot(spark, con, name, monkeypatch):
+    """Force the split (bucketed) path for nearly every owner."""
+    import agora.config
+    monkeypatch.setattr(agora.config, "HOT_ROWS", 2)
+    r = compare(spark, con, name, QUERIES[name], SQL[name], SF)
+    assert r["rows"] == r["oracle_rows"] and r["same_values"], (r["spark_only"], r["oracle_only"])
