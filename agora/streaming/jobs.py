@@ -86,3 +86,12 @@ def start_monthly_revenue(t: Tables, source: str, sink: str, checkpoint: str,
     w = agg.writeStream.outputMode("complete").foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def dashboard_months(spark: SparkSession, sink: str, as_of) -> DataFrame:
+    """Read ST2's month table as the dashboard shows it: months from the
+    first day of the month five months before ``as_of`` onward (FI6)."""
+    from agora.functions.metrics import month_start
+
+    bound = month_start(as_of, 5).strftime("%Y-%m")
+    return spark.read.parquet(sink).where(F.col("month_key") >= bound)

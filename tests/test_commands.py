@@ -158,3 +158,17 @@ def test_accepted_commands_append_as_rows(spark, real_tables, tmp_path):
     p = batch(spark, "promotion_commands", [(9, T, 3, "New", "percent", "15", "2001-07-01", "2001-08-01")])
     prow = new_rows("promotion", C.validate_promotion(real_tables, p), p).collect()[0]
     assert (prow["id"], prow["is_active"], str(prow["start_date"])) == (9, 1, "2001-07-01")
+
+
+def test_stream_months_read_like_the_dashboard(spark, real_tables, tmp_path):
+    """ST2 on the seed: one micro-batch, then the six-month reader view."""
+    from agora.operators import admin
+    from agora.streaming.jobs import dashboard_months, start_monthly_revenue
+
+    src = str(tmp_path / "src")
+    real_tables.transactions.write.parquet(src)
+    q = start_monthly_revenue(real_tables, src, str(tmp_path / "sink"), str(tmp_path / "ck"))
+    q.awaitTermination()
+    got = rows(dashboard_months(spark, str(tmp_path / "sink"), dt.date(2001, 7, 15)))
+    want = rows(admin.monthly_revenue(real_tables, dt.date(2001, 7, 15)))
+    assert got == want == [("2001-07", "Jul", D("944.00"))]
