@@ -13,6 +13,18 @@ from agora.sources.schemas import SCHEMAS
 
 TABLE_NAMES = tuple(SCHEMAS)
 
+# Join key each snapshot table is bucketed by (co-located request joins).
+BUCKET_KEYS = {
+    "users": "id",
+    "service_requests": "id",
+    "bids": "request_id",
+    "mkt_conversations": "request_id",
+    "messages": "conversation_id",
+    "reviews": "request_id",
+    "promotions": "provider_id",
+    "transactions": "request_id",
+}
+
 
 @dataclass
 class Tables:
@@ -67,6 +79,23 @@ class Tables:
             df.write.mode(mode).parquet(f"{base}/{n}")
         return base
 
+    def write_bucketed(self, path: str, buckets: int, prefix: str) -> "Tables":
+        """Write a snapshot whose tables are bucketed (and sorted) by their
+        join key — the request id for requests, bids, transactions,
+        conversations and reviews — registered as external tables
+        ``<prefix>_<table>`` located under ``path``. Joins between them on
+        the request id then need no shuffle; the result reads them back."""
+        spark = self.spark
+        base = path.rstrip("/")
+        out = {}
+        for n, df in self.frames().items():
+            key = BUCKET_KEYS[n]
+            name = f"{prefix}_{n}"
+            (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+               .option("path", f"{base}/{n}").format("parquet").saveAsTable(name))
+            out[n] = spark.table(name)
+        return Tables.from_frames(out, self.demo_domain)
+
     @property
     def spark(self) -> SparkSession:
         return self.users.sparkSession
@@ -117,16 +146,23 @@ _LOCK = threading.Lock()
 _LOADED: dict[tuple, Tables] = {}
 
 
-def load(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Tables:
+def load(spark: SparkSession, sf_dir: str, materialize: bool = True, buckets: int | None = None) -> Tables:
     """Marketplace tables for a driver data folder.
 
     With ``materialize`` (default) the derivation runs once per session and
     folder and is written as parquet under the shared checkpoint folder;
     later operators read that snapshot. Otherwise the derivation stays lazy.
+    ``buckets`` (default ``$AGORA_BUCKETS``, 0 = off) writes the snapshot
+    bucketed by request id instead (see ``Tables.write_bucketed``).
     """
+    import os
+    import uuid
+
     from agora.sources.derive import derive_tables
 
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), materialize)
+    if buckets is None:
+        buckets = int(os.environ.get("AGORA_BUCKETS", "0"))
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), materialize, buckets)
     with _LOCK:
         hit = _LOADED.get(key)
     if hit is not None:
@@ -140,6 +176,9 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Tables:
 
         derive_tables(spark, sf_dir, persist)
         derived = Tables.from_parquet(spark, path)
+        if buckets:
+            derived = derived.write_bucketed(scratch_path(spark, "bucketed"), buckets,
+                                             "agora_" + uuid.uuid4().hex[:12])
     else:
         derived = Tables.from_frames(derive_tables(spark, sf_dir))
     with _LOCK:
