@@ -36,10 +36,29 @@ def digest(cols, rows):
     return hashlib.sha1("\n".join(lines).encode()).hexdigest(), lines
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                  "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+def type_mismatches(df, description) -> list:
+    """Columns whose Spark type and DuckDB type differ."""
+    spark_t = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    out = []
+    for name, dtype, *_ in description:
+        st = spark_t.get(name)
+        if st is None:
+            continue
+        want = _SPARK_TO_DUCK.get(st, st.upper())
+        if str(dtype).upper() != want:
+            out.append((name, st, str(dtype)))
+    return out
+
+
 def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> dict:
     df = fn(spark, sf_dir)
     rows = [tuple(r) for r in df.collect()]
     res = con.execute(sql)
+    types = type_mismatches(df, res.description)
     ocols = [c[0] for c in res.description]
     orows = res.fetchall()
     h1, l1 = digest(df.columns, rows)
@@ -49,4 +68,5 @@ def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> dict:
         "same_columns": sorted(df.columns) == sorted(ocols), "same_values": h1 == h2,
         "spark_only": sorted(set(l1) - set(l2))[:3], "oracle_only": sorted(set(l2) - set(l1))[:3],
         "columns": (sorted(df.columns), sorted(ocols)),
+        "type_mismatches": types,
     }

@@ -30,6 +30,7 @@ def test_matches_oracle(spark, con, name):
     assert r["same_columns"], r["columns"]
     assert r["rows"] == r["oracle_rows"]
     assert r["same_values"], (r["spark_only"], r["oracle_only"])
+    assert not r["type_mismatches"], r["type_mismatches"]
 
 
 def test_entry_smoke(spark):
