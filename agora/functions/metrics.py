@@ -13,6 +13,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def money_sum(x) -> Column:
+    """SUM of a DECIMAL(10,2) column as DECIMAL(20,2), 0 when there are no
+    rows (``COALESCE(SUM(x), 0)``)."""
+    return F.coalesce(F.sum(_c(x)), F.lit(0)).cast("decimal(20,2)")
+
+
 def percentage(value, total) -> Column:
     """FN1: 0 if total <= 0 else clamp(round(value / total * 100), 0, 100) as int."""
     v, t = _c(value).cast("double"), _c(total).cast("double")

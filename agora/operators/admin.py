@@ -17,13 +17,6 @@ from agora.functions import metrics as M
 from agora.operators import filters as FL
 from agora.sources.tables import Tables
 
-MONEY_SUM = "decimal(20,2)"
-
-
-def _msum(col) -> F.Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.sum(c), F.lit(0)).cast(MONEY_SUM)
-
 
 def real_sales(t: Tables) -> DataFrame:
     """Transactions whose request has a real client and a real selected
@@ -53,13 +46,14 @@ def sales_overview(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
     prev = M.month_bound(as_of, 1)
     s = real_sales(t)
     return s.agg(
-        _msum("final_price").alias("total_revenue"),
-        _msum("original_price").alias("target_revenue"),
-        _msum("discount_amount").alias("total_discount"),
+        M.money_sum("final_price").alias("total_revenue"),
+        M.money_sum("original_price").alias("target_revenue"),
+        M.money_sum("discount_amount").alias("total_discount"),
         F.count(F.lit(1)).alias("sales_count"),
-        _msum(F.when(F.col("created_at") >= cur, F.col("final_price")).otherwise(F.lit(0))).alias("current_month_revenue"),
-        _msum(F.when((F.col("created_at") >= prev) & (F.col("created_at") < cur), F.col("final_price"))
-              .otherwise(F.lit(0))).alias("previous_month_revenue"),
+        M.money_sum(F.when(F.col("created_at") >= cur, F.col("final_price"))
+                    .otherwise(F.lit(0))).alias("current_month_revenue"),
+        M.money_sum(F.when((F.col("created_at") >= prev) & (F.col("created_at") < cur), F.col("final_price"))
+                    .otherwise(F.lit(0))).alias("previous_month_revenue"),
     )
 
 
@@ -119,7 +113,7 @@ def monthly_revenue(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
     s = real_sales(t).where(F.col("created_at") >= M.month_bound(as_of, 5))
     return (s.groupBy(F.date_format("created_at", "yyyy-MM").alias("month_key"),
                       F.date_format("created_at", "MMM").alias("month_label"))
-             .agg(_msum("final_price").alias("revenue")))
+             .agg(M.money_sum("final_price").alias("revenue")))
 
 
 def status_distribution(t: Tables) -> DataFrame:
@@ -143,7 +137,7 @@ def category_sales(t: Tables, k: int = 5) -> DataFrame:
     tx = t.transactions.select("request_id", "final_price")
     j = r.join(tx, r["r_id"] == tx["request_id"], "left")
     agg = j.groupBy("category").agg(F.count(F.lit(1)).alias("requests_count"),
-                                    _msum("final_price").alias("revenue"))
+                                    M.money_sum("final_price").alias("revenue"))
     return agg.orderBy(F.desc("revenue"), F.desc("requests_count"), F.asc("category")).limit(k)
 
 
@@ -164,7 +158,7 @@ def top_providers(t: Tables, k: int = 4) -> DataFrame:
     tx = t.transactions.select("request_id", "final_price")
     j = won.join(tx, won["r_id"] == tx["request_id"], "left")
     agg = (j.groupBy(F.col("selected_provider_id").alias("provider_id"), "name")
-             .agg(F.count(F.lit(1)).alias("accepted_sales"), _msum("final_price").alias("revenue")))
+             .agg(F.count(F.lit(1)).alias("accepted_sales"), M.money_sum("final_price").alias("revenue")))
     top = agg.orderBy(F.desc("revenue"), F.desc("accepted_sales"), F.asc("provider_id")).limit(k)
     ov = sales_overview(t).select(M.goal_target("total_revenue", "target_revenue").alias("_target"))
     return (top.crossJoin(ov)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from agora.config import AS_OF
 from agora.functions import metrics as M
 from agora.operators import filters as FL
-from agora.operators.admin import _msum, real_sales
+from agora.operators.admin import real_sales
 from agora.operators.ranking import rank_within, time_bucket, top_k_within
 from agora.sources.tables import Tables
 
@@ -58,8 +58,8 @@ def sales_summary(t: Tables, ids: IdFrame = None) -> DataFrame:
     j = req.join(tx, req["r_id"] == tx["request_id"], "left")
     return j.groupBy("provider_id").agg(
         F.count("t_id").alias("sales_count"),
-        _msum("final_price").alias("total_revenue"),
-        _msum("discount_amount").alias("total_discount"),
+        M.money_sum("final_price").alias("total_revenue"),
+        M.money_sum("discount_amount").alias("total_discount"),
     )
 
 
@@ -107,7 +107,7 @@ def provider_monthly_revenue(t: Tables, as_of: _dt.date = AS_OF, ids: IdFrame =
     return (s.groupBy("provider_id",
                       F.date_format("created_at", "yyyy-MM").alias("month_key"),
                       F.date_format("created_at", "MMM").alias("month_label"))
-             .agg(_msum("final_price").alias("revenue")))
+             .agg(M.money_sum("final_price").alias("revenue")))
 
 
 def provider_bid_status(t: Tables, ids: IdFrame = None) -> DataFrame:
@@ -128,7 +128,7 @@ def provider_categories(t: Tables, k: int = 5, ids: IdFrame = None) -> DataFrame
     agg = (j.groupBy("provider_id", F.col("r_category").alias("category"))
              .agg(F.count(F.lit(1)).alias("bids_count"),
                   F.count_if(F.col("status") == "accepted").alias("accepted_count"),
-                  _msum("final_price").alias("revenue")))
+                  M.money_sum("final_price").alias("revenue")))
     order = [F.desc("revenue"), F.desc("accepted_count"), F.desc("bids_count"), F.asc("category")]
     return top_k_within(agg, ["provider_id"], order, k)
 

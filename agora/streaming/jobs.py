@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from agora.operators import filters as FL
-from agora.operators.admin import _msum
+from agora.functions.metrics import money_sum
 from agora.operators.commands import validate_bid
 from agora.sources.commands import SCHEMAS as CMD_SCHEMAS
 from agora.sources.schemas import TRANSACTIONS
@@ -67,7 +67,7 @@ def monthly_revenue_plan(t: Tables, transactions: DataFrame) -> DataFrame:
     s = transactions.join(req, transactions["request_id"] == req["_rid"], "inner")
     return (s.groupBy(F.date_format("created_at", "yyyy-MM").alias("month_key"),
                       F.date_format("created_at", "MMM").alias("month_label"))
-             .agg(_msum("final_price").alias("revenue")))
+             .agg(money_sum("final_price").alias("revenue")))
 
 
 def start_monthly_revenue(t: Tables, source: str, sink: str, checkpoint: str,
