@@ -4,11 +4,14 @@ The reference picks, for one provider and today's date, the active
 promotion covering the date with the latest ``created_at`` (latest, not
 best). In bulk this is an interval join. Joining every sale to every
 promotion of its provider would emit sales x promotions pairs for a hot
-provider, so instead each active promotion is expanded to the days it
-covers — clipped to the span of sale dates — the winner per (provider,
-day) is reduced with one ``max(struct(created_at, id, ...))``, and sales
-meet winners on an equi-join of (provider_id, day): one match per sale,
-work proportional to promotion-days, not to pairs.
+provider. Instead each active promotion (clipped to the span of sale
+dates) is cut into the whole calendar months it covers plus the days of
+its partial first and last months. The winner per (provider, month) and
+per (provider, day) is reduced with one ``max(struct(created_at, id,
+...))``. A sale meets its month winner and its day winner on equi-joins
+and keeps the later of the two. That is one match per sale, and the work
+per promotion is bounded by months + 62 days, not by its length in days
+or by the number of sales.
 """
 
 from __future__ import annotations
@@ -20,19 +23,35 @@ from agora.functions import metrics as M
 from agora.sources.tables import Tables
 
 
-def daily_winners(promotions: DataFrame, lo, hi) -> DataFrame:
-    """(provider_id, day, promotion_id, discount_type, discount_value):
-    the latest-created active promotion per provider and covered day in
-    [lo, hi] (Columns from a one-row bounds frame)."""
+def _days(a, b):
+    """Dates a..b inclusive; empty when a > b."""
+    return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<date>"))
+
+
+def segment_winners(promotions: DataFrame, lo, hi) -> tuple[DataFrame, DataFrame]:
+    """Winners of the active promotions clipped to [lo, hi] (Columns of a
+    one-row bounds frame): ``(provider_id, month, w)`` over whole covered
+    months and ``(provider_id, day, w)`` over the days of partial months,
+    ``w`` = max struct(created_at, id, discount_type, discount_value)."""
     p = promotions.where(F.col("is_active") == 1)
     p = p.where((F.col("start_date") <= hi) & (F.col("end_date") >= lo))
-    p = p.withColumn("day", F.explode(F.sequence(F.greatest(F.col("start_date"), lo),
-                                                 F.least(F.col("end_date"), hi))))
-    win = p.groupBy("provider_id", "day").agg(
-        F.max(F.struct("created_at", "id", "discount_type", "discount_value")).alias("w"))
-    return win.select("provider_id", "day", F.col("w.id").alias("promotion_id"),
-                      F.col("w.discount_type").alias("discount_type"),
-                      F.col("w.discount_value").alias("discount_value"))
+    s = F.greatest(F.col("start_date"), lo)
+    e = F.least(F.col("end_date"), hi)
+    first_full = F.when(F.dayofmonth(s) == 1, s).otherwise(F.add_months(F.trunc(s, "MM"), 1))
+    last_full = F.when(e == F.last_day(e), F.trunc(e, "MM")).otherwise(F.add_months(F.trunc(e, "MM"), -1))
+    p = p.select("provider_id", F.struct("created_at", "id", "discount_type", "discount_value").alias("w"),
+                 s.alias("_s"), e.alias("_e"), first_full.alias("_ff"), last_full.alias("_lf"))
+    full = F.col("_ff") <= F.col("_lf")
+    months = F.when(full, F.sequence(F.col("_ff"), F.col("_lf"), F.expr("INTERVAL 1 MONTH"))) \
+              .otherwise(F.array().cast("array<date>"))
+    days = F.when(full, F.concat(_days(F.col("_s"), F.date_sub(F.col("_ff"), 1)),
+                                 _days(F.date_add(F.last_day(F.col("_lf")), 1), F.col("_e")))) \
+            .otherwise(_days(F.col("_s"), F.col("_e")))
+    by_month = (p.select("provider_id", "w", F.explode(months).alias("month"))
+                 .groupBy("provider_id", "month").agg(F.max("w").alias("w")))
+    by_day = (p.select("provider_id", "w", F.explode(days).alias("day"))
+               .groupBy("provider_id", "day").agg(F.max("w").alias("w")))
+    return by_month, by_day
 
 
 def with_promotion(sales: DataFrame, promotions: DataFrame) -> DataFrame:
@@ -40,11 +59,17 @@ def with_promotion(sales: DataFrame, promotions: DataFrame) -> DataFrame:
     ``sale_date``); NULLs when none. Sales keep all their columns."""
     bounds = sales.agg(F.min("sale_date").alias("_lo"), F.max("sale_date").alias("_hi"))
     p = promotions.crossJoin(bounds)  # one-row bounds
-    win = daily_winners(p, F.col("_lo"), F.col("_hi"))
-    win = win.select(F.col("provider_id").alias("_pp"), F.col("day").alias("_day"),
-                     "promotion_id", "discount_type", "discount_value")
-    j = sales.join(win, (sales["provider_id"] == win["_pp"]) & (sales["sale_date"] == win["_day"]), "left")
-    return j.drop("_pp", "_day")
+    by_month, by_day = segment_winners(p, F.col("_lo"), F.col("_hi"))
+    m = by_month.select(F.col("provider_id").alias("_mp"), F.col("month").alias("_mm"), F.col("w").alias("_wm"))
+    d = by_day.select(F.col("provider_id").alias("_dp"), F.col("day").alias("_dd"), F.col("w").alias("_wd"))
+    j = sales.join(m, (sales["provider_id"] == m["_mp"]) & (F.trunc(sales["sale_date"], "MM") == m["_mm"]), "left")
+    j = j.join(d, (j["provider_id"] == d["_dp"]) & (j["sale_date"] == d["_dd"]), "left")
+    w = F.greatest(F.col("_wm"), F.col("_wd"))
+    return (j.withColumn("_w", w)
+             .withColumn("promotion_id", F.col("_w.id"))
+             .withColumn("discount_type", F.col("_w.discount_type"))
+             .withColumn("discount_value", F.col("_w.discount_value"))
+             .drop("_mp", "_mm", "_wm", "_dp", "_dd", "_wd", "_w"))
 
 
 def priced(sales: DataFrame, price_col: str = "price") -> DataFrame:

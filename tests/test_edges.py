@@ -93,3 +93,29 @@ def test_top_providers_groups_by_id_and_name(spark):
     t = tiny(spark, "@example.com", extra=extra)
     tp = rows(admin.top_providers(t), "provider_id", "name", "accepted_sales", "revenue")
     assert tp == [(3, "Provider User", 2, D("944.00")), (6, "Provider User", 1, D("0.00"))]
+
+
+def test_long_promotions_split_into_months_and_days(spark):
+    """Multi-year promotions against short ones, sales on month edges."""
+    from pyspark.sql import functions as F
+    extra = {"promotions": [
+        (10, 3, "Three years", "fixed", D("1.00"), dt.date(1999, 3, 17), dt.date(2002, 2, 3), 1, dt.datetime(1999, 1, 1)),
+        (11, 3, "March only", "fixed", D("2.00"), dt.date(2000, 3, 1), dt.date(2000, 3, 31), 1, dt.datetime(2000, 1, 1)),
+        (12, 3, "Two days", "fixed", D("3.00"), dt.date(2000, 3, 31), dt.date(2000, 4, 1), 1, dt.datetime(2000, 2, 1)),
+        (13, 3, "Old but later", "fixed", D("4.00"), dt.date(1999, 3, 16), dt.date(1999, 3, 18), 1, dt.datetime(2001, 1, 1)),
+    ]}
+    t = tiny(spark, "@example.com", extra=extra)
+    days = [dt.date(1999, 3, 16), dt.date(1999, 3, 17), dt.date(1999, 3, 18), dt.date(1999, 3, 19),
+            dt.date(2000, 2, 29), dt.date(2000, 3, 1), dt.date(2000, 3, 30), dt.date(2000, 3, 31),
+            dt.date(2000, 4, 1), dt.date(2000, 4, 2), dt.date(2002, 2, 3), dt.date(2002, 2, 4)]
+    sales = spark.createDataFrame([(i, 3, D("10.00"), x) for i, x in enumerate(days)],
+                                  "k int, provider_id long, price decimal(10,2), sale_date date")
+    got = [r[1] for r in sorted(promotions.with_promotion(sales, t.promotions).select("k", "promotion_id").collect())]
+    # brute force: latest created covering active promotion
+    promos = [r for r in t.promotions.where("is_active = 1 AND provider_id = 3").collect()]
+    want = []
+    for x in days:
+        cover = [p for p in promos if p["start_date"] <= x <= p["end_date"]]
+        want.append(max(cover, key=lambda p: (p["created_at"], p["id"]))["id"] if cover else None)
+    assert got == want
+    assert got[:4] == [13, 13, 13, 10] and got[6:10] == [11, 12, 12, 10] and got[-2:] == [10, None]
