@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.commands import checked_broadcast
+from agora.operators.filters import checked_broadcast
 from agora.sources import schemas as S
 from agora.sources.tables import TABLE_NAMES, Tables
 
@@ -64,16 +64,29 @@ def scan_counts(t: Tables) -> DataFrame:
 
 
 def dq_unique(t: Tables) -> DataFrame:
-    """DQ1: per unique key, keys held by more than one row and those rows."""
-    out = []
+    """DQ1: per unique key, keys held by more than one row and those rows.
+    One scan and one shuffle per table: all its unique keys are counted
+    together with grouping sets (``grouping_id`` tells them apart)."""
+    by_table: dict[str, list[tuple[str, ...]]] = {}
     for table, cols in UNIQUE_KEYS:
-        df = getattr(t, table)
-        keys = [F.expr(c).alias(f"k{i}") for i, c in enumerate(cols)]
-        dup = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        out.append(dup.agg(F.count(F.lit(1)).alias("duplicate_keys"),
-                           F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
-                   .select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
-                           "duplicate_keys", "duplicate_rows"))
+        by_table.setdefault(table, []).append(cols)
+    out = []
+    for table, key_sets in by_table.items():
+        exprs = sorted({c for cols in key_sets for c in cols})
+        alias = {c: f"k{i}" for i, c in enumerate(exprs)}
+        df = getattr(t, table).select(*[F.expr(c).alias(alias[c]) for c in exprs])
+        names = [alias[c] for c in exprs]
+        sets = [[alias[c] for c in cols] for cols in key_sets]
+        g = (df.groupingSets(sets, *names)
+               .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+               .where(F.col("n") > 1))
+        for cols, kset in zip(key_sets, sets):
+            gid = sum((0 if nm in kset else 1) << (len(names) - 1 - i) for i, nm in enumerate(names))
+            out.append(g.where(F.col("gid") == gid)
+                       .agg(F.count(F.lit(1)).alias("duplicate_keys"),
+                            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+                       .select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
+                               "duplicate_keys", "duplicate_rows"))
     return _union(out)
 
 

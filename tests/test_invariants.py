@@ -51,3 +51,16 @@ def test_completions_snapshot(t):
     done = res.where("status = 'accepted'").count()
     before = t.service_requests.where("status = 'completed'").count()
     assert snap.where("status = 'completed'").count() == before + done
+
+
+def test_dq_unique_finds_planted_duplicates(spark, t):
+    from agora.operators import quality
+    dup_bids = t.bids.limit(3)   # same id and same (request_id, provider_id) again
+    dup_users = t.users.limit(2).selectExpr("id + 5000000 AS id", "name", "upper(email) AS email", "role", "created_at")
+    t2 = t.replace(bids=t.bids.unionByName(dup_bids), users=t.users.unionByName(dup_users))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in quality.dq_unique(t2).collect()}
+    assert got[("bids", "id")] == (3, 6)
+    assert got[("bids", "request_id,provider_id")] == (3, 6)
+    assert got[("users", "lower(email)")] == (2, 4)
+    assert got[("users", "id")] == (0, 0)
+    assert got[("transactions", "request_id")] == (0, 0)
