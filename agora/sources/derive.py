@@ -21,6 +21,8 @@ from agora.sources.schemas import SCHEMAS
 DRIVER_TABLES = ("customer", "supplier", "nation", "part", "orders", "lineitem", "conversations")
 
 # (name, sql) in dependency order. Names without a schema are intermediate.
+# The derivation rules of FIXTURES.md §3 (email domains,
+# moduli, base dates, the 150 % promotion) are stated as given there.
 STEPS: list[tuple[str, str]] = [
     ("users", """
 SELECT CAST(c_custkey + 1 AS BIGINT) AS id,

@@ -13,7 +13,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import SparkSession
 
-from agora.config import AS_OF
+from agora.config import AS_OF, DEMO_DOMAIN
 from agora.sources.tables import Tables
 
 
@@ -21,7 +21,7 @@ def _ts(d: _dt.date, h: int = 10) -> _dt.datetime:
     return _dt.datetime.combine(d, _dt.time(h))
 
 
-def seed_rows(domain: str = "@pmms.local", as_of: _dt.date = AS_OF) -> dict[str, list]:
+def seed_rows(domain: str = DEMO_DOMAIN, as_of: _dt.date = AS_OF) -> dict[str, list]:
     day = _dt.timedelta(days=1)
     now = _ts(as_of)
     users = [
@@ -54,7 +54,7 @@ def seed_rows(domain: str = "@pmms.local", as_of: _dt.date = AS_OF) -> dict[str,
             "reviews": reviews}
 
 
-def tiny(spark: SparkSession, domain: str = "@pmms.local", as_of: _dt.date = AS_OF,
+def tiny(spark: SparkSession, domain: str = DEMO_DOMAIN, as_of: _dt.date = AS_OF,
          extra: dict[str, list] | None = None) -> Tables:
     rows = seed_rows(domain, as_of)
     for k, v in (extra or {}).items():
