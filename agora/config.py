@@ -22,6 +22,25 @@ HOT_ROWS = int(os.environ.get("AGORA_HOT_ROWS", "1000000"))
 BROADCAST_MAX_ROWS = int(os.environ.get("AGORA_BROADCAST_MAX_ROWS", "2000000"))
 
 
+# Settings we recommend for the 100 TB cluster runs (the session there is
+# provided; these go into its configuration). AQE sizes shuffle partitions
+# at run time from a generous start, splits skewed join partitions, and
+# demotes joins to broadcast only when a side is measured small.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.sources.bucketing.enabled": "true",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "agora") -> SparkSession:
     """Local/test session with the settings the operators assume.
