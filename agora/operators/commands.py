@@ -19,15 +19,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions.text import parse_date, php_float, php_int, php_trim
+from agora.config import BROADCAST_MAX_ROWS
 from agora.operators.filters import checked_broadcast
 from agora.operators.ranking import first_per_key, previous_within, time_bucket
 from agora.sources.tables import Tables
 
 
-def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame) -> DataFrame:
+def batch_is_small(cmds: DataFrame) -> bool:
+    """One bounded count of a command batch. Every key set derived from the
+    batch has at most as many rows, so when this holds they can all be
+    broadcast without counting each of them again."""
+    return cmds.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+
+
+def _bcast(df: DataFrame, known_small: bool | None) -> DataFrame:
+    return F.broadcast(df) if known_small else checked_broadcast(df)
+
+
+def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame,
+             known_small: bool | None = None) -> DataFrame:
     """Rows of ``table`` whose key appears in ``keys`` (columns named like
-    ``table_keys``), via a size-checked broadcast semi-join."""
-    k = checked_broadcast(keys.dropDuplicates())
+    ``table_keys``), via a broadcast semi-join when the keys are proven
+    small (``known_small``, else a bounded count)."""
+    k = _bcast(keys.dropDuplicates(), known_small)
     kk = k.select([F.col(c).alias("_k_" + c) for c in table_keys])
     cond = None
     for c in table_keys:
@@ -36,12 +50,13 @@ def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame) -> DataFr
     return table.join(kk, cond, "left_semi")
 
 
-def first_wins(df: DataFrame, candidate: Column, keys: list[str]) -> DataFrame:
+def first_wins(df: DataFrame, candidate: Column, keys: list[str],
+               known_small: bool | None = None) -> DataFrame:
     """Add ``_dup``: a candidate that is not the first candidate of its key
     (ordered by event_time, command_id). Skew-safe: the first of each key
     comes from a grouped ``min`` (map-side combine), not a window."""
     df = df.withColumn("_cand", candidate)
-    df = first_per_key(df, [*keys, "_cand"], ["event_time", "command_id"], "_isfirst")
+    df = first_per_key(df, [*keys, "_cand"], ["event_time", "command_id"], "_isfirst", known_small)
     return df.withColumn("_dup", F.col("_cand") & ~F.col("_isfirst")).drop("_cand", "_isfirst")
 
 
@@ -62,16 +77,17 @@ def validate_register(t: Tables, cmds: DataFrame) -> DataFrame:
                     php_trim("name").alias("name"), php_trim("email").alias("email"),
                     F.coalesce(F.col("has_password"), F.lit(False)).alias("has_password"),
                     php_trim(F.coalesce(F.col("role"), F.lit("client"))).alias("role"))
+    small = batch_is_small(cmds)
     c = c.withColumn("email_key", F.lower("email"))
     users = t.users.select(F.lower("email").alias("email_key"))
-    known = restrict(users, ["email_key"], c.select("email_key")).distinct() \
+    known = restrict(users, ["email_key"], c.select("email_key"), small).distinct() \
         .withColumn("_known", F.lit(True))
     c = c.join(known, "email_key", "left")
     blank = (F.col("name") == "") | (F.col("email") == "") | ~F.col("has_password")
     bad_role = ~F.col("role").isin("client", "provider")
     known_c = F.coalesce(F.col("_known"), F.lit(False))
     cand = ~blank & ~bad_role & ~known_c
-    c = first_wins(c, cand, ["email_key"])
+    c = first_wins(c, cand, ["email_key"], small)
     out = _decide(c, [(blank, "all_required"), (bad_role, "invalid_role"),
                       (known_c | F.col("_dup"), "email_exists")])
     return out.select("command_id", "name", "email", "role", "status", "reason")
@@ -107,14 +123,15 @@ def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -
     c = cmds.select("command_id", "event_time", "request_id", "provider_id",
                     php_float("price").alias("_price"), php_int("duration_days").alias("_dur"),
                     php_trim("details").alias("details"))
+    small = batch_is_small(cmds)
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"))
+                   ["request_id"], c.select("request_id"), small)
     c = c.join(req, "request_id", "left")
     pairs = t.bids.select("request_id", "provider_id")
     if earlier is not None:
         pairs = pairs.unionByName(earlier.select("request_id", "provider_id"))
     bids = restrict(pairs, ["request_id", "provider_id"],
-                    c.select("request_id", "provider_id")).distinct().withColumn("_has", F.lit(True))
+                    c.select("request_id", "provider_id"), small).distinct().withColumn("_has", F.lit(True))
     c = c.join(bids, ["request_id", "provider_id"], "left")
     invalid = ((F.col("request_id") <= 0) | (F.col("_price") <= 0) | (F.col("_dur") <= 0)
                | (F.col("details") == ""))
@@ -123,7 +140,7 @@ def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -
     # the insert itself fails (strict mode) when a value does not fit its column
     unfit = F.col("_price").try_cast("decimal(10,2)").isNull() | F.col("_dur").try_cast("int").isNull()
     cand = ~invalid & ~not_open & ~has & ~unfit
-    c = first_wins(c, cand, ["request_id", "provider_id"])
+    c = first_wins(c, cand, ["request_id", "provider_id"], small)
     out = _decide(c, [(invalid, "invalid_bid_data"), (not_open, "request_not_open"),
                       (has | (~unfit & F.col("_dup")), "already_submitted"), (unfit, "send_failed")])
     return out.select("command_id", "request_id", "provider_id",
@@ -138,14 +155,15 @@ def validate_complete(t: Tables, cmds: DataFrame) -> DataFrame:
     not in progress -> complete_failed; only the first completion of a
     request in the batch changes a row, later ones -> complete_failed."""
     c = cmds.select("command_id", "event_time", "client_id", "request_id")
+    small = batch_is_small(cmds)
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("client_id").alias("_owner"),
                                              F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"))
+                   ["request_id"], c.select("request_id"), small)
     c = c.join(req, "request_id", "left")
     invalid = F.col("request_id") <= 0
     fails = F.coalesce((F.col("_owner") != F.col("client_id")) | (F.col("_rstatus") != "in_progress"), F.lit(True))
     cand = ~invalid & ~fails
-    c = first_wins(c, cand, ["request_id"])
+    c = first_wins(c, cand, ["request_id"], small)
     out = _decide(c, [(invalid, "invalid_request"), (fails | F.col("_dup"), "complete_failed")])
     return out.select("command_id", "client_id", "request_id", "status", "reason")
 
@@ -165,9 +183,10 @@ def validate_message(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA6: sender not a participant of the conversation (or no such
     conversation), or a blank body -> send_unable."""
     c = cmds.select("command_id", "event_time", "conversation_id", "sender_id", php_trim("body").alias("body"))
+    small = batch_is_small(cmds)
     conv = restrict(t.mkt_conversations.select(F.col("id").alias("conversation_id"),
                                                F.col("client_id").alias("_cl"), F.col("provider_id").alias("_pr")),
-                    ["conversation_id"], c.select("conversation_id"))
+                    ["conversation_id"], c.select("conversation_id"), small)
     c = c.join(conv, "conversation_id", "left")
     member = F.coalesce((F.col("sender_id") == F.col("_cl")) | (F.col("sender_id") == F.col("_pr")), F.lit(False))
     out = _decide(c, [(~member | (F.col("body") == ""), "send_unable")])
@@ -181,12 +200,13 @@ def validate_review(t: Tables, cmds: DataFrame) -> DataFrame:
     selected one, or already reviewed (table or earlier in batch) -> save_failed."""
     c = cmds.select("command_id", "event_time", "client_id", "request_id", "provider_id",
                     php_int("rating").alias("rating"), php_trim("comment").alias("comment"))
+    small = batch_is_small(cmds)
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("client_id").alias("_owner"),
                                              F.col("selected_provider_id").alias("_sel"),
                                              F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"))
+                   ["request_id"], c.select("request_id"), small)
     c = c.join(req, "request_id", "left")
-    rv = restrict(t.reviews.select("request_id"), ["request_id"], c.select("request_id")) \
+    rv = restrict(t.reviews.select("request_id"), ["request_id"], c.select("request_id"), small) \
         .distinct().withColumn("_reviewed", F.lit(True))
     c = c.join(rv, "request_id", "left")
     invalid = ((F.col("request_id") <= 0) | (F.col("provider_id") <= 0) | (F.col("rating") < 1)
@@ -195,7 +215,7 @@ def validate_review(t: Tables, cmds: DataFrame) -> DataFrame:
                           & (F.col("_rstatus") == "completed"), F.lit(False))
     reviewed = F.coalesce(F.col("_reviewed"), F.lit(False))
     cand = ~invalid & eligible & ~reviewed
-    c = first_wins(c, cand, ["request_id"])
+    c = first_wins(c, cand, ["request_id"], small)
     out = _decide(c, [(invalid, "invalid"), (~eligible | reviewed | F.col("_dup"), "save_failed")])
     return out.select("command_id", "client_id", "request_id", "provider_id",
                       F.col("rating").cast("int").alias("rating"), "comment", "status", "reason")
@@ -228,9 +248,10 @@ def validate_toggle(t: Tables, cmds: DataFrame) -> DataFrame:
     the previous owner toggle (``lag``), else the table's."""
     c = cmds.select("command_id", "event_time", "provider_id", "promotion_id",
                     php_int("active").alias("active"))
+    small = batch_is_small(cmds)
     promo = restrict(t.promotions.select(F.col("id").alias("promotion_id"), F.col("provider_id").alias("_owner"),
                                          F.col("is_active").cast("bigint").alias("_cur")),
-                     ["promotion_id"], c.select("promotion_id"))
+                     ["promotion_id"], c.select("promotion_id"), small)
     c = c.join(promo, "promotion_id", "left")
     ignored = F.col("promotion_id") <= 0
     owner = F.coalesce(F.col("_owner") == F.col("provider_id"), F.lit(False)) & ~ignored

@@ -10,7 +10,7 @@ from agora.functions import labels as L
 from agora.functions import metrics as M
 from agora.operators import admin, provider
 from agora.operators import filters as FL
-from agora.operators.commands import restrict
+from agora.operators.commands import batch_is_small, restrict
 from agora.sources.tables import Tables
 
 
@@ -51,10 +51,11 @@ def key_lookup(t: Tables, cmds: DataFrame) -> DataFrame:
     request's status (NULL when missing) and whether the provider already
     bid on it — both resolved against only the keys the batch holds."""
     c = cmds.select("command_id", "request_id", "provider_id")
+    small = batch_is_small(cmds)
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("status").alias("request_status")),
-                   ["request_id"], c.select("request_id"))
+                   ["request_id"], c.select("request_id"), small)
     has = restrict(t.bids.select("request_id", "provider_id"), ["request_id", "provider_id"],
-                   c.select("request_id", "provider_id")).distinct().withColumn("_h", F.lit(True))
+                   c.select("request_id", "provider_id"), small).distinct().withColumn("_h", F.lit(True))
     out = c.join(req, "request_id", "left").join(has, ["request_id", "provider_id"], "left")
     return out.select("command_id", "request_id", "provider_id", "request_status",
                       F.coalesce(F.col("_h"), F.lit(False)).alias("provider_has_bid"))

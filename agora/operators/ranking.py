@@ -84,15 +84,18 @@ def top_k_within(df: DataFrame, owner: list[str], order: list[Column], k: int,
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], flag: str,
+                  known_small: bool | None = None) -> DataFrame:
     """Add boolean ``flag``: the row is the smallest by ``order`` (a total
-    order, ascending) among the rows of its key."""
+    order, ascending) among the rows of its key. ``known_small`` says the
+    input is already proven small (no second count)."""
     from agora.operators.filters import checked_broadcast
 
     o = F.struct(*[F.col(c) for c in order])
     # one row per key: broadcast when proven small, so a hot key's rows
     # never meet in one join task; beyond the bound AQE splits skew
-    firsts = checked_broadcast(df.groupBy(*keys).agg(F.min(o).alias("_first")))
+    firsts = df.groupBy(*keys).agg(F.min(o).alias("_first"))
+    firsts = F.broadcast(firsts) if known_small else checked_broadcast(firsts)
     j = df.join(firsts, keys, "left")
     return j.withColumn(flag, F.coalesce(o == F.col("_first"), F.lit(False))).drop("_first")
 

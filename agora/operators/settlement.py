@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.commands import _decide, checked_broadcast, first_wins, restrict
+from agora.operators.commands import _decide, batch_is_small, checked_broadcast, first_wins, restrict
 from agora.operators.promotions import priced, with_promotion
 from agora.sources.tables import Tables
 
@@ -38,17 +38,18 @@ def validate_accept(t: Tables, cmds: DataFrame) -> DataFrame:
     request in the same batch -> accept_failed (the unique keys on
     conversations/transactions roll it back)."""
     c = cmds.select("command_id", "event_time", "client_id", "request_id", "bid_id")
+    small = batch_is_small(cmds)
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("client_id").alias("_owner"),
                                              F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"))
+                   ["request_id"], c.select("request_id"), small)
     c = c.join(req, "request_id", "left")
     bids = restrict(t.bids.select(F.col("id").alias("bid_id"), F.col("request_id").alias("_brq"),
                                   F.col("provider_id").alias("_bprov"), F.col("price").alias("_bprice")),
-                    ["bid_id"], c.select("bid_id"))
+                    ["bid_id"], c.select("bid_id"), small)
     c = c.join(bids, "bid_id", "left")
     ok = F.coalesce((F.col("_owner") == F.col("client_id")) & (F.col("_brq") == F.col("request_id"))
                     & (F.col("_rstatus") == "open"), F.lit(False))
-    c = first_wins(c, ok, ["request_id"])
+    c = first_wins(c, ok, ["request_id"], small)
     out = _decide(c, [(~ok, "cannot_accept"), (F.col("_dup"), "accept_failed")])
     return out.select("command_id", "event_time", "client_id", "request_id", "bid_id",
                       F.col("_bprov").alias("provider_id"), F.col("_bprice").alias("price"),
