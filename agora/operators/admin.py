@@ -229,3 +229,57 @@ def latest_promotions(t: Tables, k: int = 50) -> DataFrame:
     """JN11: newest promotions by id of real providers with provider name."""
     p = FL.with_name(t.promotions, "provider_id", "provider_name", t, real_only=True)
     return p.orderBy(F.desc("id")).limit(k)
+
+
+def admin_report(t: Tables, as_of: _dt.date = AS_OF) -> dict[str, DataFrame]:
+    """The admin report page in one pass over the facts.
+
+    Its eight statements all filter the same joins. Here the slim real-sales
+    fact and the slim filtered requests are each computed once and
+    checkpointed to the shared folder (lineage cut; a lost executor
+    recomputes nothing upstream). The blocks are then small aggregations
+    over them. Every block equals its standalone operator."""
+    from agora.config import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(t.spark)
+    sales = real_sales(t).checkpoint(eager=True)
+    reqs = (FL.requests_real_client_optional_provider(t)
+            .select("id", "status", "category", "selected_provider_id").checkpoint(eager=True))
+    cur, prev = M.month_bound(as_of, 0), M.month_bound(as_of, 1)
+    overview = sales.agg(
+        M.money_sum("final_price").alias("total_revenue"),
+        M.money_sum("original_price").alias("target_revenue"),
+        M.money_sum("discount_amount").alias("total_discount"),
+        F.count(F.lit(1)).alias("sales_count"),
+        M.money_sum(F.when(F.col("created_at") >= cur, F.col("final_price"))
+                    .otherwise(F.lit(0))).alias("current_month_revenue"),
+        M.money_sum(F.when((F.col("created_at") >= prev) & (F.col("created_at") < cur), F.col("final_price"))
+                    .otherwise(F.lit(0))).alias("previous_month_revenue"),
+    )
+    st = F.col("status")
+    req_summary = reqs.agg(
+        F.count(F.lit(1)).alias("total_requests"),
+        F.count_if(st == "completed").alias("completed_requests"),
+        F.count_if(st == "in_progress").alias("active_requests"),
+        F.count_if(st == "open").alias("open_requests"),
+        F.count_if(st == "cancelled").alias("cancelled_requests"),
+    )
+    months = (sales.where(F.col("created_at") >= M.month_bound(as_of, 5))
+              .groupBy(F.date_format("created_at", "yyyy-MM").alias("month_key"),
+                       F.date_format("created_at", "MMM").alias("month_label"))
+              .agg(M.money_sum("final_price").alias("revenue")))
+    status = reqs.groupBy("status").agg(F.count(F.lit(1)).alias("total"))
+    tx = t.transactions.select("request_id", "final_price")
+    cats = (reqs.join(tx, reqs["id"] == tx["request_id"], "left")
+            .groupBy("category").agg(F.count(F.lit(1)).alias("requests_count"),
+                                     M.money_sum("final_price").alias("revenue"))
+            .orderBy(F.desc("revenue"), F.desc("requests_count"), F.asc("category")).limit(5))
+    return {
+        "overview": overview.crossJoin(req_summary).crossJoin(bid_summary(t))
+                            .crossJoin(active_promotion_count(t, as_of))
+                            .withColumn("conversion_percent", M.percentage("accepted_bids", "total_bids")),
+        "monthly_revenue": months,
+        "status_distribution": status,
+        "category_sales": cats,
+        "top_providers": top_providers(t),
+    }

@@ -64,3 +64,16 @@ def test_dq_unique_finds_planted_duplicates(spark, t):
     assert got[("users", "lower(email)")] == (2, 4)
     assert got[("users", "id")] == (0, 0)
     assert got[("transactions", "request_id")] == (0, 0)
+
+
+def test_admin_report_blocks_equal_operators(t):
+    rep = admin.admin_report(t)
+    pairs = {"overview": admin.admin_summary(t), "monthly_revenue": admin.monthly_revenue(t),
+             "status_distribution": admin.status_distribution(t), "category_sales": admin.category_sales(t),
+             "top_providers": admin.top_providers(t)}
+    for k, want in pairs.items():
+        got = rep[k]
+        assert sorted(got.columns) == sorted(want.columns), k
+        cols = sorted(want.columns)
+        assert sorted(tuple(r) for r in got.select(cols).collect()) == \
+            sorted(tuple(r) for r in want.select(cols).collect()), k
