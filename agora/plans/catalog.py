@@ -38,6 +38,7 @@ def _on_batch(batch: str, fn) -> Query:
 
 
 _SETTLED: dict = {}
+_SETTLE_LOCK = __import__("threading").Lock()
 
 
 def _settled(part: str) -> Query:
@@ -45,9 +46,10 @@ def _settled(part: str) -> Query:
     same frozen accepted set (ST-E), whichever output is asked first."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load(spark, sf_dir)
-        s = _SETTLED.get(id(t))
-        if s is None:
-            s = _SETTLED[id(t)] = settlement.settle(t, load_batch(t, "accept_commands"))
+        with _SETTLE_LOCK:
+            s = _SETTLED.get(id(t))
+            if s is None:
+                s = _SETTLED[id(t)] = settlement.settle(t, load_batch(t, "accept_commands"))
         return getattr(s, part)
     run.__name__ = f"settle_{part}"
     run.__doc__ = settlement.__doc__
