@@ -8,6 +8,7 @@ feature is a top-k or latest-k list.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,7 @@ def _on_batch(batch: str, fn) -> Query:
 
 
 _SETTLED: dict = {}
-_SETTLE_LOCK = __import__("threading").Lock()
+_SETTLE_LOCK = threading.Lock()
 
 
 def _settled(part: str) -> Query:
