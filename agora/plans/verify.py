@@ -23,10 +23,14 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
+    """Exact text of a value: floats by ``repr`` (every bit), decimals with
+    their scale, NULL as a marker."""
     if v is None:
         return "NULL"
-    if isinstance(v, (float, decimal.Decimal)):
-        return f"{float(v):.6f}"
+    if isinstance(v, float):
+        return repr(v)
+    if isinstance(v, decimal.Decimal):
+        return str(v)
     return str(v)
 
 
