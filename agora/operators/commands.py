@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from agora.functions.text import parse_date, php_float, php_int, php_trim
 from agora.config import BROADCAST_MAX_ROWS
 from agora.operators.filters import checked_broadcast
-from agora.operators.ranking import first_per_key, previous_within, time_bucket
+from agora.operators.ranking import first_per_key, previous_within
 from agora.sources.tables import Tables
 
 
@@ -256,8 +256,8 @@ def validate_toggle(t: Tables, cmds: DataFrame) -> DataFrame:
     ignored = F.col("promotion_id") <= 0
     owner = F.coalesce(F.col("_owner") == F.col("provider_id"), F.lit(False)) & ~ignored
     c = c.withColumn("_owner_ok", owner)
-    c = previous_within(c, ["promotion_id", "_owner_ok"], ["event_time", "command_id"], "active",
-                        time_bucket("event_time", descending=False), "_prev")
+    c = previous_within(c, ["promotion_id", "_owner_ok"], [("event_time", False), ("command_id", False)],
+                        "active", "_prev")
     c = c.withColumn("_before", F.coalesce(F.col("_prev"), F.col("_cur")))
     out = _decide(c, [(ignored, "ignored"),
                       (~F.col("_owner_ok") | (F.col("active") == F.col("_before")), "status_update_failed")])

@@ -6,8 +6,9 @@ every row keeps its owner key and its exact position ``rank`` in that
 owner's list (id breaks timestamp ties), so one job serves every owner.
 The rank is computed by :func:`agora.operators.ranking.rank_within`: a
 plain window for ordinary owners, and for hot owners (more than
-``HOT_ROWS`` rows) an exact bucketed rank split by minute, so no task sorts
-a hot owner whole; previews (the dashboard's first 5) use a per-owner top-k.
+``HOT_ROWS`` rows) an exact rank over sampled ranges of the owner's own
+order, so no task sorts a hot owner whole; previews (the dashboard's
+first 5) use a per-owner top-k.
 Correlated scalar subqueries (bid count, rating average) become a
 pre-aggregation joined back on the key.
 """
@@ -22,20 +23,21 @@ from pyspark.sql import functions as F
 from agora.config import AS_OF
 from agora.functions import metrics as M
 from agora.operators import filters as FL
-from agora.operators.ranking import rank_within, time_bucket, top_k_within
+from agora.operators.ranking import order_columns, rank_within, top_k_within
 from agora.sources.tables import Tables
 
 
-def _ranked(df: DataFrame, owner: str, *order, bucket=None, k: int | None = None,
+NEWEST_FIRST = [("created_at", True), ("id", True)]
+
+
+def _ranked(df: DataFrame, owner: str, order=NEWEST_FIRST, k: int | None = None,
             name: str = "rank") -> DataFrame:
-    """Rank per owner. Full listings use the skew-safe ranking (hot owners
-    bucketed, by default by the minute of ``created_at``, newest first);
-    previews (``k``) keep only the first ``k`` per owner via
-    ``WindowGroupLimit``."""
+    """Rank per owner in ``order`` ([(column, descending)], default newest
+    first). Full listings use the skew-safe exact ranking; previews (``k``)
+    keep only the first ``k`` per owner via ``WindowGroupLimit``."""
     if k is not None:
-        return top_k_within(df, [owner], list(order), k, name)
-    b = bucket if bucket is not None else time_bucket("created_at", descending=True)
-    return rank_within(df, [owner], list(order), b, name)
+        return top_k_within(df, [owner], order_columns(order), k, name)
+    return rank_within(df, [owner], order, name)
 
 
 def open_requests(t: Tables, real_only: bool = True) -> DataFrame:
@@ -67,7 +69,7 @@ def client_requests(t: Tables, real_only: bool = True, ids: DataFrame | None = N
     j = r.join(counts, r["id"] == counts["_rid"], "left")
     j = j.select(*[F.col(c) for c in t.service_requests.columns],
                  F.coalesce(F.col("_n"), F.lit(0).cast("bigint")).alias("bids_count"))
-    return _ranked(j, "client_id", F.desc("created_at"), F.desc("id"))
+    return _ranked(j, "client_id")
 
 
 def provider_rating(t: Tables) -> DataFrame:
@@ -93,8 +95,7 @@ def request_bid_board(t: Tables, real_only: bool = True, ids: DataFrame | None =
     # bids then stay in their map tasks); otherwise AQE splits the skew
     rating = FL.checked_broadcast(provider_rating(t))
     b = b.join(rating, b["provider_id"] == rating["_pid"], "left").drop("_pid")
-    return _ranked(b, "request_id", F.asc("price"), F.asc("created_at"), F.asc("id"),
-                   bucket=F.floor(F.col("price")))
+    return _ranked(b, "request_id", [("price", False), ("created_at", False), ("id", False)])
 
 
 def user_conversations(t: Tables, real_only: bool = True, k: int | None = None,
@@ -109,7 +110,7 @@ def user_conversations(t: Tables, real_only: bool = True, k: int | None = None,
     c = FL.with_name(c, "client_id", "client_name", t, real_only=real_only)
     c = FL.with_name(c, "provider_id", "provider_name", t, real_only=real_only)
     c = c.withColumn("user_id", F.explode(F.array_distinct(F.array("client_id", "provider_id"))))
-    return _ranked(FL.only(c, "user_id", ids), "user_id", F.desc("created_at"), F.desc("id"), k=k)
+    return _ranked(FL.only(c, "user_id", ids), "user_id", k=k)
 
 
 def conversation_thread(t: Tables, ids: DataFrame | None = None) -> DataFrame:
@@ -121,8 +122,7 @@ def conversation_thread(t: Tables, ids: DataFrame | None = None) -> DataFrame:
     m = m.join(conv, m["conversation_id"] == conv["_cid"], "left")
     m = m.withColumn("from_client", F.coalesce(F.col("sender_id") == F.col("_client"), F.lit(False)))
     m = m.drop("_cid", "_client")
-    return _ranked(m, "conversation_id", F.asc("sent_at"), F.asc("id"),
-                   bucket=time_bucket("sent_at", descending=False), name="seq")
+    return _ranked(m, "conversation_id", [("sent_at", False), ("id", False)], name="seq")
 
 
 def pending_reviews(t: Tables, real_only: bool = True, ids: DataFrame | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def pending_reviews(t: Tables, real_only: bool = True, ids: DataFrame | None = N
     r = r.join(rv, r["id"] == rv["_rv"], "left_anti")
     r = FL.with_name(r, "selected_provider_id", "provider_name", t, real_only=real_only)
     r = r.select("id", "title", "selected_provider_id", "provider_name", "client_id", "created_at")
-    return _ranked(r, "client_id", F.desc("created_at"), F.desc("id")).drop("created_at")
+    return _ranked(r, "client_id").drop("created_at")
 
 
 def provider_reviews(t: Tables, real_only: bool = True, k: int | None = None,
@@ -150,7 +150,7 @@ def provider_reviews(t: Tables, real_only: bool = True, k: int | None = None,
     req = t.service_requests.select(F.col("id").alias("_rid"), "title")
     rv = rv.join(req, rv["request_id"] == req["_rid"], "inner").drop("_rid")
     rv = rv.withColumn("rating_text", F.concat(F.col("rating").cast("string"), F.lit("/5")))
-    return _ranked(rv, "provider_id", F.desc("created_at"), F.desc("id"), k=k)
+    return _ranked(rv, "provider_id", k=k)
 
 
 def promotion_display(p: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def provider_promotions(t: Tables, real_only: bool = True, k: int | None = None,
     ``ids`` restricts to some providers."""
     p = FL.only(t.promotions, "provider_id", ids)
     p = FL.keep_real(p, "provider_id", t) if real_only else p
-    return _ranked(promotion_display(p), "provider_id", F.desc("created_at"), F.desc("id"), k=k)
+    return _ranked(promotion_display(p), "provider_id", k=k)
 
 
 def active_promotions(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:

@@ -18,7 +18,7 @@ from agora.config import AS_OF
 from agora.functions import metrics as M
 from agora.operators import filters as FL
 from agora.operators.admin import real_sales
-from agora.operators.ranking import rank_within, time_bucket, top_k_within
+from agora.operators.ranking import order_columns, rank_within, top_k_within
 from agora.sources.tables import Tables
 
 
@@ -193,10 +193,10 @@ def provider_bids(t: Tables, real_only: bool = True, k: int | None = None, ids:
         b = t.bids.join(req, t.bids["request_id"] == req["r_id"], "inner").drop("r_id")
     b = b.select(*[F.col(c) for c in t.bids.columns],
                  F.col("r_title").alias("request_title"), F.col("r_status").alias("request_status"))
-    order = [F.desc("created_at"), F.desc("id")]
+    order = [("created_at", True), ("id", True)]
     if k is not None:
-        return top_k_within(b, ["provider_id"], order, k)
-    return rank_within(b, ["provider_id"], order, time_bucket("created_at", descending=True))
+        return top_k_within(b, ["provider_id"], order_columns(order), k)
+    return rank_within(b, ["provider_id"], order)
 
 
 def provider_recent_bids(t: Tables, k: int = 5) -> DataFrame:

@@ -6,20 +6,27 @@ table. The helpers here keep exact results while splitting hot owners:
 
 * :func:`rank_within` — exact ``row_number`` per owner. A per-owner count
   (partial aggregation) finds the hot owners (more than ``HOT_ROWS`` rows;
-  there are at most rows / ``HOT_ROWS`` of them, so their id list is small
-  and broadcast). Cold owners get the plain window. Hot owners' rows are
-  split by (owner, bucket) where the bucket is monotone in the ranking
-  order (e.g. the minute of the timestamp); per-bucket counts give each
-  bucket's offset through a window over the small count table, and the
-  final ``row_number`` runs per (owner, bucket) plus the offset.
+  at most rows / ``HOT_ROWS`` of them, so their list is small and
+  broadcast). Cold owners get the plain window. A hot owner's rows are cut
+  into ranges of its own sort order: a seeded sample of about
+  ``splits * 50`` of its rows is ranked (small), every 50th sampled row
+  becomes a split point, and a row's range is the number of split points
+  before it in the order. Ranges are monotone in the order and hold about
+  rows / ``splits`` rows each, even when every row shares one timestamp
+  (the id is part of the order). Range counts (at most ``splits + 1`` per
+  owner) give each range's offset, and the final ``row_number`` runs per
+  (owner, range) plus the offset.
 * :func:`top_k_within` — first ``k`` rows per owner through ``row_number
   <= k``, which Spark plans as ``WindowGroupLimit``: each map task keeps at
   most ``k`` rows per owner before the shuffle.
 * :func:`first_per_key` — marks the first row per key (by an order
   struct) with a ``groupBy(key).min`` (map-side combine) and a join back,
   instead of a window over the whole key.
-* :func:`previous_within` — the previous row's value per owner (``lag``)
-  split the same way as :func:`rank_within`.
+* :func:`previous_within` — the previous row's value per owner (``lag``),
+  hot owners split into the same order ranges.
+
+Orders are given as ``[(column, descending), ...]`` and must be total
+(end with a unique column).
 """
 
 from __future__ import annotations
@@ -27,54 +34,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_SECONDS = 86400
+Order = list[tuple[str, bool]]
+SAMPLE_PER_SPLIT = 50
+SEED = 17
 
 
-def time_bucket(ts: str, descending: bool, seconds: int = 60) -> Column:
-    """A bucket monotone in ``ts`` (one per ``seconds`` window, a minute by
-    default), negated for a descending order so buckets always grow along
-    the ranking."""
-    d = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / seconds)
-    return -d if descending else d
+def order_columns(order: Order) -> list[Column]:
+    return [F.desc(c) if d else F.asc(c) for c, d in order]
 
 
-def day_bucket(ts: str, descending: bool) -> Column:
-    return time_bucket(ts, descending, DAY_SECONDS)
+def _before(cut: Column, order: Order) -> Column:
+    """``cut`` (a struct of the order columns) comes strictly before the
+    current row in the order."""
+    expr = None
+    for i in range(len(order) - 1, -1, -1):
+        c, desc = order[i]
+        strict = (cut[c] > F.col(c)) if desc else (cut[c] < F.col(c))
+        expr = strict if expr is None else (strict | ((cut[c] == F.col(c)) & expr))
+    return expr
 
 
 def split_hot(df: DataFrame, owner: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cold rows, hot rows): hot owners hold more than ``hot_rows`` rows.
-    The hot-owner list is at most rows / hot_rows long and is broadcast
-    after a bounded count."""
+    """(cold rows, hot rows with ``_n`` = their owner's row count): hot
+    owners hold more than ``hot_rows`` rows. The hot-owner list is at most
+    rows / hot_rows long and is broadcast after a bounded count."""
     from agora.config import HOT_ROWS
     from agora.operators.filters import checked_broadcast
 
     limit = HOT_ROWS if hot_rows is None else hot_rows
     hot = checked_broadcast(df.groupBy(*owner).agg(F.count(F.lit(1)).alias("_n"))
-                            .where(F.col("_n") > limit).select(*owner))
-    return df.join(hot, owner, "left_anti"), df.join(hot, owner, "left_semi")
-
+                            .where(F.col("_n") > limit))
+    return df.join(hot.select(*owner), owner, "left_anti"), df.join(hot, owner, "inner")
 
-def rank_within(df: DataFrame, owner: list[str], order: list[Column], bucket: Column,
-                name: str = "rank", hot_rows: int | None = None) -> DataFrame:
-    """Exact ``row_number()`` over ``owner`` ordered by ``order`` (which must
-    be a total order) without any task holding a hot owner's rows.
-    ``bucket`` must be non-decreasing along ``order`` (NULL buckets first)."""
-    cold, hot = split_hot(df, owner, hot_rows)
-    plain = cold.withColumn(name, F.row_number().over(Window.partitionBy(*owner).orderBy(*order)))
-    return plain.unionByName(_bucketed_rank(hot, owner, order, bucket, name))
 
+def order_ranges(hot: DataFrame, owner: list[str], order: Order, splits: int) -> DataFrame:
+    """Add ``_bkt`` to a hot owner's rows: the number of sampled split
+    points before the row in ``order`` (monotone along the order)."""
+    from agora.operators.filters import checked_broadcast
 
-def _bucketed_rank(df: DataFrame, owner: list[str], order: list[Column], bucket: Column,
-                   name: str) -> DataFrame:
-    b = df.withColumn("_bkt", bucket)
-    counts = b.groupBy(*owner, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*owner).orderBy(F.asc_nulls_first("_bkt"))
-         .rowsBetween(Window.unboundedPreceding, -1))
-    offs = counts.select(*owner, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    target = splits * SAMPLE_PER_SPLIT
+    sample = hot.where(F.rand(SEED) < F.lit(float(target)) / F.col("_n"))
+    w = Window.partitionBy(*owner).orderBy(*order_columns(order))
+    cuts = (sample.withColumn("_r", F.row_number().over(w))
+                  .where(F.col("_r") % SAMPLE_PER_SPLIT == 0)
+                  .groupBy(*owner)
+                  .agg(F.collect_list(F.struct(*[F.col(c) for c, _ in order])).alias("_cuts")))
+    cuts = checked_broadcast(cuts)  # hot owners x splits points
+    b = hot.join(cuts, owner, "left")
+    return (b.withColumn("_bkt", F.coalesce(F.size(F.filter("_cuts", lambda c: _before(c, order))), F.lit(0)))
+             .drop("_cuts"))
+
+
+def rank_within(df: DataFrame, owner: list[str], order: Order, name: str = "rank",
+                hot_rows: int | None = None, splits: int = 200) -> DataFrame:
+    """Exact ``row_number()`` over ``owner`` in ``order`` (total) without
+    any task holding a hot owner's rows."""
+    cold, hot = split_hot(df, owner, hot_rows)
+    plain = cold.withColumn(name, F.row_number().over(Window.partitionBy(*owner).orderBy(*order_columns(order))))
+    b = order_ranges(hot, owner, order, splits).drop("_n")
+    counts = b.groupBy(*owner, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.partitionBy(*owner).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*owner, "_bkt", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     j = b.join(offs, [*owner, "_bkt"], "inner")
-    w2 = Window.partitionBy(*owner, "_bkt").orderBy(*order)
-    return j.withColumn(name, (F.row_number().over(w2) + F.col("_off")).cast("int")).drop("_bkt", "_off")
+    w2 = Window.partitionBy(*owner, "_bkt").orderBy(*order_columns(order))
+    ranked = j.withColumn(name, (F.row_number().over(w2) + F.col("_off")).cast("int")).drop("_bkt", "_off")
+    return plain.unionByName(ranked)
 
 
 def top_k_within(df: DataFrame, owner: list[str], order: list[Column], k: int,
@@ -100,28 +124,24 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str], flag: str,
     return j.withColumn(flag, F.coalesce(o == F.col("_first"), F.lit(False))).drop("_first")
 
 
-def previous_within(df: DataFrame, owner: list[str], order: list[str], value: str, bucket: Column,
-                    name: str, hot_rows: int | None = None) -> DataFrame:
-    """``lag(value)`` per owner along ``order`` (ascending, total). Cold
-    owners use the plain window; hot owners are split by (owner, bucket)
-    with ``bucket`` non-decreasing along ``order``: the first row of a
-    bucket takes the last value of the nearest earlier non-empty bucket,
-    found on the small per-bucket table."""
+def previous_within(df: DataFrame, owner: list[str], order: Order, value: str, name: str,
+                    hot_rows: int | None = None, splits: int = 200) -> DataFrame:
+    """``lag(value)`` per owner along ``order`` (total). Cold owners use the
+    plain window; a hot owner's rows are cut into order ranges: the first
+    row of a range takes the last value of the nearest earlier non-empty
+    range, found on the small per-range table."""
     cold, hot = split_hot(df, owner, hot_rows)
-    w = Window.partitionBy(*owner).orderBy(*[F.col(c) for c in order])
+    w = Window.partitionBy(*owner).orderBy(*order_columns(order))
     plain = cold.withColumn(name, F.lag(value).over(w))
-    return plain.unionByName(_bucketed_previous(hot, owner, order, value, bucket, name))
-
-
-def _bucketed_previous(df: DataFrame, owner: list[str], order: list[str], value: str, bucket: Column,
-                       name: str) -> DataFrame:
-    b = df.withColumn("_bkt", bucket)
-    o = F.struct(*[F.col(c) for c in order])
+    b = order_ranges(hot, owner, order, splits).drop("_n")
+    o = F.struct(*[F.col(c) for c, _ in order])
+    if any(d for _, d in order):
+        raise ValueError("previous_within expects an ascending order")
     last = b.groupBy(*owner, "_bkt").agg(F.max_by(F.col(value), o).alias("_last"))
-    w = Window.partitionBy(*owner).orderBy(F.asc_nulls_first("_bkt"))
-    carry = last.select(*owner, "_bkt", F.lag("_last").over(w).alias("_carry"))
+    wb = Window.partitionBy(*owner).orderBy("_bkt")
+    carry = last.select(*owner, "_bkt", F.lag("_last").over(wb).alias("_carry"))
     j = b.join(carry, [*owner, "_bkt"], "inner")
-    w2 = Window.partitionBy(*owner, "_bkt").orderBy(*[F.col(c) for c in order])
-    first_in_bucket = F.row_number().over(w2) == 1
-    prev = F.when(first_in_bucket, F.col("_carry")).otherwise(F.lag(value).over(w2))
-    return j.withColumn(name, prev).drop("_bkt", "_carry")
+    w2 = Window.partitionBy(*owner, "_bkt").orderBy(*order_columns(order))
+    first_in_range = F.row_number().over(w2) == 1
+    prev = F.when(first_in_range, F.col("_carry")).otherwise(F.lag(value).over(w2))
+    return plain.unionByName(j.withColumn(name, prev).drop("_bkt", "_carry"))

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from agora.operators.ranking import day_bucket, first_per_key, previous_within, rank_within, top_k_within
+from agora.operators.ranking import first_per_key, previous_within, rank_within, split_hot, top_k_within
 
 
 def data(spark, n=3000, seed=7):
@@ -27,18 +27,36 @@ def test_rank_within_matches_window(spark):
     df = data(spark)
     order = [F.desc("created_at"), F.desc("id")]
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(*order)))
-    for hot_rows in (100, 10**9):   # owner 1 hot (bucketed path) / nobody hot (plain window)
-        got = rank_within(df, ["owner"], order, day_bucket("created_at", descending=True), hot_rows=hot_rows)
+    spec = [("created_at", True), ("id", True)]
+    for hot_rows, splits in ((100, 7), (100, 200), (10**9, 200)):   # owner 1 hot (ranges) / nobody hot
+        got = rank_within(df, ["owner"], spec, hot_rows=hot_rows, splits=splits)
         assert got.select("id", "rank").exceptAll(want.select("id", "rank")).count() == 0
         assert got.count() == df.count()
     asc = [F.asc("price"), F.asc("created_at"), F.asc("id")]
     want2 = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(*asc)))
-    got2 = rank_within(df, ["owner"], asc, F.floor(F.col("price") / 50), hot_rows=100)
+    got2 = rank_within(df, ["owner"], [("price", False), ("created_at", False), ("id", False)],
+                       hot_rows=100, splits=5)
     assert got2.select("id", "rank").exceptAll(want2.select("id", "rank")).count() == 0
 
 
+def test_hot_owner_with_one_timestamp_is_split(spark):
+    """All rows of the hot owner share one timestamp (a bulk import): the
+    ranges still split it (by id) and the rank stays exact."""
+    import datetime as dt
+    from agora.operators.ranking import order_ranges
+    rows = [(i, 1, dt.datetime(2001, 1, 1), 0, 0) for i in range(2000)] + \
+           [(5000 + i, 2 + i % 5, dt.datetime(2001, 1, 2), 0, 0) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, owner long, created_at timestamp_ntz, v long, price long")
+    spec = [("created_at", True), ("id", True)]
+    cold, hot = split_hot(df, ["owner"], 100)
+    sizes = [r[0] for r in order_ranges(hot, ["owner"], spec, 20).groupBy("_bkt").count().select("count").collect()]
+    assert len(sizes) > 10 and max(sizes) < 400
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("created_at"), F.desc("id"))))
+    got = rank_within(df, ["owner"], spec, hot_rows=100, splits=20)
+    assert got.select("id", "rank").exceptAll(want.select("id", "rank")).count() == 0
+
+
 def test_hot_owner_is_split_off(spark):
-    from agora.operators.ranking import split_hot
     df = data(spark)
     cold, hot = split_hot(df, ["owner"], 100)
     assert {r[0] for r in hot.select("owner").distinct().collect()} == {1}
@@ -67,7 +85,7 @@ def test_previous_within(spark):
     w = Window.partitionBy("owner").orderBy("event_time", "command_id")
     want = df.withColumn("prev", F.lag("v").over(w))
     for hot_rows in (100, 10**9):
-        got = previous_within(df, ["owner"], ["event_time", "command_id"], "v",
-                              day_bucket("event_time", descending=False), "prev", hot_rows=hot_rows)
+        got = previous_within(df, ["owner"], [("event_time", False), ("command_id", False)], "v",
+                              "prev", hot_rows=hot_rows, splits=6)
         diff = got.select("command_id", "prev").exceptAll(want.select("command_id", "prev"))
         assert diff.count() == 0 and got.count() == df.count()
