@@ -18,8 +18,11 @@ AS_OF = _dt.date(2001, 7, 15)
 # split (see agora.operators.ranking); everyone else uses a plain window.
 HOT_ROWS = int(os.environ.get("AGORA_HOT_ROWS", "1000000"))
 
-# Largest key set we broadcast after counting it (8 bytes per id).
+# Largest set we broadcast after measuring it: at most this many rows and
+# this many bytes of column data (strings by their length, other columns
+# 8 bytes each).
 BROADCAST_MAX_ROWS = int(os.environ.get("AGORA_BROADCAST_MAX_ROWS", "2000000"))
+BROADCAST_MAX_BYTES = int(os.environ.get("AGORA_BROADCAST_MAX_BYTES", str(64 * 1024 * 1024)))
 
 
 # Settings we recommend for the 100 TB cluster runs (the session there is

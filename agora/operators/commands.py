@@ -9,7 +9,7 @@ command_id)``; the first valid one wins, later ones get the page's
 duplicate reason.
 
 Lookups never shuffle the big tables for a small batch: the batch's keys
-are broadcast when a bounded count proves them small, the table is
+are broadcast when measuring the batch proves them small, the table is
 semi-joined to those keys map-side, and only the survivors meet the batch.
 """
 
@@ -19,17 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions.text import parse_date, php_float, php_int, php_trim
-from agora.config import BROADCAST_MAX_ROWS
 from agora.operators.filters import checked_broadcast
 from agora.operators.ranking import first_per_key, previous_within
-from agora.sources.tables import Tables
+from agora.sources.tables import Tables, proven_small
 
 
 def batch_is_small(cmds: DataFrame) -> bool:
-    """One bounded count of a command batch. Every key set derived from the
-    batch has at most as many rows, so when this holds they can all be
-    broadcast without counting each of them again."""
-    return cmds.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+    """Measure a command batch once. Every key set derived from the
+    batch has at most as many rows and no more bytes than the batch's own
+    columns hold (keys are its columns or fixed-width ids), so when this
+    holds they can all be broadcast without measuring each again."""
+    return proven_small(cmds)
 
 
 def _bcast(df: DataFrame, known_small: bool | None) -> DataFrame:
@@ -40,7 +40,7 @@ def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame,
              known_small: bool | None = None) -> DataFrame:
     """Rows of ``table`` whose key appears in ``keys`` (columns named like
     ``table_keys``), via a broadcast semi-join when the keys are proven
-    small (``known_small``, else a bounded count)."""
+    small (``known_small``, else measured here)."""
     k = _bcast(keys.dropDuplicates(), known_small)
     kk = k.select([F.col(c).alias("_k_" + c) for c in table_keys])
     cond = None

@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.config import BROADCAST_MAX_ROWS
-from agora.sources.tables import Tables
+from agora.sources.tables import Tables, proven_small
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a count bounded by ``max_rows + 1`` proves it
-    small; otherwise return it unchanged (the planner shuffles)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast ``df`` only if measuring it (one distributed aggregation)
+    proves it small in rows and bytes; otherwise return it unchanged (the
+    planner shuffles, AQE may still demote with measured sizes)."""
+    return F.broadcast(df) if proven_small(df, max_rows) else df
 
 
 def only(df: DataFrame, col: str, ids: DataFrame | None) -> DataFrame:

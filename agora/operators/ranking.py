@@ -57,7 +57,7 @@ def _before(cut: Column, order: Order) -> Column:
 def split_hot(df: DataFrame, owner: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(cold rows, hot rows with ``_n`` = their owner's row count): hot
     owners hold more than ``hot_rows`` rows. The hot-owner list is at most
-    rows / hot_rows long and is broadcast after a bounded count."""
+    rows / hot_rows long and is broadcast after it is measured."""
     from agora.config import HOT_ROWS
     from agora.operators.filters import checked_broadcast
 

@@ -8,11 +8,30 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.config import BROADCAST_MAX_ROWS, DEMO_DOMAIN, scratch_path
+from pyspark.sql import types as T
+
+from agora.config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, DEMO_DOMAIN, scratch_path
 from agora.sources.schemas import SCHEMAS
 
 TABLE_NAMES = tuple(SCHEMAS)
 
+
+def proven_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """Measure ``df`` with one distributed aggregation (partial count and
+    byte sum per task, one row per task to the final step — no rows are
+    moved): true when it has at most ``max_rows`` rows and its column data
+    (strings by byte length, other columns 8 bytes) fits in ``max_bytes``."""
+    rows_cap = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    bytes_cap = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    width = F.lit(0)
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        else:
+            width = width + F.lit(8)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return r["n"] <= rows_cap and r["b"] <= bytes_cap
+
 # Join key each snapshot table is bucketed by (co-located request joins).
 BUCKET_KEYS = {
     "users": "id",
@@ -111,7 +130,7 @@ class Tables:
         )
 
     def demo_ids(self) -> DataFrame:
-        """Ids of demo accounts, broadcast when a bounded count proves it small."""
+        """Ids of demo accounts, broadcast when measuring proves it small."""
         return self._checked("demo_ids", self.user_flags().where("is_demo").select(F.col("id").alias("_uid")))
 
     def real_ids(self) -> DataFrame:
@@ -131,13 +150,13 @@ class Tables:
         return self._checked("all_names", df)
 
     def _checked(self, key: str, df: DataFrame) -> DataFrame:
-        """Broadcast ``df`` only when a count bounded by
-        ``BROADCAST_MAX_ROWS + 1`` proves it small; otherwise leave the join
-        to the planner (shuffle join, AQE may still demote)."""
+        """Broadcast ``df`` only when measuring it proves it small in rows
+        and bytes (:func:`proven_small`); otherwise leave the join to the
+        planner (shuffle join, AQE may still demote)."""
         with _LOCK:
             small = self._memo.get(key)
             if small is None:
-                small = df.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
+                small = proven_small(df)
                 self._memo[key] = small
         return F.broadcast(df) if small else df
 
