@@ -57,8 +57,8 @@ SCHEMAS = {
 # name -> SQL over the marketplace tables ({users} ... {transactions}).
 BATCHES: dict[str, str] = {
     "register_commands": """
-SELECT CAST(u.id * 10 + k.k AS BIGINT) AS command_id,
-       CAST(CAST(u.created_at AS DATE) + CAST(400 + k.k AS INTEGER) AS {ts}) AS event_time,
+SELECT CAST(u.id * 10 + u.k AS BIGINT) AS command_id,
+       CAST(CAST(u.created_at AS DATE) + CAST(400 + u.k AS INTEGER) AS {ts}) AS event_time,
        CASE WHEN u.id % 7 = 0 THEN '   ' ELSE ' ' || u.name || ' ' END AS name,
        CASE WHEN u.id % 4 = 0 THEN upper(u.email)
             WHEN u.id % 13 = 0 THEN 'shared' || CAST(u.id % 3 AS VARCHAR(20)) || '@example.org'
@@ -66,8 +66,7 @@ SELECT CAST(u.id * 10 + k.k AS BIGINT) AS command_id,
        u.id % 11 <> 0 AS has_password,
        CASE WHEN u.id % 9 = 0 THEN 'admin' WHEN u.id % 6 = 0 THEN CAST(NULL AS VARCHAR(20))
             WHEN u.id % 2 = 0 THEN ' provider' ELSE 'client' END AS role
-FROM {users} u
-JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k ON k.k = 0 OR u.id % 5 = 0
+FROM (SELECT *, 0 AS k FROM {users} UNION ALL SELECT *, 1 AS k FROM {users} WHERE id % 5 = 0) u
 """,
     "request_commands": """
 SELECT CAST(r.id AS BIGINT) AS command_id,
@@ -86,8 +85,8 @@ SELECT CAST(r.id AS BIGINT) AS command_id,
 FROM {service_requests} r
 """,
     "bid_commands": """
-SELECT CAST(b.id * 10 + k.k AS BIGINT) AS command_id,
-       CAST(b.created_at + INTERVAL 1 DAY * k.k AS {ts}) AS event_time,
+SELECT CAST(b.id * 10 + b.k AS BIGINT) AS command_id,
+       CAST(b.created_at + INTERVAL 1 DAY * b.k AS {ts}) AS event_time,
        CASE WHEN b.id % 37 = 0 THEN CAST(0 AS BIGINT) ELSE b.request_id END AS request_id,
        CASE WHEN b.id % 3 = 0 THEN b.provider_id
             ELSE CAST(1000001 + ((b.provider_id - 1000001 + 1) % (SELECT COUNT(*) FROM {users} WHERE role = 'provider')) AS BIGINT)
@@ -95,8 +94,7 @@ SELECT CAST(b.id * 10 + k.k AS BIGINT) AS command_id,
        CASE WHEN b.id % 7 = 0 THEN '-' || CAST(b.price AS VARCHAR(30)) ELSE CAST(b.price AS VARCHAR(30)) END AS price,
        CASE WHEN b.id % 19 = 0 THEN '0' ELSE CAST(b.duration_days AS VARCHAR(20)) || ' days' END AS duration_days,
        CASE WHEN b.id % 11 = 0 THEN ' ' ELSE b.details END AS details
-FROM {bids} b
-JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k ON k.k = 0 OR b.id % 13 = 0
+FROM (SELECT *, 0 AS k FROM {bids} UNION ALL SELECT *, 1 AS k FROM {bids} WHERE id % 13 = 0) b
 """,
     "accept_commands": """
 SELECT CAST(b.id AS BIGINT) AS command_id,
@@ -109,12 +107,12 @@ JOIN {service_requests} r ON r.id = b.request_id
 WHERE (r.status = 'open' AND b.id % 3 <> 2) OR (r.status = 'in_progress' AND b.id % 50 = 0)
 """,
     "complete_commands": """
-SELECT CAST(r.id * 10 + k.k AS BIGINT) AS command_id,
-       CAST(r.created_at + INTERVAL 30 DAY + INTERVAL 1 DAY * k.k AS {ts}) AS event_time,
+SELECT CAST(r.id * 10 + r.k AS BIGINT) AS command_id,
+       CAST(r.created_at + INTERVAL 30 DAY + INTERVAL 1 DAY * r.k AS {ts}) AS event_time,
        CASE WHEN r.id % 6 = 0 THEN r.client_id + 1 ELSE r.client_id END AS client_id,
        CASE WHEN r.id % 29 = 0 THEN CAST(0 AS BIGINT) ELSE r.id END AS request_id
-FROM {service_requests} r
-JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k ON k.k = 0 OR r.id % 8 = 0
+FROM (SELECT *, 0 AS k FROM {service_requests} UNION ALL
+      SELECT *, 1 AS k FROM {service_requests} WHERE id % 8 = 0) r
 WHERE r.status = 'in_progress' OR (r.status = 'completed' AND r.id % 10 = 0)
 """,
     "message_commands": """
@@ -126,15 +124,15 @@ SELECT CAST(m.id AS BIGINT) AS command_id,
 FROM {messages} m
 """,
     "review_commands": """
-SELECT CAST(r.id * 10 + k.k AS BIGINT) AS command_id,
-       CAST(r.created_at + INTERVAL 20 DAY + INTERVAL 1 DAY * k.k AS {ts}) AS event_time,
+SELECT CAST(r.id * 10 + r.k AS BIGINT) AS command_id,
+       CAST(r.created_at + INTERVAL 20 DAY + INTERVAL 1 DAY * r.k AS {ts}) AS event_time,
        CASE WHEN r.id % 9 = 0 THEN r.client_id + 1 ELSE r.client_id END AS client_id,
        CASE WHEN r.id % 41 = 0 THEN CAST(0 AS BIGINT) ELSE r.id END AS request_id,
        CASE WHEN r.id % 5 = 0 THEN r.selected_provider_id + 1 ELSE r.selected_provider_id END AS provider_id,
        CAST(r.id % 7 AS VARCHAR(10)) || CASE WHEN r.id % 2 = 0 THEN ' stars' ELSE '' END AS rating,
        CASE WHEN r.id % 13 = 0 THEN '' ELSE 'Comment ' || CAST(r.id AS VARCHAR(20)) END AS comment
-FROM {service_requests} r
-JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k ON k.k = 0 OR r.id % 4 = 0
+FROM (SELECT *, 0 AS k FROM {service_requests} UNION ALL
+      SELECT *, 1 AS k FROM {service_requests} WHERE id % 4 = 0) r
 WHERE r.status IN ('completed', 'in_progress') AND r.selected_provider_id IS NOT NULL
 """,
     "promotion_commands": """
@@ -149,15 +147,14 @@ SELECT CAST(p.id AS BIGINT) AS command_id,
 FROM {promotions} p
 """,
     "toggle_commands": """
-SELECT CAST(p.id * 10 + k.k AS BIGINT) AS command_id,
-       CAST(DATE '2001-07-01' + CAST(k.k AS INTEGER) AS {ts}) AS event_time,
+SELECT CAST(p.id * 10 + p.k AS BIGINT) AS command_id,
+       CAST(DATE '2001-07-01' + CAST(p.k AS INTEGER) AS {ts}) AS event_time,
        CASE WHEN p.id % 7 = 0 THEN p.provider_id + 1 ELSE p.provider_id END AS provider_id,
        CASE WHEN p.id % 13 = 0 THEN CAST(0 AS BIGINT) ELSE p.id END AS promotion_id,
        CASE WHEN p.id % 5 = 0 THEN CAST(p.is_active AS VARCHAR(5))
-            WHEN k.k = 1 THEN CAST(p.is_active AS VARCHAR(5))
+            WHEN p.k = 1 THEN CAST(p.is_active AS VARCHAR(5))
             ELSE CAST(1 - p.is_active AS VARCHAR(5)) END AS active
-FROM {promotions} p
-JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k ON k.k = 0 OR p.id % 11 = 0
+FROM (SELECT *, 0 AS k FROM {promotions} UNION ALL SELECT *, 1 AS k FROM {promotions} WHERE id % 11 = 0) p
 WHERE p.id % 3 = 0 OR p.id % 5 = 0 OR p.id % 7 = 0
 """,
 }
