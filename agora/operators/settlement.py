@@ -15,8 +15,9 @@ command per request) is frozen and all four outputs derive from it:
   snapshot folder and the manifest last; readers only trust a folder with
   a manifest, so a failed job leaves nothing half-visible.
 
-The accepted set is tiny relative to the tables, so the snapshot rewrites
-join it broadcast (size checked) and never shuffle ``bids``/``requests``.
+The accepted set is small relative to the tables. When measuring it proves
+it small, the snapshot rewrites join it broadcast and do not shuffle
+``bids``/``requests``; otherwise they fall back to a shuffle join.
 """
 
 from __future__ import annotations
