@@ -185,6 +185,13 @@ def derive_tables(spark: SparkSession, sf_dir: str, persist=None) -> dict[str, D
     frames: dict[str, DataFrame] = {
         n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in DRIVER_TABLES
     }
+    # A driver file may be a single row group (one scan task). Only then
+    # spread the two large inputs over the cores before the heavy grouping;
+    # inputs that already scan in parallel are left as they are.
+    par = spark.sparkContext.defaultParallelism
+    for n in ("lineitem", "orders"):
+        if frames[n].rdd.getNumPartitions() < par:
+            frames[n] = frames[n].repartition(par)
     for name, sql in STEPS:
         text = sql.replace("{ts}", "TIMESTAMP_NTZ")
         refs = {k: v for k, v in frames.items() if "{" + k + "}" in text}
