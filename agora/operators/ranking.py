@@ -54,16 +54,21 @@ def _before(cut: Column, order: Order) -> Column:
     return expr
 
 
-def split_hot(df: DataFrame, owner: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cold rows, hot rows with ``_n`` = their owner's row count): hot
-    owners hold more than ``hot_rows`` rows. The hot-owner list is at most
-    rows / hot_rows long and is broadcast after it is measured."""
-    from agora.config import HOT_ROWS
-    from agora.operators.filters import checked_broadcast
+def split_hot(df: DataFrame, owner: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(cold rows, hot rows with ``_n`` = their owner's row count, or None
+    when no owner is hot): hot owners hold more than ``hot_rows`` rows. The
+    hot-owner list is at most rows / hot_rows long; it is measured and
+    broadcast when small."""
+    from agora.config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, HOT_ROWS
+    from agora.sources.tables import measure
 
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot = checked_broadcast(df.groupBy(*owner).agg(F.count(F.lit(1)).alias("_n"))
-                            .where(F.col("_n") > limit))
+    hot = df.groupBy(*owner).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    n, b = measure(hot)
+    if n == 0:
+        return df, None
+    if n <= BROADCAST_MAX_ROWS and b <= BROADCAST_MAX_BYTES:
+        hot = F.broadcast(hot)
     return df.join(hot.select(*owner), owner, "left_anti"), df.join(hot, owner, "inner")
 
 
@@ -91,6 +96,8 @@ def rank_within(df: DataFrame, owner: list[str], order: Order, name: str = "rank
     any task holding a hot owner's rows."""
     cold, hot = split_hot(df, owner, hot_rows)
     plain = cold.withColumn(name, F.row_number().over(Window.partitionBy(*owner).orderBy(*order_columns(order))))
+    if hot is None:
+        return plain
     b = order_ranges(hot, owner, order, splits).drop("_n")
     counts = b.groupBy(*owner, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
     wo = Window.partitionBy(*owner).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,6 +140,8 @@ def previous_within(df: DataFrame, owner: list[str], order: Order, value: str, n
     cold, hot = split_hot(df, owner, hot_rows)
     w = Window.partitionBy(*owner).orderBy(*order_columns(order))
     plain = cold.withColumn(name, F.lag(value).over(w))
+    if hot is None:
+        return plain
     b = order_ranges(hot, owner, order, splits).drop("_n")
     o = F.struct(*[F.col(c) for c, _ in order])
     if any(d for _, d in order):

@@ -16,13 +16,10 @@ from agora.sources.schemas import SCHEMAS
 TABLE_NAMES = tuple(SCHEMAS)
 
 
-def proven_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
-    """Measure ``df`` with one distributed aggregation (partial count and
-    byte sum per task, one row per task to the final step — no rows are
-    moved): true when it has at most ``max_rows`` rows and its column data
-    (strings by byte length, other columns 8 bytes) fits in ``max_bytes``."""
-    rows_cap = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    bytes_cap = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of ``df`` with one distributed aggregation (partial
+    count and byte sum per task, one row per task to the final step — no
+    rows are moved). Strings count their byte length, other columns 8."""
     width = F.lit(0)
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.StringType, T.BinaryType)):
@@ -30,19 +27,16 @@ def proven_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | No
         else:
             width = width + F.lit(8)
     r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return r["n"] <= rows_cap and r["b"] <= bytes_cap
-
-# Join key each snapshot table is bucketed by (co-located request joins).
-BUCKET_KEYS = {
-    "users": "id",
-    "service_requests": "id",
-    "bids": "request_id",
-    "mkt_conversations": "request_id",
-    "messages": "conversation_id",
-    "reviews": "request_id",
-    "promotions": "provider_id",
-    "transactions": "request_id",
-}
+    return int(r["n"]), int(r["b"])
+
+
+def proven_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """True when :func:`measure` shows at most ``max_rows`` rows and
+    ``max_bytes`` bytes (defaults: the broadcast bounds)."""
+    rows_cap = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    bytes_cap = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    n, b = measure(df)
+    return n <= rows_cap and b <= bytes_cap
 
 
 @dataclass

@@ -49,6 +49,7 @@ def test_hot_owner_with_one_timestamp_is_split(spark):
     df = spark.createDataFrame(rows, "id long, owner long, created_at timestamp_ntz, v long, price long")
     spec = [("created_at", True), ("id", True)]
     cold, hot = split_hot(df, ["owner"], 100)
+    assert hot is not None
     sizes = [r[0] for r in order_ranges(hot, ["owner"], spec, 20).groupBy("_bkt").count().select("count").collect()]
     assert len(sizes) > 10 and max(sizes) < 400
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("created_at"), F.desc("id"))))
