@@ -39,6 +39,19 @@ def proven_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | No
     return n <= rows_cap and b <= bytes_cap
 
 
+# Join key each snapshot table is bucketed by (co-located request joins).
+BUCKET_KEYS = {
+    "users": "id",
+    "service_requests": "id",
+    "bids": "request_id",
+    "mkt_conversations": "request_id",
+    "messages": "conversation_id",
+    "reviews": "request_id",
+    "promotions": "provider_id",
+    "transactions": "request_id",
+}
+
+
 @dataclass
 class Tables:
     users: DataFrame
