@@ -45,7 +45,7 @@ CLUSTER_CONF = {
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "agora") -> SparkSession:
+                  app_name: str = "agora", extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Local/test session with the settings the operators assume.
 
     On a cluster the session is usually provided; operators only rely on
@@ -67,6 +67,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.driver.memory", os.environ.get("AGORA_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
