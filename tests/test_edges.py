@@ -119,3 +119,26 @@ def test_long_promotions_split_into_months_and_days(spark):
         want.append(max(cover, key=lambda p: (p["created_at"], p["id"]))["id"] if cover else None)
     assert got == want
     assert got[:4] == [13, 13, 13, 10] and got[6:10] == [11, 12, 12, 10] and got[-2:] == [10, None]
+
+
+def test_orphan_parties_follow_the_join_kind(spark):
+    """Inner-joined parties must exist; the optional provider is kept when
+    its user row is missing (LEFT JOIN ... provider.id IS NULL)."""
+    extra = {
+        "service_requests": [
+            (40, 77, "orphan client", "X", D("1.00"), "x", AS_OF, "open", None, None, T0),
+            (41, 2, "orphan provider", "X", D("1.00"), "x", AS_OF, "in_progress", 88, None, T0),
+        ],
+        "bids": [(140, 10, 99, D("5.00"), 1, "ghost bidder", "pending", T0)],
+    }
+    t = tiny(spark, "@example.com", extra=extra)
+    counts = rows(admin.admin_counts(t))[0]
+    # requests: 3 seed + 41 (client real, provider missing -> kept); 40 dropped (client missing)
+    # bids: the ghost provider's bid is dropped (inner join on provider)
+    assert counts == (3, 4, 3, 2)
+    assert dict(rows(admin.status_distribution(t)))["in_progress"] == 2
+    from agora.operators import quality
+    orphans = {(r[0], r[1]): r[3] for r in quality.dq_orphans(t).collect()}
+    assert orphans[("service_requests", "client_id")] == 1
+    assert orphans[("service_requests", "selected_provider_id")] == 1
+    assert orphans[("bids", "provider_id")] == 1
