@@ -133,21 +133,23 @@ def dq_nulls(t: Tables) -> DataFrame:
 
 
 def dq_lengths(t: Tables) -> DataFrame:
-    """DQ5: VARCHAR(n) overflows and money outside DECIMAL(10,2)."""
-    out = []
+    """DQ5: VARCHAR(n) overflows and money outside DECIMAL(10,2); all rules
+    of a table in one aggregation pass, unpivoted to one row per rule."""
+    rules: dict[str, list[tuple[str, str, F.Column]]] = {}
     for (table, col), n in S.LENGTH_LIMITS.items():
-        df = getattr(t, table)
-        out.append(df.agg(F.count_if(F.char_length(col) > n).alias("violations"))
-                   .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-                           F.lit(f"length>{n}").alias("rule"), "violations"))
+        rules.setdefault(table, []).append((col, f"length>{n}", F.char_length(col) > n))
     for table, cols in S.MONEY_COLUMNS.items():
-        df = getattr(t, table)
         for col in cols:
-            bad = F.col(col).isNotNull() & F.col(col).cast("decimal(38,10)").try_cast("decimal(10,2)").isNull()
-            bad = bad | (F.col(col).cast("decimal(38,10)") != F.round(F.col(col).cast("decimal(38,10)"), 2))
-            out.append(df.agg(F.count_if(bad).alias("violations"))
-                       .select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-                               F.lit("decimal(10,2)").alias("rule"), "violations"))
+            v = F.col(col).cast("decimal(38,10)")
+            bad = (F.col(col).isNotNull() & v.try_cast("decimal(10,2)").isNull()) | (v != F.round(v, 2))
+            rules.setdefault(table, []).append((col, "decimal(10,2)", bad))
+    out = []
+    for table, rs in rules.items():
+        agg = getattr(t, table).agg(*[F.count_if(cond).alias(f"r{i}") for i, (_, _, cond) in enumerate(rs)])
+        long = agg.select(F.explode(F.array(*[
+            F.struct(F.lit(col).alias("column_name"), F.lit(rule).alias("rule"), F.col(f"r{i}").alias("violations"))
+            for i, (col, rule, _) in enumerate(rs)])).alias("x"))
+        out.append(long.select(F.lit(table).alias("table_name"), "x.column_name", "x.rule", "x.violations"))
     return _union(out)
 
 
