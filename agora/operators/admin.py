@@ -36,7 +36,7 @@ def admin_counts(t: Tables) -> DataFrame:
     requests = FL.requests_real_client_optional_provider(t).agg(F.count(F.lit(1)).alias("requests"))
     bids = FL.bids_real_parties(t).agg(F.count(F.lit(1)).alias("bids"))
     tx = real_sales(t).agg(F.count(F.lit(1)).alias("transactions"))
-    return users.crossJoin(requests).crossJoin(bids).crossJoin(tx)
+    return users.crossJoin(requests).crossJoin(bids).crossJoin(tx)  # four one-row counts
 
 
 def sales_overview(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
@@ -126,6 +126,7 @@ def status_bars(t: Tables) -> DataFrame:
     """FN4 over AG15: each status' bar length against the largest status."""
     d = status_distribution(t)
     mx = d.agg(M.bar_max(F.max("total")).alias("bar_max"))
+    # one row per status (an enum) x the one-row maximum
     return (d.crossJoin(mx)
              .select("status", "total", M.percentage("total", "bar_max").alias("bar_percent")))
 
@@ -145,6 +146,7 @@ def category_bars(t: Tables, k: int = 5) -> DataFrame:
     """FN4 over AG16: category bar length against the top category."""
     c = category_sales(t, k)
     mx = c.agg(M.bar_max(F.max("revenue")).alias("bar_max"))
+    # top-k rows x the one-row maximum
     return (c.crossJoin(mx)
              .select("category", "requests_count", "revenue",
                      M.percentage("revenue", "bar_max").alias("bar_percent")))
@@ -161,6 +163,7 @@ def top_providers(t: Tables, k: int = 4) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("accepted_sales"), M.money_sum("final_price").alias("revenue")))
     top = agg.orderBy(F.desc("revenue"), F.desc("accepted_sales"), F.asc("provider_id")).limit(k)
     ov = sales_overview(t).select(M.goal_target("total_revenue", "target_revenue").alias("_target"))
+    # top-k rows x the one-row overview
     return (top.crossJoin(ov)
                .select("provider_id", "name", "accepted_sales", "revenue",
                        M.percentage("revenue", "_target").alias("target_share_percent")))
