@@ -195,7 +195,8 @@ def erase_demo_users(t: Tables) -> DataFrame:
     for n in TABLE_NAMES:
         b = getattr(t, n).agg(F.count(F.lit(1)).alias("before"))
         a = getattr(after, n).agg(F.count(F.lit(1)).alias("remaining"))
-        rows.append(b.crossJoin(a).select(  # two one-row countsF.lit(n).alias("table_name"), "remaining",
+        # two one-row counts side by side
+        rows.append(b.crossJoin(a).select(F.lit(n).alias("table_name"), "remaining",
                                           (F.col("before") - F.col("remaining")).alias("deleted")))
     nulled = after.service_requests.join(
         t.service_requests.select(F.col("id").alias("_i"), F.col("selected_provider_id").alias("_old")),
