@@ -212,44 +212,44 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end
                                          PIECES + (", ids array<long>" if with_ids else ""))
 
 
-def best_patterns(values: np.ndarray, sizes: np.ndarray, capacity: int, floor: float, most: int = 48) -> list[np.ndarray]:
+def best_patterns(values: np.ndarray, sizes: np.ndarray, capacity: int, floor: float, most: int = 32) -> list[np.ndarray]:
     """Unbounded knapsack: patterns worth more than ``floor``, the best first, with another first piece each."""
-    worth, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(int(sizes[0]), capacity + 1):
-        fits = int(np.searchsorted(sizes, room, side="right"))
-        gains = worth[room - sizes[:fits]] + values[:fits]
+    dense = np.full(capacity + 1, -np.inf)
+    dense[sizes] = values
+    worth, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    for room in range(1, capacity + 1):
+        gains = worth[room - 1::-1] + dense[1:room + 1]  # by the size of the piece put in last
         k = int(gains.argmax())
-        if gains[k] > worth[room - 1] + 1e-12:
-            worth[room], choice[room] = gains[k], k
-        else:
-            worth[room] = worth[room - 1]
+        worth[room], choice[room] = (gains[k], k + 1) if gains[k] > worth[room - 1] + 1e-12 else (worth[room - 1], 0)
+    used = np.maximum.accumulate(np.where(choice > 0, np.arange(capacity + 1), 0))  # the room that a piece ends at
+    place = np.zeros(capacity + 1, np.int64)
+    place[sizes] = np.arange(len(sizes))
     totals = values + worth[capacity - sizes]
     found = []
     for k in np.argsort(-totals, kind="stable")[:most]:
         if totals[k] <= floor:
             break
-        pattern, room = np.zeros(len(sizes)), capacity - int(sizes[k])
+        pattern, room = np.zeros(len(sizes)), int(used[capacity - sizes[k]])
         pattern[k] = 1
-        while room > 0:
-            if choice[room] < 0:
-                room -= 1
-            else:
-                pattern[choice[room]] += 1
-                room -= int(sizes[choice[room]])
+        while room:
+            pattern[place[choice[room]]] += 1
+            room = int(used[room - choice[room]])
         found.append(pattern)
     return found
 
 
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
-                   gap: float = 1e-3, max_pivots: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+                   gap: float = 2e-3, max_pivots: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Columns (patterns) of the basis and how often each is used, near the linear optimum.
 
-    Priced columns go to a pool, from which the simplex pivots until none is
-    worth more than its cost; then the knapsack prices new ones. It stops once
-    the best pattern is worth at most 1 + ``gap``: the sum is then within that
-    of the optimum. Every basis on the way packs everything.
+    The knapsack prices a few columns at a time, from which the simplex pivots
+    until none is worth more than its cost. It ends once no pattern is worth
+    more than 1 + ``gap``, or once the sum is within ``gap`` of the sequences
+    that the pieces would fill without any waste. Every basis on the way packs
+    everything.
     """
     n = len(sizes)
+    least = float(sizes @ demand) / capacity
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
     x = inverse @ demand
@@ -258,16 +258,15 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
         if step % 256 == 255:  # rounding errors of the updates do not add up
             inverse = np.linalg.inv(columns)
             x = inverse @ demand
+        if x.sum() <= least * (1 + gap):
+            break
         duals = inverse.sum(axis=0)
         values = duals @ pool
         if not len(values) or values.max() <= 1 + gap:
             more = best_patterns(np.maximum(duals, 0), sizes, capacity, 1 + gap)
-            if not more or duals @ more[0] <= 1 + gap:
+            if not more or (values := duals @ (pool := np.column_stack(more))).max() <= 1 + gap:
                 break
-            pool = np.column_stack([pool, *more])
-            values = duals @ pool
-        enter = int(values.argmax())
-        pattern = pool[:, enter]
+        pattern = pool[:, int(values.argmax())]
         direction = inverse @ pattern
         ratios = np.full(n, np.inf)
         up = direction > 1e-9

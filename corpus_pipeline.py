@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.llm import decontaminate, exact_dedup, packing, quality_gbt
+from agora.llm import decontaminate, exact_dedup, minhash_join, packing, quality_gbt
 from agora.llm.common import shared_table
 from agora.llm.queries import table, tokenizer_file
 
@@ -24,6 +24,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    return minhash_join.drop_near(docs, shingle=5, percent=80)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -34,7 +39,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file())
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact), ("decontamination", decontamination), ("packing", packed)]
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near),
+          ("decontamination", decontamination), ("packing", packed)]
 
 # The classifier and the tokenizer cannot be expressed in SQL.
 ORACLE_SQL = None
