@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import decontaminate, exact_dedup, minhash_join, packing, quality_gbt
+from agora.llm import chat_format, decontaminate, exact_dedup, minhash_join, packing, quality_gbt, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# The contract's own conversation: texts that look like a template's marks.
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, expanded, and read back from the examples."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    return chat_format.digest(chat_format.expand(rows.unionByName(probe)))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -33,6 +44,33 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+# Stand-in input from ``pages``: fetch days, and one dated list entry per page.
+CAPTURES_SQL = """
+SELECT page_id, url, CAST('2023-01-01' AS DATE) + CAST((page_id * 7919) % 730 AS INT) AS day FROM pages
+"""
+ENTRIES_SQL = """
+SELECT CASE page_id % 3 WHEN 0 THEN 'adult' WHEN 1 THEN 'malware' ELSE 'optout' END AS list,
+       CASE page_id % 4 WHEN 0 THEN 'host' WHEN 1 THEN 'domain' WHEN 2 THEN 'prefix' ELSE 'url' END AS kind,
+       CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)
+                        WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/?#]*?([^./?#]+[.][^./?#]+)([/?#]|$)', 1)
+                        WHEN 2 THEN regexp_extract(url, '^[a-z]+://([^/?#]+/?[^/?#]*)', 1)
+                        ELSE regexp_extract(url, '^[a-z]+://([^#]+)', 1) END AS pattern,
+       CASE WHEN page_id % 5 = 4 THEN 'remove' ELSE 'add' END AS action,
+       CAST('2022-07-01' AS DATE) + CAST((page_id * 6007) % 900 AS INT) AS day
+FROM pages
+"""
+
+
+def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List entries active for each page on the day it was fetched."""
+    pages = table(spark, sf_dir, "pages")
+    captures = spark.sql(CAPTURES_SQL.replace("pages", "{pages}"), pages=pages)
+    entries = spark.sql(ENTRIES_SQL.replace("FROM pages", "FROM {pages}"), pages=pages)
+    found = url_lists.evaluate(captures, entries, id_col="page_id")
+    return found.select("page_id", "n_active", F.concat_ws(",", "lists").alias("lists"),
+                        F.sha2(F.concat_ws(",", "entries"), 256).alias("entries_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of every document's normalised text."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -49,13 +87,36 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
+    "op5_url_lists": op5_url_lists,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
 }
 
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, role = 'assistant' AS reply,
+         row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+         15 + length(role) + length(role) - length(replace(role, chr(92), ''))
+            + length(role) - length(replace(role, '<', '')) + length(role) - length(replace(role, '>', ''))
+            + length(text) + length(text) - length(replace(text, chr(92), '')) + length(text) - length(replace(text, '<', '')) AS size
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS chars FROM sized)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE reply), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE reply), '')) AS loss_sha256,
+       CAST(sum(chars) FILTER (WHERE reply OR k = n) AS BIGINT) AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -110,6 +171,38 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(componen
 FROM w LEFT JOIN sizes ON sizes.doc_id = w.doc_id LEFT JOIN least ON least.node = w.doc_id
 """
 
+OP5_SQL = f"""
+WITH captures AS ({CAPTURES_SQL}), entries AS ({ENTRIES_SQL}),
+daily AS (SELECT list, kind, pattern, day, max(action) AS action FROM entries GROUP BY ALL),
+states AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, pattern ORDER BY day) AS until FROM daily),
+active AS (SELECT * FROM states WHERE action = 'add'),
+parts AS (
+  SELECT page_id, day, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM captures),
+hosts AS (
+  SELECT page_id, day, regexp_extract(rest, '^[^/?]*') AS authority, substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1) AS path
+  FROM parts),
+clean AS (
+  SELECT page_id, day, lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')) AS host, path,
+         string_split(regexp_replace(path, '[?].*$', ''), '/') AS segments FROM hosts),
+asked AS (
+  SELECT page_id, day, 'host' AS kind, host AS pattern FROM clean
+  UNION SELECT page_id, day, 'url', host || path FROM clean
+  UNION SELECT page_id, day, 'domain', array_to_string(string_split(host, '.')[k:], '.')
+        FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM clean)
+  UNION SELECT page_id, day, 'prefix', host || array_to_string(segments[1:k], '/')
+        FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS k FROM clean)),
+found AS (
+  SELECT DISTINCT page_id, list, kind, pattern FROM asked JOIN active USING (kind, pattern)
+  WHERE active.day <= asked.day AND (until IS NULL OR asked.day < until)),
+named AS (
+  SELECT page_id, count(*) AS n_active, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists,
+         array_to_string(list_sort(list(list || '|' || kind || '|' || pattern)), ',') AS entries
+  FROM found GROUP BY page_id)
+SELECT p.page_id, CAST(coalesce(n_active, 0) AS BIGINT) AS n_active, coalesce(lists, '') AS lists,
+       sha256(coalesce(entries, '')) AS entries_sha256
+FROM pages p LEFT JOIN named USING (page_id)
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
@@ -117,4 +210,4 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM d JOIN g USING (norm)
 """
 
-ORACLE_SQL = {"op3_minhash": OP3_SQL, "op2_decontaminate": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op5_url_lists": OP5_SQL, "op3_minhash": OP3_SQL, "op2_decontaminate": OP2_SQL, "op8_exact_dedup": OP8_SQL}
