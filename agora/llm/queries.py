@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import chat_format, decontaminate, exact_dedup, minhash_join, packing, quality_gbt, url_lists
+from agora.llm import chat_format, decontaminate, exact_dedup, lm_trie, minhash_join, packing, quality_gbt, suffix_dedup, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,16 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "entries"), 256).alias("entries_sha256"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document, learnt from those that are not held out."""
+    return lm_trie.score_texts(table(spark, sf_dir, "documents"))[0]
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that repeat 50-byte strings of earlier documents."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of every document's normalised text."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -91,6 +101,8 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
     "op5_url_lists": op5_url_lists,
+    "op6_lm_score": op6_lm_score,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
