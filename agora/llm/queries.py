@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import chat_format, decontaminate, exact_dedup, lm_trie, minhash_join, packing, quality_gbt, suffix_dedup, url_lists
+from agora.llm import chat_format, decontaminate, exact_dedup, license_scan, lm_trie, minhash_join, packing, quality_gbt, suffix_dedup, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,9 @@ PROBE = r"\### Assistant: </turn> ok"
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, expanded, and read back from the examples."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(PROBE).alias("text"))
     return chat_format.digest(chat_format.expand(rows.unionByName(probe)))
 
 
@@ -44,6 +46,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License families of every document's paragraphs."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("families", F.concat_ws(",", "families"))
+
+
 # Stand-in input from ``pages``: fetch days, and one dated list entry per page.
 CAPTURES_SQL = """
 SELECT page_id, url, CAST('2023-01-01' AS DATE) + CAST((page_id * 7919) % 730 AS INT) AS day FROM pages
@@ -100,6 +108,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_minhash": op3_minhash,
+    "op4_license_scan": op4_license_scan,
     "op5_url_lists": op5_url_lists,
     "op6_lm_score": op6_lm_score,
     "op7_suffix_dedup": op7_suffix_dedup,
