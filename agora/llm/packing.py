@@ -23,6 +23,7 @@ are ignored. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -36,7 +37,8 @@ from agora.llm.words import LOWER_TABLE, Hasher, bounds, joined
 CAPACITY = 2048
 GRAIN = 8
 END_ID = 1
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
+STEP_BYTES = 1 << 19
 MARK = b"\x00"
 
 # The stops, and ASCII letters and digits.
@@ -124,7 +126,9 @@ class WordTokens:
         for kind, gap, most in (("plain", b" ", 500), ("other", b" " + MARK + b" ", 500), ("alone", b"", 1)):
             lots = [kinds[kind][k:k + most] for k in range(0, len(kinds[kind]), most)]
             texts = [gap.join([pieces[k] for k in lot]).decode() for lot in lots]
-            for lot, enc in zip(lots, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            coded = (enc for k in range(0, len(texts), 16)  # a few at a time: encodings are large
+                     for enc in self.tokenizer.encode_batch_fast(texts[k:k + 16], add_special_tokens=False))
+            for lot, enc in zip(lots, coded, strict=True):
                 own = np.array(enc.ids, np.uint32)
                 if kind == "plain":
                     past = np.flatnonzero(self.closes[own]) + 1
@@ -182,8 +186,9 @@ def one_word(piece: bytes) -> bool:
 def cutter(path: str, capacity: int, end_id: int, with_ids: bool):
     """The mapInArrow function from (doc_id, text) to the document's pieces."""
     def cut(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         tokens = WordTokens(path)
-        for ids, texts in steps(batches):
+        for ids, texts in steps(batches, STEP_BYTES):
             owner, start, length, crc, total, pieces = [], [], [], [], [], []
             coded, ends = tokens.encode(texts)
             for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
