@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import datetime as _dt
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -11,19 +13,13 @@ from pyspark.sql import SparkSession
 # Fixed values of the data model: demo accounts are the ones whose email
 # ends with this domain (compared case-insensitively, as the database
 # collation does); the demo "today" used by tests and fixtures.
-DEMO_DOMAIN = "@pmms.local"
+DEMO_DOMAIN = "@demo.local"
 AS_OF = _dt.date(2001, 7, 15)
 
 # Owners with more rows than this are "hot": their per-owner windows are
 # split (see agora.operators.ranking); everyone else uses a plain window.
 HOT_ROWS = int(os.environ.get("AGORA_HOT_ROWS", "1000000"))
 
-# Largest set we broadcast after measuring it: at most this many rows and
-# this many bytes of column data (strings by their length, other columns
-# 8 bytes each).
-BROADCAST_MAX_ROWS = int(os.environ.get("AGORA_BROADCAST_MAX_ROWS", "2000000"))
-BROADCAST_MAX_BYTES = int(os.environ.get("AGORA_BROADCAST_MAX_BYTES", str(64 * 1024 * 1024)))
-
 
 # Settings we recommend for the 100 TB cluster runs (the session there is
 # provided; these go into its configuration). AQE sizes shuffle partitions
@@ -78,13 +74,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local runs, tests) do we create a scratch folder for this run.
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset, a
+    local master gets a scratch folder that goes with the run; any other
+    master is an error, as its executors could not share one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="agora-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="agora-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)  # this run's own folder
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current

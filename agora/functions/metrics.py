@@ -54,17 +54,19 @@ def discount_percent(discount, price) -> Column:
 
 def promotion_discount(price, discount_type, discount_value) -> Column:
     """FN8: percent -> round(price * value / 100, 2) (not capped); fixed ->
-    min(value, price); no promotion -> 0. Exact decimal (``* 0.01``)."""
+    min(value, price); no promotion -> 0. Exact decimal (``* 0.01``). NULL
+    where the amount does not fit DECIMAL(10,2)."""
     p, ty, v = _c(price), _c(discount_type), _c(discount_value)
     return (F.when(ty == "percent", F.round(p * v * F.lit(0.01).cast("decimal(3,2)"), 2))
              .when(ty == "fixed", F.least(v, p))
              .otherwise(F.lit(0))
-             .cast("decimal(10,2)"))
+             .try_cast("decimal(10,2)"))
 
 
 def final_price(price, discount) -> Column:
     """FN8: max(price - discount, 0)."""
-    return F.greatest(_c(price) - _c(discount), F.lit(0)).cast("decimal(10,2)")
+    gone = _c(discount)
+    return F.when(gone.isNotNull(), F.greatest(_c(price) - gone, F.lit(0))).try_cast("decimal(10,2)")
 
 
 def money_text(x) -> Column:

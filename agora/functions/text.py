@@ -35,3 +35,8 @@ def php_int(x) -> Column:
 def parse_date(x) -> Column:
     """A ``YYYY-MM-DD`` form date, NULL when it does not parse."""
     return F.try_to_date(php_trim(x), "yyyy-MM-dd")
+
+
+def category_key(category) -> Column:
+    """What the database's collation compares: case and trailing spaces do not count."""
+    return F.lower(F.rtrim(F.col(category) if isinstance(category, str) else category))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from agora.config import AS_OF
 from agora.functions import metrics as M
+from agora.functions.text import category_key
 from agora.operators import filters as FL
 from agora.sources.tables import Tables
 
@@ -113,13 +114,14 @@ def monthly_revenue(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
     s = real_sales(t).where(F.col("created_at") >= M.month_bound(as_of, 5))
     return (s.groupBy(F.date_format("created_at", "yyyy-MM").alias("month_key"),
                       F.date_format("created_at", "MMM").alias("month_label"))
-             .agg(M.money_sum("final_price").alias("revenue")))
+             .agg(M.money_sum("final_price").alias("revenue")).orderBy("month_key"))  # a row per month
 
 
 def status_distribution(t: Tables) -> DataFrame:
     """AG15: requests per status (client real, provider absent or real)."""
     return (FL.requests_real_client_optional_provider(t)
-            .groupBy("status").agg(F.count(F.lit(1)).alias("total")))
+            .groupBy("status").agg(F.count(F.lit(1)).alias("total"))
+            .orderBy(F.desc("total"), "status"))  # a row per status
 
 
 def status_bars(t: Tables) -> DataFrame:
@@ -137,8 +139,9 @@ def category_sales(t: Tables, k: int = 5) -> DataFrame:
     r = FL.requests_real_client_optional_provider(t).select(F.col("id").alias("r_id"), "category")
     tx = t.transactions.select("request_id", "final_price")
     j = r.join(tx, r["r_id"] == tx["request_id"], "left")
-    agg = j.groupBy("category").agg(F.count(F.lit(1)).alias("requests_count"),
-                                    M.money_sum("final_price").alias("revenue"))
+    agg = j.groupBy(category_key("category").alias("_key")).agg(
+        F.min("category").alias("category"), F.count(F.lit(1)).alias("requests_count"),
+        M.money_sum("final_price").alias("revenue")).drop("_key")
     return agg.orderBy(F.desc("revenue"), F.desc("requests_count"), F.asc("category")).limit(k)
 
 
@@ -149,7 +152,8 @@ def category_bars(t: Tables, k: int = 5) -> DataFrame:
     # top-k rows x the one-row maximum
     return (c.crossJoin(mx)
              .select("category", "requests_count", "revenue",
-                     M.percentage("revenue", "bar_max").alias("bar_percent")))
+                     M.percentage("revenue", "bar_max").alias("bar_percent"))
+             .orderBy(F.desc("revenue"), F.desc("requests_count"), F.asc("category")))
 
 
 def top_providers(t: Tables, k: int = 4) -> DataFrame:
@@ -166,7 +170,8 @@ def top_providers(t: Tables, k: int = 4) -> DataFrame:
     # top-k rows x the one-row overview
     return (top.crossJoin(ov)
                .select("provider_id", "name", "accepted_sales", "revenue",
-                       M.percentage("revenue", "_target").alias("target_share_percent")))
+                       M.percentage("revenue", "_target").alias("target_share_percent"))
+               .orderBy(F.desc("revenue"), F.desc("accepted_sales"), F.asc("provider_id")))
 
 
 def conversion_rate(t: Tables) -> DataFrame:
@@ -274,8 +279,9 @@ def admin_report(t: Tables, as_of: _dt.date = AS_OF) -> dict[str, DataFrame]:
     status = reqs.groupBy("status").agg(F.count(F.lit(1)).alias("total"))
     tx = t.transactions.select("request_id", "final_price")
     cats = (reqs.join(tx, reqs["id"] == tx["request_id"], "left")
-            .groupBy("category").agg(F.count(F.lit(1)).alias("requests_count"),
-                                     M.money_sum("final_price").alias("revenue"))
+            .groupBy(category_key("category").alias("_key"))
+            .agg(F.min("category").alias("category"), F.count(F.lit(1)).alias("requests_count"),
+                 M.money_sum("final_price").alias("revenue")).drop("_key")
             .orderBy(F.desc("revenue"), F.desc("requests_count"), F.asc("category")).limit(5))
     return {
         "overview": overview.crossJoin(req_summary).crossJoin(bid_summary(t))

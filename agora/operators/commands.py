@@ -8,9 +8,9 @@ Commands that collide inside the batch are ordered by ``(event_time,
 command_id)``; the first valid one wins, later ones get the page's
 duplicate reason.
 
-Lookups never shuffle the big tables for a small batch: the batch's keys
-are broadcast when measuring the batch proves them small, the table is
-semi-joined to those keys map-side, and only the survivors meet the batch.
+Lookups semi-join a table to the batch's distinct keys first, and only the
+survivors meet the batch. The joins carry no hints: AQE broadcasts a side
+whose measured size allows it.
 """
 
 from __future__ import annotations
@@ -19,29 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agora.functions.text import parse_date, php_float, php_int, php_trim
-from agora.operators.filters import checked_broadcast
 from agora.operators.ranking import first_per_key, previous_within
-from agora.sources.tables import Tables, proven_small
+from agora.sources.tables import Tables
 
 
-def batch_is_small(cmds: DataFrame) -> bool:
-    """Measure a command batch once. Every key set derived from the
-    batch has at most as many rows and no more bytes than the batch's own
-    columns hold (keys are its columns or fixed-width ids), so when this
-    holds they can all be broadcast without measuring each again."""
-    return proven_small(cmds)
-
-
-def _bcast(df: DataFrame, known_small: bool | None) -> DataFrame:
-    return F.broadcast(df) if known_small else checked_broadcast(df)
-
-
-def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame,
-             known_small: bool | None = None) -> DataFrame:
+def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame) -> DataFrame:
     """Rows of ``table`` whose key appears in ``keys`` (columns named like
-    ``table_keys``), via a broadcast semi-join when the keys are proven
-    small (``known_small``, else measured here)."""
-    k = _bcast(keys.dropDuplicates(), known_small)
+    ``table_keys``). Keys are made distinct first, so a key that many
+    commands share is one row; AQE broadcasts them where they are small."""
+    k = keys.dropDuplicates()
     kk = k.select([F.col(c).alias("_k_" + c) for c in table_keys])
     cond = None
     for c in table_keys:
@@ -50,13 +36,12 @@ def restrict(table: DataFrame, table_keys: list[str], keys: DataFrame,
     return table.join(kk, cond, "left_semi")
 
 
-def first_wins(df: DataFrame, candidate: Column, keys: list[str],
-               known_small: bool | None = None) -> DataFrame:
+def first_wins(df: DataFrame, candidate: Column, keys: list[str]) -> DataFrame:
     """Add ``_dup``: a candidate that is not the first candidate of its key
     (ordered by event_time, command_id). Skew-safe: the first of each key
     comes from a grouped ``min`` (map-side combine), not a window."""
     df = df.withColumn("_cand", candidate)
-    df = first_per_key(df, [*keys, "_cand"], ["event_time", "command_id"], "_isfirst", known_small)
+    df = first_per_key(df, [*keys, "_cand"], ["event_time", "command_id"], "_isfirst")
     return df.withColumn("_dup", F.col("_cand") & ~F.col("_isfirst")).drop("_cand", "_isfirst")
 
 
@@ -68,6 +53,11 @@ def _decide(df: DataFrame, rules: list[tuple[Column, str]], ok: str = "accepted"
     return df.withColumn("status", F.when(F.col("reason").isNull(), F.lit(ok)).otherwise(F.lit("rejected")))
 
 
+def or_zero(name: str) -> Column:
+    """An absent form id counts as 0, as the page's integer cast makes it."""
+    return F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
+
+
 # ---------------------------------------------------------------- VA1
 def validate_register(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA1: blank name/email/password -> all_required; role not client or
@@ -77,17 +67,16 @@ def validate_register(t: Tables, cmds: DataFrame) -> DataFrame:
                     php_trim("name").alias("name"), php_trim("email").alias("email"),
                     F.coalesce(F.col("has_password"), F.lit(False)).alias("has_password"),
                     php_trim(F.coalesce(F.col("role"), F.lit("client"))).alias("role"))
-    small = batch_is_small(cmds)
     c = c.withColumn("email_key", F.lower("email"))
     users = t.users.select(F.lower("email").alias("email_key"))
-    known = restrict(users, ["email_key"], c.select("email_key"), small).distinct() \
+    known = restrict(users, ["email_key"], c.select("email_key")).distinct() \
         .withColumn("_known", F.lit(True))
     c = c.join(known, "email_key", "left")
     blank = (F.col("name") == "") | (F.col("email") == "") | ~F.col("has_password")
     bad_role = ~F.col("role").isin("client", "provider")
     known_c = F.coalesce(F.col("_known"), F.lit(False))
     cand = ~blank & ~bad_role & ~known_c
-    c = first_wins(c, cand, ["email_key"], small)
+    c = first_wins(c, cand, ["email_key"])
     out = _decide(c, [(blank, "all_required"), (bad_role, "invalid_role"),
                       (known_c | F.col("_dup"), "email_exists")])
     return out.select("command_id", "name", "email", "role", "status", "reason")
@@ -113,25 +102,32 @@ def validate_request(t: Tables, cmds: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- VA3
 def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
-    """VA3: non-positive request id, price or duration, or blank details ->
-    invalid_bid_data; request missing or not open -> request_not_open;
+    """VA3: a request id that is absent or not positive means the newest open
+    request (the page's default); if there is none, or price or duration are
+    not positive, or details are blank -> invalid_bid_data; request missing or not open -> request_not_open;
     provider already bid on it (table or earlier in batch) -> already_submitted;
     price beyond DECIMAL(10,2) or duration beyond INT -> send_failed (the
     insert fails).
     ``earlier`` adds (request_id, provider_id) pairs accepted by previous
     batches (streaming ingest)."""
-    c = cmds.select("command_id", "event_time", "request_id", "provider_id",
-                    php_float("price").alias("_price"), php_int("duration_days").alias("_dur"),
-                    php_trim("details").alias("details"))
-    small = batch_is_small(cmds)
+    from agora.operators.listings import newest_open_request
+
+    # a global aggregate: one row also when there is no open request
+    default = newest_open_request(t).agg(F.max("id").alias("_default"))
+    asked = F.coalesce(F.col("request_id"), F.lit(0))
+    c = cmds.crossJoin(F.broadcast(default)).select(
+        "command_id", "event_time",
+        F.when(asked <= 0, F.coalesce(F.col("_default"), F.lit(0))).otherwise(asked).cast("long").alias("request_id"),
+        "provider_id", php_float("price").alias("_price"), php_int("duration_days").alias("_dur"),
+        php_trim("details").alias("details"))
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"), small)
+                   ["request_id"], c.select("request_id"))
     c = c.join(req, "request_id", "left")
     pairs = t.bids.select("request_id", "provider_id")
     if earlier is not None:
         pairs = pairs.unionByName(earlier.select("request_id", "provider_id"))
     bids = restrict(pairs, ["request_id", "provider_id"],
-                    c.select("request_id", "provider_id"), small).distinct().withColumn("_has", F.lit(True))
+                    c.select("request_id", "provider_id")).distinct().withColumn("_has", F.lit(True))
     c = c.join(bids, ["request_id", "provider_id"], "left")
     invalid = ((F.col("request_id") <= 0) | (F.col("_price") <= 0) | (F.col("_dur") <= 0)
                | (F.col("details") == ""))
@@ -140,7 +136,7 @@ def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -
     # the insert itself fails (strict mode) when a value does not fit its column
     unfit = F.col("_price").try_cast("decimal(10,2)").isNull() | F.col("_dur").try_cast("int").isNull()
     cand = ~invalid & ~not_open & ~has & ~unfit
-    c = first_wins(c, cand, ["request_id", "provider_id"], small)
+    c = first_wins(c, cand, ["request_id", "provider_id"])
     out = _decide(c, [(invalid, "invalid_bid_data"), (not_open, "request_not_open"),
                       (has | (~unfit & F.col("_dup")), "already_submitted"), (unfit, "send_failed")])
     return out.select("command_id", "request_id", "provider_id",
@@ -151,26 +147,25 @@ def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -
 
 # ---------------------------------------------------------------- VA5
 def validate_complete(t: Tables, cmds: DataFrame) -> DataFrame:
-    """VA5: request id <= 0 -> invalid_request; not the client's request or
+    """VA5: request id absent or <= 0 -> invalid_request; not the client's request or
     not in progress -> complete_failed; only the first completion of a
     request in the batch changes a row, later ones -> complete_failed."""
-    c = cmds.select("command_id", "event_time", "client_id", "request_id")
-    small = batch_is_small(cmds)
+    c = cmds.select("command_id", "event_time", "client_id", or_zero("request_id"))
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("client_id").alias("_owner"),
                                              F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"), small)
+                   ["request_id"], c.select("request_id"))
     c = c.join(req, "request_id", "left")
     invalid = F.col("request_id") <= 0
     fails = F.coalesce((F.col("_owner") != F.col("client_id")) | (F.col("_rstatus") != "in_progress"), F.lit(True))
     cand = ~invalid & ~fails
-    c = first_wins(c, cand, ["request_id"], small)
+    c = first_wins(c, cand, ["request_id"])
     out = _decide(c, [(invalid, "invalid_request"), (fails | F.col("_dup"), "complete_failed")])
     return out.select("command_id", "client_id", "request_id", "status", "reason")
 
 
 def apply_completions(t: Tables, results: DataFrame) -> DataFrame:
     """ST-F: the requests snapshot after accepted completions."""
-    done = checked_broadcast(results.where(F.col("status") == "accepted")
+    done = (results.where(F.col("status") == "accepted")
                              .select(F.col("request_id").alias("_done")).distinct())
     r = t.service_requests
     j = r.join(done, r["id"] == done["_done"], "left")
@@ -183,10 +178,9 @@ def validate_message(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA6: sender not a participant of the conversation (or no such
     conversation), or a blank body -> send_unable."""
     c = cmds.select("command_id", "event_time", "conversation_id", "sender_id", php_trim("body").alias("body"))
-    small = batch_is_small(cmds)
     conv = restrict(t.mkt_conversations.select(F.col("id").alias("conversation_id"),
                                                F.col("client_id").alias("_cl"), F.col("provider_id").alias("_pr")),
-                    ["conversation_id"], c.select("conversation_id"), small)
+                    ["conversation_id"], c.select("conversation_id"))
     c = c.join(conv, "conversation_id", "left")
     member = F.coalesce((F.col("sender_id") == F.col("_cl")) | (F.col("sender_id") == F.col("_pr")), F.lit(False))
     out = _decide(c, [(~member | (F.col("body") == ""), "send_unable")])
@@ -198,15 +192,14 @@ def validate_review(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA7: non-positive ids, rating outside 1..5 or blank comment ->
     invalid; request not completed, not the client's, provider not the
     selected one, or already reviewed (table or earlier in batch) -> save_failed."""
-    c = cmds.select("command_id", "event_time", "client_id", "request_id", "provider_id",
+    c = cmds.select("command_id", "event_time", "client_id", or_zero("request_id"), or_zero("provider_id"),
                     php_int("rating").alias("rating"), php_trim("comment").alias("comment"))
-    small = batch_is_small(cmds)
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("client_id").alias("_owner"),
                                              F.col("selected_provider_id").alias("_sel"),
                                              F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"), small)
+                   ["request_id"], c.select("request_id"))
     c = c.join(req, "request_id", "left")
-    rv = restrict(t.reviews.select("request_id"), ["request_id"], c.select("request_id"), small) \
+    rv = restrict(t.reviews.select("request_id"), ["request_id"], c.select("request_id")) \
         .distinct().withColumn("_reviewed", F.lit(True))
     c = c.join(rv, "request_id", "left")
     invalid = ((F.col("request_id") <= 0) | (F.col("provider_id") <= 0) | (F.col("rating") < 1)
@@ -215,7 +208,7 @@ def validate_review(t: Tables, cmds: DataFrame) -> DataFrame:
                           & (F.col("_rstatus") == "completed"), F.lit(False))
     reviewed = F.coalesce(F.col("_reviewed"), F.lit(False))
     cand = ~invalid & eligible & ~reviewed
-    c = first_wins(c, cand, ["request_id"], small)
+    c = first_wins(c, cand, ["request_id"])
     out = _decide(c, [(invalid, "invalid"), (~eligible | reviewed | F.col("_dup"), "save_failed")])
     return out.select("command_id", "client_id", "request_id", "provider_id",
                       F.col("rating").cast("int").alias("rating"), "comment", "status", "reason")
@@ -225,33 +218,35 @@ def validate_review(t: Tables, cmds: DataFrame) -> DataFrame:
 def validate_promotion(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA8: blank title or dates, type not percent/fixed, value <= 0 ->
     invalid (start <= end and percent <= 100 are not checked, as in the
-    reference); a value beyond DECIMAL(10,2) -> create_failed."""
+    reference); a value beyond DECIMAL(10,2) or a date that does not parse ->
+    create_failed (the insert fails). Dates come out typed."""
     c = cmds.select("command_id", "provider_id", php_trim("title").alias("title"),
                     php_trim(F.coalesce(F.col("discount_type"), F.lit("percent"))).alias("discount_type"),
                     php_float("discount_value").alias("_value"),
                     php_trim("start_date").alias("start_date"), php_trim("end_date").alias("end_date"))
     invalid = ((F.col("title") == "") | ~F.col("discount_type").isin("percent", "fixed")
                | (F.col("_value") <= 0) | (F.col("start_date") == "") | (F.col("end_date") == ""))
-    unfit = F.col("_value").try_cast("decimal(10,2)").isNull()
+    unfit = (F.col("_value").try_cast("decimal(10,2)").isNull()
+             | parse_date("start_date").isNull() | parse_date("end_date").isNull())
     out = _decide(c, [(invalid, "invalid"), (unfit, "create_failed")])
     return out.select("command_id", "provider_id", "title", "discount_type",
                       F.when(F.col("status") == "accepted", F.col("_value").try_cast("decimal(10,2)")).alias("discount_value"),
-                      "start_date", "end_date", "status", "reason")
+                      parse_date("start_date").alias("start_date"), parse_date("end_date").alias("end_date"),
+                      "status", "reason")
 
 
 # ---------------------------------------------------------------- VA9
 def validate_toggle(t: Tables, cmds: DataFrame) -> DataFrame:
-    """VA9: promotion id <= 0 -> ignored (no message); not the provider's
+    """VA9: promotion id absent or <= 0 -> ignored (no message); not the provider's
     promotion -> status_update_failed; a value equal to the current one
     (0 affected rows) -> status_update_failed. Toggles of one promotion
     apply in order: the current value before a toggle is the value set by
     the previous owner toggle (``lag``), else the table's."""
-    c = cmds.select("command_id", "event_time", "provider_id", "promotion_id",
+    c = cmds.select("command_id", "event_time", "provider_id", or_zero("promotion_id"),
                     php_int("active").alias("active"))
-    small = batch_is_small(cmds)
     promo = restrict(t.promotions.select(F.col("id").alias("promotion_id"), F.col("provider_id").alias("_owner"),
                                          F.col("is_active").cast("bigint").alias("_cur")),
-                     ["promotion_id"], c.select("promotion_id"), small)
+                     ["promotion_id"], c.select("promotion_id"))
     c = c.join(promo, "promotion_id", "left")
     ignored = F.col("promotion_id") <= 0
     owner = F.coalesce(F.col("_owner") == F.col("provider_id"), F.lit(False)) & ~ignored
@@ -263,19 +258,15 @@ def validate_toggle(t: Tables, cmds: DataFrame) -> DataFrame:
                       (~F.col("_owner_ok") | (F.col("active") == F.col("_before")), "status_update_failed")])
     out = out.withColumn("status", F.when(ignored, F.lit("ignored")).otherwise(F.col("status"))) \
              .withColumn("reason", F.when(ignored, F.lit(None).cast("string")).otherwise(F.col("reason")))
-    return out.select("command_id", "provider_id", "promotion_id", "active", "status", "reason")
+    return out.select("command_id", "event_time", "provider_id", "promotion_id", "active", "status", "reason")
 
 
-def apply_toggles(t: Tables, results: DataFrame, cmds: DataFrame | None = None) -> DataFrame:
-    """ST-F: the promotions snapshot after accepted toggles (last one wins)."""
-    ok = results.where(F.col("status") == "accepted").select("command_id", "promotion_id", "active")
-    if cmds is not None:
-        ok = ok.join(cmds.select("command_id", "event_time"), "command_id")
-    else:
-        ok = ok.withColumn("event_time", F.lit(None).cast("timestamp_ntz"))
+def apply_toggles(t: Tables, results: DataFrame) -> DataFrame:
+    """ST-F: the promotions snapshot after accepted toggles (the last by time wins)."""
+    ok = results.where(F.col("status") == "accepted").select("command_id", "event_time", "promotion_id", "active")
     last = ok.groupBy("promotion_id").agg(
         F.max_by("active", F.struct("event_time", "command_id")).alias("_new"))
-    last = checked_broadcast(last)
+    last = (last)
     p = t.promotions
     j = p.join(last, p["id"] == last["promotion_id"], "left")
     return j.withColumn("is_active", F.coalesce(F.col("_new").cast("int"), F.col("is_active"))) \

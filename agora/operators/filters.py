@@ -18,15 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.config import BROADCAST_MAX_ROWS
-from agora.sources.tables import Tables, proven_small
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if measuring it (one distributed aggregation)
-    proves it small in rows and bytes; otherwise return it unchanged (the
-    planner shuffles, AQE may still demote with measured sizes)."""
-    return F.broadcast(df) if proven_small(df, max_rows) else df
+from agora.sources.tables import Tables
 
 
 def only(df: DataFrame, col: str, ids: DataFrame | None) -> DataFrame:
@@ -34,7 +26,7 @@ def only(df: DataFrame, col: str, ids: DataFrame | None) -> DataFrame:
     call of the reference is ``ids`` with one row). No-op for ``None``."""
     if ids is None:
         return df
-    k = checked_broadcast(ids.select(F.col(ids.columns[0]).alias("_only")).distinct())
+    k = ids.select(F.col(ids.columns[0]).alias("_only")).distinct()
     return df.join(k, df[col] == k["_only"], "left_semi")
 
 

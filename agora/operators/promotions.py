@@ -73,9 +73,10 @@ def with_promotion(sales: DataFrame, promotions: DataFrame) -> DataFrame:
 
 
 def priced(sales: DataFrame, price_col: str = "price") -> DataFrame:
-    """FN8 on sales carrying a promotion: discount and final price."""
+    """FN8 on sales carrying a promotion: discount and final price; both are
+    NULL where the discount does not fit its column."""
     d = M.promotion_discount(price_col, "discount_type", "discount_value")
-    return (sales.withColumn("discount_amount", F.coalesce(d, F.lit(0).cast("decimal(10,2)")))
+    return (sales.withColumn("discount_amount", d)
                  .withColumn("final_price", M.final_price(price_col, "discount_amount")))
 
 

@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.filters import checked_broadcast
 from agora.sources import schemas as S
 from agora.sources.tables import TABLE_NAMES, Tables
 
@@ -161,7 +160,7 @@ def erase_users(t: Tables, erased_ids: DataFrame) -> Tables:
     promotions by provider; transactions by request) and SET NULL on
     ``service_requests.selected_provider_id``. Rows whose parent was
     already missing are left alone (only deleted parents cascade)."""
-    e = checked_broadcast(erased_ids.select(F.col("id").alias("_e")).distinct())
+    e = (erased_ids.select(F.col("id").alias("_e")).distinct())
 
     def drop_by(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
         return df.join(ids, df[col] == ids[ids.columns[0]], "left_anti")

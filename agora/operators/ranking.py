@@ -6,16 +6,15 @@ table. The helpers here keep exact results while splitting hot owners:
 
 * :func:`rank_within` — exact ``row_number`` per owner. A per-owner count
   (partial aggregation) finds the hot owners (more than ``HOT_ROWS`` rows;
-  at most rows / ``HOT_ROWS`` of them, so their list is small and
-  broadcast). Cold owners get the plain window. A hot owner's rows are cut
-  into ranges of its own sort order: a seeded sample of about
-  ``splits * 50`` of its rows is ranked (small), every 50th sampled row
-  becomes a split point, and a row's range is the number of split points
-  before it in the order. Ranges are monotone in the order and hold about
-  rows / ``splits`` rows each, even when every row shares one timestamp
-  (the id is part of the order). Range counts (at most ``splits + 1`` per
-  owner) give each range's offset, and the final ``row_number`` runs per
-  (owner, range) plus the offset.
+  at most rows / ``HOT_ROWS`` of them). Cold owners get the plain window. A
+  hot owner's rows are cut into ranges of its own sort order: rows chosen by
+  a hash of their order columns are ranked (few), every 50th of them becomes
+  a split point, and a row's range is the number of split points before it
+  in the order. Ranges are monotone in the order and hold about RANGE_ROWS
+  rows each, whatever the owner's size and even when every row shares one
+  timestamp (the id is part of the order). Range counts give each range's
+  offset, and the final ``row_number`` runs per (owner, range) plus the
+  offset.
 * :func:`top_k_within` — first ``k`` rows per owner through ``row_number
   <= k``, which Spark plans as ``WindowGroupLimit``: each map task keeps at
   most ``k`` rows per owner before the shuffle.
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 Order = list[tuple[str, bool]]
 SAMPLE_PER_SPLIT = 50
-SEED = 17
+RANGE_ROWS = 50_000  # rows of a hot owner that one task sorts, about
 
 
 def order_columns(order: Order) -> list[Column]:
@@ -57,48 +56,45 @@ def _before(cut: Column, order: Order) -> Column:
 def split_hot(df: DataFrame, owner: list[str], hot_rows: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(cold rows, hot rows with ``_n`` = their owner's row count, or None
     when no owner is hot): hot owners hold more than ``hot_rows`` rows. The
-    hot-owner list is at most rows / hot_rows long; it is measured and
-    broadcast when small."""
-    from agora.config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, HOT_ROWS
-    from agora.sources.tables import measure
+    hot-owner list is at most rows / hot_rows long."""
+    from agora.config import HOT_ROWS
 
     limit = HOT_ROWS if hot_rows is None else hot_rows
     hot = df.groupBy(*owner).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    n, b = measure(hot)
-    if n == 0:
+    if hot.isEmpty():
         return df, None
-    if n <= BROADCAST_MAX_ROWS and b <= BROADCAST_MAX_BYTES:
-        hot = F.broadcast(hot)
     return df.join(hot.select(*owner), owner, "left_anti"), df.join(hot, owner, "inner")
 
 
-def order_ranges(hot: DataFrame, owner: list[str], order: Order, splits: int) -> DataFrame:
+def order_ranges(hot: DataFrame, owner: list[str], order: Order, range_rows: int) -> DataFrame:
     """Add ``_bkt`` to a hot owner's rows: the number of sampled split
-    points before the row in ``order`` (monotone along the order)."""
-    from agora.operators.filters import checked_broadcast
-
-    target = splits * SAMPLE_PER_SPLIT
-    sample = hot.where(F.rand(SEED) < F.lit(float(target)) / F.col("_n"))
+    points before the row in ``order`` (monotone along the order).
+
+    Split points are chosen by a hash of the order columns, so each
+    evaluation finds the same ones; there is one for about ``range_rows`` rows,
+    whatever an owner's size."""
+    spread = 1 << 30
+    chosen = F.pmod(F.xxhash64(*owner, *[F.col(c) for c, _ in order]), F.lit(spread))
+    sample = hot.where(chosen < int(spread * min(1.0, SAMPLE_PER_SPLIT / range_rows)))
     w = Window.partitionBy(*owner).orderBy(*order_columns(order))
     cuts = (sample.withColumn("_r", F.row_number().over(w))
                   .where(F.col("_r") % SAMPLE_PER_SPLIT == 0)
                   .groupBy(*owner)
                   .agg(F.collect_list(F.struct(*[F.col(c) for c, _ in order])).alias("_cuts")))
-    cuts = checked_broadcast(cuts)  # hot owners x splits points
     b = hot.join(cuts, owner, "left")
     return (b.withColumn("_bkt", F.coalesce(F.size(F.filter("_cuts", lambda c: _before(c, order))), F.lit(0)))
              .drop("_cuts"))
 
 
 def rank_within(df: DataFrame, owner: list[str], order: Order, name: str = "rank",
-                hot_rows: int | None = None, splits: int = 200) -> DataFrame:
+                hot_rows: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Exact ``row_number()`` over ``owner`` in ``order`` (total) without
     any task holding a hot owner's rows."""
     cold, hot = split_hot(df, owner, hot_rows)
     plain = cold.withColumn(name, F.row_number().over(Window.partitionBy(*owner).orderBy(*order_columns(order))))
     if hot is None:
         return plain
-    b = order_ranges(hot, owner, order, splits).drop("_n")
+    b = order_ranges(hot, owner, order, range_rows).drop("_n")
     counts = b.groupBy(*owner, "_bkt").agg(F.count(F.lit(1)).alias("_c"))
     wo = Window.partitionBy(*owner).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*owner, "_bkt", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
@@ -115,24 +111,18 @@ def top_k_within(df: DataFrame, owner: list[str], order: list[Column], k: int,
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str], flag: str,
-                  known_small: bool | None = None) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
     """Add boolean ``flag``: the row is the smallest by ``order`` (a total
-    order, ascending) among the rows of its key. ``known_small`` says the
-    input is already proven small (no second count)."""
-    from agora.operators.filters import checked_broadcast
-
+    order, ascending) among the rows of its key."""
     o = F.struct(*[F.col(c) for c in order])
-    # one row per key: broadcast when proven small, so a hot key's rows
-    # never meet in one join task; beyond the bound AQE splits skew
+    # one row per key: AQE broadcasts them where small and splits a hot key's rows where not
     firsts = df.groupBy(*keys).agg(F.min(o).alias("_first"))
-    firsts = F.broadcast(firsts) if known_small else checked_broadcast(firsts)
     j = df.join(firsts, keys, "left")
     return j.withColumn(flag, F.coalesce(o == F.col("_first"), F.lit(False))).drop("_first")
 
 
 def previous_within(df: DataFrame, owner: list[str], order: Order, value: str, name: str,
-                    hot_rows: int | None = None, splits: int = 200) -> DataFrame:
+                    hot_rows: int | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``lag(value)`` per owner along ``order`` (total). Cold owners use the
     plain window; a hot owner's rows are cut into order ranges: the first
     row of a range takes the last value of the nearest earlier non-empty
@@ -142,7 +132,7 @@ def previous_within(df: DataFrame, owner: list[str], order: Order, value: str, n
     plain = cold.withColumn(name, F.lag(value).over(w))
     if hot is None:
         return plain
-    b = order_ranges(hot, owner, order, splits).drop("_n")
+    b = order_ranges(hot, owner, order, range_rows).drop("_n")
     o = F.struct(*[F.col(c) for c, _ in order])
     if any(d for _, d in order):
         raise ValueError("previous_within expects an ascending order")

@@ -13,11 +13,11 @@ command per request) is frozen and all four outputs derive from it:
   the provider's promotion in force on the accept date applied (FN8).
 * ST-E atomicity — :func:`publish` writes the four outputs into a fresh
   snapshot folder and the manifest last; readers only trust a folder with
-  a manifest, so a failed job leaves nothing half-visible.
+  a manifest (``Tables.from_published``), so a failed job leaves nothing
+  half-visible.
 
-The accepted set is small relative to the tables. When measuring it proves
-it small, the snapshot rewrites join it broadcast and do not shuffle
-``bids``/``requests``; otherwise they fall back to a shuffle join.
+The snapshot rewrites join the accepted set; AQE broadcasts it where its
+measured size allows and splits skewed keys where not.
 """
 
 from __future__ import annotations
@@ -28,30 +28,40 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.operators.commands import _decide, batch_is_small, checked_broadcast, first_wins, restrict
+from agora.operators.commands import _decide, first_wins, restrict
 from agora.operators.promotions import priced, with_promotion
 from agora.sources.tables import Tables
 
 
 def validate_accept(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA4: request not the client's, bid not of that request, or request
-    not open -> cannot_accept; a later accept of an already accepted
-    request in the same batch -> accept_failed (the unique keys on
-    conversations/transactions roll it back)."""
+    not open -> cannot_accept; a request that already has a conversation or a
+    transaction (table or earlier in the batch), or a discount or final price
+    that does not fit its column -> accept_failed (the insert fails and this
+    accept alone rolls back)."""
     c = cmds.select("command_id", "event_time", "client_id", "request_id", "bid_id")
-    small = batch_is_small(cmds)
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("client_id").alias("_owner"),
                                              F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"), small)
+                   ["request_id"], c.select("request_id"))
     c = c.join(req, "request_id", "left")
     bids = restrict(t.bids.select(F.col("id").alias("bid_id"), F.col("request_id").alias("_brq"),
                                   F.col("provider_id").alias("_bprov"), F.col("price").alias("_bprice")),
-                    ["bid_id"], c.select("bid_id"), small)
+                    ["bid_id"], c.select("bid_id"))
     c = c.join(bids, "bid_id", "left")
     ok = F.coalesce((F.col("_owner") == F.col("client_id")) & (F.col("_brq") == F.col("request_id"))
                     & (F.col("_rstatus") == "open"), F.lit(False))
-    c = first_wins(c, ok, ["request_id"], small)
-    out = _decide(c, [(~ok, "cannot_accept"), (F.col("_dup"), "accept_failed")])
+    taken = restrict(t.mkt_conversations.select("request_id").unionByName(t.transactions.select("request_id")),
+                     ["request_id"], c.select("request_id")).distinct().withColumn("_taken", F.lit(True))
+    c = c.join(taken, "request_id", "left").withColumn("_ok", ok)
+    sales = c.where("_ok").select("command_id", F.col("_bprov").alias("provider_id"), F.col("_bprice").alias("price"),
+                                  F.to_date("event_time").alias("sale_date"))
+    unfit = priced(with_promotion(sales, t.promotions)).where(
+        F.col("discount_amount").isNull() | F.col("final_price").isNull()).select("command_id", F.lit(True).alias("_unfit"))
+    c = c.join(unfit, "command_id", "left")
+    fails = F.coalesce(F.col("_taken"), F.lit(False)) | F.coalesce(F.col("_unfit"), F.lit(False))
+    c = c.withColumn("_fails", fails)
+    c = first_wins(c, F.col("_ok") & ~F.col("_fails"), ["request_id"])
+    out = _decide(c, [(~F.col("_ok"), "cannot_accept"), (F.col("_fails") | F.col("_dup"), "accept_failed")])
     return out.select("command_id", "event_time", "client_id", "request_id", "bid_id",
                       F.col("_bprov").alias("provider_id"), F.col("_bprice").alias("price"),
                       "status", "reason")
@@ -65,7 +75,7 @@ def accepted_set(results: DataFrame) -> DataFrame:
 
 def settle_bids(t: Tables, acc: DataFrame) -> DataFrame:
     """ST-A: the bids snapshot after settlement."""
-    a = checked_broadcast(acc.select(F.col("request_id").alias("_rq"), F.col("bid_id").alias("_win")))
+    a = (acc.select(F.col("request_id").alias("_rq"), F.col("bid_id").alias("_win")))
     b = t.bids
     j = b.join(a, b["request_id"] == a["_rq"], "left")
     status = (F.when(F.col("_rq").isNull(), F.col("status"))
@@ -76,7 +86,7 @@ def settle_bids(t: Tables, acc: DataFrame) -> DataFrame:
 
 def settle_requests(t: Tables, acc: DataFrame) -> DataFrame:
     """ST-B: the requests snapshot after settlement."""
-    a = checked_broadcast(acc.select(F.col("request_id").alias("_rq"), F.col("bid_id").alias("_bid"),
+    a = (acc.select(F.col("request_id").alias("_rq"), F.col("bid_id").alias("_bid"),
                                      F.col("provider_id").alias("_prov")))
     r = t.service_requests
     j = r.join(a, r["id"] == a["_rq"], "left")

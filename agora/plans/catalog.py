@@ -48,9 +48,9 @@ def _settled(part: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = load(spark, sf_dir)
         with _SETTLE_LOCK:
-            s = _SETTLED.get(id(t))
-            if s is None:
-                s = _SETTLED[id(t)] = settlement.settle(t, load_batch(t, "accept_commands"))
+            if id(t) not in _SETTLED:  # holds t, so that its id stays its own
+                _SETTLED[id(t)] = t, settlement.settle(t, load_batch(t, "accept_commands"))
+            s = _SETTLED[id(t)][1]
         return getattr(s, part)
     run.__name__ = f"settle_{part}"
     run.__doc__ = settlement.__doc__

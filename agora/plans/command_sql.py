@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from agora.functions.text import PHP_NUMERIC_PREFIX
-from agora.plans.sqlkit import oracle
+from agora.plans.sqlkit import oracle, real
 from agora.sources.commands import duckdb_ctes
 
 CMDS = duckdb_ctes()
@@ -44,32 +44,39 @@ LEFT JOIN (
   JOIN promotions p ON p.provider_id = s2.provider_id AND p.is_active = 1
    AND s2.sale_date BETWEEN p.start_date AND p.end_date) p ON p.k = s.{key} AND p.rn = 1"""
 
-DISCOUNT = """CAST(CASE WHEN discount_type = 'percent' THEN round(price * discount_value * 0.01, 2)
+DISCOUNT = """TRY_CAST(CASE WHEN discount_type = 'percent' THEN round(price * discount_value * 0.01, 2)
                  WHEN discount_type = 'fixed' THEN least(discount_value, price)
                  ELSE 0 END AS DECIMAL(10,2))"""
 
 ACCEPT = """acc_checked AS (
   SELECT c.command_id, c.event_time, c.client_id, c.request_id, c.bid_id,
          b.provider_id, b.price,
-         COALESCE(r.client_id = c.client_id AND b.request_id = c.request_id AND r.status = 'open', false) AS ok
+         COALESCE(r.client_id = c.client_id AND b.request_id = c.request_id AND r.status = 'open', false) AS ok,
+         CAST(c.event_time AS DATE) AS sale_date,
+         c.request_id IN (SELECT request_id FROM mkt_conversations UNION SELECT request_id FROM transactions) AS taken
   FROM accept_commands c
   LEFT JOIN service_requests r ON r.id = c.request_id
   LEFT JOIN bids b ON b.id = c.bid_id),
+acc_candidates AS (SELECT * FROM acc_checked WHERE ok),
+acc_unfit AS (SELECT command_id FROM (__PROMO__) u WHERE __DISCOUNT__ IS NULL),
+acc_tested AS (SELECT *, COALESCE(taken, false) OR command_id IN (SELECT command_id FROM acc_unfit) AS fails FROM acc_checked),
 acc_res AS (
   SELECT command_id, event_time, client_id, request_id, bid_id, provider_id, price,
          CASE WHEN NOT ok THEN 'cannot_accept'
-              WHEN ok AND row_number() OVER (PARTITION BY request_id, ok ORDER BY event_time, command_id) > 1
+              WHEN fails OR row_number() OVER (PARTITION BY request_id, ok AND NOT fails ORDER BY event_time, command_id) > 1
               THEN 'accept_failed' END AS reason
-  FROM acc_checked),
+  FROM acc_tested),
 acc AS (SELECT * FROM acc_res WHERE reason IS NULL),
 acc_sales AS (SELECT command_id, request_id, provider_id, price, event_time,
                      CAST(event_time AS DATE) AS sale_date FROM acc)"""
 
+ACCEPT = ACCEPT.replace("__PROMO__", PROMO_WIN.format(sales="acc_candidates", key="command_id")).replace("__DISCOUNT__", DISCOUNT)
+
 SQL = {
     "promotion_asof": oracle(f"""
 SELECT request_id, provider_id, sale_date, price, promotion_id, discount_type, discount_value,
        {DISCOUNT} AS discount_amount,
-       CAST(greatest(price - {DISCOUNT}, 0) AS DECIMAL(10,2)) AS final_price
+       CASE WHEN {DISCOUNT} IS NOT NULL THEN CAST(greatest(price - {DISCOUNT}, 0) AS DECIMAL(10,2)) END AS final_price
 FROM ({PROMO_WIN.format(sales='sales', key='request_id')}) x""", """sales AS (
 SELECT r.id AS request_id, b.provider_id, b.price, CAST(r.created_at AS DATE) AS sale_date
 FROM service_requests r JOIN bids b ON b.id = r.selected_bid_id)"""),
@@ -95,7 +102,7 @@ SELECT command_id AS id, request_id, client_id, provider_id, event_time AS creat
 
     "promotion_settlement": q(f"""
 SELECT command_id AS id, request_id, price AS original_price, {DISCOUNT} AS discount_amount,
-       CAST(greatest(price - {DISCOUNT}, 0) AS DECIMAL(10,2)) AS final_price,
+       CASE WHEN {DISCOUNT} IS NOT NULL THEN CAST(greatest(price - {DISCOUNT}, 0) AS DECIMAL(10,2)) END AS final_price,
        event_time AS created_at, promotion_id
 FROM ({PROMO_WIN.format(sales='acc_sales', key='command_id')}) x""", ACCEPT),
 
@@ -138,12 +145,15 @@ FROM (SELECT *, CASE WHEN invalid THEN 'invalid_bid_data' WHEN not_open THEN 're
             FROM (SELECT *, TRY_CAST(price_v AS DECIMAL(10,2)) IS NULL OR TRY_CAST(dur AS INTEGER) IS NULL AS unfit
             FROM (SELECT c.command_id, c.event_time, c.request_id, c.provider_id,
                          {fl('c.price')} AS price_v, {it('c.duration_days')} AS dur, {trim('c.details')} AS details,
-                         (c.request_id <= 0 OR {fl('c.price')} <= 0 OR {it('c.duration_days')} <= 0
+                         (c.request_id = 0 OR {fl('c.price')} <= 0 OR {it('c.duration_days')} <= 0
                           OR {trim('c.details')} = '') AS invalid,
                          COALESCE(r.status <> 'open', true) AS not_open,
                          EXISTS (SELECT 1 FROM bids b WHERE b.request_id = c.request_id
                                  AND b.provider_id = c.provider_id) AS has
-                  FROM bid_commands c LEFT JOIN service_requests r ON r.id = c.request_id) a0) a) b) x"""),
+                  FROM (SELECT * REPLACE (CASE WHEN COALESCE(request_id, 0) > 0 THEN request_id ELSE COALESCE((
+                          SELECT max_by(o.id, (o.created_at, o.id)) FROM service_requests o JOIN users ou ON ou.id = o.client_id
+                          WHERE o.status = 'open' AND {real('ou')}), 0) END AS request_id) FROM bid_commands) c
+                  LEFT JOIN service_requests r ON r.id = c.request_id) a0) a) b) x"""),
 
     "complete_commands": q(f"""
 SELECT command_id, client_id, request_id, {status()}, reason
@@ -152,7 +162,7 @@ FROM (SELECT *, CASE WHEN invalid THEN 'invalid_request'
       FROM (SELECT *, NOT invalid AND NOT fails AS cand
             FROM (SELECT c.*, c.request_id <= 0 AS invalid,
                          COALESCE(r.client_id <> c.client_id OR r.status <> 'in_progress', true) AS fails
-                  FROM complete_commands c LEFT JOIN service_requests r ON r.id = c.request_id) a) b) x"""),
+                  FROM (SELECT * REPLACE (COALESCE(request_id, 0) AS request_id) FROM complete_commands) c LEFT JOIN service_requests r ON r.id = c.request_id) a) b) x"""),
 
     "message_commands": q(f"""
 SELECT command_id, conversation_id, sender_id, body, event_time, {status()}, reason
@@ -174,15 +184,17 @@ FROM (SELECT *, CASE WHEN invalid THEN 'invalid'
                          COALESCE(r.client_id = c.client_id AND r.selected_provider_id = c.provider_id
                                   AND r.status = 'completed', false) AS eligible,
                          EXISTS (SELECT 1 FROM reviews rv WHERE rv.request_id = c.request_id) AS reviewed
-                  FROM review_commands c LEFT JOIN service_requests r ON r.id = c.request_id) a) b) x"""),
+                  FROM (SELECT * REPLACE (COALESCE(request_id, 0) AS request_id, COALESCE(provider_id, 0) AS provider_id)
+                        FROM review_commands) c LEFT JOIN service_requests r ON r.id = c.request_id) a) b) x"""),
 
     "promotion_commands": q(f"""
 SELECT command_id, provider_id, title, discount_type,
        CASE WHEN reason IS NULL THEN CAST(value_v AS DECIMAL(10,2)) END AS discount_value,
-       start_date, end_date, {status()}, reason
+       TRY_CAST(start_date AS DATE) AS start_date, TRY_CAST(end_date AS DATE) AS end_date, {status()}, reason
 FROM (SELECT *, CASE WHEN title = '' OR discount_type NOT IN ('percent', 'fixed') OR value_v <= 0
                           OR start_date = '' OR end_date = '' THEN 'invalid'
-                     WHEN TRY_CAST(value_v AS DECIMAL(10,2)) IS NULL THEN 'create_failed' END AS reason
+                     WHEN TRY_CAST(value_v AS DECIMAL(10,2)) IS NULL OR TRY_CAST(start_date AS DATE) IS NULL
+                          OR TRY_CAST(end_date AS DATE) IS NULL THEN 'create_failed' END AS reason
       FROM (SELECT command_id, provider_id, {trim('title')} AS title,
                    {trim("coalesce(discount_type, 'percent')")} AS discount_type,
                    {fl('discount_value')} AS value_v, {trim('start_date')} AS start_date,
@@ -190,7 +202,7 @@ FROM (SELECT *, CASE WHEN title = '' OR discount_type NOT IN ('percent', 'fixed'
             FROM promotion_commands) a) b"""),
 
     "toggle_commands": q("""
-SELECT command_id, provider_id, promotion_id, active,
+SELECT command_id, event_time, provider_id, promotion_id, active,
        CASE WHEN promotion_id <= 0 THEN 'ignored' WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status,
        reason
 FROM (SELECT *, CASE WHEN promotion_id <= 0 THEN NULL
@@ -200,7 +212,7 @@ FROM (SELECT *, CASE WHEN promotion_id <= 0 THEN NULL
             FROM (SELECT c.command_id, c.event_time, c.provider_id, c.promotion_id, ACTIVE_INT AS active,
                          CAST(p.is_active AS BIGINT) AS cur,
                          COALESCE(p.provider_id = c.provider_id, false) AND c.promotion_id > 0 AS owner
-                  FROM toggle_commands c LEFT JOIN promotions p ON p.id = c.promotion_id) a) b) x""".replace(
+                  FROM (SELECT * REPLACE (COALESCE(promotion_id, 0) AS promotion_id) FROM toggle_commands) c LEFT JOIN promotions p ON p.id = c.promotion_id) a) b) x""".replace(
         "ACTIVE_INT", it("c.active"))),
 }
 

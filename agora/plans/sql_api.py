@@ -28,14 +28,14 @@ def register_views(t: Tables, suffix: str) -> dict[str, str]:
 
 
 CATEGORY_SALES = """
-SELECT r.category, COUNT(*) AS requests_count,
+SELECT min(r.category) AS category, COUNT(*) AS requests_count,
        CAST(COALESCE(SUM(t.final_price), 0) AS DECIMAL(20,2)) AS revenue
 FROM {service_requests} r
 LEFT SEMI JOIN {real_users} client ON client.id = r.client_id
 LEFT JOIN {transactions} t ON t.request_id = r.id
 LEFT ANTI JOIN {demo_users} demo ON demo.id = r.selected_provider_id
-GROUP BY r.category
-ORDER BY revenue DESC, requests_count DESC, r.category
+GROUP BY lower(rtrim(r.category))
+ORDER BY revenue DESC, requests_count DESC, category
 LIMIT :k"""
 
 ACTIVE_PROMOTIONS = """

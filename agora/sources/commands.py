@@ -87,7 +87,8 @@ FROM {service_requests} r
     "bid_commands": """
 SELECT CAST(b.id * 10 + b.k AS BIGINT) AS command_id,
        CAST(b.created_at + INTERVAL 1 DAY * b.k AS {ts}) AS event_time,
-       CASE WHEN b.id % 37 = 0 THEN CAST(0 AS BIGINT) ELSE b.request_id END AS request_id,
+       CASE WHEN b.id % 37 = 0 THEN CAST(0 AS BIGINT) WHEN b.id % 41 = 0 THEN CAST(NULL AS BIGINT)
+            ELSE b.request_id END AS request_id,
        CASE WHEN b.id % 3 = 0 THEN b.provider_id
             ELSE CAST(1000001 + ((b.provider_id - 1000001 + 1) % (SELECT COUNT(*) FROM {users} WHERE role = 'provider')) AS BIGINT)
        END AS provider_id,
@@ -104,16 +105,14 @@ SELECT CAST(b.id AS BIGINT) AS command_id,
        CASE WHEN b.id % 23 = 0 THEN b.id + 1 ELSE b.id END AS bid_id
 FROM {bids} b
 JOIN {service_requests} r ON r.id = b.request_id
-WHERE (r.status = 'open' AND b.id % 3 <> 2) OR (r.status = 'in_progress' AND b.id % 50 = 0)
 """,
     "complete_commands": """
 SELECT CAST(r.id * 10 + r.k AS BIGINT) AS command_id,
        CAST(r.created_at + INTERVAL 30 DAY + INTERVAL 1 DAY * r.k AS {ts}) AS event_time,
        CASE WHEN r.id % 6 = 0 THEN r.client_id + 1 ELSE r.client_id END AS client_id,
-       CASE WHEN r.id % 29 = 0 THEN CAST(0 AS BIGINT) ELSE r.id END AS request_id
+       CASE WHEN r.id % 29 = 0 THEN CAST(0 AS BIGINT) WHEN r.id % 31 = 0 THEN CAST(NULL AS BIGINT) ELSE r.id END AS request_id
 FROM (SELECT *, 0 AS k FROM {service_requests} UNION ALL
       SELECT *, 1 AS k FROM {service_requests} WHERE id % 8 = 0) r
-WHERE r.status = 'in_progress' OR (r.status = 'completed' AND r.id % 10 = 0)
 """,
     "message_commands": """
 SELECT CAST(m.id AS BIGINT) AS command_id,
@@ -127,13 +126,12 @@ FROM {messages} m
 SELECT CAST(r.id * 10 + r.k AS BIGINT) AS command_id,
        CAST(r.created_at + INTERVAL 20 DAY + INTERVAL 1 DAY * r.k AS {ts}) AS event_time,
        CASE WHEN r.id % 9 = 0 THEN r.client_id + 1 ELSE r.client_id END AS client_id,
-       CASE WHEN r.id % 41 = 0 THEN CAST(0 AS BIGINT) ELSE r.id END AS request_id,
+       CASE WHEN r.id % 41 = 0 THEN CAST(0 AS BIGINT) WHEN r.id % 43 = 0 THEN CAST(NULL AS BIGINT) ELSE r.id END AS request_id,
        CASE WHEN r.id % 5 = 0 THEN r.selected_provider_id + 1 ELSE r.selected_provider_id END AS provider_id,
        CAST(r.id % 7 AS VARCHAR(10)) || CASE WHEN r.id % 2 = 0 THEN ' stars' ELSE '' END AS rating,
        CASE WHEN r.id % 13 = 0 THEN '' ELSE 'Comment ' || CAST(r.id AS VARCHAR(20)) END AS comment
 FROM (SELECT *, 0 AS k FROM {service_requests} UNION ALL
       SELECT *, 1 AS k FROM {service_requests} WHERE id % 4 = 0) r
-WHERE r.status IN ('completed', 'in_progress') AND r.selected_provider_id IS NOT NULL
 """,
     "promotion_commands": """
 SELECT CAST(p.id AS BIGINT) AS command_id,
@@ -142,7 +140,7 @@ SELECT CAST(p.id AS BIGINT) AS command_id,
        CASE WHEN p.id % 5 = 0 THEN ' ' ELSE p.title END AS title,
        CASE WHEN p.id % 7 = 0 THEN 'bogus' WHEN p.id % 3 = 0 THEN ' ' || p.discount_type ELSE p.discount_type END AS discount_type,
        CASE WHEN p.id % 9 = 0 THEN '0' ELSE CAST(p.discount_value AS VARCHAR(30)) END AS discount_value,
-       CASE WHEN p.id % 11 = 0 THEN '' ELSE CAST(p.start_date AS VARCHAR(20)) END AS start_date,
+       CASE WHEN p.id % 11 = 0 THEN '' WHEN p.id % 13 = 0 THEN 'notadate' ELSE CAST(p.start_date AS VARCHAR(20)) END AS start_date,
        CAST(p.end_date AS VARCHAR(20)) AS end_date
 FROM {promotions} p
 """,
@@ -150,12 +148,11 @@ FROM {promotions} p
 SELECT CAST(p.id * 10 + p.k AS BIGINT) AS command_id,
        CAST(DATE '2001-07-01' + CAST(p.k AS INTEGER) AS {ts}) AS event_time,
        CASE WHEN p.id % 7 = 0 THEN p.provider_id + 1 ELSE p.provider_id END AS provider_id,
-       CASE WHEN p.id % 13 = 0 THEN CAST(0 AS BIGINT) ELSE p.id END AS promotion_id,
+       CASE WHEN p.id % 13 = 0 THEN CAST(0 AS BIGINT) WHEN p.id % 17 = 0 THEN CAST(NULL AS BIGINT) ELSE p.id END AS promotion_id,
        CASE WHEN p.id % 5 = 0 THEN CAST(p.is_active AS VARCHAR(5))
             WHEN p.k = 1 THEN CAST(p.is_active AS VARCHAR(5))
             ELSE CAST(1 - p.is_active AS VARCHAR(5)) END AS active
 FROM (SELECT *, 0 AS k FROM {promotions} UNION ALL SELECT *, 1 AS k FROM {promotions} WHERE id % 11 = 0) p
-WHERE p.id % 3 = 0 OR p.id % 5 = 0 OR p.id % 7 = 0
 """,
 }
 

@@ -28,8 +28,8 @@ STEPS: list[tuple[str, str]] = [
 SELECT CAST(c_custkey + 1 AS BIGINT) AS id,
        c_name AS name,
        'c' || CAST(c_custkey AS VARCHAR(20)) ||
-         CASE WHEN c_custkey % 10 = 0 THEN '@pmms.local'
-              WHEN c_custkey % 10 = 5 THEN '@PMMS.Local'
+         CASE WHEN c_custkey % 10 = 0 THEN '@demo.local'
+              WHEN c_custkey % 10 = 5 THEN '@Demo.Local'
               ELSE '@example.com' END AS email,
        'client' AS role,
        CAST(DATE '1994-01-01' + CAST(c_custkey % 365 AS INTEGER) AS {ts}) AS created_at
@@ -38,12 +38,12 @@ UNION ALL
 SELECT CAST(1000001 + s_suppkey AS BIGINT) AS id,
        s_name AS name,
        'p' || CAST(s_suppkey AS VARCHAR(20)) ||
-         CASE WHEN s_suppkey % 10 = 3 THEN '@pmms.local' ELSE '@example.com' END AS email,
+         CASE WHEN s_suppkey % 10 = 3 THEN '@demo.local' ELSE '@example.com' END AS email,
        'provider' AS role,
        CAST(DATE '1994-01-01' + CAST(s_suppkey % 365 AS INTEGER) AS {ts}) AS created_at
 FROM {supplier}
 UNION ALL
-SELECT CAST(2000001 AS BIGINT) AS id, 'Admin User' AS name, 'admin@pmms.local' AS email,
+SELECT CAST(2000001 AS BIGINT) AS id, 'Admin User' AS name, 'admin@demo.local' AS email,
        'admin' AS role, CAST(DATE '1994-01-01' AS {ts}) AS created_at
 """),
     ("bid_base", """
@@ -67,7 +67,8 @@ WHERE rn = 1
 SELECT CAST(o.o_orderkey + 1 AS BIGINT) AS id,
        CAST(o.o_custkey + 1 AS BIGINT) AS client_id,
        'Request ' || CAST(o.o_orderkey AS VARCHAR(20)) AS title,
-       c.c_mktsegment || '/' || substr(o.o_orderpriority, 1, 1) AS category,
+       CASE WHEN o.o_orderkey % 7 = 3 THEN lower(c.c_mktsegment) || '/' || substr(o.o_orderpriority, 1, 1) || ' '
+            ELSE c.c_mktsegment || '/' || substr(o.o_orderpriority, 1, 1) END AS category,
        CAST(o.o_totalprice AS DECIMAL(10,2)) AS budget,
        n.n_name AS location,
        CAST(o.o_orderdate AS DATE) + CAST(o.o_orderkey % 60 AS INTEGER) AS due_date,
@@ -98,13 +99,14 @@ SELECT CAST(p_partkey + 1 AS BIGINT) AS id,
        CAST(1000001 + p_partkey % (SELECT COUNT(*) FROM {supplier}) AS BIGINT) AS provider_id,
        p_name AS title,
        CASE WHEN p_size % 2 = 0 THEN 'percent' ELSE 'fixed' END AS discount_type,
-       CAST(CASE WHEN p_size % 2 = 0 AND p_partkey % 17 = 0 THEN CAST(150 AS DOUBLE)
+       CAST(CASE WHEN p_size % 2 = 0 AND p_partkey * 37 % 2500 BETWEEN 1340 AND 1400 THEN CAST(99999999 AS DOUBLE)
+                 WHEN p_size % 2 = 0 AND p_partkey % 17 = 0 THEN CAST(150 AS DOUBLE)
                  WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE)
                  ELSE p_retailprice END AS DECIMAL(10,2)) AS discount_value,
-       DATE '1995-01-01' + CAST(p_partkey * 37 % 2200 AS INTEGER) AS start_date,
-       DATE '1995-01-01' + CAST(p_partkey * 37 % 2200 + 90 + p_size AS INTEGER) AS end_date,
+       DATE '1995-01-01' + CAST(p_partkey * 37 % 2500 AS INTEGER) AS start_date,
+       DATE '1995-01-01' + CAST(p_partkey * 37 % 2500 + 90 + p_size AS INTEGER) AS end_date,
        CAST(CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 1 END AS INTEGER) AS is_active,
-       CAST(DATE '1994-12-01' + CAST(p_partkey * 37 % 2200 AS INTEGER) AS {ts}) AS created_at
+       CAST(DATE '1994-12-01' + CAST(p_partkey * 37 % 2500 AS INTEGER) AS {ts}) AS created_at
 FROM {part}
 """),
     ("sold", """
@@ -120,7 +122,7 @@ FROM (SELECT s.request_id, p.discount_type, p.discount_value,
                                 ORDER BY p.created_at DESC, p.id DESC) AS rn
       FROM {sold} s
       JOIN {promotions} p
-        ON p.provider_id = s.provider_id AND p.is_active = 1
+        ON p.provider_id = s.provider_id AND p.is_active = 1 AND p.discount_value < 99999999
        AND CAST(s.created_at AS DATE) BETWEEN p.start_date AND p.end_date) ranked
 WHERE rn = 1
 """),
@@ -147,10 +149,11 @@ FROM {service_requests} r
 WHERE r.status = 'completed' AND r.selected_provider_id IS NOT NULL AND r.id % 3 <> 0
 """),
     ("mkt_conversations", """
-SELECT r.id AS id, r.id AS request_id, r.client_id, r.selected_provider_id AS provider_id,
+SELECT r.id AS id, r.id AS request_id, r.client_id,
+       COALESCE(r.selected_provider_id, CAST(1000001 + r.id % (SELECT COUNT(*) FROM {supplier}) AS BIGINT)) AS provider_id,
        r.created_at
 FROM {service_requests} r
-WHERE r.selected_provider_id IS NOT NULL
+WHERE r.selected_provider_id IS NOT NULL OR (r.status = 'open' AND r.id % 17 = 0)
 """),
     ("messages", """
 SELECT CAST(t.conv_id * 1000 + t.turn AS BIGINT) AS id,
@@ -159,8 +162,9 @@ SELECT CAST(t.conv_id * 1000 + t.turn AS BIGINT) AS id,
        t.text AS body,
        CAST(CAST(c.created_at AS DATE) + CAST(t.turn AS INTEGER) AS {ts}) AS sent_at
 FROM {conversations} t
-JOIN {mkt_conversations} c ON c.request_id = t.conv_id + 1
-WHERE t.role IN ('user', 'assistant')
+JOIN (SELECT *, id % 16 AS g, row_number() OVER (PARTITION BY id % 16 ORDER BY id) - 1 AS k,
+             COUNT(*) OVER (PARTITION BY id % 16) AS n FROM {mkt_conversations}) c
+  ON c.g = t.conv_id % 16 AND c.k = CAST(floor(t.conv_id / 16) AS BIGINT) % c.n
 """),
 ]
 

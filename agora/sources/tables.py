@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import threading
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
-from pyspark.sql import types as T
-
-from agora.config import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, DEMO_DOMAIN, scratch_path
+from agora.config import DEMO_DOMAIN, scratch_path
 from agora.sources.schemas import SCHEMAS
 
 TABLE_NAMES = tuple(SCHEMAS)
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes) of ``df`` with one distributed aggregation (partial
-    count and byte sum per task, one row per task to the final step — no
-    rows are moved). Strings count their byte length, other columns 8."""
-    width = F.lit(0)
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            width = width + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
-        else:
-            width = width + F.lit(8)
-    r = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
-    return int(r["n"]), int(r["b"])
-
-
-def proven_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
-    """True when :func:`measure` shows at most ``max_rows`` rows and
-    ``max_bytes`` bytes (defaults: the broadcast bounds)."""
-    rows_cap = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    bytes_cap = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
-    n, b = measure(df)
-    return n <= rows_cap and b <= bytes_cap
-
-
 # Join key each snapshot table is bucketed by (co-located request joins).
 BUCKET_KEYS = {
     "users": "id",
@@ -63,7 +40,6 @@ class Tables:
     promotions: DataFrame
     transactions: DataFrame
     demo_domain: str = DEMO_DOMAIN
-    _memo: dict = field(default_factory=dict, repr=False)
 
     # ------------------------------------------------------------------ build
     @classmethod
@@ -79,6 +55,19 @@ class Tables:
             demo_domain,
         )
 
+    @classmethod
+    def from_published(cls, spark: SparkSession, path: str, demo_domain: str = DEMO_DOMAIN) -> "Tables":
+        """Read a published snapshot; a folder without its manifest, which is
+        written last, is an error (ST-E)."""
+        base = path.rstrip("/")
+        try:
+            listed = spark.read.text(f"{base}/_MANIFEST", wholetext=True).first()
+        except AnalysisException as missing:
+            raise FileNotFoundError(f"{base} has no manifest: it was not published as a whole") from missing
+        if listed is None or set(json.loads(listed[0])["tables"]) != set(SCHEMAS):
+            raise FileNotFoundError(f"the manifest of {base} does not list all tables")
+        return cls.from_parquet(spark, base, demo_domain)
+
     @classmethod
     def from_rows(cls, spark: SparkSession, rows: dict[str, list], demo_domain: str = DEMO_DOMAIN) -> "Tables":
         """Small hand-written tables (unit tests)."""
@@ -93,10 +82,7 @@ class Tables:
     def replace(self, **frames: DataFrame) -> "Tables":
         cur = self.frames()
         cur.update(frames)
-        new = Tables.from_frames(cur, self.demo_domain)
-        if "users" not in frames:
-            new._memo = self._memo  # the size checks only depend on users
-        return new
+        return Tables.from_frames(cur, self.demo_domain)
 
     def write(self, path: str, mode: str = "errorifexists") -> str:
         """Write every table as parquet under ``path`` (a snapshot)."""
@@ -137,35 +123,24 @@ class Tables:
         )
 
     def demo_ids(self) -> DataFrame:
-        """Ids of demo accounts, broadcast when measuring proves it small."""
-        return self._checked("demo_ids", self.user_flags().where("is_demo").select(F.col("id").alias("_uid")))
+        """Ids of demo accounts."""
+        return self.user_flags().where("is_demo").select(F.col("id").alias("_uid"))
 
     def real_ids(self) -> DataFrame:
-        """Ids of existing, non-demo accounts (broadcast only if proven small)."""
-        return self._checked("real_ids", self.user_flags().where(~F.col("is_demo")).select(F.col("id").alias("_uid")))
+        """Ids of existing, non-demo accounts."""
+        return self.user_flags().where(~F.col("is_demo")).select(F.col("id").alias("_uid"))
 
     def real_names(self) -> DataFrame:
         """(_uid, _name) of real accounts, for joins that also need the name."""
         df = self.user_flags().where(~F.col("is_demo")).select(
             F.col("id").alias("_uid"), F.col("name").alias("_name"))
-        return self._checked("real_names", df)
+        return df
 
     def all_names(self) -> DataFrame:
         """(_uid, _name, _demo) of every account."""
         df = self.user_flags().select(
             F.col("id").alias("_uid"), F.col("name").alias("_name"), F.col("is_demo").alias("_demo"))
-        return self._checked("all_names", df)
-
-    def _checked(self, key: str, df: DataFrame) -> DataFrame:
-        """Broadcast ``df`` only when measuring it proves it small in rows
-        and bytes (:func:`proven_small`); otherwise leave the join to the
-        planner (shuffle join, AQE may still demote)."""
-        with _LOCK:
-            small = self._memo.get(key)
-            if small is None:
-                small = proven_small(df)
-                self._memo[key] = small
-        return F.broadcast(df) if small else df
+        return df
 
 
 _LOCK = threading.Lock()
@@ -212,7 +187,7 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool = True, buckets: in
     return derived
 
 
-_BATCHES: dict[tuple, DataFrame] = {}
+_BATCHES: dict[tuple, tuple[Tables, DataFrame]] = {}
 
 
 def load_batch(t: Tables, name: str) -> DataFrame:
@@ -226,11 +201,11 @@ def load_batch(t: Tables, name: str) -> DataFrame:
     with _LOCK:
         hit = _BATCHES.get(key)
     if hit is not None:
-        return hit
+        return hit[1]
     spark = t.spark
     path = scratch_path(spark, f"batch-{name}")
     derive_batch(t, name).write.parquet(path)
     df = spark.read.schema(CMD_SCHEMAS[name]).parquet(path)
     with _LOCK:
-        _BATCHES[key] = df
+        _BATCHES[key] = (t, df)  # holds t, so that its id stays its own
     return df

@@ -4,11 +4,13 @@ import datetime as dt
 import os
 from decimal import Decimal as D
 
+import pytest
 from conftest import rows
 
 from agora.operators import commands as C
 from agora.operators import settlement as ST
 from agora.sources.commands import SCHEMAS
+from agora.sources.sinks import new_rows
 
 T = dt.datetime(2001, 7, 15, 12)
 
@@ -81,7 +83,7 @@ def test_toggles_apply_in_order(spark, real_tables):
     got = {r[0]: (r[1], r[2]) for r in res.select("command_id", "status", "reason").collect()}
     assert got == {1: ("accepted", None), 2: ("rejected", "status_update_failed"), 3: ("accepted", None),
                    4: ("rejected", "status_update_failed"), 5: ("ignored", None)}
-    snap = C.apply_toggles(real_tables, res, tc)
+    snap = C.apply_toggles(real_tables, res)
     assert rows(snap, "id", "is_active") == [(1, 1)]
 
 
@@ -172,3 +174,28 @@ def test_stream_months_read_like_the_dashboard(spark, real_tables, tmp_path):
     got = rows(dashboard_months(spark, str(tmp_path / "sink"), dt.date(2001, 7, 15)))
     want = rows(admin.monthly_revenue(real_tables, dt.date(2001, 7, 15)))
     assert got == want == [("2001-07", "Jul", D("944.00"))]
+
+
+def test_bad_promotion_dates_fail_alone(spark, real_tables):
+    p = batch(spark, "promotion_commands", [(1, T, 3, "a", "fixed", "5", "notadate", "2001-08-01"),
+                                            (2, T, 3, "b", "fixed", "5", "2001-07-01", "2001-08-01")])
+    res = C.validate_promotion(real_tables, p)
+    assert rows(res, "command_id", "reason") == [(1, "create_failed"), (2, None)]
+    assert new_rows("promotion", res, p).count() == 1
+
+
+def test_absent_ids_count_as_zero(spark, real_tables):
+    done = batch(spark, "complete_commands", [(1, T, 2, None)])
+    assert rows(C.validate_complete(real_tables, done), "reason") == [("invalid_request",)]
+    review = batch(spark, "review_commands", [(1, T, 2, None, None, "5", "fine")])
+    assert rows(C.validate_review(real_tables, review), "reason") == [("invalid",)]
+    toggle = batch(spark, "toggle_commands", [(1, T, 3, None, "1")])
+    assert rows(C.validate_toggle(real_tables, toggle), "status") == [("ignored",)]
+
+
+def test_snapshot_without_manifest_is_refused(spark, real_tables, tmp_path):
+    from agora.sources.tables import Tables
+
+    path = real_tables.write(str(tmp_path / "half"))
+    with pytest.raises(FileNotFoundError):
+        Tables.from_published(spark, path)

@@ -45,7 +45,7 @@ def test_promotion_rules(spark):
 
 def test_demo_case_and_optional_provider(spark):
     extra = {
-        "users": [(5, "Shouty Demo", "X@PMMS.LOCAL", "client", T0)],
+        "users": [(5, "Shouty Demo", "X@DEMO.LOCAL", "client", T0)],
         "service_requests": [
             (13, 5, "Demo client job", "Design", D("10.00"), "x", AS_OF, "open", None, None, T0),
             (14, 2, "No provider yet", "design ", D("10.00"), "x", AS_OF, "cancelled", None, None, T0),

@@ -28,14 +28,14 @@ def test_rank_within_matches_window(spark):
     order = [F.desc("created_at"), F.desc("id")]
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(*order)))
     spec = [("created_at", True), ("id", True)]
-    for hot_rows, splits in ((100, 7), (100, 200), (10**9, 200)):   # owner 1 hot (ranges) / nobody hot
-        got = rank_within(df, ["owner"], spec, hot_rows=hot_rows, splits=splits)
+    for hot_rows, range_rows in ((100, 500), (100, 60), (10**9, 60)):   # owner 1 hot (ranges) / nobody hot
+        got = rank_within(df, ["owner"], spec, hot_rows=hot_rows, range_rows=range_rows)
         assert got.select("id", "rank").exceptAll(want.select("id", "rank")).count() == 0
         assert got.count() == df.count()
     asc = [F.asc("price"), F.asc("created_at"), F.asc("id")]
     want2 = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(*asc)))
     got2 = rank_within(df, ["owner"], [("price", False), ("created_at", False), ("id", False)],
-                       hot_rows=100, splits=5)
+                       hot_rows=100, range_rows=60)
     assert got2.select("id", "rank").exceptAll(want2.select("id", "rank")).count() == 0
 
 
@@ -50,10 +50,10 @@ def test_hot_owner_with_one_timestamp_is_split(spark):
     spec = [("created_at", True), ("id", True)]
     cold, hot = split_hot(df, ["owner"], 100)
     assert hot is not None
-    sizes = [r[0] for r in order_ranges(hot, ["owner"], spec, 20).groupBy("_bkt").count().select("count").collect()]
+    sizes = [r[0] for r in order_ranges(hot, ["owner"], spec, 100).groupBy("_bkt").count().select("count").collect()]
     assert len(sizes) > 10 and max(sizes) < 400
     want = df.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("created_at"), F.desc("id"))))
-    got = rank_within(df, ["owner"], spec, hot_rows=100, splits=20)
+    got = rank_within(df, ["owner"], spec, hot_rows=100, range_rows=60)
     assert got.select("id", "rank").exceptAll(want.select("id", "rank")).count() == 0
 
 
@@ -87,6 +87,6 @@ def test_previous_within(spark):
     want = df.withColumn("prev", F.lag("v").over(w))
     for hot_rows in (100, 10**9):
         got = previous_within(df, ["owner"], [("event_time", False), ("command_id", False)], "v",
-                              "prev", hot_rows=hot_rows, splits=6)
+                              "prev", hot_rows=hot_rows, range_rows=60)
         diff = got.select("command_id", "prev").exceptAll(want.select("command_id", "prev"))
         assert diff.count() == 0 and got.count() == df.count()

@@ -40,10 +40,12 @@ def test_bids_match_sequential(spark, real_tables):
     rnd = random.Random(3)
     req_status = {r["id"]: r["status"] for r in real_tables.service_requests.collect()}
     existing = {(r["request_id"], r["provider_id"]) for r in real_tables.bids.collect()}
+    open_rows = [(r["created_at"], r["id"]) for r in real_tables.service_requests.collect() if r["status"] == "open"]
+    newest = max(open_rows)[1] if open_rows else 0  # a form without a request means this one
     for _ in range(3):
         cmds = []
         for i in range(60):
-            cmds.append((i, T0 + dt.timedelta(minutes=rnd.randint(0, 5)), rnd.choice([0, 10, 11, 12, 99]),
+            cmds.append((i, T0 + dt.timedelta(minutes=rnd.randint(0, 5)), rnd.choice([0, None, -3, 10, 11, 12, 99]),
                          rnd.choice([3, 4, 5]), rnd.choice(["10", "-1", "0", "5abc", ""]),
                          rnd.choice(["2", "0", "3 days", "x"]), rnd.choice(["ok", " ", ""])))
         got = run(spark, real_tables, "bid_commands", C.validate_bid, cmds)
@@ -51,6 +53,7 @@ def test_bids_match_sequential(spark, real_tables):
         want = {}
         for c in ordered(cmds):
             cid, _, rq, pv, price, dur, det = c
+            rq = rq if (rq or 0) > 0 else newest
             if rq <= 0 or php_prefix(price) <= 0 or php_int(dur) <= 0 or trim(det) == "":
                 want[cid] = "invalid_bid_data"
             elif req_status.get(rq) != "open":
