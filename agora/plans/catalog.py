@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from agora.operators import admin, commands, display, listings, promotions, provider, quality, settlement
 from agora.plans import sql_api
 from agora.streaming import demo as stream_demo
+from agora.sources.dirty import dirty_tables
 from agora.sources.tables import load, load_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,15 @@ def _on_batch(batch: str, fn) -> Query:
     return run
 
 
+def _on_dirty(fn) -> Query:
+    """Quality checks run on the tables with planted faults."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(dirty_tables(load(spark, sf_dir)))
+    run.__doc__ = fn.__doc__
+    run.__name__ = fn.__name__
+    return run
+
+
 _SETTLED: dict = {}
 _SETTLE_LOCK = threading.Lock()
 
@@ -119,11 +129,11 @@ def queries() -> dict[str, Query]:
         # scans, quality, display
         "scan_counts": _on_tables(quality.scan_counts),
         "real_users": _on_tables(display.real_users),
-        "dq_unique": _on_tables(quality.dq_unique),
-        "dq_orphans": _on_tables(quality.dq_orphans),
-        "dq_enums": _on_tables(quality.dq_enums),
-        "dq_nulls": _on_tables(quality.dq_nulls),
-        "dq_lengths": _on_tables(quality.dq_lengths),
+        "dq_unique": _on_dirty(quality.dq_unique),
+        "dq_orphans": _on_dirty(quality.dq_orphans),
+        "dq_enums": _on_dirty(quality.dq_enums),
+        "dq_nulls": _on_dirty(quality.dq_nulls),
+        "dq_lengths": _on_dirty(quality.dq_lengths),
         "erase_users": _on_tables(quality.erase_demo_users),
         "labelled_status": _on_tables(display.labelled_status),
         "user_greetings": _on_tables(display.user_greetings),

@@ -7,8 +7,10 @@ from agora.operators.quality import ENUMS, FOREIGN_KEYS, UNIQUE_KEYS
 from agora.plans.command_sql import CMDS
 from agora.plans.sqlkit import oracle, real
 from agora.sources import schemas as S
+from agora.sources.dirty import duckdb_ctes as dirty_ctes
 from agora.sources.tables import TABLE_NAMES
 
+DIRTY = dirty_ctes()
 RC, RP, RU = real("client"), real("provider"), real("u")
 
 
@@ -18,14 +20,14 @@ def _uniq() -> str:
         keys = ", ".join(cols)
         parts.append(f"""SELECT '{table}' AS table_name, '{",".join(cols)}' AS key_columns,
        COUNT(*) AS duplicate_keys, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS duplicate_rows
-FROM (SELECT {keys}, COUNT(*) AS n FROM {table} GROUP BY {keys} HAVING COUNT(*) > 1) d""")
+FROM (SELECT {keys}, COUNT(*) AS n FROM d_{table} GROUP BY {keys} HAVING COUNT(*) > 1) d""")
     return "\nUNION ALL\n".join(parts)
 
 
 def _orphans() -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS table_name, '{col}' AS column_name, '{p}' AS parent_table, COUNT(*) AS orphans
-FROM {c} x WHERE x.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.id = x.{col})"""
+FROM d_{c} x WHERE x.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_{p} y WHERE y.id = x.{col})"""
         for c, col, p in FOREIGN_KEYS)
 
 
@@ -33,7 +35,7 @@ def _enums() -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
        COUNT(*) FILTER (WHERE {c} IS NULL OR {c} NOT IN ({", ".join("'" + v + "'" for v in allowed)})) AS invalid
-FROM {t}""" for t, c, allowed in ENUMS)
+FROM d_{t}""" for t, c, allowed in ENUMS)
 
 
 def _nulls() -> str:
@@ -42,20 +44,20 @@ def _nulls() -> str:
         for f in schema.fields:
             if not f.nullable:
                 parts.append(f"SELECT '{t}' AS table_name, '{f.name}' AS column_name, "
-                             f"COUNT(*) FILTER (WHERE {f.name} IS NULL) AS nulls FROM {t}")
+                             f"COUNT(*) FILTER (WHERE {f.name} IS NULL) AS nulls FROM d_{t}")
     return "\nUNION ALL\n".join(parts)
 
 
 def _lengths() -> str:
     parts = [f"""SELECT '{t}' AS table_name, '{c}' AS column_name, 'length>{n}' AS rule,
-       COUNT(*) FILTER (WHERE length({c}) > {n}) AS violations FROM {t}"""
+       COUNT(*) FILTER (WHERE length({c}) > {n}) AS violations FROM d_{t}"""
              for (t, c), n in S.LENGTH_LIMITS.items()]
     for t, cols in S.MONEY_COLUMNS.items():
         for c in cols:
             parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, 'decimal(10,2)' AS rule,
        COUNT(*) FILTER (WHERE {c} IS NOT NULL AND (TRY_CAST({c} AS DECIMAL(10,2)) IS NULL
                                                   OR CAST({c} AS DECIMAL(38,10)) <> round(CAST({c} AS DECIMAL(38,10)), 2))) AS violations
-FROM {t}""")
+FROM d_{t}""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -100,11 +102,11 @@ SQL = {
     "scan_counts": oracle("\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {n}" for n in TABLE_NAMES)),
     "real_users": oracle(f"SELECT id, name, email, role, created_at FROM users u WHERE {RU}"),
-    "dq_unique": oracle(_uniq()),
-    "dq_orphans": oracle(_orphans()),
-    "dq_enums": oracle(_enums()),
-    "dq_nulls": oracle(_nulls()),
-    "dq_lengths": oracle(_lengths()),
+    "dq_unique": oracle(_uniq(), DIRTY),
+    "dq_orphans": oracle(_orphans(), DIRTY),
+    "dq_enums": oracle(_enums(), DIRTY),
+    "dq_nulls": oracle(_nulls(), DIRTY),
+    "dq_lengths": oracle(_lengths(), DIRTY),
     "erase_users": oracle("\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, (SELECT COUNT(*) FROM {_E[n]}) AS remaining, "
         f"(SELECT COUNT(*) FROM {n}) - (SELECT COUNT(*) FROM {_E[n]}) AS deleted" for n in TABLE_NAMES)

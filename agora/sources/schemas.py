@@ -18,7 +18,7 @@ def _f(name, dtype, nullable=False):
 
 USERS = T.StructType([
     _f("id", T.LongType()), _f("name", T.StringType()), _f("email", T.StringType()),
-    _f("role", T.StringType()), _f("created_at", TS),
+    _f("role", T.StringType()), _f("created_at", TS, True),
 ])
 
 SERVICE_REQUESTS = T.StructType([
@@ -26,41 +26,41 @@ SERVICE_REQUESTS = T.StructType([
     _f("category", T.StringType()), _f("budget", MONEY), _f("location", T.StringType()),
     _f("due_date", T.DateType()), _f("status", T.StringType()),
     _f("selected_provider_id", T.LongType(), True), _f("selected_bid_id", T.LongType(), True),
-    _f("created_at", TS),
+    _f("created_at", TS, True),
 ])
 
 BIDS = T.StructType([
     _f("id", T.LongType()), _f("request_id", T.LongType()), _f("provider_id", T.LongType()),
     _f("price", MONEY), _f("duration_days", T.IntegerType()), _f("details", T.StringType()),
-    _f("status", T.StringType()), _f("created_at", TS),
+    _f("status", T.StringType()), _f("created_at", TS, True),
 ])
 
 CONVERSATIONS = T.StructType([
     _f("id", T.LongType()), _f("request_id", T.LongType()), _f("client_id", T.LongType()),
-    _f("provider_id", T.LongType()), _f("created_at", TS),
+    _f("provider_id", T.LongType()), _f("created_at", TS, True),
 ])
 
 MESSAGES = T.StructType([
     _f("id", T.LongType()), _f("conversation_id", T.LongType()), _f("sender_id", T.LongType()),
-    _f("body", T.StringType()), _f("sent_at", TS),
+    _f("body", T.StringType()), _f("sent_at", TS, True),
 ])
 
 REVIEWS = T.StructType([
     _f("id", T.LongType()), _f("request_id", T.LongType()), _f("client_id", T.LongType()),
     _f("provider_id", T.LongType()), _f("rating", T.IntegerType()), _f("comment", T.StringType()),
-    _f("created_at", TS),
+    _f("created_at", TS, True),
 ])
 
 PROMOTIONS = T.StructType([
     _f("id", T.LongType()), _f("provider_id", T.LongType()), _f("title", T.StringType()),
     _f("discount_type", T.StringType()), _f("discount_value", MONEY),
     _f("start_date", T.DateType()), _f("end_date", T.DateType()),
-    _f("is_active", T.IntegerType()), _f("created_at", TS),
+    _f("is_active", T.IntegerType()), _f("created_at", TS, True),
 ])
 
 TRANSACTIONS = T.StructType([
     _f("id", T.LongType()), _f("request_id", T.LongType()), _f("original_price", MONEY),
-    _f("discount_amount", MONEY), _f("final_price", MONEY), _f("created_at", TS),
+    _f("discount_amount", MONEY), _f("final_price", MONEY), _f("created_at", TS, True),
 ])
 
 # table name -> schema, in dependency order (parents first)
