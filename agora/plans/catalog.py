@@ -143,6 +143,7 @@ def queries() -> dict[str, Query]:
         "active_promotions_sql": _on_tables(sql_api.active_promotions_sql),
         # streaming (run to completion with availableNow)
         "stream_bid_ingest": _on_tables(stream_demo.bid_ingest),
+        "stream_message_ingest": _on_tables(stream_demo.message_ingest),
         "stream_monthly_revenue": _on_tables(stream_demo.monthly_revenue),
     }
     return q

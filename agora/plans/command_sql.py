@@ -217,3 +217,4 @@ FROM (SELECT *, CASE WHEN promotion_id <= 0 THEN NULL
 }
 
 SQL["stream_bid_ingest"] = SQL["bid_commands"]
+SQL["stream_message_ingest"] = SQL["message_commands"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from agora.config import scratch_path
 from agora.sources.tables import Tables, load_batch
-from agora.streaming.jobs import start_bid_ingest, start_monthly_revenue
+from agora.streaming.jobs import latest_months, start_bid_ingest, start_message_ingest, start_monthly_revenue
 
 CUTS = ["1997-01-01 00:00:00", "1999-01-01 00:00:00"]
 
@@ -47,10 +47,18 @@ def bid_ingest(t: Tables) -> DataFrame:
     return spark.read.parquet(f"{base}/sink").drop("batch")
 
 
+def message_ingest(t: Tables) -> DataFrame:
+    """ST1 over the whole message command batch arriving in three slices."""
+    base = scratch_path(t.spark, "st1m")
+    _arrive_and_run(load_batch(t, "message_commands"), "event_time", base,
+                    lambda src, sink, ck: start_message_ingest(t, src, sink, ck))
+    return t.spark.read.parquet(f"{base}/sink").drop("batch")
+
+
 def monthly_revenue(t: Tables) -> DataFrame:
     """ST2 over the whole transactions table arriving in three slices."""
     spark = t.spark
     base = scratch_path(spark, "st2")
     _arrive_and_run(t.transactions, "created_at", base,
                     lambda src, sink, ck: start_monthly_revenue(t, src, sink, ck))
-    return spark.read.parquet(f"{base}/sink")
+    return latest_months(spark, f"{base}/sink")

@@ -1,18 +1,23 @@
 """Structured Streaming jobs (ST1, ST2).
 
 The reference re-queries on every page load and inserts per click; a Spark
-user would run these two as streams:
+user would run these as streams:
 
 * ST1 :func:`start_bid_ingest` — bid commands arrive as parquet files; each
   micro-batch is validated by the batch validator (VA3) against the snapshot
-  tables plus everything earlier batches accepted, and written to
-  ``sink/batch=<id>``. A re-run of a batch id overwrites its own folder and
-  excludes it from "earlier", so the sink is idempotent per batch.
+  tables plus what earlier batches accepted, and written to
+  ``sink/batch=<id>``. Accepted pairs are also kept by slot of their request
+  id, so a batch reads the slots of its own requests and not the whole sink.
+  A re-run of a batch id overwrites its own folders and excludes it from
+  "earlier", so the sink is idempotent per batch.
+* ST1 :func:`start_message_ingest` — the same for messages (VA6); a message
+  depends on its conversation only, so no earlier batch is read.
 * ST2 :func:`start_monthly_revenue` — transactions arrive as files; a
   stream-static join keeps real sales, ``groupBy(month)`` keeps one state
   row per month (no watermark needed: state is bounded by the number of
-  months and a late sale just updates its month). The full month table is
-  re-written on each trigger (complete mode through ``foreachBatch``); the
+  months and a late sale just updates its month). Each trigger writes the full
+  month table as a version of its own (complete mode through
+  ``foreachBatch``); readers take the latest complete version, and the
   six-month window of the dashboard is applied by the reader.
 
 Checkpoints and sinks live under the shared checkpoint folder.
@@ -26,11 +31,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from agora.operators import filters as FL
 from agora.functions.metrics import money_sum
-from agora.operators.commands import validate_bid
+from agora.operators.commands import validate_bid, validate_message
+from agora.operators.listings import newest_open_request
 from agora.sources.commands import SCHEMAS as CMD_SCHEMAS
 from agora.sources.schemas import TRANSACTIONS
 from agora.sources.tables import Tables
 
+SLOTS = 64
+
 
 def _has_data(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -48,19 +56,46 @@ def start_bid_ingest(t: Tables, source: str, sink: str, checkpoint: str,
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     stream = reader.parquet(source)
 
+    pairs = f"{sink.rstrip('/')}-accepted"
+    slot = F.pmod(F.xxhash64("request_id"), F.lit(SLOTS)).alias("slot")
+
     def process(batch: DataFrame, batch_id: int) -> None:
         earlier = None
-        if _has_data(spark, sink):
-            prev = spark.read.parquet(sink).where((F.col("batch") < batch_id) & (F.col("status") == "accepted"))
-            earlier = prev.select("request_id", "provider_id")
-        res = validate_bid(t, batch, earlier)
-        res.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        if _has_data(spark, pairs):
+            # requests that are asked for; the default request of commands without one is among the newest batch's
+            slots = [r[0] for r in _with_default(t, batch).select(slot).distinct().collect()]  # SLOTS at most
+            earlier = spark.read.schema("request_id long, provider_id long, slot long, batch long").parquet(pairs).where(
+                F.col("slot").isin(slots) & (F.col("batch") < batch_id)).select("request_id", "provider_id")
+        out = f"{sink}/batch={batch_id}"
+        validate_bid(t, batch, earlier).write.mode("overwrite").parquet(out)
+        accepted = spark.read.parquet(out).where("status = 'accepted'").select("request_id", "provider_id", slot, F.lit(batch_id).alias("batch"))
+        accepted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(pairs)
 
     w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def _with_default(t: Tables, batch: DataFrame) -> DataFrame:
+    """Request ids of a batch, and the newest open request, which stands in for an absent one."""
+    return batch.select("request_id").unionByName(newest_open_request(t).select(F.col("id").alias("request_id")))
+
+
+def start_message_ingest(t: Tables, source: str, sink: str, checkpoint: str,
+                         files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """ST1: validated ingest of message command files into ``sink``."""
+    reader = t.spark.readStream.schema(CMD_SCHEMAS["message_commands"])
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        validate_message(t, batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    w = reader.parquet(source).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 def monthly_revenue_plan(t: Tables, transactions: DataFrame) -> DataFrame:
     """The ST2 aggregation over a (streaming or static) transactions frame."""
     req = FL.requests_real_parties(t).select(F.col("id").alias("_rid"))
@@ -81,17 +116,23 @@ def start_monthly_revenue(t: Tables, source: str, sink: str, checkpoint: str,
     agg = monthly_revenue_plan(t, tx)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+        batch.write.mode("overwrite").parquet(f"{sink}/version={batch_id}")
 
     w = agg.writeStream.outputMode("complete").foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
+def latest_months(spark: SparkSession, sink: str) -> DataFrame:
+    """ST2's month table in its latest version."""
+    every = spark.read.parquet(sink)
+    return every.where(F.col("version") == every.agg(F.max("version")).first()[0]).drop("version")
+
+
 def dashboard_months(spark: SparkSession, sink: str, as_of) -> DataFrame:
     """Read ST2's month table as the dashboard shows it: months from the
     first day of the month five months before ``as_of`` onward (FI6)."""
     from agora.functions.metrics import month_start
 
     bound = month_start(as_of, 5).strftime("%Y-%m")
-    return spark.read.parquet(sink).where(F.col("month_key") >= bound)
+    return latest_months(spark, sink).where(F.col("month_key") >= bound)
