@@ -225,7 +225,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int
     chunks = 1 + int(total) // chunk_bytes
     buckets = min(chunks, shuffle_width(spark))
     bits = min(60, 14 + max(26, math.ceil(math.log2(total + 1))))
-    owners = routes = max(buckets, chunks // 4)
+    owners, routes = max(buckets, chunks // 4), max(buckets, 2 * chunks)  # a route's windows take some 50 bytes each
     width = -(-(1 << bits) // owners)
 
     dealt = base.select(F.coalesce("doc_id", F.lit(LAST)).alias("order"), "text",
