@@ -9,11 +9,14 @@
    the coordinates - matches + 1 rarest of either (tokens ordered by their
    frequency over all classes), so classes are posted under these only, and
    a class with too few shared tokens is posted nowhere.
-3. Posting lists are merged in rounds. A round compares each class of a list
-   with the list's leader, links what is confirmed and contracts the
-   components; lists that lie within one component are skipped from then on.
-   Once few pairs are left between components, all of them are compared. So
-   every pair is compared or already joined, and no list emits all its pairs.
+3. Posting lists are merged in rounds. A list with few pairs between
+   components compares all of them and is done. A longer one compares its
+   classes with a few leaders; what is confirmed is linked, the components
+   are contracted, and lists within one component are skipped from then on.
+   Once leaders no longer halve the pairs left, the classes outside a list's
+   greatest component are compared with all its classes, in blocks that give
+   links only. So every pair is compared or already joined, and no list emits
+   all its pairs.
 4. A pair with enough equal coordinates is confirmed on the full sets.
 
 Components come from alternating star contractions in Spark. Nothing of all
@@ -31,6 +34,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +44,9 @@ from agora.llm.words import LOWER_TABLE, Hasher, bounds, joined, mix
 
 COORDINATES = 48
 MATCHES = 24          # 48 draws of probability 0.8 fall below this with a chance under 1e-6
-ROUNDS = 12           # leader rounds at most; what they leave is compared pair by pair
+WHOLE = 4             # lists with so many pairs a member, or fewer, compare all of them at once
+LEADERS = 4           # classes that a longer list compares with each of its members in a round
+BLOCK = 512           # classes on either side of a block comparison
 SHINGLE_STEP = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -149,16 +155,20 @@ def post(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
     return posted.join(several, "token", "left_semi")
 
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes with enough equal coordinates and similar full sets."""
+def near_pairs(pairs: DataFrame, classes: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes with enough equal coordinates, and sizes that allow the similarity."""
     marks = classes.select("node", "tokens", "n_shingles")
     left, right = (marks.toDF(k, f"t{k}", f"n{k}") for k in "ab")
     counted = pairs.join(left, "a").join(right, "b")
     equal = F.size(F.array_intersect("ta", "tb"))
     sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    near = shared_table(counted.where((equal >= matches) & sized).select("a", "b"), "near")
+    return shared_table(counted.where((equal >= matches) & sized).select("a", "b"), "near")
+
+
+def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar."""
     both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(confirmer(percent), "a long, b long")
+    return shared_table(both.select("a", "b", "sa", "sb").mapInArrow(confirmer(percent), "a long, b long"), "links")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -182,42 +192,107 @@ def stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, label) after joining the components of linked nodes."""
-    ends = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
-    merged = stars(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).toDF("label", "to")
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after joining linked labels (a, b)."""
+    merged = stars(links).toDF("label", "to")
     out = labels.join(merged, "label", "left")
     return shared_table(out.select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def link_classes(posted: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """(node, label) of every posted class: components of confirmed links."""
+def open_lists(members: DataFrame) -> DataFrame:
+    """(token, whole, n, crossing, most) of lists (token, node, label) with several components.
+
+    crossing: pairs between components; most: the label with the most members;
+    whole lists have few crossing pairs a member.
+    """
+    parts = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    lists = parts.groupBy("token").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("inside"),
+                                       F.max(F.struct("m", "label"))["label"].alias("most"))
+    lists = lists.withColumn("crossing", (F.col("n") * F.col("n") - F.col("inside")) / 2).where("crossing > 0")
+    return lists.select("token", (F.col("crossing") <= WHOLE * F.col("n")).alias("whole"), "n", "crossing", "most")
+
+
+def pairs_of(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) to compare in a round: (token, node, label, whole) members of open lists."""
+    whole = members.where("whole").select("token", "node", "label")
+    every = whole.toDF("token", "a", "la").join(whole.toDF("token", "b", "lb"), "token").where("la < lb")
+    led = members.where("not whole").select("token", "node", "label")
+    leaders = led.groupBy("token").agg(F.array_distinct(F.array(*[
+        F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("h"), F.struct("node", "label").alias("x")))["x"]
+        for k in range(LEADERS)])).alias("leaders"))
+    chosen = leaders.select("token", F.explode("leaders").alias("x")).select("token", F.col("x.node").alias("b"), F.col("x.label").alias("lb"))
+    with_leaders = led.toDF("token", "a", "la").join(chosen, "token").where("la <> lb")
+    both = every.select("a", "b").unionByName(with_leaders.select("a", "b"))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels linked by some pair of open lists, whose classes are compared in blocks.
+
+    Of every pair between components one side is not of the list's greatest
+    component. These outsiders meet all members in blocks of BLOCK on either
+    side; a block compares on the full sets and gives linked labels only.
+    """
+    def compare(rows):
+        member, outsider = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        linked = set()
+        if len(member) and len(outsider):
+            sets_of = [unpacked(s) for s in member["shingles"]]
+            size = np.array([len(s) for s in sets_of])
+            shingle, owner = np.concatenate(sets_of), np.repeat(np.arange(len(sets_of)), size)
+            order = np.argsort(shingle, kind="stable")
+            shingle, owner = shingle[order], owner[order]
+            label = member["label"].to_numpy()
+            for own, data in zip(outsider["label"].tolist(), outsider["shingles"], strict=True):
+                x = unpacked(data)
+                first, past = np.searchsorted(shingle, x, "left"), np.searchsorted(shingle, x, "right")
+                count = past - first
+                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(size))
+                similar = 100 * both >= percent * (len(x) + size - both)
+                linked.update((own, other) for other in np.unique(label[similar]).tolist() if other != own)
+        return pd.DataFrame(sorted(linked), columns=["a", "b"], dtype="int64")
+
+    outside = F.col("label") != F.col("most")
+    n_members = F.ceil(F.col("n") / BLOCK).cast("int")
+    counts = members.where(outside).groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_outsiders"))
+    ready = members.join(counts, "token").join(sets, "node")
+    block = lambda of: F.pmod(F.xxhash64("node"), of).cast("int")
+    zero = F.lit(0)
+    inside = ready.select("token", block(n_members).alias("i"), F.explode(F.sequence(zero, F.col("n_outsiders") - 1)).alias("j"),
+                          zero.alias("side"), "label", "shingles")
+    asked = ready.where(outside).select("token", F.explode(F.sequence(zero, n_members - 1)).alias("i"),
+                                        block(F.col("n_outsiders")).alias("j"), F.lit(1).alias("side"), "label", "shingles")
+    return inside.unionByName(asked).groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def link_classes(posted: DataFrame, classes: DataFrame, read_sets, matches: int, percent: int) -> DataFrame:
+    """(node, label) of every posted class: components of confirmed links.
+
+    ``read_sets`` reads the full sets of some nodes; it is called once, for
+    all nodes that a later step can need.
+    """
     labels = shared_table(posted.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    budget = 4 * posted.count()
-    for turn in range(ROUNDS + 1):
+    sets, crossing, turn = None, None, 0
+    while True:
         members = posted.join(labels, "node")
-        parts = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
-        lists = parts.groupBy("token").agg(
-            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("open")).where("open > 0")
-        lists = shared_table(lists, "lists")  # the others lie within one component and are skipped
-        left = lists.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
-        if not left:
-            break
-        last = left <= budget or turn == ROUNDS
-        members = shared_table(members.join(lists.select("token"), "token", "left_semi"), "members")
-        if last:
-            other = members.toDF("token", "b", "lb")
-            pairs = members.toDF("token", "a", "la").join(other, "token").where("la < lb")
-        else:
-            order = F.xxhash64("node", F.lit(turn))
-            leaders = members.groupBy("token").agg(F.min(F.struct(order, "node", "label")).alias("leader"))
-            pairs = members.toDF("token", "a", "la").join(leaders, "token").select(
-                "a", "la", F.col("leader.node").alias("b"), F.col("leader.label").alias("lb")).where("la <> lb")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        labels = contract(labels, shared_table(similar_pairs(pairs, classes, sets, matches, percent), "links"))
-        if last:
-            break
-    return labels
+        members = shared_table(members.join(open_lists(members), "token"), "members")
+        before, crossing = crossing, members.groupBy("token").agg(F.first("crossing").alias("c")).agg(F.sum("c")).first()[0]
+        if not crossing:
+            return labels
+        if before is not None and crossing > before / 2:  # leaders no longer help
+            links = shared_table(block_links(members, sets, percent), "links")
+            return relabelled(labels, links)
+        near = near_pairs(pairs_of(members, turn), classes, matches, percent)
+        led = members.where("not whole")
+        if sets is None:
+            needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
+            sets = read_sets(needed.unionByName(led.select("node")).distinct())
+        links = confirmed(near, sets, percent)
+        ends = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b")
+        labels = relabelled(labels, ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        posted = shared_table(led.select("token", "node"), "posted")  # lists compared as a whole are done
+        turn += 1
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
@@ -228,11 +303,14 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
         sketcher(shingle, coordinates), "doc_id long, n_shingles long, set_key binary, tokens array<long>"), "sketches")
     classes = class_table(sketches)
     posted = shared_table(post(classes, coordinates, matches), "postings")
-    wanted = classes.join(posted.select("node").distinct(), "node", "left_semi").select("node", "set_key", "doc_id")
-    read = semi_by_id(texts, wanted).mapInArrow(set_reader(shingle), "set_key binary, shingles binary")
-    sets = read.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    labels = link_classes(posted, classes, shared_table(sets, "sets"), matches, percent)
 
+    def read_sets(nodes: DataFrame) -> DataFrame:
+        wanted = shared_table(classes.join(nodes, "node", "left_semi").select("node", "set_key", "doc_id"), "wanted")
+        read = semi_by_id(texts, wanted).mapInArrow(set_reader(shingle), "set_key binary, shingles binary")
+        sets = read.join(wanted.select("node", "set_key"), "set_key").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        return shared_table(sets, "sets")
+
+    labels = link_classes(posted, classes, read_sets, matches, percent)
     groups = classes.select("node", "set_key", "doc_id").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     least = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
