@@ -47,6 +47,7 @@ MATCHES = 24          # 48 draws of probability 0.8 fall below this with a chanc
 WHOLE = 4             # lists with so many pairs a member, or fewer, compare all of them at once
 LEADERS = 4           # classes that a longer list compares with each of its members in a round
 BLOCK = 512           # classes on either side of a block comparison
+EDGES_A_TASK = 100_000
 SHINGLE_STEP = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -174,17 +175,18 @@ def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def stars(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the least node of its component."""
     edges = shared_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    parts = 1 + edges.count() // EDGES_A_TASK  # few edges are few files, whatever the session's width
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = shared_table(large, "large")  # (greater, least) edges
+        large = shared_table(large.coalesce(parts), "large")  # (greater, least) edges
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(
             least.select("a", F.col("m").alias("b"))).distinct()
-        edges = shared_table(small, "small")
+        edges = shared_table(small.coalesce(parts), "small")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
