@@ -20,4 +20,4 @@ def test_bench_prints_one_json_line():
     d = json.loads(out[0])
     assert d["metric"] == "total_query_sec" and d["unit"] == "sec" and d["sf"] == 0.001
     assert set(d["queries"]) == {"scan_counts", "category_sales"}
-    assert d["value"] == pytest.approx(sum(d["queries"].values()), abs=0.01)
+    assert d["value"] == pytest.approx(d["prepare_sec"] + sum(d["queries"].values()), abs=0.01)

@@ -6,18 +6,18 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from agora.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver data not present")
 
-QUERIES = {k: v for k, v in E.queries().items() if not k.startswith("stream_")}
+QUERIES = {k: v for k, v in catalog.queries().items() if not k.startswith("stream_")}
 
 # queries whose nested-loop joins all pair a frame with a one-row aggregate
 # (cross join of global summaries or of the sale-date bounds)
 ONE_ROW_NESTED_LOOPS = {
     "admin_counts", "admin_summary", "admin_revenue_trend", "category_bars", "status_bars",
-    "top_providers", "erase_users", "promotion_asof", "promotion_settlement",
+    "top_providers", "erase_users", "promotion_asof", "promotion_settlement", "bid_commands",
 }
 
 
