@@ -18,6 +18,7 @@ QUERIES = {k: v for k, v in catalog.queries().items() if not k.startswith("strea
 ONE_ROW_NESTED_LOOPS = {
     "admin_counts", "admin_summary", "admin_revenue_trend", "category_bars", "status_bars",
     "top_providers", "erase_users", "promotion_asof", "promotion_settlement", "bid_commands",
+    "accept_commands",
 }
 
 
