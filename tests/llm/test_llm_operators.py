@@ -211,8 +211,8 @@ def test_language_model_matches_brute_force(spark):
     def step(counts, lower, w):
         if not counts:
             return lower
-        n, weight = sum(counts.values()), 0.75 * len(counts) / sum(counts.values())
-        return q((counts[w] - 0.75) / n + weight * 10 ** lower) if counts[w] else lower + q(weight)
+        n, weight = sum(counts.values()), q(0.75 * len(counts) / sum(counts.values()))
+        return np.log10((10 ** q((counts[w] - 0.75) / n) if counts[w] else 0) + 10 ** (lower + weight))
 
     want = defaultdict(list)
     for i, t in texts:
