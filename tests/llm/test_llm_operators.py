@@ -191,7 +191,7 @@ def test_url_lists_as_of(spark):
 
 def test_language_model_matches_brute_force(spark):
     docs = corpus(3)
-    result, model = lm_trie.score_texts(make_docs(spark, docs))
+    result, model = lm_trie.score_texts(make_docs(spark, docs), keep_model=True)
     got = defaultdict(list)
     for r in result.collect():
         got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)))
