@@ -49,8 +49,9 @@ def golomb_encode(values: np.ndarray) -> bytes:
     ends = np.cumsum((gaps >> k) + 1) - 1
     unary = np.zeros(int(ends[-1]) + 1, np.uint8)
     unary[ends] = 1
-    shifts = np.arange(k - 1, -1, -1, dtype=np.int64)
-    rest = ((gaps[:, None] >> shifts) & 1).astype(np.uint8)
+    rest = np.empty((len(gaps), k), np.uint8)
+    for j in range(k):
+        rest[:, j] = (gaps >> (k - 1 - j)) & 1
     return bytes([k]) + np.packbits(unary).tobytes() + np.packbits(rest.ravel()).tobytes()
 
 
@@ -122,18 +123,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``owners`` is the number of fingerprint owners; by default the session's
     number of shuffle partitions.
     """
-    spark = docs.sparkSession
-    marked = shared_table(exchange(fingerprints(docs, id_col, text_col), owners or shuffle_width(spark)), "marked")
+    owners = owners or shuffle_width(docs.sparkSession)
+    marked = shared_table(exchange(fingerprints(docs, id_col, text_col), owners), "marked")
     single = marked.where(~F.col("suspect")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
 
     suspects = marked.where("suspect").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     texts = texts.join(suspects, texts["doc_id"].eqNullSafe(F.col("__id")), "inner")
-    texts = texts.withColumn("sha", F.unhex(F.sha2("norm", 256))).where("sha = __sha").select("doc_id", "sha", "norm")
-    groups = texts.groupBy(F.col("norm").alias("__norm")).agg(
-        F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    verified = texts.join(groups, F.col("norm") == F.col("__norm")).select("doc_id", "keep_id", "group_size", "sha")
+    # A salt splits a group of copies over tasks: each salted part counts first, the parts meet, then each answers its rows.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(owners)).cast("int")
+    texts = texts.withColumn("sha", F.unhex(F.sha2("norm", 256))).where("sha = __sha").select(
+        "doc_id", "sha", "norm", salt.alias("salt"))
+    texts = shared_table(texts, "suspects")
+    parts = texts.groupBy("norm", "salt").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    parts = shared_table(parts, "parts")
+    groups = parts.groupBy("norm").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"))
+    answers = parts.select("norm", "salt").join(groups, "norm")
+    verified = texts.join(answers, ["norm", "salt"]).select("doc_id", "keep_id", "group_size", "sha")
 
     both = single.unionByName(verified)
     return both.select("doc_id", "keep_id", "group_size",
