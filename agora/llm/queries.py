@@ -80,8 +80,8 @@ def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language-model score of every document, learnt from those that are not held out."""
-    return lm_trie.score_texts(table(spark, sf_dir, "documents"))[0]
+    """Language-model score of every document, learnt from those that are not held out; every observed context counts."""
+    return lm_trie.score_texts(table(spark, sf_dir, "documents"), least_context=1)[0]
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,6 +232,49 @@ def test_language_model_matches_brute_force(spark):
     assert model.levels.select("level").distinct().count() == 2
 
 
+def test_language_model_keeps_contexts_seen_once(spark, tmp_path):
+    """The registered query's scores equal brute force without any cutoff, on contexts that training holds once."""
+    from agora.llm import queries
+
+    docs = corpus(3)
+    train_id, other = next(i for i in range(500, 600) if zlib.crc32(str(i).encode()) % 10), next(
+        i for i in range(600, 700) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs += [(train_id, "unique passage seen once only here"), (other, "unique passage seen once only here")]
+    make_docs(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    got = defaultdict(list)
+    for r in queries.op6_lm_score(spark, str(tmp_path)).collect():
+        got[r.doc_id].append(r.score)
+    low = bytes(range(256)).lower()
+    texts = [(i, (t or "").encode().translate(low).split() + [None]) for i, t in docs]
+    train = [t for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 10]
+    one, two, three = Counter(w for t in train for w in t), defaultdict(Counter), defaultdict(Counter)
+    for t in train:
+        for k, w in enumerate(t):
+            two[t[k - 1] if k else "B"][w] += 1
+            if k:
+                three[(t[k - 2] if k > 1 else "B", t[k - 1])][w] += 1
+    total, distinct = sum(one.values()), len(one)
+    q = lambda x: -round(-np.log10(x) * 4000) / 4000
+
+    def step(counts, lower, w):
+        if not counts:
+            return lower
+        n, weight = sum(counts.values()), q(0.75 * len(counts) / sum(counts.values()))
+        return np.log10((10 ** q((counts[w] - 0.75) / n) if counts[w] else 0) + 10 ** (lower + weight))
+
+    want = defaultdict(list)
+    for i, t in texts:
+        score = 0.0
+        for k, w in enumerate(t):
+            before = t[k - 1] if k else "B"
+            p = step(two.get(before), q((one[w] - 0.75) / total if one[w] else 0.75 * distinct / total), w)
+            score += step(three.get((t[k - 2] if k > 1 else "B", before)), p, w) if k else p
+        want[i].append(score)
+    assert two[b"seen"][b"once"] == 1 and set(got) == set(want)
+    for i in want:
+        assert sorted(got[i]) == pytest.approx(sorted(want[i]), abs=2e-4)
+
+
 def test_packing_round_trip(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
