@@ -27,6 +27,11 @@ def id_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
+def text_key(text: Column) -> Column:
+    """SHA-256 of the text's bytes; a null text is empty."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back.
 
@@ -64,3 +69,31 @@ def semi_by_id(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> Data
     """Rows of ``docs``, all columns, whose id is in ``keep`` (null matches null)."""
     ids = keep.select(F.col(id_col).alias("__kept_id"))
     return docs.join(ids, docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
+def by_row(docs: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+    """``docs``, all columns, semi- or anti-joined (``how``) with decisions (doc_id, text_key) on id and text, both null-safe."""
+    keys = decided.select(F.col("doc_id").alias("__decided_id"), F.col("text_key").alias("__decided_key"))
+    rows = docs.withColumn("__text_key", text_key(F.col("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__decided_id")) & (F.col("__text_key") == F.col("__decided_key"))
+    return rows.join(keys, same, how).drop("__text_key")
+
+
+def id_with(key: Column, doc_id: Column) -> Column:
+    """A row's id, null or not, and its key as one text that is never null."""
+    return F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")), F.lit(":"), key)
+
+
+def one_by_row(docs: DataFrame, key: Column, winners: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each (doc_id, key) in ``winners``; ``key`` is a row's key as text.
+
+    Of several rows the one of the least text hash stays, and of equal texts
+    that of the least hash over all columns; rows equal in all are the same.
+    Copies collapse before their shuffle.
+    """
+    hashed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    order = F.struct(text_key(F.col("text")), F.xxhash64(*hashed))
+    rows = docs.groupBy(id_with(key, F.col("doc_id")).alias("__row_key")).agg(
+        F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    wanted = winners.select(id_with(F.col("key"), F.col("doc_id")).alias("__row_key"))
+    return rows.join(wanted, "__row_key", "left_semi").select("__row.*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import id_and_bytes, steps
+from agora.llm.common import by_row, id_and_bytes, steps
 
 WINDOW = 13
 MAX_WORDS = 400_000
@@ -89,7 +89,7 @@ def scanner(shared, window: int):
                 hit_words.append(sorted(hits))
                 item_ids.append(sorted(x for x in items if x is not None))
                 spans.append(runs(text, hit_words[-1]) if hits else [])
-                keys.append(hashlib.blake2b(text, digest_size=16).digest())
+                keys.append(hashlib.sha256(text).digest())
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array(n_words, pa.int64()), pa.array(hit_words, pa.list_(pa.int32())),
                  pa.array(item_ids, pa.list_(pa.int64())), pa.array(spans, SPANS), pa.array(keys, pa.binary())],
@@ -162,8 +162,7 @@ def contaminated(n_hit, n_words):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
+    """The rows of ``docs``, all columns, that are not contaminated; each row by its own text, also if ids are null or repeat."""
     hits = find_contamination(docs, benchmark)
-    bad = hits.where(contaminated(F.size("hit_words"), F.col("n_words"))).select(
-        F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = hits.where(contaminated(F.size("hit_words"), F.col("n_words"))).select("doc_id", "text_key").distinct()
+    return by_row(docs, bad, "left_anti")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import semi_by_id, shared_table, shuffle_width
+from agora.llm.common import one_by_row, shared_table, shuffle_width
 
 FP_BITS = 48
 
@@ -149,8 +149,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document per equal text stays.
-
-    Rows that repeat doc_id and text are one document and stay or go together.
-    """
-    return semi_by_id(docs, exact_groups(docs).where("kept"))
+    """The rows of ``docs``, all columns, of which one row per equal normalised text stays, also if ids are null or repeat."""
+    kept = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("key"))
+    return one_by_row(docs, F.sha2(normalised(F.col("text")), 256), kept)

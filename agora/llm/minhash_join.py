@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import id_and_bytes, semi_by_id, shared_table, steps
+from agora.llm.common import id_and_bytes, one_by_row, semi_by_id, shared_table, steps, text_key
 from agora.llm.words import LOWER_TABLE, Hasher, bounds, joined, mix
 
 COORDINATES = 48
@@ -78,7 +78,7 @@ def shingle_sets(texts: list[bytes], size: int, hasher: Hasher) -> tuple[np.ndar
 
 
 def sketcher(size: int, coordinates: int):
-    """The mapInArrow function from (doc_id, text) to (doc_id, n_shingles, set_key, tokens)."""
+    """The mapInArrow function from (doc_id, text) to (doc_id, n_shingles, set_key, tokens, text_key)."""
     def sketch(batches):
         draw = np.random.default_rng(20240229)
         turn = draw.integers(1, 2 ** 63, coordinates, dtype=np.uint64)
@@ -96,8 +96,9 @@ def sketcher(size: int, coordinates: int):
             offsets = np.zeros(len(texts) + 1, np.int32)
             offsets[1:] = np.cumsum(np.where(counts > 0, coordinates, 0))
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(lows.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(keys, pa.binary()), tokens],
-                                             names=["doc_id", "n_shingles", "set_key", "tokens"])
+            texts_keys = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64)), pa.array(keys, pa.binary()), tokens, texts_keys],
+                                             names=["doc_id", "n_shingles", "set_key", "tokens", "text_key"])
     return sketch
 
 
@@ -300,9 +301,16 @@ def link_classes(posted: DataFrame, classes: DataFrame, read_sets, matches: int,
 def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
                 coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id, kept)."""
+    return near_rows(docs, shingle, percent, coordinates, matches).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_rows(docs: DataFrame, shingle: int, percent: int,
+              coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """One row per input row: (doc_id, text_key, n_shingles, label, component_id); label: of the component, null without shingles."""
     texts = id_and_bytes(docs)
     sketches = shared_table(texts.mapInArrow(
-        sketcher(shingle, coordinates), "doc_id long, n_shingles long, set_key binary, tokens array<long>"), "sketches")
+        sketcher(shingle, coordinates), "doc_id long, n_shingles long, set_key binary, tokens array<long>, text_key binary"), "sketches")
     classes = class_table(sketches)
     posted = shared_table(post(classes, coordinates, matches), "postings")
 
@@ -316,13 +324,23 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
     groups = classes.select("node", "set_key", "doc_id").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
     least = groups.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(least, "label").select("set_key", "component_id")
-    rows = sketches.select("doc_id", "n_shingles", "set_key")
-    joined_rows = rows.where("n_shingles > 0").join(named, "set_key").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined_rows.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = groups.join(least, "label").select("set_key", "label", "component_id")
+    rows = sketches.select("doc_id", "text_key", "n_shingles", "set_key")
+    columns = ["doc_id", "text_key", "n_shingles", "label", "component_id"]
+    joined_rows = rows.where("n_shingles > 0").join(named, "set_key").select(*columns)
+    alone = rows.where("n_shingles = 0").withColumns({
+        "label": F.lit(None).cast(named.schema["label"].dataType), "component_id": F.col("doc_id")}).select(*columns)
+    return joined_rows.unionByName(alone)
 
 
 def drop_near(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document per near-duplicate group stays."""
-    return semi_by_id(docs, near_groups(docs, shingle, percent).where("kept"))
+    """The rows of ``docs``, all columns, of which one row per near-duplicate group stays, also if ids are null or repeat.
+
+    The row of the least id stays (null is the greatest), and of equal ids that of the least text hash.
+    Texts without words are in no group and all stay.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
+    winners = near_rows(docs, shingle, percent).where("n_shingles > 0").groupBy("label").agg(F.min(first).alias("first")).select(
+        "first.doc_id", F.hex("first.text_key").alias("key"))
+    words = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^ \t-\r]")
+    return one_by_row(docs.where(words), F.hex(text_key(F.col("text"))), winners).unionByName(docs.where(~words))

@@ -17,6 +17,7 @@ label row that repeats counts again. Without usable labels every score is
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agora.llm.common import id_and_bytes, semi_by_id, shared_table, steps
+from agora.llm.common import by_row, id_and_bytes, shared_table, steps
 
 MAX_TRAIN_ROWS = 30_000
 THRESHOLD = 0.3
@@ -61,13 +62,15 @@ def statistics(text: bytes) -> list[float]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, stats): one row per document."""
+    """(doc_id, stats, text_key): one row per document."""
     def measure(batches):
         for ids, texts in steps(batches):
             rows = [np.asarray(statistics(t), np.float32) for t in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "stats"])
+            keys = [hashlib.sha256(t).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.list_(pa.float32())), pa.array(keys, pa.binary())],
+                                             names=["doc_id", "stats", "text_key"])
 
-    return id_and_bytes(docs).mapInArrow(measure, "doc_id long, stats array<float>")
+    return id_and_bytes(docs).mapInArrow(measure, "doc_id long, stats array<float>, text_key binary")
 
 
 @dataclass
@@ -160,6 +163,12 @@ def training_rows(stats: DataFrame, labels: DataFrame, max_rows: int) -> tuple[n
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                     max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Per document row: (doc_id, held_out, score, predicted)."""
+    return score_rows(docs, labels, threshold, max_train_rows).drop("text_key")
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
+               max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """Per document row: (doc_id, held_out, score, predicted, text_key)."""
     spark = docs.sparkSession
     stats = shared_table(document_statistics(docs), "statistics")
     trees = fit_trees(*training_rows(stats, labels, max_train_rows))
@@ -169,13 +178,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         own = Trees(*model.value)
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(x)), batch.column(2)],
+                                             names=["doc_id", "score", "text_key"])
 
-    scored = stats.mapInArrow(apply, "doc_id long, score double")
+    scored = stats.mapInArrow(apply, "doc_id long, score double, text_key binary")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+                         (F.col("score") >= threshold).cast("int").alias("predicted"), "text_key")
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier accepts."""
-    return semi_by_id(docs, score_documents(docs, labels).where("predicted = 1"))
+    """The rows of ``docs``, all columns, that the classifier accepts; each row by its own text, also if ids are null or repeat."""
+    return by_row(docs, score_rows(docs, labels).where("predicted = 1"), "left_semi")

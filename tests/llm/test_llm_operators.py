@@ -189,6 +189,40 @@ def test_url_lists_as_of(spark):
     assert got == [(1, 0, ()), (2, 2, ("ads",)), (3, 0, ()), (4, 1, ("ads",)), (5, 0, ()), (6, 0, ()), (6, 2, ("opt",)), (7, 0, ()), (8, 0, ())]
 
 
+def test_stages_decide_each_row_with_null_and_repeated_ids(spark):
+    """The pipeline's filters judge rows, not ids: a row's fate follows its own text."""
+    texts = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    item = "the quick brown fox jumps over the lazy dog by the river bank today"
+    clean = [(None, "clean text without an id"), (1, "clean text of id one"), (None, None)]
+    bad = [(None, item), (1, item + " and"), (2, item)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.drop_contaminated(make_docs(spark, clean + bad + clean[:1]), bench)
+    assert texts(got) == Counter(clean + clean[:1]) and got.columns == make_docs(spark, clean).columns
+
+    good = [(i, f"alpha beta gamma of the delta {i} and so on.") for i in range(300)]
+    spam = [(i, "SPAM!! " * (5 + i % 40)) for i in range(300, 600)]
+    labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    mixed = [(None, good[0][1]), (None, spam[0][1]), (7, spam[1][1]), (301, good[1][1])]
+    kept = texts(quality_gbt.drop_rejected(make_docs(spark, good + spam + mixed), labels))
+    assert kept[mixed[0]] == 1 and kept[mixed[3]] == 1 and kept[good[7]] == 1
+    assert kept[mixed[1]] == 0 and kept[mixed[2]] == 0 and kept[spam[1]] == 0
+
+    rows = [(None, "only null ids"), (None, "only  null ids"), (None, "only null ids"), (None, "another one"), (None, "copied"), (4, "copied"),
+            (5, "same id"), (5, "same  id"), (5, "same id"), (5, "other text of five"), (3, "kept by three"), (5, "kept by three")]
+    left = texts(exact_dedup.drop_exact(make_docs(spark, rows)))
+    assert Counter((i, " ".join(t.split())) for i, t in left.elements()) == Counter(
+        [(None, "only null ids"), (None, "another one"), (4, "copied"), (5, "same id"), (5, "other text of five"), (3, "kept by three")])
+
+    base = [f"v{k}" for k in range(80)]
+    near = [" ".join([*base[:-1], f"n{k}"]) for k in range(4)]
+    rows = [(None, near[0]), (3, near[1]), (3, near[2]), (3, "alone with id three"), (1, "least of all"), (9, near[3]), (None, "least of all"),
+            (None, "null and alone here"), (None, "null and alone here"), (9, "of nine"), (9, " "), (9, None)]
+    left = texts(minhash_join.drop_near(make_docs(spark, rows)))
+    of_near = Counter({k: n for k, n in left.items() if k[1] in near})
+    assert sum(of_near.values()) == 1 and next(iter(of_near))[0] == 3
+    assert left - of_near == Counter([(3, "alone with id three"), (1, "least of all"), (None, "null and alone here"), (9, "of nine"), (9, " "), (9, None)])
+
+
 def test_language_model_matches_brute_force(spark):
     docs = corpus(3)
     result, model = lm_trie.score_texts(make_docs(spark, docs), keep_model=True)
