@@ -191,3 +191,20 @@ def provider_recent_lists(t: Tables, k: int = 5) -> DataFrame:
     conv = conv.join(provs, conv["provider_id"] == provs["_p"], "left_semi")
     return (conv.unionByName(rev).unionByName(pro)
             .groupBy("provider_id", "list").agg(F.count(F.lit(1)).alias("shown")))
+
+
+def provider_recent_rows(t: Tables, k: int = 5) -> DataFrame:
+    """SO6 on the other dashboard lists: per provider, the first ``k`` rows of
+    conversations, reviews and promotions with their list and ``rank``, and
+    what the dashboard shows of each (null where a list has no such column)."""
+    texts = ["client_name", "rating_text", "comment", "type_label", "value_text", "status_text"]
+
+    def shown(df: DataFrame, name: str, owner: str, has: list[str]) -> DataFrame:
+        return df.select(F.col(owner).alias("provider_id"), F.lit(name).alias("list"), "rank", "id", "title",
+                         *[(F.col(c) if c in has else F.lit(None).cast("string")).alias(c) for c in texts])
+
+    provs = t.user_flags().where(F.col("role") == "provider").select(F.col("id").alias("_p"))
+    conv = user_conversations(t, k=k).join(provs, F.col("user_id") == F.col("_p"), "left_semi")
+    return (shown(conv, "conversations", "user_id", texts[:1])
+            .unionByName(shown(provider_reviews(t, k=k), "reviews", "provider_id", texts[:3]))
+            .unionByName(shown(provider_promotions(t, k=k), "promotions", "provider_id", texts[3:])))

@@ -109,6 +109,7 @@ def queries() -> dict[str, Query]:
         "provider_promotions": _on_tables(listings.provider_promotions),
         "active_promotions": _on_tables(listings.active_promotions),
         "provider_recent_lists": _on_tables(listings.provider_recent_lists),
+        "provider_recent_rows": _on_tables(listings.provider_recent_rows),
         # promotions and settlement
         "promotion_asof": _on_tables(promotions.promotion_asof),
         "accept_commands": _settled("results"),

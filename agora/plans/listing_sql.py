@@ -116,4 +116,23 @@ SELECT provider_id, list, COUNT(*) AS shown FROM (
     SELECT p.provider_id, row_number() OVER (PARTITION BY p.provider_id ORDER BY p.created_at DESC, p.id DESC) AS rk
     FROM promotions p JOIN users provider ON provider.id = p.provider_id WHERE {RP}) w WHERE rk <= 5) all_lists
 GROUP BY provider_id, list""", f"cb AS ({CONV_BASE})"),
+
+    "provider_recent_rows": oracle(f"""
+SELECT * FROM (
+  SELECT user_id AS provider_id, 'conversations' AS list, {rank('user_id', 'created_at DESC, id DESC')}, id, title, client_name,
+         CAST(NULL AS VARCHAR) AS rating_text, CAST(NULL AS VARCHAR) AS comment, CAST(NULL AS VARCHAR) AS type_label,
+         CAST(NULL AS VARCHAR) AS value_text, CAST(NULL AS VARCHAR) AS status_text
+  FROM (SELECT cb.*, cb.client_id AS user_id FROM cb
+        UNION ALL SELECT cb.*, cb.provider_id FROM cb WHERE cb.provider_id <> cb.client_id) x
+  WHERE user_id IN (SELECT id FROM users WHERE role = 'provider')
+  UNION ALL
+  SELECT r.provider_id, 'reviews', {rank('r.provider_id', 'r.created_at DESC, r.id DESC')}, r.id, sr.title, u.name,
+         CAST(r.rating AS VARCHAR) || '/5', r.comment, NULL, NULL, NULL
+  FROM reviews r JOIN users u ON u.id = r.client_id JOIN users provider ON provider.id = r.provider_id
+  JOIN service_requests sr ON sr.id = r.request_id WHERE {RP} AND {RU}
+  UNION ALL
+  SELECT provider_id, 'promotions', {rank('provider_id', 'created_at DESC, id DESC')}, id, title, NULL, NULL, NULL,
+         type_label, value_text, status_text
+  FROM (SELECT {PROMO_DISPLAY} FROM promotions p JOIN users provider ON provider.id = p.provider_id WHERE {RP}) w) all_lists
+WHERE rank <= 5""", f"cb AS ({CONV_BASE})"),
 }
