@@ -389,6 +389,18 @@ def test_license_scan_finds_notices_and_near_misses(spark):
     assert got == want
 
 
+def test_license_scan_tells_siblings_apart(spark):
+    want = {"This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+            "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0",
+            "Licensed under the GNU Lesser General Public License, version 2.1.": "lgpl-2.1",
+            "Licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0",
+            "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+            "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0", "Licensed under CC BY-ND 4.0.": "cc-by-nd-4.0",
+            "Licensed under CC BY 4.0.": "cc-by-4.0", "Licensed under the Apache License, Version 1.1.": None}
+    got = {r.doc_id: list(r.families) for r in license_scan.scan(make_docs(spark, list(enumerate(want)))).collect()}
+    assert got == {k: [f] if f else [] for k, f in enumerate(want.values())}
+
+
 @pytest.mark.parametrize("share", [0.8, 0.6])
 def test_key_words_cover_every_template(share):
     import re
