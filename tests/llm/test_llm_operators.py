@@ -401,6 +401,16 @@ def test_license_scan_tells_siblings_apart(spark):
     assert got == {k: [f] if f else [] for k, f in enumerate(want.values())}
 
 
+def test_license_scan_reads_wrapped_and_long_lines(spark):
+    import textwrap
+    mit, bsd, gpl = (next(t for f, t in license_scan.TEMPLATES if f == name and len(t) > 120) for name in ("mit", "bsd-3-clause", "gpl-3.0"))
+    filler = " ".join(f"plain{k} words{k} of{k} prose{k}" for k in range(500))
+    docs = [(0, textwrap.fill(mit, 60)), (1, "\n".join(" * " + x for x in textwrap.wrap(bsd, 60))), (2, "# x\n#\n" + textwrap.fill(gpl, 50, initial_indent="# ", subsequent_indent="# ")),
+            (3, f"{filler} {mit} {filler}"), (4, f"{filler} Licensed under CC BY-NC 4.0. {filler}"), (5, filler)]
+    got = {r.doc_id: list(r.families) for r in license_scan.scan(make_docs(spark, docs)).collect()}
+    assert got == {0: ["mit"], 1: ["bsd-3-clause"], 2: ["gpl-3.0"], 3: ["mit"], 4: ["cc-by-nc-4.0"], 5: []}
+
+
 @pytest.mark.parametrize("share", [0.8, 0.6])
 def test_key_words_cover_every_template(share):
     import re
