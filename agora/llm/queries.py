@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agora.llm import chat_format, decontaminate, exact_dedup, license_scan, lm_trie, minhash_join, packing, quality_gbt, suffix_dedup, url_lists
+from agora.config import scratch_path
+from agora.llm import (chat_format, decontaminate, exact_dedup, hard_negatives, license_scan, lm_trie, minhash_join, packing, quality_gbt,
+                       spelling, suffix_dedup, token_files, url_lists)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +106,36 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the embeddings whose id is divisible by 100; labels where 7 divides the id are moved on."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null and label is not null and embedding is not null")
+    rows = rows.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), vector.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from its token ids in Parquet."""
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return token_files.digest(spark, path)
+
+
+def misspelt(runs: DataFrame) -> DataFrame:
+    """The contract's own noise: where 31 divides the crc32 of id and run, one code point of the run is left out."""
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("run")).cast("binary"))
+    cut = F.expr("concat(substring(run, 1, cast(h % char_length(run) as int)), substring(run, cast(h % char_length(run) as int) + 2))")
+    return runs.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents that occur twice or more."""
+    words = misspelt(spelling.letter_runs(table(spark, sf_dir, "documents")))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return spelling.variant_groups(counts).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -115,6 +147,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_files": op12_token_files,
+    "op13_spelling": op13_spelling,
 }
 
 OP1_SQL = r"""
@@ -231,4 +266,65 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 FROM d JOIN g USING (norm)
 """
 
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op5_url_lists": OP5_SQL, "op3_minhash": OP3_SQL, "op2_decontaminate": OP2_SQL, "op8_exact_dedup": OP8_SQL}
+OP11_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+# crc32 by its table of 256 remainders, byte by byte.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS c, 0 AS k FROM (SELECT unnest(range(256)) AS i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+remainders AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents),
+seen AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run)) AS x FROM seen),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                                          list_transform(range(length(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))),
+                             lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), CAST(4294967295 AS BIGINT)) AS h
+  FROM coded, remainders),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest
+          FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+links AS (
+  SELECT x.word, y.word AS near, y.n FROM holes x JOIN holes y ON x.rest = y.rest AND x.k = y.k AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM holes x JOIN words y ON x.rest = y.word
+  UNION SELECT y.word, x.word, x.n FROM holes x JOIN words y ON x.rest = y.word),
+best AS (
+  SELECT word, near, n AS near_n, count(*) OVER (PARTITION BY word) AS n_near FROM links
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, near) = 1),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form,
+         CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN best ON best.word = w.word),
+way AS (
+  SELECT word, word AS reached, form AS next FROM formed
+  UNION ALL SELECT way.word, formed.word, formed.form FROM way JOIN formed ON formed.word = way.next)
+SELECT f.word, f.form, reached AS root, f.n, CAST(n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN way ON way.word = f.word AND way.next IS NULL
+"""
+
+ORACLE_SQL = {"op11_hard_negatives": OP11_SQL, "op13_spelling": OP13_SQL, "op1_chat_format": OP1_SQL, "op5_url_lists": OP5_SQL, "op3_minhash": OP3_SQL, "op2_decontaminate": OP2_SQL, "op8_exact_dedup": OP8_SQL}
