@@ -1,7 +1,7 @@
 """Packing documents into fixed-length sequences by cutting-stock column generation.
 
-1. One scan tokenises every document (word by word, each distinct word once
-   a task) and cuts it: full pieces of ``capacity`` ids fill a sequence each;
+1. One scan tokenises every document (piece of a word by piece, each distinct
+   one once a worker while it is remembered) and cuts it: full pieces of ``capacity`` ids fill a sequence each;
    the rest is one piece shorter than that. Pieces are written to a table.
 2. The histogram of the rests' lengths, rounded up to ``grain`` ids, goes to
    the driver: capacity / grain counts at most, whatever the input's size.
@@ -23,7 +23,6 @@ are ignored. An empty table gives no pieces.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -32,180 +31,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.llm.common import id_and_bytes, shared_table, steps
-from agora.llm.words import LOWER_TABLE, Hasher, bounds, joined
+from agora.llm.word_tokens import STEP_BYTES, of_process
 
 CAPACITY = 2048
 GRAIN = 8
 END_ID = 1
-WORDS_KEPT = 300_000
-STEP_BYTES = 1 << 19
-MARK = b"\x00"
-
-# The stops, and ASCII letters and digits.
-STOPS, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
-STOPS[list(b".,!?;:")] = True
-ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+PIECES_A_CHUNK = 20_000  # rows of one length that a task ranks, about
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class WordTokens:
-    """Token ids of texts, remembering the ids of each distinct word.
-
-    The tokenizer drops white space and splits there, and between letters and
-    stops, so a text's ids are its pieces' ids in turn; a piece is a word, or
-    the stops behind an ASCII word. ASCII words are taken in lower case, as
-    the tokenizer reads them. Pieces are told apart by two 64-bit hashes; if
-    ever the first alone collides, the step is encoded text by text. The
-    memory is bounded: it restarts at WORDS_KEPT pieces.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.mark_id, = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.hashes = Hasher(0), Hasher(1)
-        self.forget()
-
-    def forget(self) -> None:
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # sorted by key
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in turn, where each text's ids end)."""
-        buffer, text_starts = joined(texts)
-        buffer, starts, ends = split_pieces(buffer)
-        key, check = (h(buffer, starts, ends) for h in self.hashes)
-        own, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if not np.array_equal(check[where][back], check):
-            return self.encode_texts(texts)
-        at, known = self.find(own)
-        if not np.array_equal(self.check[at[known]], check[where[known]]):
-            return self.encode_texts(texts)
-        if len(new := where[~known]):
-            data = buffer.tobytes()
-            self.learn([data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], own[~known], check[new])
-            at, _ = self.find(own)
-        at = at[back]
-        counts = self.count[at]
-        past = np.cumsum(counts)
-        ids = self.ids[np.repeat(self.first[at] - (past - counts), counts) + np.arange(past[-1] if len(past) else 0)]
-        pieces_past = np.append(np.searchsorted(starts, text_starts[1:]), len(starts))
-        text_ends = np.append(0, past)[pieces_past]
-        if len(self.key) > WORDS_KEPT:
-            self.forget()
-        return ids, text_ends
-
-    def encode_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        coded = [self.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
-        return np.array(sum(coded, []), np.uint32), np.cumsum([len(c) for c in coded])
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each key among those known, whether it is there)."""
-        if not len(self.key):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        return at, self.key[at] == keys
-
-    def learn(self, pieces: list[bytes], key: np.ndarray, check: np.ndarray) -> None:
-        """Encode new pieces, some hundreds to a call.
-
-        Plain words close with an id that ends a word. Others have a mark in
-        between, a control character that is one id as a word; pieces that hold
-        it go alone.
-        """
-        kinds: dict[str, list[int]] = {"plain": [], "other": [], "alone": []}
-        for k, p in enumerate(pieces):
-            kinds["plain" if one_word(p) else "alone" if MARK in p else "other"].append(k)
-        first, count, ids, used = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [self.ids], len(self.ids)
-        for kind, gap, most in (("plain", b" ", 500), ("other", b" " + MARK + b" ", 500), ("alone", b"", 1)):
-            lots = [kinds[kind][k:k + most] for k in range(0, len(kinds[kind]), most)]
-            texts = [gap.join([pieces[k] for k in lot]).decode() for lot in lots]
-            coded = (enc for k in range(0, len(texts), 16)  # a few at a time: encodings are large
-                     for enc in self.tokenizer.encode_batch_fast(texts[k:k + 16], add_special_tokens=False))
-            for lot, enc in zip(lots, coded, strict=True):
-                own = np.array(enc.ids, np.uint32)
-                if kind == "plain":
-                    past = np.flatnonzero(self.closes[own]) + 1
-                    begin = np.append(0, past[:-1])
-                else:
-                    past = np.append(np.flatnonzero(own == self.mark_id) if most > 1 else [], len(own)).astype(np.int64)
-                    begin = np.append(0, past[:-1] + 1)
-                if len(begin) != len(lot):
-                    raise ValueError("the tokenizer does not split where words end")
-                first[lot], count[lot] = begin + used, past - begin
-                ids.append(own)
-                used += len(own)
-        self.ids = np.concatenate(ids)
-        key, check = np.concatenate([self.key, key]), np.concatenate([self.check, check])
-        order = np.argsort(key, kind="stable")
-        self.key, self.check = key[order], check[order]
-        self.first, self.count = np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
-
-
-def split_pieces(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer with ASCII words in lower case, start and end of each piece).
-
-    An ASCII word that ends with a letter or digit and stops is two pieces.
-    Words that may hold part of a special token (<|) stay as they are.
-    """
-    starts, ends = bounds(buffer)
-    special = np.zeros(len(buffer), bool)
-    special[:-1] = (buffer[:-1] == 0x3C) & (buffer[1:] == 0x7C)
-    odd = np.append(0, np.cumsum((buffer >= 0x80) | special, dtype=np.int64))
-    ascii_word = odd[ends] == odd[starts]
-    edge = np.zeros(len(buffer) + 1, np.int8)
-    edge[starts[~ascii_word]] = 1
-    edge[ends[~ascii_word]] -= 1
-    low = np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, buffer, LOWER_TABLE[buffer])
-    last = np.maximum.accumulate(np.where(STOPS[low], 0, np.arange(len(low))))
-    core = last[ends - 1] + 1 if len(ends) else ends
-    cut = ascii_word & (core > starts) & (core < ends)
-    cut[cut] = ALNUM[low[core[cut] - 1]]
-    where = np.cumsum(1 + cut) - 1 - cut  # each word's place among the pieces
-    piece_starts = np.zeros(len(starts) + int(cut.sum()), np.int64)
-    piece_ends = piece_starts.copy()
-    piece_starts[where], piece_ends[where] = starts, np.where(cut, core, ends)
-    piece_starts[where[cut] + 1], piece_ends[where[cut] + 1] = core[cut], ends[cut]
-    return low, piece_starts, piece_ends
-
-
-def one_word(piece: bytes) -> bool:
-    """Letters of the Latin blocks only, also in lower case: one word to the tokenizer."""
-    if piece.isascii():
-        return piece.isalpha()
-    text = piece.decode()
-    return text.isalpha() and max(text) < "\u0250" and text.lower().isalpha()
-
-
 def cutter(path: str, capacity: int, end_id: int, with_ids: bool):
     """The mapInArrow function from (doc_id, text) to the document's pieces."""
     def cut(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        tokens = WordTokens(path)
+        tokens = of_process(path)
         for ids, texts in steps(batches, STEP_BYTES):
-            owner, start, length, crc, total, pieces = [], [], [], [], [], []
             coded, ends = tokens.encode(texts)
-            for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                all_ids = np.append(coded[a:b], np.uint32(end_id)).astype("<u4")
-                for at in range(0, len(all_ids), capacity):
-                    piece = all_ids[at:at + capacity]
-                    owner.append(k)
-                    start.append(at)
-                    length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    total.append(len(all_ids))
-                    if with_ids:
-                        pieces.append(piece.astype(np.int64))
-            columns = [ids.take(pa.array(owner, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+            coded = np.insert(coded, ends, end_id)
+            past = ends + np.arange(1, len(ends) + 1)
+            first = np.append(0, past[:-1])
+            total = past - first
+            pieces = -(-total // capacity)
+            owner = np.repeat(np.arange(len(total)), pieces)
+            start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+            begin = first[owner] + start
+            length = np.minimum(capacity, total[owner] - start)
+            data = coded.astype("<u4").tobytes()
+            crc = [zlib.crc32(data[4 * a:4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            columns = [ids.take(pa.array(owner))] + [pa.array(x, pa.int64()) for x in (start, length, crc, total[owner])]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                columns, names = [*columns, pa.array(pieces, pa.list_(pa.int64()))], [*names, "ids"]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, past[-1:]).astype(np.int32)), pa.array(coded.astype(np.int64)))
+                columns, names = [*columns, lists], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     return cut
 
@@ -243,6 +100,26 @@ def best_patterns(values: np.ndarray, sizes: np.ndarray, capacity: int, floor: f
     return found
 
 
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """``matrix @ vector`` element by element: no BLAS threads in the driver's process, where they can stall beside the JVM."""
+    return (matrix * vector).sum(axis=1)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row exchanges, element by element (see ``times``)."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        at = k + int(np.abs(work[k:, k]).argmax())
+        if at != k:
+            work[[k, at]] = work[[at, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= factor[:, None] * work[k]
+    return work[:, n:]
+
+
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
                    gap: float = 2e-3, max_pivots: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Columns (patterns) of the basis and how often each is used, near the linear optimum.
@@ -254,25 +131,25 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
     everything.
     """
     n = len(sizes)
-    least = float(sizes @ demand) / capacity
+    least = float((sizes * demand).sum()) / capacity
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(columns))
-    x = inverse @ demand
-    pool = np.zeros((n, 0))
+    x = times(inverse, demand)
+    pool = np.zeros((0, n))  # priced patterns, a row each
     for step in range(max_pivots):
         if step % 256 == 255:  # rounding errors of the updates do not add up
-            inverse = np.linalg.inv(columns)
-            x = inverse @ demand
+            inverse = inverted(columns)
+            x = times(inverse, demand)
         if x.sum() <= least * (1 + gap):
             break
         duals = inverse.sum(axis=0)
-        values = duals @ pool
+        values = times(pool, duals)
         if not len(values) or values.max() <= 1 + gap:
             more = best_patterns(np.maximum(duals, 0), sizes, capacity, 1 + gap)
-            if not more or (values := duals @ (pool := np.column_stack(more))).max() <= 1 + gap:
+            if not more or (values := times(pool := np.array(more, float), duals)).max() <= 1 + gap:
                 break
-        pattern = pool[:, int(values.argmax())]
-        direction = inverse @ pattern
+        pattern = pool[int(values.argmax())]
+        direction = times(inverse, pattern)
         ratios = np.full(n, np.inf)
         up = direction > 1e-9
         ratios[up] = np.maximum(x[up], 0) / direction[up]
@@ -281,7 +158,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int,
         x[leave] = ratios[leave]
         columns[:, leave] = pattern
         pivot = inverse[leave] / direction[leave]
-        inverse = inverse - np.outer(direction, pivot)
+        inverse = inverse - direction[:, None] * pivot
         inverse[leave] = pivot
     return columns.astype(np.int64), np.maximum(x, 0)
 
@@ -305,15 +182,15 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[np.nda
     demand = np.array([histogram[s] for s in sizes], np.int64)
     columns, x = solve_patterns(sizes, demand.astype(float), capacity)
     plan, left = [], demand.copy()
-    for column, times in sorted(zip(columns.T, np.floor(x + 1e-6), strict=True), key=lambda p: -p[1]):
-        times = int(min(times, np.min(left[column > 0] // column[column > 0], initial=np.iinfo(np.int64).max)))
-        if times > 0 and column.any():
-            plan.append((column, times))
-            left = left - column * times
+    for column, uses in sorted(zip(columns.T, np.floor(x + 1e-6), strict=True), key=lambda p: -p[1]):
+        uses = int(min(uses, np.min(left[column > 0] // column[column > 0], initial=np.iinfo(np.int64).max)))
+        if uses > 0 and column.any():
+            plan.append((column, uses))
+            left = left - column * uses
     return plan + [(b, 1) for b in first_fit(left, sizes, capacity)], sizes
 
 
-def ranked(rest: DataFrame, per_chunk: int = 200_000) -> DataFrame:
+def ranked(rest: DataFrame, per_chunk: int = PIECES_A_CHUNK) -> DataFrame:
     """``rest`` with ``rank``: 0-based, gapless within ``size``; no window holds a whole size.
 
     Rows are dealt into chunks by a hash; chunks count first and take their
@@ -340,16 +217,18 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> D
     if histogram:
         plan, sizes = plan_patterns(histogram, capacity // grain)
         used = np.zeros(len(sizes), np.int64)
-        for pattern, times in plan:
+        for pattern, uses in plan:
             for k in np.flatnonzero(pattern):
                 each = int(pattern[k])
-                slots.append((int(sizes[k]), int(used[k]), int(used[k]) + each * times, each, base))
-                used[k] += each * times
-            base += times
-    # a slot row for each length in a pattern: at most (capacity / grain) squared, a bound without the data
-    table = spark.createDataFrame(slots, "size long, first long, past long, each long, base long")
-    placed = ranked(rest).join(F.broadcast(table), "size").where("rank >= first and rank < past")
-    placed = placed.withColumn("sequence_id", F.expr("base + (rank - first) div each"))
+                slots.append((int(sizes[k]), int(used[k]), int(used[k]) + each * uses, each, base))
+                used[k] += each * uses
+            base += uses
+    # a slot for each length in a pattern: at most (capacity / grain) squared, a bound without the data; one row a length
+    table = spark.createDataFrame(slots, "size long, first long, past long, each long, base long").groupBy("size").agg(
+        F.collect_list(F.struct("first", "past", "each", "base")).alias("slots"))
+    own = F.element_at(F.filter("slots", lambda s: (F.col("rank") >= s["first"]) & (F.col("rank") < s["past"])), 1)
+    placed = ranked(rest).join(F.broadcast(table), "size").withColumn("slot", own)
+    placed = placed.withColumn("sequence_id", F.expr("slot.base + (rank - slot.first) div slot.each"))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "rank", "size").rowsBetween(
         Window.unboundedPreceding, -1)  # a sequence holds capacity pieces at most
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from agora.llm import hard_negatives, queries, spelling, token_files, word_tokens
+from agora.llm import hard_negatives, packing, queries, spelling, token_files, word_tokens
 
 
 def near(a, b):
@@ -239,3 +239,32 @@ def test_word_tokens_equal_the_library(monkeypatch):
         ids, ends = tokens.encode([t.encode() for t in texts[at:at + 50]])
         for a, b, t in zip([0, *ends[:-1]], ends, texts[at:at + 50], strict=True):
             assert ids[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_plan_ends_in_a_live_driver(spark, monkeypatch):
+    """216 lengths need several hundred pivots; BLAS threads beside the JVM once stalled there."""
+    assert spark.range(1000).repartition(8).count() == 1000
+    calls = []
+    inverted = packing.inverted
+    monkeypatch.setattr(packing, "inverted", lambda m: calls.append(1) or inverted(m))
+    rnd = random.Random(11)
+    histogram = {size: rnd.randint(1, 40) for size in range(41, 257)}
+    plan, sizes = packing.plan_patterns(histogram, 256)
+    assert calls and sizes.tolist() == sorted(histogram)
+    assert (sum(pattern * uses for pattern, uses in plan) == [histogram[s] for s in sizes]).all()
+    assert all((pattern * sizes).sum() <= 256 for pattern, _ in plan)
+    matrix = np.random.default_rng(1).normal(size=(60, 60))
+    assert np.allclose(inverted(matrix), np.linalg.inv(matrix))
+
+
+def test_packing_fills_whole_sequences(spark):
+    """Little padding at the default capacity: at least 99 of 100 ids are tokens."""
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([(i, "the " * min(9000, int(rnd.lognormvariate(5.6, 1.1)))) for i in range(4000)], "doc_id long, text string")
+    pieces = packing.pack(docs, queries.tokenizer_file()).collect()
+    used = defaultdict(int)
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == used[p.sequence_id]
+        used[p.sequence_id] += p.length
+    assert sorted(used) == list(range(len(used))) and max(used.values()) <= packing.CAPACITY
+    assert sum(used.values()) >= 0.99 * packing.CAPACITY * len(used)
