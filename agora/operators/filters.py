@@ -1,16 +1,20 @@
 """Demo-account filters (the "real user" predicate) and their join forms.
 
 The reference excludes demo accounts (email ending with the demo domain,
-case-insensitive) by joining ``users`` and testing the email. In bulk we
-compute the flag once (``Tables.user_flags``) and turn the test into
-semi/anti joins against id sets, so fact tables never shuffle just to be
-filtered when the id set is small:
+case-insensitive) by joining ``users`` and testing the email. Real accounts
+are as many as users; the ids to exclude are few. They are found once a
+table bundle (``Tables.barred_ids``), and a fact is filtered by an anti-join
+with them: it is not shuffled, so a provider who holds a third of all bids
+gathers nowhere.
 
 * ``keep_real(df, col)``      — inner join to users + real test: the party
-  must exist and not be demo (``left_semi`` against real ids).
+  must exist and not be demo (``left_anti`` against demo ids and dangling
+  ids; NULL keys go).
 * ``keep_optional_real(df, col)`` — ``LEFT JOIN users … WHERE users.id IS NULL
   OR real``: drop only rows whose party is an existing demo account
   (``left_anti`` against demo ids; NULL keys survive).
+* ``with_name(df, col, ..., real_only=True)`` — where the name is wanted too:
+  the join that brings it also tests existence and realness.
 """
 
 from __future__ import annotations
@@ -37,13 +41,19 @@ def is_demo_email(email: Column | str, domain: str) -> Column:
 
 
 def keep_real(df: DataFrame, col: str, t: Tables) -> DataFrame:
-    ids = t.real_ids()
-    return df.join(ids, df[col] == ids["_uid"], "left_semi")
+    ids = t.unreal_ids()
+    return df.where(F.col(col).isNotNull()).join(ids, F.col(col) == ids["_uid"], "left_anti")
+
+
+def keep_existing(df: DataFrame, col: str, t: Tables) -> DataFrame:
+    """Rows whose party is an existing account, demo or not."""
+    ids = t.dangling_ids()
+    return df.where(F.col(col).isNotNull()).join(ids, F.col(col) == ids["_uid"], "left_anti")
 
 
 def keep_optional_real(df: DataFrame, col: str, t: Tables) -> DataFrame:
     ids = t.demo_ids()
-    return df.join(ids, df[col] == ids["_uid"], "left_anti")
+    return df.join(ids, F.col(col) == ids["_uid"], "left_anti")
 
 
 def with_name(df: DataFrame, col: str, alias: str, t: Tables, real_only: bool = False) -> DataFrame:

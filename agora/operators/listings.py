@@ -83,18 +83,18 @@ def request_bid_board(t: Tables, real_only: bool = True, ids: DataFrame | None =
     """JN2 + AG9: every request's bids with provider name and the provider's
     average rating (NULL when unreviewed), cheapest first per request.
     ``ids`` restricts to some requests."""
-    t = t.replace(bids=FL.only(t.bids, "request_id", ids))
+    t = t.narrowed(bids=FL.only(t.bids, "request_id", ids))
+    # a row per provider with name and rating, so that the bids meet the provider once: Spark
+    # broadcasts it where its size allows (a hot provider's bids then stay in their map
+    # tasks) and splits the skew where not. The join tests existence and realness too.
+    rating = provider_rating(t)
+    names = t.real_names() if real_only else t.all_names().select("_uid", "_name")
+    who = names.join(rating, names["_uid"] == rating["_pid"], "left").select(
+        "_uid", F.col("_name").alias("provider_name"), "rating_avg")
+    b = t.bids.join(who, F.col("provider_id") == who["_uid"], "inner").drop("_uid")
     if real_only:
-        b = FL.keep_real(t.bids, "provider_id", t)
         req = FL.requests_real_client(t).select(F.col("id").alias("_req"))
         b = b.join(req, b["request_id"] == req["_req"], "left_semi")
-        b = FL.with_name(b, "provider_id", "provider_name", t)
-    else:
-        b = FL.with_name(t.bids, "provider_id", "provider_name", t)
-    # one row per provider: broadcast when proven small (a hot provider's
-    # bids then stay in their map tasks); otherwise AQE splits the skew
-    rating = provider_rating(t)
-    b = b.join(rating, b["provider_id"] == rating["_pid"], "left").drop("_pid")
     return _ranked(b, "request_id", [("price", False), ("created_at", False), ("id", False)])
 
 
@@ -130,8 +130,7 @@ def pending_reviews(t: Tables, real_only: bool = True, ids: DataFrame | None = N
     the provider's name (an unassigned request drops out), newest first.
     ``ids`` restricts to some clients."""
     r = FL.only(t.service_requests.where(F.col("status") == "completed"), "client_id", ids)
-    r = FL.keep_real(r, "client_id", t) if real_only else r.join(
-        t.all_names().select("_uid"), F.col("client_id") == F.col("_uid"), "left_semi")
+    r = FL.keep_real(r, "client_id", t) if real_only else FL.keep_existing(r, "client_id", t)
     rv = t.reviews.select(F.col("request_id").alias("_rv"))
     r = r.join(rv, r["id"] == rv["_rv"], "left_anti")
     r = FL.with_name(r, "selected_provider_id", "provider_name", t, real_only=real_only)
@@ -143,9 +142,8 @@ def provider_reviews(t: Tables, real_only: bool = True, k: int | None = None,
                      ids: DataFrame | None = None) -> DataFrame:
     """JN7: each provider's reviews with client name and request title,
     newest first per provider. ``ids`` restricts to some providers."""
-    t = t.replace(reviews=FL.only(t.reviews, "provider_id", ids))
-    rv = FL.keep_real(t.reviews, "provider_id", t) if real_only else t.reviews.join(
-        t.all_names().select("_uid"), F.col("provider_id") == F.col("_uid"), "left_semi")
+    t = t.narrowed(reviews=FL.only(t.reviews, "provider_id", ids))
+    rv = FL.keep_real(t.reviews, "provider_id", t) if real_only else FL.keep_existing(t.reviews, "provider_id", t)
     rv = FL.with_name(rv, "client_id", "client_name", t, real_only=real_only)
     req = t.service_requests.select(F.col("id").alias("_rid"), "title")
     rv = rv.join(req, rv["request_id"] == req["_rid"], "inner").drop("_rid")

@@ -35,7 +35,7 @@ def real_providers(t: Tables, ids: IdFrame = None) -> DataFrame:
 
 
 def _bids(t: Tables, ids: IdFrame) -> DataFrame:
-    return FL.bids_real_parties(t.replace(bids=FL.only(t.bids, "provider_id", ids)))
+    return FL.bids_real_parties(t.narrowed(bids=FL.only(t.bids, "provider_id", ids)))
 
 
 def bid_summary(t: Tables, ids: IdFrame = None) -> DataFrame:
@@ -185,7 +185,7 @@ def admin_revenue_trend(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
 def provider_bids(t: Tables, real_only: bool = True, k: int | None = None, ids: IdFrame = None) -> DataFrame:
     """JN3: every bid with its request title/status, ranked per provider
     newest first (``rank``); with ``real_only`` both parties are real."""
-    t = t.replace(bids=FL.only(t.bids, "provider_id", ids))
+    t = t.narrowed(bids=FL.only(t.bids, "provider_id", ids))
     if real_only:
         b = FL.bids_real_parties(t)
     else:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,21 @@ BUCKET_KEYS = {
 }
 
 
+# Columns that name a user.
+PARTIES = {
+    "service_requests": ("client_id", "selected_provider_id"),
+    "bids": ("provider_id",),
+    "mkt_conversations": ("client_id", "provider_id"),
+    "messages": ("sender_id",),
+    "reviews": ("client_id", "provider_id"),
+    "promotions": ("provider_id",),
+}
+
+# Ids of a small set that a join may broadcast: 8 bytes each, 8 MB in all.
+# Beyond it the same join goes by Spark's own choice.
+MOST_BROADCAST = 1_000_000
+
+
 @dataclass
 class Tables:
     users: DataFrame
@@ -40,6 +55,7 @@ class Tables:
     promotions: DataFrame
     transactions: DataFrame
     demo_domain: str = DEMO_DOMAIN
+    _barred: list = field(default_factory=list, repr=False, compare=False)  # see barred_ids; shared by narrowed bundles
 
     # ------------------------------------------------------------------ build
     @classmethod
@@ -84,6 +100,12 @@ class Tables:
         cur.update(frames)
         return Tables.from_frames(cur, self.demo_domain)
 
+    def narrowed(self, **frames: DataFrame) -> "Tables":
+        """``replace`` by frames with fewer of the same rows: the barred ids stay those of the whole tables."""
+        out = self.replace(**frames)
+        out._barred = self._barred
+        return out
+
     def write(self, path: str, mode: str = "errorifexists") -> str:
         """Write every table as parquet under ``path`` (a snapshot)."""
         base = path.rstrip("/")
@@ -122,13 +144,49 @@ class Tables:
             F.lower(F.col("email")).endswith(domain).alias("is_demo"),
         )
 
+    def barred_ids(self) -> tuple[DataFrame, int]:
+        """(_uid, _demo): ids that a required party must not have, and how
+        many they are: those of demo accounts, and those that a table names
+        though no user has them.
+
+        Both are few, whatever the size of ``users`` and of the facts, so a
+        fact drops their rows by an anti-join with a small table and stays
+        where it is. Dangling ids come from one pass over the facts' party
+        columns, distinct before their shuffle. Written once a bundle in the
+        shared folder.
+        """
+        with _LOCK:
+            if not self._barred:
+                users = self.user_flags()
+                named = None
+                for table, columns in PARTIES.items():
+                    own = getattr(self, table).select(F.explode(F.array(*columns)).alias("_uid")).distinct()
+                    named = own if named is None else named.unionByName(own)
+                dangling = named.where(F.col("_uid").isNotNull()).distinct().join(
+                    users.select(F.col("id").alias("_uid")), "_uid", "left_anti").select("_uid", F.lit(False).alias("_demo"))
+                demo = users.where("is_demo").select(F.col("id").alias("_uid"), F.lit(True).alias("_demo"))
+                path = scratch_path(self.spark, "barred")
+                demo.unionByName(dangling).write.parquet(path)
+                kept = self.spark.read.schema("_uid long, _demo boolean").parquet(path)
+                self._barred += [kept, kept.count()]
+        return self._barred[0], self._barred[1]
+
+    def _barred_where(self, condition: str) -> DataFrame:
+        ids, n = self.barred_ids()
+        ids = ids.where(condition).select("_uid")
+        return F.broadcast(ids) if n <= MOST_BROADCAST else ids  # small by its count; beyond that Spark joins as it sees fit
+
     def demo_ids(self) -> DataFrame:
         """Ids of demo accounts."""
-        return self.user_flags().where("is_demo").select(F.col("id").alias("_uid"))
+        return self._barred_where("_demo")
+
+    def dangling_ids(self) -> DataFrame:
+        """Ids that a table names and no user has."""
+        return self._barred_where("not _demo")
 
-    def real_ids(self) -> DataFrame:
-        """Ids of existing, non-demo accounts."""
-        return self.user_flags().where(~F.col("is_demo")).select(F.col("id").alias("_uid"))
+    def unreal_ids(self) -> DataFrame:
+        """Ids that are no existing real account's."""
+        return self._barred_where("true")
 
     def real_names(self) -> DataFrame:
         """(_uid, _name) of real accounts, for joins that also need the name."""
@@ -182,6 +240,7 @@ def load(spark: SparkSession, sf_dir: str, materialize: bool = True, buckets: in
                                              "agora_" + uuid.uuid4().hex[:12])
     else:
         derived = Tables.from_frames(derive_tables(spark, sf_dir))
+    derived.barred_ids()
     with _LOCK:
         _LOADED[key] = derived
     return derived

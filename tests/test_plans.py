@@ -38,9 +38,33 @@ def test_anti_join_for_missing_review(spark):
     assert "LeftAnti" in plan(spark, "pending_reviews")
 
 
-def test_demo_filter_is_semi_join(spark):
+def test_required_party_filter_is_an_anti_join_with_few_ids(spark):
     p = plan(spark, "category_sales")
-    assert "LeftSemi" in p and "LeftAnti" in p
+    assert "LeftAnti" in p and "LeftSemi" not in p
+
+
+def without_broadcasts(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name,keys", [("provider_bid_status", {"provider_id", "request_id", "r_id"}), ("conversion_rate", {"request_id", "r_id"}),
+                                       ("active_promotions", set()), ("status_distribution", {"status"})])
+def test_no_fact_is_shuffled_on_a_party_to_be_filtered(spark, name, keys):
+    """Users are not broadcast here: the only shuffles are those of the joins and groups asked for."""
+    p = without_broadcasts(spark, name)
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", p)
+    assert {re.sub(r"#\d+L?", "", x) for k in found for x in k.split(", ")[:-2] if "#" in x} <= keys | {"status"}, found
+    if name == "provider_bid_status":  # the one shuffle on the provider is behind the partial counts
+        assert all("partial_count" in p[m.end():m.end() + 400] for m in re.finditer(r"Exchange hashpartitioning\(provider_id", p))
+
+
+def test_bid_board_shuffles(spark):
+    p = without_broadcasts(spark, "request_bid_board")
+    assert len(re.findall("Exchange hashpartitioning", p)) <= 6, p
 
 
 def test_scan_pruned_to_needed_columns(spark):
