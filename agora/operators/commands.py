@@ -101,15 +101,10 @@ def validate_request(t: Tables, cmds: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- VA3
-def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
-    """VA3: a request id that is absent or not positive means the newest open
-    request (the page's default); if there is none, or price or duration are
-    not positive, or details are blank -> invalid_bid_data; request missing or not open -> request_not_open;
-    provider already bid on it (table or earlier in batch) -> already_submitted;
-    price beyond DECIMAL(10,2) or duration beyond INT -> send_failed (the
-    insert fails).
-    ``earlier`` adds (request_id, provider_id) pairs accepted by previous
-    batches (streaming ingest)."""
+def bid_flags(t: Tables, cmds: DataFrame) -> DataFrame:
+    """VA3's rules that a command and the tables decide, for a batch or a
+    stream: ``_invalid``, ``_not_open``, ``_has``, ``_unfit``, and ``_cand``
+    (the command is accepted unless another one of its pair came first)."""
     from agora.operators.listings import newest_open_request
 
     # a global aggregate: one row also when there is no open request
@@ -120,31 +115,43 @@ def validate_bid(t: Tables, cmds: DataFrame, earlier: DataFrame | None = None) -
         F.when(asked <= 0, F.coalesce(F.col("_default"), F.lit(0))).otherwise(asked).cast("long").alias("request_id"),
         "provider_id", php_float("price").alias("_price"), php_int("duration_days").alias("_dur"),
         php_trim("details").alias("details"))
-    req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("status").alias("_rstatus")),
-                   ["request_id"], c.select("request_id"))
-    c = c.join(req, "request_id", "left")
+    req = t.service_requests.select(F.col("id").alias("request_id"), F.col("status").alias("_rstatus"))
     pairs = t.bids.select("request_id", "provider_id")
-    if earlier is not None:
-        pairs = pairs.unionByName(earlier.select("request_id", "provider_id"))
-    bids = restrict(pairs, ["request_id", "provider_id"],
-                    c.select("request_id", "provider_id")).distinct().withColumn("_has", F.lit(True))
-    c = c.join(bids, ["request_id", "provider_id"], "left")
-    invalid = ((F.col("request_id") <= 0) | (F.col("_price") <= 0) | (F.col("_dur") <= 0)
-               | (F.col("details") == ""))
-    not_open = F.coalesce(F.col("_rstatus") != "open", F.lit(True))
-    has = F.coalesce(F.col("_has"), F.lit(False))
-    # the insert itself fails (strict mode) when a value does not fit its column
-    unfit = F.col("_price").try_cast("decimal(10,2)").isNull() | F.col("_dur").try_cast("int").isNull()
-    cand = ~invalid & ~not_open & ~has & ~unfit
-    c = first_wins(c, cand, ["request_id", "provider_id"])
-    out = _decide(c, [(invalid, "invalid_bid_data"), (not_open, "request_not_open"),
-                      (has | (~unfit & F.col("_dup")), "already_submitted"), (unfit, "send_failed")])
+    if not cmds.isStreaming:  # a batch's keys restrict the tables first
+        req = restrict(req, ["request_id"], c.select("request_id"))
+        pairs = restrict(pairs, ["request_id", "provider_id"], c.select("request_id", "provider_id"))
+    c = c.join(req, "request_id", "left")
+    c = c.join(pairs.distinct().withColumn("_has", F.lit(True)), ["request_id", "provider_id"], "left")
+    c = c.withColumns({
+        "_invalid": (F.col("request_id") <= 0) | (F.col("_price") <= 0) | (F.col("_dur") <= 0) | (F.col("details") == ""),
+        "_not_open": F.coalesce(F.col("_rstatus") != "open", F.lit(True)),
+        "_has": F.coalesce(F.col("_has"), F.lit(False)),
+        # the insert itself fails (strict mode) when a value does not fit its column
+        "_unfit": F.col("_price").try_cast("decimal(10,2)").isNull() | F.col("_dur").try_cast("int").isNull()}).drop("_rstatus")
+    return c.withColumn("_cand", ~F.col("_invalid") & ~F.col("_not_open") & ~F.col("_has") & ~F.col("_unfit"))
+
+
+def decide_bids(flagged: DataFrame) -> DataFrame:
+    """Every command of ``bid_flags`` with status and reason; of a pair's candidates the first in time wins."""
+    c = first_wins(flagged, F.col("_cand"), ["request_id", "provider_id"])
+    out = _decide(c, [(F.col("_invalid"), "invalid_bid_data"), (F.col("_not_open"), "request_not_open"),
+                      (F.col("_has") | (~F.col("_unfit") & F.col("_dup")), "already_submitted"), (F.col("_unfit"), "send_failed")])
     return out.select("command_id", "request_id", "provider_id",
                       F.when(F.col("status") == "accepted", F.col("_price").try_cast("decimal(10,2)")).alias("price"),
                       F.when(F.col("status") == "accepted", F.col("_dur").try_cast("int")).alias("duration_days"),
                       "details", "status", "reason")
 
 
+def validate_bid(t: Tables, cmds: DataFrame) -> DataFrame:
+    """VA3: a request id that is absent or not positive means the newest open
+    request (the page's default); if there is none, or price or duration are
+    not positive, or details are blank -> invalid_bid_data; request missing or not open -> request_not_open;
+    provider already bid on it (table or earlier in batch) -> already_submitted;
+    price beyond DECIMAL(10,2) or duration beyond INT -> send_failed (the
+    insert fails)."""
+    return decide_bids(bid_flags(t, cmds))
+
+
 # ---------------------------------------------------------------- VA5
 def validate_complete(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA5: request id absent or <= 0 -> invalid_request; not the client's request or

@@ -2,7 +2,8 @@
 
 ``accept_bid_and_start_request`` runs five statements in one database
 transaction per click. In bulk, one validated *accepted set* (at most one
-command per request) is frozen and all four outputs derive from it:
+command per request) is read off one frozen result table, and all four
+outputs derive from it:
 
 * ST-A ``settle_bids``          — every bid of a settled request rejected,
   the chosen one accepted (whatever their earlier status); others unchanged.
@@ -28,17 +29,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agora.config import scratch_path
 from agora.operators.commands import _decide, first_wins, restrict
 from agora.operators.promotions import priced, with_promotion
 from agora.sources.tables import Tables
 
 
-def validate_accept(t: Tables, cmds: DataFrame) -> DataFrame:
-    """VA4: request not the client's, bid not of that request, or request
-    not open -> cannot_accept; a request that already has a conversation or a
-    transaction (table or earlier in the batch), or a discount or final price
-    that does not fit its column -> accept_failed (the insert fails and this
-    accept alone rolls back)."""
+def judged(t: Tables, cmds: DataFrame) -> DataFrame:
+    """Every command with its lookups, its promotion and prices, frozen: the
+    in-batch duplicates and all outputs are read off these rows."""
     c = cmds.select("command_id", "event_time", "client_id", "request_id", "bid_id")
     req = restrict(t.service_requests.select(F.col("id").alias("request_id"), F.col("client_id").alias("_owner"),
                                              F.col("status").alias("_rstatus")),
@@ -52,25 +51,45 @@ def validate_accept(t: Tables, cmds: DataFrame) -> DataFrame:
                     & (F.col("_rstatus") == "open"), F.lit(False))
     taken = restrict(t.mkt_conversations.select("request_id").unionByName(t.transactions.select("request_id")),
                      ["request_id"], c.select("request_id")).distinct().withColumn("_taken", F.lit(True))
-    c = c.join(taken, "request_id", "left").withColumn("_ok", ok)
-    sales = c.where("_ok").select("command_id", F.col("_bprov").alias("provider_id"), F.col("_bprice").alias("price"),
-                                  F.to_date("event_time").alias("sale_date"))
-    unfit = priced(with_promotion(sales, t.promotions)).where(
-        F.col("discount_amount").isNull() | F.col("final_price").isNull()).select("command_id", F.lit(True).alias("_unfit"))
-    c = c.join(unfit, "command_id", "left")
-    fails = F.coalesce(F.col("_taken"), F.lit(False)) | F.coalesce(F.col("_unfit"), F.lit(False))
-    c = c.withColumn("_fails", fails)
-    c = first_wins(c, F.col("_ok") & ~F.col("_fails"), ["request_id"])
-    out = _decide(c, [(~F.col("_ok"), "cannot_accept"), (F.col("_fails") | F.col("_dup"), "accept_failed")])
-    return out.select("command_id", "event_time", "client_id", "request_id", "bid_id",
-                      F.col("_bprov").alias("provider_id"), F.col("_bprice").alias("price"),
-                      "status", "reason")
+    c = c.join(taken, "request_id", "left").select(
+        "command_id", "event_time", "client_id", "request_id", "bid_id", F.col("_bprov").alias("provider_id"),
+        F.col("_bprice").alias("price"), ok.alias("_ok"), F.coalesce("_taken", F.lit(False)).alias("_taken"))
+    c = frozen(c, "accepts")
+    # only a command that is otherwise right has a sale
+    c = c.withColumn("sale_date", F.when(F.col("_ok"), F.to_date("event_time")))
+    c = priced(with_promotion(c, t.promotions))
+    fits = F.col("discount_amount").isNotNull() & F.col("final_price").isNotNull()
+    return frozen(c.withColumn("_fails", F.col("_taken") | (F.col("_ok") & ~fits)).drop("_taken", "sale_date"), "accepts")
+
+
+def frozen(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """``judged`` rows with status and reason."""
+    c = first_wins(rows, F.col("_ok") & ~F.col("_fails"), ["request_id"])
+    return _decide(c, [(~F.col("_ok"), "cannot_accept"), (F.col("_fails") | F.col("_dup"), "accept_failed")])
+
+
+RESULT = ["command_id", "event_time", "client_id", "request_id", "bid_id", "provider_id", "price", "status", "reason"]
+
+
+def validate_accept(t: Tables, cmds: DataFrame) -> DataFrame:
+    """VA4: request not the client's, bid not of that request, or request
+    not open -> cannot_accept; a request that already has a conversation or a
+    transaction (table or earlier in the batch), or a discount or final price
+    that does not fit its column -> accept_failed (the insert fails and this
+    accept alone rolls back)."""
+    return decided(judged(t, cmds)).select(*RESULT)
 
 
 def accepted_set(results: DataFrame) -> DataFrame:
-    """The frozen accepted set: one row per settled request."""
-    return results.where(F.col("status") == "accepted").select(
-        "command_id", "event_time", "client_id", "request_id", "bid_id", "provider_id", "price")
+    """The accepted commands: one row per settled request."""
+    return results.where(F.col("status") == "accepted")
 
 
 def settle_bids(t: Tables, acc: DataFrame) -> DataFrame:
@@ -103,14 +122,10 @@ def settle_conversations(t: Tables, acc: DataFrame) -> DataFrame:
                       F.col("event_time").alias("created_at"))
 
 
-def settle_transactions(t: Tables, acc: DataFrame) -> DataFrame:
+def settle_transactions(acc: DataFrame) -> DataFrame:
     """ST-D: new transaction rows, promotion as of the accept date."""
-    sales = acc.select("command_id", "request_id", "provider_id", "price", "event_time",
-                       F.to_date("event_time").alias("sale_date"))
-    s = priced(with_promotion(sales, t.promotions))
-    return s.select(F.col("command_id").alias("id"), "request_id", F.col("price").alias("original_price"),
-                    "discount_amount", "final_price", F.col("event_time").alias("created_at"),
-                    "promotion_id")
+    return acc.select(F.col("command_id").alias("id"), "request_id", F.col("price").alias("original_price"),
+                      "discount_amount", "final_price", F.col("event_time").alias("created_at"), "promotion_id")
 
 
 @dataclass
@@ -123,16 +138,14 @@ class Settlement:
 
 
 def settle(t: Tables, cmds: DataFrame) -> Settlement:
-    """VA4 then ST-A..ST-D from one accepted set. The accepted set is
-    checkpointed (shared checkpoint folder) so all four outputs see the
-    very same rows even if an executor is lost and tasks re-run."""
-    from agora.config import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(t.spark)
-    results = validate_accept(t, cmds)
-    acc = accepted_set(results).checkpoint(eager=True)
-    return Settlement(results, settle_bids(t, acc), settle_requests(t, acc),
-                      settle_conversations(t, acc), settle_transactions(t, acc))
+    """VA4 then ST-A..ST-D from one frozen result table in the shared
+    checkpoint folder: the results and all four outputs see the very same
+    rows even if an executor is lost and tasks re-run, and nothing is
+    validated or priced twice."""
+    results = frozen(decided(judged(t, cmds)).select(*RESULT, "promotion_id", "discount_amount", "final_price"), "settled")
+    acc = accepted_set(results)
+    return Settlement(results.select(*RESULT), settle_bids(t, acc), settle_requests(t, acc),
+                      settle_conversations(t, acc), settle_transactions(acc))
 
 
 def publish(t: Tables, s: Settlement, path: str) -> str:

@@ -3,13 +3,17 @@
 The reference re-queries on every page load and inserts per click; a Spark
 user would run these as streams:
 
-* ST1 :func:`start_bid_ingest` — bid commands arrive as parquet files; each
-  micro-batch is validated by the batch validator (VA3) against the snapshot
-  tables plus what earlier batches accepted, and written to
-  ``sink/batch=<id>``. Accepted pairs are also kept by slot of their request
-  id, so a batch reads the slots of its own requests and not the whole sink.
-  A re-run of a batch id overwrites its own folders and excludes it from
-  "earlier", so the sink is idempotent per batch.
+* ST1 :func:`start_bid_ingest` — bid commands arrive as parquet files; VA3's
+  rules against the snapshot tables run on the stream. Which (request,
+  provider) pairs earlier batches accepted is the query's keyed state
+  (``dropDuplicates`` in Spark's state store): a batch gets the pairs that are
+  new with it beside its commands, decides the order among its own commands
+  with the batch validator, and writes ``sink/batch=<id>``. It reads no
+  earlier output, so a batch costs what it brings. A re-run of a batch id
+  starts from the state before it and overwrites its own folder, so the sink
+  is idempotent per batch. The state holds one row per accepted pair, as the
+  table's unique key would; choose the RocksDB state store where pairs exceed
+  executor memory.
 * ST1 :func:`start_message_ingest` — the same for messages (VA6); a message
   depends on its conversation only, so no earlier batch is read.
 * ST2 :func:`start_monthly_revenue` — transactions arrive as files; a
@@ -31,20 +35,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from agora.operators import filters as FL
 from agora.functions.metrics import money_sum
-from agora.operators.commands import validate_bid, validate_message
-from agora.operators.listings import newest_open_request
+from agora.operators.commands import bid_flags, decide_bids, validate_message
 from agora.sources.commands import SCHEMAS as CMD_SCHEMAS
 from agora.sources.schemas import TRANSACTIONS
 from agora.sources.tables import Tables
 
-SLOTS = 64
-
-
-def _has_data(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+PAIR = ["request_id", "provider_id"]
 
 
 def start_bid_ingest(t: Tables, source: str, sink: str, checkpoint: str,
@@ -54,33 +50,25 @@ def start_bid_ingest(t: Tables, source: str, sink: str, checkpoint: str,
     reader = spark.readStream.schema(CMD_SCHEMAS["bid_commands"])
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.parquet(source)
-
-    pairs = f"{sink.rstrip('/')}-accepted"
-    slot = F.pmod(F.xxhash64("request_id"), F.lit(SLOTS)).alias("slot")
+    rows = bid_flags(t, reader.parquet(source))
+    fresh = rows.where("_cand").select(*PAIR).dropDuplicates(PAIR)  # keyed state: pairs no earlier batch had
+    both = rows.withColumn("_fresh", F.lit(False)).unionByName(fresh.withColumn("_fresh", F.lit(True)), allowMissingColumns=True)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        earlier = None
-        if _has_data(spark, pairs):
-            # requests that are asked for; the default request of commands without one is among the newest batch's
-            slots = [r[0] for r in _with_default(t, batch).select(slot).distinct().collect()]  # SLOTS at most
-            earlier = spark.read.schema("request_id long, provider_id long, slot long, batch long").parquet(pairs).where(
-                F.col("slot").isin(slots) & (F.col("batch") < batch_id)).select("request_id", "provider_id")
-        out = f"{sink}/batch={batch_id}"
-        validate_bid(t, batch, earlier).write.mode("overwrite").parquet(out)
-        accepted = spark.read.parquet(out).where("status = 'accepted'").select("request_id", "provider_id", slot, F.lit(batch_id).alias("batch"))
-        accepted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot", "batch").parquet(pairs)
-
-    w = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+        staged = f"{sink.rstrip('/')}-staged/batch={batch_id}"  # the state is read once, what follows reads these rows
+        batch.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(batch.schema).parquet(staged)
+        new = rows.where("_fresh").select(*PAIR, F.lit(True).alias("_new"))
+        own = rows.where("not _fresh").join(new, PAIR, "left")
+        taken = F.col("_cand") & F.col("_new").isNull()
+        own = own.withColumns({"_has": F.col("_has") | taken, "_cand": F.col("_cand") & ~taken})
+        decide_bids(own).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    w = both.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def _with_default(t: Tables, batch: DataFrame) -> DataFrame:
-    """Request ids of a batch, and the newest open request, which stands in for an absent one."""
-    return batch.select("request_id").unionByName(newest_open_request(t).select(F.col("id").alias("request_id")))
-
-
 def start_message_ingest(t: Tables, source: str, sink: str, checkpoint: str,
                          files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
     """ST1: validated ingest of message command files into ``sink``."""
