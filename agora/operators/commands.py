@@ -170,16 +170,19 @@ def validate_complete(t: Tables, cmds: DataFrame) -> DataFrame:
     return out.select("command_id", "client_id", "request_id", "status", "reason")
 
 
-def apply_completions(t: Tables, results: DataFrame) -> DataFrame:
-    """ST-F: the requests snapshot after accepted completions."""
-    done = (results.where(F.col("status") == "accepted")
-                             .select(F.col("request_id").alias("_done")).distinct())
-    r = t.service_requests
-    j = r.join(done, r["id"] == done["_done"], "left")
+def completed(requests: DataFrame, done: DataFrame) -> DataFrame:
+    """``requests`` with those in ``done`` (request_id, distinct) completed."""
+    d = done.select(F.col("request_id").alias("_done"))
+    j = requests.join(d, F.col("id") == F.col("_done"), "left")
     return j.withColumn("status", F.when(F.col("_done").isNotNull(), F.lit("completed"))
                         .otherwise(F.col("status"))).drop("_done")
 
 
+def apply_completions(t: Tables, results: DataFrame) -> DataFrame:
+    """ST-F: the requests snapshot after accepted completions."""
+    return completed(t.service_requests, results.where(F.col("status") == "accepted").select("request_id").distinct())
+
+
 # ---------------------------------------------------------------- VA6
 def validate_message(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA6: sender not a participant of the conversation (or no such
@@ -268,13 +271,19 @@ def validate_toggle(t: Tables, cmds: DataFrame) -> DataFrame:
     return out.select("command_id", "event_time", "provider_id", "promotion_id", "active", "status", "reason")
 
 
+def last_toggles(results: DataFrame) -> DataFrame:
+    """(promotion_id, active): the last accepted toggle by time of each promotion."""
+    ok = results.where(F.col("status") == "accepted").select("command_id", "event_time", "promotion_id", "active")
+    return ok.groupBy("promotion_id").agg(F.max_by("active", F.struct("event_time", "command_id")).alias("active"))
+
+
+def toggled(promotions: DataFrame, last: DataFrame) -> DataFrame:
+    """``promotions`` with the states of ``last`` (promotion_id, active)."""
+    new = last.select("promotion_id", F.col("active").cast("int").alias("_new"))
+    j = promotions.join(new, F.col("id") == F.col("promotion_id"), "left")
+    return j.withColumn("is_active", F.coalesce(F.col("_new"), F.col("is_active"))).drop("promotion_id", "_new")
+
+
 def apply_toggles(t: Tables, results: DataFrame) -> DataFrame:
     """ST-F: the promotions snapshot after accepted toggles (the last by time wins)."""
-    ok = results.where(F.col("status") == "accepted").select("command_id", "event_time", "promotion_id", "active")
-    last = ok.groupBy("promotion_id").agg(
-        F.max_by("active", F.struct("event_time", "command_id")).alias("_new"))
-    last = (last)
-    p = t.promotions
-    j = p.join(last, p["id"] == last["promotion_id"], "left")
-    return j.withColumn("is_active", F.coalesce(F.col("_new").cast("int"), F.col("is_active"))) \
-            .drop("promotion_id", "_new")
+    return toggled(t.promotions, last_toggles(results))

@@ -12,8 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agora.config import scratch_path
 from agora.sources import schemas as S
-from agora.sources.tables import TABLE_NAMES, Tables
+from agora.sources.tables import MOST_BROADCAST, TABLE_NAMES, Tables
 
 # Fixed values from the DDL: unique keys and foreign keys.
 UNIQUE_KEYS = [
@@ -166,55 +167,84 @@ def dq_lengths(t: Tables) -> DataFrame:
     return _union(out)
 
 
+# Deletes that a table's own rows pass on (ON DELETE CASCADE): column -> parent table.
+CASCADES = {
+    "service_requests": {"client_id": "users"},
+    "bids": {"provider_id": "users", "request_id": "service_requests"},
+    "mkt_conversations": {"request_id": "service_requests", "client_id": "users", "provider_id": "users"},
+    "messages": {"conversation_id": "mkt_conversations", "sender_id": "users"},
+    "reviews": {"request_id": "service_requests", "client_id": "users", "provider_id": "users"},
+    "promotions": {"provider_id": "users"},
+    "transactions": {"request_id": "service_requests"},
+}
+PARENTS = {p for refs in CASCADES.values() for p in refs.values()}
+
+
+def doomed(t: Tables, erased_ids: DataFrame) -> dict[str, DataFrame]:
+    """DQ6: every table with ``_gone`` on the rows that deleting the users
+    ``erased_ids`` deletes, and the requests with ``_unset`` where it sets
+    ``selected_provider_id`` to NULL.
+
+    The closure goes down level by level: the ids that go of users, then
+    requests, then conversations are frozen, each found in one scan of its
+    table; a leaf table meets them where it is read. Rows whose parent was
+    already missing stay (only deleted parents cascade)."""
+    gone: dict[str, tuple[DataFrame, int]] = {}
+
+    def freeze(table: str, ids: DataFrame) -> None:
+        path = scratch_path(t.spark, f"gone-{table}")
+        ids.select(F.col("id").alias("_id")).distinct().write.parquet(path)
+        kept = t.spark.read.schema("_id long").parquet(path)
+        gone[table] = kept, kept.count()
+
+    def marked(df: DataFrame, column: str, parent: str, flag: str) -> DataFrame:
+        ids, n = gone[parent]
+        ids = ids.select(F.col("_id").alias(f"_{flag}_id"), F.lit(True).alias(flag))
+        ids = F.broadcast(ids) if n <= MOST_BROADCAST else ids
+        return df.join(ids, F.col(column) == F.col(f"_{flag}_id"), "left").drop(f"_{flag}_id")
+
+    freeze("users", erased_ids)
+    out = {"users": marked(t.users, "id", "users", "_gone").withColumn("_gone", F.coalesce("_gone", F.lit(False)))}
+    for table, refs in CASCADES.items():  # parents come first
+        df = getattr(t, table)
+        for k, (column, parent) in enumerate(refs.items()):
+            df = marked(df, column, parent, f"_by{k}")
+        flags = [f"_by{k}" for k in range(len(refs))]
+        df = df.withColumn("_gone", F.coalesce(*flags, F.lit(False))).drop(*flags)
+        if table == "service_requests":
+            df = marked(df, "selected_provider_id", "users", "_unset")
+            df = df.withColumn("_unset", F.coalesce("_unset", F.lit(False)))
+        if table in PARENTS:
+            freeze(table, df.where("_gone"))
+        out[table] = df
+    return out
+
+
 def erase_users(t: Tables, erased_ids: DataFrame) -> Tables:
-    """DQ6: delete a set of users with the DDL's ON DELETE rules: CASCADE
-    to every dependent row (requests by client; bids by provider or
-    request; conversations by request, client or provider; messages by
-    conversation or sender; reviews by request, client or provider;
-    promotions by provider; transactions by request) and SET NULL on
-    ``service_requests.selected_provider_id``. Rows whose parent was
-    already missing are left alone (only deleted parents cascade)."""
-    e = (erased_ids.select(F.col("id").alias("_e")).distinct())
-
-    def drop_by(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-        return df.join(ids, df[col] == ids[ids.columns[0]], "left_anti")
-
-    users = drop_by(t.users, "id", e)
-    gone_req = t.service_requests.join(e, F.col("client_id") == F.col("_e"), "left_semi") \
-        .select(F.col("id").alias("_r"))
-    req = drop_by(t.service_requests, "client_id", e)
-    req = req.join(e.select(F.col("_e").alias("_sp")), F.col("selected_provider_id") == F.col("_sp"), "left") \
-        .withColumn("selected_provider_id",
-                    F.when(F.col("_sp").isNotNull(), F.lit(None).cast("bigint")).otherwise(F.col("selected_provider_id"))) \
-        .drop("_sp")
-    bids = drop_by(drop_by(t.bids, "provider_id", e), "request_id", gone_req)
-    conv_all = t.mkt_conversations
-    conv = drop_by(drop_by(drop_by(conv_all, "request_id", gone_req), "client_id", e), "provider_id", e)
-    gone_conv = conv_all.select(F.col("id").alias("_c")).join(
-        conv.select(F.col("id").alias("_k")), F.col("_c") == F.col("_k"), "left_anti")
-    msgs = drop_by(drop_by(t.messages, "conversation_id", gone_conv), "sender_id", e)
-    rev = drop_by(drop_by(drop_by(t.reviews, "request_id", gone_req), "client_id", e), "provider_id", e)
-    promos = drop_by(t.promotions, "provider_id", e)
-    tx = drop_by(t.transactions, "request_id", gone_req)
-    return Tables(users, req, bids, conv, msgs, rev, promos, tx, demo_domain=t.demo_domain)
+    """DQ6: delete a set of users with the DDL's ON DELETE rules (``CASCADES``;
+    SET NULL on ``service_requests.selected_provider_id``)."""
+    marked = doomed(t, erased_ids)
+    left = {n: df.where("not _gone").drop("_gone") for n, df in marked.items()}
+    provider = F.when(~F.col("_unset"), F.col("selected_provider_id"))
+    left["service_requests"] = left["service_requests"].withColumn("selected_provider_id", provider).drop("_unset")
+    return Tables.from_frames(left, t.demo_domain)
 
 
 def erase_demo_users(t: Tables) -> DataFrame:
     """DQ6 run: erase every demo account and report rows kept and deleted
-    per table (and requests whose provider was set to NULL)."""
-    demo = t.user_flags().where("is_demo").select("id")
-    after = erase_users(t, demo)
+    per table (and requests whose provider was set to NULL), in one scan a
+    table."""
+    marked = doomed(t, t.user_flags().where("is_demo").select("id"))
+    kept = F.count_if(~F.col("_gone")).alias("remaining")
     rows = []
     for n in TABLE_NAMES:
-        b = getattr(t, n).agg(F.count(F.lit(1)).alias("before"))
-        a = getattr(after, n).agg(F.count(F.lit(1)).alias("remaining"))
-        # two one-row counts side by side
-        rows.append(b.crossJoin(a).select(F.lit(n).alias("table_name"), "remaining",
-                                          (F.col("before") - F.col("remaining")).alias("deleted")))
-    nulled = after.service_requests.join(
-        t.service_requests.select(F.col("id").alias("_i"), F.col("selected_provider_id").alias("_old")),
-        F.col("id") == F.col("_i")).where(F.col("selected_provider_id").isNull() & F.col("_old").isNotNull()) \
-        .agg(F.count(F.lit(1)).alias("remaining")) \
-        .select(F.lit("service_requests.selected_provider_id=NULL").alias("table_name"), "remaining",
-                F.lit(0).cast("bigint").alias("deleted"))
-    return _union(rows + [nulled])
+        if n != "service_requests":
+            rows.append(marked[n].agg(kept, F.count_if("_gone").alias("deleted")).select(F.lit(n).alias("table_name"), "remaining", "deleted"))
+            continue
+        counts = marked[n].agg(kept, F.count_if("_gone").alias("deleted"), F.count_if(F.col("_unset") & ~F.col("_gone")).alias("unset"))
+        both = F.explode(F.array(
+            F.struct(F.lit(n).alias("table_name"), "remaining", "deleted"),
+            F.struct(F.lit(f"{n}.selected_provider_id=NULL").alias("table_name"), F.col("unset").alias("remaining"),
+                     F.lit(0).cast("bigint").alias("deleted"))))
+        rows.append(counts.select(both.alias("x")).select("x.*"))
+    return _union(rows)

@@ -12,10 +12,9 @@ outputs derive from it:
 * ST-C ``settle_conversations`` — one new conversation per settled request.
 * ST-D ``promotion_settlement`` — one new transaction per settled request,
   the provider's promotion in force on the accept date applied (FN8).
-* ST-E atomicity — :func:`publish` writes the four outputs into a fresh
-  snapshot folder and the manifest last; readers only trust a folder with
-  a manifest (``Tables.from_published``), so a failed job leaves nothing
-  half-visible.
+* ST-E atomicity — :func:`publish` writes a fresh version of the snapshot,
+  its manifest, and last replaces the pointer that readers follow
+  (``Tables.from_published``), so a failed job leaves the former version.
 
 The snapshot rewrites join the accepted set; AQE broadcasts it where its
 measured size allows and splits skewed keys where not.
@@ -24,6 +23,7 @@ measured size allows and splits skewed keys where not.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from agora.config import scratch_path
 from agora.operators.commands import _decide, first_wins, restrict
 from agora.operators.promotions import priced, with_promotion
-from agora.sources.tables import Tables
+from agora.sources import store
+from agora.sources.tables import POINTER, Tables
 
 
 def judged(t: Tables, cmds: DataFrame) -> DataFrame:
@@ -149,8 +150,10 @@ def settle(t: Tables, cmds: DataFrame) -> Settlement:
 
 
 def publish(t: Tables, s: Settlement, path: str) -> str:
-    """ST-E: write the new snapshot (all eight tables, settled ones
-    replaced, new rows appended) to ``path`` and the manifest last."""
+    """ST-E: write a new version of the snapshot under ``path`` (all eight
+    tables, settled ones replaced, new rows appended), its manifest after the
+    tables, and last replace the pointer, in one rename, by the new version's
+    name. A publish that fails on the way leaves the former version in force."""
     from agora.sources.schemas import SCHEMAS
 
     conv = s.conversations.select(*SCHEMAS["mkt_conversations"].fieldNames())
@@ -158,10 +161,12 @@ def publish(t: Tables, s: Settlement, path: str) -> str:
     new = t.replace(bids=s.bids, service_requests=s.requests,
                     mkt_conversations=t.mkt_conversations.unionByName(conv),
                     transactions=t.transactions.unionByName(tx))
-    base = new.write(path)
+    spark, root = t.spark, path.rstrip("/")
+    version = f"version-{uuid.uuid4().hex[:12]}"
+    base = new.write(f"{root}/{version}")
     counts = s.results.groupBy("status").count().collect()  # a handful of status rows
     manifest = {"tables": list(SCHEMAS), "results": {r["status"]: r["count"] for r in counts}}
-    spark = t.spark
     spark.createDataFrame([(json.dumps(manifest),)], "manifest string").coalesce(1) \
         .write.mode("errorifexists").text(f"{base}/_MANIFEST")
+    store.put(spark, f"{root}/{POINTER}", version, replace=True)
     return base

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agora.operators import admin, commands, display, listings, promotions, provider, quality, settlement
+from agora.operators import admin, commands, display, listings, promotions, provider, quality, settlement, writes
 from agora.plans import sql_api
 from agora.streaming import demo as stream_demo
 from agora.sources.dirty import dirty_tables
@@ -127,6 +127,11 @@ def queries() -> dict[str, Query]:
         "promotion_commands": _on_batch("promotion_commands", commands.validate_promotion),
         "toggle_commands": _on_batch("toggle_commands", commands.validate_toggle),
         "key_lookup": _on_batch("bid_commands", display.key_lookup),
+        # write paths, read back
+        "append_bids": _on_batch("bid_commands", writes.append_bids),
+        "settlement_published": _on_batch("accept_commands", writes.settlement_published),
+        "requests_after_completion": _on_batch("complete_commands", writes.requests_after_completion),
+        "promotions_after_toggle": _on_batch("toggle_commands", writes.promotions_after_toggle),
         # scans, quality, display
         "scan_counts": _on_tables(quality.scan_counts),
         "real_users": _on_tables(display.real_users),
@@ -151,10 +156,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from agora.plans import admin_sql, command_sql, listing_sql, provider_sql, quality_sql
+    from agora.plans import admin_sql, command_sql, listing_sql, provider_sql, quality_sql, write_sql
 
     out: dict[str, str] = {}
-    for part in (admin_sql, provider_sql, listing_sql, command_sql, quality_sql):
+    for part in (admin_sql, provider_sql, listing_sql, command_sql, quality_sql, write_sql):
         out.update(part.SQL)
     out["category_sales_sql"] = out["category_sales"]
     out["active_promotions_sql"] = out["active_promotions"]

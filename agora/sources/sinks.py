@@ -1,13 +1,24 @@
 """Sinks: accepted commands become table rows (SK1), appended to a table
-folder; snapshots are written whole (see ``Tables.write``)."""
+folder by committed batches; snapshots are written whole (``Tables.write``),
+and a table kept by id ranges has only the ranges rewritten that change (ST-F).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from agora.config import scratch_path
+from agora.sources import store
 from agora.sources.schemas import SCHEMAS
 
+BATCHES, COMMITS = "_batches", "_commits"
+RANGE_IDS = 1 << 20  # ids of one range of a table kept by ranges
+MOST_PRUNED = 10_000  # ranges that a scan is pruned to by name
+
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields])
@@ -54,6 +65,59 @@ def new_rows(kind: str, results: DataFrame, cmds: DataFrame) -> DataFrame:
     raise ValueError(f"no insert for command kind {kind!r}")
 
 
-def append(df: DataFrame, table_path: str) -> None:
-    """Append rows to a table folder (parquet)."""
-    df.write.mode("append").parquet(table_path)
+def append(df: DataFrame, table_path: str, batch_id: str | int | None = None) -> None:
+    """Append rows to a table folder as one batch.
+
+    The batch's files are written to a folder of their own, over what an
+    earlier try left, and count once ``_commits/<batch_id>`` names it, which
+    is written last. A batch that is committed already is not appended again.
+    Without ``batch_id`` every call is a batch of its own.
+    """
+    spark, base = df.sparkSession, table_path.rstrip("/")
+    batch = uuid.uuid4().hex if batch_id is None else str(batch_id)
+    if store.exists(spark, f"{base}/{COMMITS}/{batch}"):
+        return
+    df.write.mode("overwrite").parquet(f"{base}/{BATCHES}/{batch}")
+    store.put(spark, f"{base}/{COMMITS}/{batch}", "committed")
+
+
+def read_table(spark: SparkSession, schema: StructType, table_path: str) -> DataFrame:
+    """A table folder: the files in it, and the batches that were committed."""
+    base = table_path.rstrip("/")
+    batches = [f"{base}/{BATCHES}/{b}" for b in store.names(spark, f"{base}/{COMMITS}") if not b.startswith(".")]
+    return spark.read.schema(schema).parquet(base, *batches)
+
+
+def write_ranges(df: DataFrame, path: str, ids: int = RANGE_IDS, key: str = "id") -> None:
+    """Write a table by ranges of ``ids`` ids, a folder each."""
+    ranged = df.withColumn("id_range", F.floor(F.col(key) / ids))
+    ranged.repartition("id_range").write.partitionBy("id_range").parquet(path)
+
+
+def read_ranges(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
+    """A table written by ``write_ranges``, without its range column."""
+    return spark.read.schema(StructType([*schema.fields, *StructType().add("id_range", "long").fields])).parquet(path).drop("id_range")
+
+
+def rewrite_ranges(spark: SparkSession, schema: StructType, path: str, keys: DataFrame, change, ids: int = RANGE_IDS) -> None:
+    """Replace the ranges that hold an id of ``keys`` (one column) by ``change`` of their rows.
+
+    The ranges that are read are pruned to those of ``keys``. Their new rows
+    are frozen first, then put over the old folders, range by range: if the
+    run breaks between two of them, the same batch makes it whole, as
+    ``change`` of changed rows must be the rows themselves. Other ranges keep
+    their files.
+    """
+    touched = keys.select(F.floor(F.col(keys.columns[0]) / ids).alias("id_range")).distinct()
+    touched = touched.where(F.col("id_range").isNotNull())
+    whole = StructType([*schema.fields, *StructType().add("id_range", "long").fields])
+    old = spark.read.schema(whole).parquet(path)
+    few = [r[0] for r in touched.limit(MOST_PRUNED + 1).collect()]  # a list to prune folders by; the join decides
+    if len(few) <= MOST_PRUNED:
+        old = old.where(F.col("id_range").isin(few))
+    old = old.join(touched, "id_range", "left_semi")
+    new = change(old.select(*schema.names)).select(*schema.names)
+    frozen = scratch_path(spark, "ranges")
+    write_ranges(new, frozen, ids)
+    spark.read.schema(whole).parquet(frozen).repartition("id_range").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("id_range").parquet(path)

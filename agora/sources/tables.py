@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from agora.config import DEMO_DOMAIN, scratch_path
+from agora.sources import store
 from agora.sources.schemas import SCHEMAS
 
+POINTER = "_CURRENT"  # names the version that readers of a published folder see
+
 TABLE_NAMES = tuple(SCHEMAS)
 
 
@@ -64,18 +67,21 @@ class Tables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str, demo_domain: str = DEMO_DOMAIN) -> "Tables":
-        """Read a snapshot folder ``path/<table>`` with the fixed schemas."""
+        """Read a snapshot folder ``path/<table>`` with the fixed schemas,
+        and the batches committed to its tables since (``sinks.append``)."""
+        from agora.sources.sinks import read_table
+
         base = path.rstrip("/")
-        return cls.from_frames(
-            {n: spark.read.schema(s).parquet(f"{base}/{n}") for n, s in SCHEMAS.items()},
-            demo_domain,
-        )
+        return cls.from_frames({n: read_table(spark, s, f"{base}/{n}") for n, s in SCHEMAS.items()}, demo_domain)
 
     @classmethod
     def from_published(cls, spark: SparkSession, path: str, demo_domain: str = DEMO_DOMAIN) -> "Tables":
-        """Read a published snapshot; a folder without its manifest, which is
-        written last, is an error (ST-E)."""
+        """Read a published snapshot (ST-E): the version that ``path``'s
+        pointer names, or ``path`` itself if it is a version. A folder without
+        its manifest, which is written after the tables, is an error."""
         base = path.rstrip("/")
+        current = store.get(spark, f"{base}/{POINTER}")
+        base = base if current is None else f"{base}/{current}"
         try:
             listed = spark.read.text(f"{base}/_MANIFEST", wholetext=True).first()
         except AnalysisException as missing:
