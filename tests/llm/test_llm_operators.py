@@ -223,9 +223,10 @@ def test_stages_decide_each_row_with_null_and_repeated_ids(spark):
     assert left - of_near == Counter([(3, "alone with id three"), (1, "least of all"), (None, "null and alone here"), (9, "of nine"), (9, " "), (9, None)])
 
 
-def test_language_model_matches_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_language_model_matches_brute_force(spark, least):
     docs = corpus(3)
-    result, model = lm_trie.score_texts(make_docs(spark, docs), keep_model=True)
+    result, model = lm_trie.score_texts(make_docs(spark, docs), keep_model=True, least_context=least)
     got = defaultdict(list)
     for r in result.collect():
         got[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4)))
@@ -256,7 +257,7 @@ def test_language_model_matches_brute_force(spark):
             before = t[k - 1] if k else "B"
             p = step(two.get(before), q((one[w] - 0.75) / total if one[w] else 0.75 * distinct / total), w)
             first = t[k - 2] if k > 1 else "B"
-            if k and two.get(first, Counter())[before] >= 2:
+            if k and two.get(first, Counter())[before] >= least:
                 p = step(three.get((first, before)), p, w)
             score += p
         want[i].append((held(i), len(t), sum(one[w] > 0 for w in t), total, round(base, 6), round(score, 4)))
