@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agora.config import AS_OF
@@ -239,6 +239,39 @@ def latest_promotions(t: Tables, k: int = 50) -> DataFrame:
     return p.orderBy(F.desc("id")).limit(k)
 
 
+def report_lists(t: Tables, as_of: _dt.date = AS_OF, k: int = 5) -> DataFrame:
+    """The admin report's lists in one pass (AG5 + AG15 + AG16, SO7): months
+    of revenue, statuses by count and the top ``k`` categories, as
+    (block, rank, label, n, amount).
+
+    The three statements filter the same requests and join the same
+    transactions. Here the slim fact is read once and ``groupingSets`` counts
+    it by month, by status and by category in one shuffle of partial sums. A
+    month takes only sales whose provider is an existing real account; the
+    other two also take requests without one, as their statements do."""
+    req = FL.requests_real_client_optional_provider(t).select(
+        F.col("id").alias("_r"), "status", "category", F.col("selected_provider_id").alias("_p"))
+    unreal = t.unreal_ids().withColumn("_unreal", F.lit(True))
+    req = req.join(unreal, req["_p"] == unreal["_uid"], "left").drop("_uid")
+    tx = t.transactions.select("request_id", "final_price", "created_at")
+    sold = F.col("_p").isNotNull() & F.col("_unreal").isNull() & (F.col("created_at") >= M.month_bound(as_of, 5))
+    fact = req.join(tx, req["_r"] == tx["request_id"], "left").select(
+        "status", category_key("category").alias("_key"), F.when(sold, F.date_format("created_at", "yyyy-MM")).alias("month"),
+        "category", "final_price")
+    by = fact.groupingSets([["status"], ["_key"], ["month"]], "status", "_key", "month").agg(
+        F.grouping_id().alias("_set"), F.min("category").alias("_label"), F.count(F.lit(1)).alias("n"), M.money_sum("final_price").alias("amount"))
+    # bits of _set: 1 where a column is not grouped by
+    is_status, is_category, is_month = (F.col("_set") == F.lit(x) for x in (0b011, 0b101, 0b110))
+    block = F.when(is_status, "status").when(is_category, "category").otherwise("month")
+    rows = by.where(~is_month | F.col("month").isNotNull()).select(
+        block.alias("block"), F.when(is_status, F.col("status")).when(is_category, F.col("_label")).otherwise(F.col("month")).alias("label"),
+        "n", F.when(~is_status, F.col("amount")).alias("amount"))
+    # a row per month, status and category, already summed
+    order = [F.when(F.col("block") == "category", F.col("amount")).desc(), F.when(F.col("block") != "month", F.col("n")).desc(), F.asc("label")]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(*order)))
+    return ranked.where((F.col("block") != "category") | (F.col("rank") <= k)).select("block", "rank", "label", "n", "amount")
+
+
 def admin_report(t: Tables, as_of: _dt.date = AS_OF) -> dict[str, DataFrame]:
     """The admin report page in one pass over the facts.
 

@@ -103,18 +103,22 @@ def provider_overview(t: Tables, as_of: _dt.date = AS_OF, ids: IdFrame = None) -
 
 
 def provider_monthly_revenue(t: Tables, as_of: _dt.date = AS_OF, ids: IdFrame = None) -> DataFrame:
-    """AG5 per provider: months from five months before ``as_of`` onward."""
+    """AG5 per provider: months from five months before ``as_of`` onward, in
+    their order (``rank``; a window over a row per provider and month)."""
     s = FL.only(real_sales(t), "provider_id", ids).where(F.col("created_at") >= M.month_bound(as_of, 5))
     return (s.groupBy("provider_id",
                       F.date_format("created_at", "yyyy-MM").alias("month_key"),
                       F.date_format("created_at", "MMM").alias("month_label"))
-             .agg(M.money_sum("final_price").alias("revenue")))
+             .agg(M.money_sum("final_price").alias("revenue"))
+             .withColumn("rank", F.row_number().over(Window.partitionBy("provider_id").orderBy("month_key"))))
 
 
 def provider_bid_status(t: Tables, ids: IdFrame = None) -> DataFrame:
-    """AG6: bids per (provider, status)."""
+    """AG6 + SO7: bids per (provider, status), the most frequent status first
+    (``rank``; a window over a row per provider and status)."""
+    largest = Window.partitionBy("provider_id").orderBy(F.desc("total"), "status")
     return (_bids(t, ids).groupBy("provider_id", "status")
-            .agg(F.count(F.lit(1)).alias("total")))
+            .agg(F.count(F.lit(1)).alias("total")).withColumn("rank", F.row_number().over(largest)))
 
 
 def provider_categories(t: Tables, k: int = 5, ids: IdFrame = None) -> DataFrame:

@@ -82,6 +82,7 @@ def queries() -> dict[str, Query]:
         "conversion_rate": _on_tables(admin.conversion_rate),
         "revenue_growth": _on_tables(admin.revenue_growth),
         "goal_attainment": _on_tables(admin.goal_attainment),
+        "admin_report": _on_tables(admin.report_lists),
         "latest_users": _on_tables(admin.latest_users),
         "latest_requests": _on_tables(admin.latest_requests),
         "latest_bids": _on_tables(admin.latest_bids),

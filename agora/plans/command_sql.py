@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from agora.functions.text import PHP_NUMERIC_PREFIX
 from agora.plans.sqlkit import oracle, real
 from agora.sources.commands import duckdb_ctes
 
 CMDS = duckdb_ctes()
 
+# Fixed value: the leading number that a lenient cast keeps.
+LEADING_NUMBER = r"^[ \t\n\r\x0b\f]*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)"
+
 
 def trim(x: str) -> str:
     return f"trim(coalesce({x}, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11))"
 
 
 def fl(x: str) -> str:
-    return f"COALESCE(TRY_CAST(NULLIF(regexp_extract(coalesce({x}, ''), '{PHP_NUMERIC_PREFIX}', 1), '') AS DOUBLE), 0.0)"
+    return f"COALESCE(TRY_CAST(NULLIF(regexp_extract(coalesce({x}, ''), '{LEADING_NUMBER}', 1), '') AS DOUBLE), 0.0)"
 
 
 def it(x: str) -> str:

@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
-from agora.functions.labels import LABELS_EN
-from agora.operators.quality import ENUMS, FOREIGN_KEYS, UNIQUE_KEYS
 from agora.plans.command_sql import CMDS
-from agora.plans.sqlkit import oracle, real
-from agora.sources import schemas as S
+from agora.plans.sqlkit import oracle, real, report
 from agora.sources.dirty import duckdb_ctes as dirty_ctes
-from agora.sources.tables import TABLE_NAMES
 
 DIRTY = dirty_ctes()
-RC, RP, RU = real("client"), real("provider"), real("u")
+RU = real("u")
+
+# Fixed values of the DDL, written down here again so that the checks do not judge themselves:
+# columns of each table that must not be NULL, what must be unique, whom a column refers to,
+# allowed words, lengths and amounts.
+REQUIRED = {
+    "users": "id name email role", "service_requests": "id client_id title category budget location due_date status",
+    "bids": "id request_id provider_id price duration_days details status", "mkt_conversations": "id request_id client_id provider_id",
+    "messages": "id conversation_id sender_id body", "reviews": "id request_id client_id provider_id rating comment",
+    "promotions": "id provider_id title discount_type discount_value start_date end_date is_active",
+    "transactions": "id request_id original_price discount_amount final_price",
+}
+TABLES = tuple(REQUIRED)
+UNIQUE = {
+    "users": ["id", "lower(email)"], "service_requests": ["id"], "bids": ["id", "request_id,provider_id"],
+    "mkt_conversations": ["id", "request_id"], "messages": ["id"], "reviews": ["id", "request_id"], "promotions": ["id"],
+    "transactions": ["id", "request_id"],
+}
+REFERS = {
+    "service_requests": "client_id>users selected_provider_id>users", "bids": "request_id>service_requests provider_id>users",
+    "mkt_conversations": "request_id>service_requests client_id>users provider_id>users",
+    "messages": "conversation_id>mkt_conversations sender_id>users",
+    "reviews": "request_id>service_requests client_id>users provider_id>users",
+    "promotions": "provider_id>users", "transactions": "request_id>service_requests",
+}
+WORDS = {
+    "users.role": "client provider admin", "service_requests.status": "open in_progress completed cancelled",
+    "bids.status": "pending accepted rejected", "promotions.discount_type": "percent fixed",
+}
+LONGEST = {
+    "users.name": 120, "users.email": 160, "service_requests.title": 200, "service_requests.category": 120,
+    "service_requests.location": 150, "promotions.title": 200,
+}
+AMOUNTS = ("service_requests.budget bids.price promotions.discount_value transactions.original_price transactions.discount_amount "
+           "transactions.final_price").split()
+LABEL_TEXTS = {
+    "status.open": "Open", "status.in_progress": "In Progress", "status.completed": "Completed", "status.cancelled": "Cancelled",
+    "status.pending": "Pending", "status.accepted": "Accepted", "status.rejected": "Rejected",
+    "role.client": "Client", "role.provider": "Provider", "role.admin": "Admin",
+    "dashboard.welcome": "Welcome {name}", "dashboard.role": "Role: {role}",
+}
 
 
 def _uniq() -> str:
     parts = []
-    for table, cols in UNIQUE_KEYS:
+    for table, key in ((t, k) for t, keys in UNIQUE.items() for k in keys):
+        cols = key.split(",")
         keys = ", ".join(cols)
         parts.append(f"""SELECT '{table}' AS table_name, '{",".join(cols)}' AS key_columns,
        COUNT(*) AS duplicate_keys, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS duplicate_rows
@@ -28,33 +65,30 @@ def _orphans() -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS table_name, '{col}' AS column_name, '{p}' AS parent_table, COUNT(*) AS orphans
 FROM d_{c} x WHERE x.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_{p} y WHERE y.id = x.{col})"""
-        for c, col, p in FOREIGN_KEYS)
+        for c, refs in REFERS.items() for col, p in (r.split(">") for r in refs.split()))
 
 
 def _enums() -> str:
     return "\nUNION ALL\n".join(
         f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
-       COUNT(*) FILTER (WHERE {c} IS NULL OR {c} NOT IN ({", ".join("'" + v + "'" for v in allowed)})) AS invalid
-FROM d_{t}""" for t, c, allowed in ENUMS)
+       COUNT(*) FILTER (WHERE {c} IS NULL OR {c} NOT IN ({", ".join("'" + v + "'" for v in allowed.split())})) AS invalid
+FROM d_{t}""" for (t, c), allowed in ((k.split("."), v) for k, v in WORDS.items()))
 
 
 def _nulls() -> str:
     parts = []
-    for t, schema in S.SCHEMAS.items():
-        for f in schema.fields:
-            if not f.nullable:
-                parts.append(f"SELECT '{t}' AS table_name, '{f.name}' AS column_name, "
-                             f"COUNT(*) FILTER (WHERE {f.name} IS NULL) AS nulls FROM d_{t}")
+    for t, columns in REQUIRED.items():
+        for c in columns.split():
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls FROM d_{t}")
     return "\nUNION ALL\n".join(parts)
 
 
 def _lengths() -> str:
     parts = [f"""SELECT '{t}' AS table_name, '{c}' AS column_name, 'length>{n}' AS rule,
        COUNT(*) FILTER (WHERE length({c}) > {n}) AS violations FROM d_{t}"""
-             for (t, c), n in S.LENGTH_LIMITS.items()]
-    for t, cols in S.MONEY_COLUMNS.items():
-        for c in cols:
-            parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, 'decimal(10,2)' AS rule,
+             for (t, c), n in ((k.split("."), n) for k, n in LONGEST.items())]
+    for t, c in (k.split(".") for k in AMOUNTS):
+        parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, 'decimal(10,2)' AS rule,
        COUNT(*) FILTER (WHERE {c} IS NOT NULL AND (TRY_CAST({c} AS DECIMAL(10,2)) IS NULL
                                                   OR CAST({c} AS DECIMAL(38,10)) <> round(CAST({c} AS DECIMAL(38,10)), 2))) AS violations
 FROM d_{t}""")
@@ -82,16 +116,11 @@ _E = {"users": "e_users", "service_requests": "e_req", "bids": "e_bids", "mkt_co
       "messages": "e_msgs", "reviews": "e_rev", "promotions": "e_promo", "transactions": "e_tx"}
 
 LABELS = "labels AS (SELECT * FROM (VALUES " + ", ".join(
-    "('" + k + "', '" + v + "')" for k, v in LABELS_EN.items()) + ") v(key, text))"
+    "('" + k + "', '" + v + "')" for k, v in LABEL_TEXTS.items()) + ") v(key, text))"
 
-STATUS_REQ = f"""SELECT 'request' AS kind, r.status, COUNT(*) AS total
-FROM service_requests r JOIN users client ON client.id = r.client_id
-LEFT JOIN users provider ON provider.id = r.selected_provider_id
-WHERE {RC} AND (provider.id IS NULL OR {RP}) GROUP BY r.status"""
-STATUS_BID = f"""SELECT 'bid' AS kind, b.status, COUNT(*) AS total
-FROM bids b JOIN users provider ON provider.id = b.provider_id
-JOIN service_requests r ON r.id = b.request_id JOIN users client ON client.id = r.client_id
-WHERE {RC} AND {RP} GROUP BY b.status"""
+STATES = """
+SELECT 'request' AS kind, status, count(*) AS total FROM market GROUP BY ALL
+UNION ALL SELECT 'bid', status, count(*) FROM offers GROUP BY ALL"""
 
 
 def money(x: str) -> str:
@@ -100,7 +129,7 @@ def money(x: str) -> str:
 
 SQL = {
     "scan_counts": oracle("\nUNION ALL\n".join(
-        f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {n}" for n in TABLE_NAMES)),
+        f"SELECT '{n}' AS table_name, COUNT(*) AS row_count FROM {n}" for n in TABLES)),
     "real_users": oracle(f"SELECT id, name, email, role, created_at FROM users u WHERE {RU}"),
     "dq_unique": oracle(_uniq(), DIRTY),
     "dq_orphans": oracle(_orphans(), DIRTY),
@@ -109,14 +138,14 @@ SQL = {
     "dq_lengths": oracle(_lengths(), DIRTY),
     "erase_users": oracle("\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, (SELECT COUNT(*) FROM {_E[n]}) AS remaining, "
-        f"(SELECT COUNT(*) FROM {n}) - (SELECT COUNT(*) FROM {_E[n]}) AS deleted" for n in TABLE_NAMES)
+        f"(SELECT COUNT(*) FROM {n}) - (SELECT COUNT(*) FROM {_E[n]}) AS deleted" for n in TABLES)
         + """
 UNION ALL
 SELECT 'service_requests.selected_provider_id=NULL', COUNT(*), CAST(0 AS BIGINT)
 FROM e_req WHERE selected_provider_id IN (SELECT id FROM demo)""", ERASE),
-    "labelled_status": oracle(f"""
+    "labelled_status": report(f"""
 SELECT s.kind, s.status, s.total, COALESCE(l.text, 'status.' || s.status) AS label
-FROM ({STATUS_REQ} UNION ALL {STATUS_BID}) s
+FROM ({STATES}) s
 LEFT JOIN labels l ON l.key = 'status.' || s.status""", LABELS),
     "user_greetings": oracle(f"""
 SELECT u.id, replace((SELECT text FROM labels WHERE key = 'dashboard.welcome'), '{{name}}', u.name) AS welcome,

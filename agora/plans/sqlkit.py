@@ -77,3 +77,30 @@ def goal_target(tot: str, tgt: str) -> str:
     """FN3 in SQL."""
     return (f"CASE WHEN CAST({tgt} AS DOUBLE) > 0 THEN CAST({tgt} AS DOUBLE) "
             f"ELSE greatest(CAST({tot} AS DOUBLE), 1.0) END")
+
+
+# The sets that every report stands on, by what they mean: who is genuine, and
+# which rows only concern genuine people. Names are this file's own.
+FACTS = f"""
+folk AS (SELECT id AS who, name AS called, role AS part, suffix(lower(email), '{DEMO_DOMAIN.lower()}') AS staged FROM users),
+genuine AS (SELECT who, called, part FROM folk WHERE NOT staged),
+stage AS (SELECT who FROM folk WHERE staged),
+asks AS (FROM service_requests SEMI JOIN genuine ON who = client_id),
+market AS (FROM asks ANTI JOIN stage ON who = selected_provider_id),
+won AS (FROM asks SEMI JOIN genuine ON who = selected_provider_id),
+offers AS (FROM bids SEMI JOIN genuine ON who = provider_id SEMI JOIN asks ON asks.id = request_id),
+income AS (
+  SELECT x.*, won.selected_provider_id AS seller, won.title, strftime(x.created_at, '%Y-%m') AS month_key,
+         strftime(x.created_at, '%b') AS month_label
+  FROM transactions x, won WHERE won.id = x.request_id)"""
+
+
+def report(body: str, more: str = "") -> str:
+    """``body`` over the facts, with further named queries on top of them."""
+    return oracle(body, FACTS + (",\n" + more if more else ""))
+
+
+def place(order: str, owner: str = "", name: str = "rank") -> str:
+    """Position in an ordered list, one list for each owner."""
+    part = f"PARTITION BY {owner} " if owner else ""
+    return f"CAST(row_number() OVER ({part}ORDER BY {order}) AS INTEGER) AS {name}"
