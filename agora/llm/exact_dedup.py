@@ -7,9 +7,13 @@
    bit per fingerprint, set if another sender has it too. Senders send a
    fingerprint once, so thousands of copies cost an owner one entry a sender.
 3. A document is *suspect* if its fingerprint's bit is set or it occurs twice
-   at its own sender. Only suspects' texts are shuffled; grouping them by the
-   normalised bytes themselves is the verification. The grouping collapses
-   copies before its shuffle; the join back is one that Spark can split.
+   at its own sender. Senders keep their normalised texts in a table bucketed
+   by sender, so the bitmap comes back to the texts and only suspects' texts
+   leave their place.
+4. Suspects are grouped by the SHA-256 of their text, in salted parts. A part
+   also keeps the least and the greatest of its texts, byte for byte: if they
+   are one in all of a group's parts, its texts are verified equal. A group
+   that holds different texts (a collision) is grouped anew by the bytes.
 
 Defined results: a null text counts as empty, and empty texts equal each
 other. A null doc_id sorts after all others: it stays only if its whole
@@ -20,11 +24,15 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from agora.config import scratch_path
 from agora.llm.common import one_by_row, shared_table, shuffle_width
 
 FP_BITS = 48
@@ -71,17 +79,35 @@ def golomb_decode(data: bytes, n: int) -> np.ndarray:
     return np.cumsum((quotients.astype(np.int64) << k | rest) + 1) - 1
 
 
+def by_sender(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, str]:
+    """(``df`` written once as a table bucketed by sender in the shared folder, its name)."""
+    name = f"agora_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(buckets, "sender").option("path", scratch_path(df.sparkSession, name)).saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
+@contextmanager
+def joined_in_place(spark: SparkSession):
+    """Tables bucketed by one of the columns that join them are not shuffled."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(sender, doc_id, sha, fp): written once, so that senders stay what they were."""
-    norm = normalised(F.col(text_col))
-    rows = docs.select(F.spark_partition_id().alias("sender"), F.col(id_col).cast("long").alias("doc_id"),
-                       F.unhex(F.sha2(norm, 256)).alias("sha"))
-    fp = F.conv(F.substring(F.hex("sha"), 1, FP_BITS // 4), 16, 10).cast("long")
-    return shared_table(rows.withColumn("fp", fp), "fingerprints")
+    """(sender, row, doc_id, norm, sha, fp)."""
+    rows = docs.select(F.spark_partition_id().cast("long").alias("sender"), F.monotonically_increasing_id().alias("row"),
+                       F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    rows = rows.withColumn("sha", F.unhex(F.sha2("norm", 256)))
+    return rows.withColumn("fp", F.conv(F.substring(F.hex("sha"), 1, FP_BITS // 4), 16, 10).cast("long"))
 
 
 def exchange(prints: DataFrame, owners: int) -> DataFrame:
-    """(doc_id, sha, suspect) after the fingerprint exchange."""
+    """(sender, row, doc_id, sha, suspect) after the fingerprint exchange."""
     width = -(-(1 << FP_BITS) // owners)
 
     def send(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -105,16 +131,15 @@ def exchange(prints: DataFrame, owners: int) -> DataFrame:
         bitmaps = bitmaps.sort_values("owner")  # owners' ranges ascend, as the sorted fingerprints do
         bits = [np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(bitmaps["bitmap"], bitmaps["n"], strict=True)]
         shared = (np.concatenate(bits) > 0) | (counts > 1)
-        return pd.DataFrame({"doc_id": rows["doc_id"], "sha": rows["sha"], "suspect": shared[where]})
+        return pd.DataFrame({"sender": rows["sender"], "row": rows["row"], "doc_id": rows["doc_id"], "sha": rows["sha"], "suspect": shared[where]})
 
     sent = prints.select("sender", "fp").groupBy("sender").applyInPandas(
         send, "sender long, owner long, n long, coded binary")
     answers = sent.groupBy("owner").applyInPandas(answer, "sender long, owner long, n long, bitmap binary")
-    senders = prints.withColumn("sender", F.col("sender").cast("long")).withColumn(
-        "doc_id", F.struct("doc_id"))  # a struct keeps null ids null and longs long in pandas
+    senders = prints.select("sender", "row", F.struct("doc_id").alias("doc_id"), "sha", "fp")  # a struct keeps null ids null and longs long in pandas
     marked = senders.groupBy("sender").cogroup(answers.groupBy("sender")).applyInPandas(
-        mark, "doc_id struct<doc_id:long>, sha binary, suspect boolean")
-    return marked.select("doc_id.doc_id", "sha", "suspect")
+        mark, "sender long, row long, doc_id struct<doc_id:long>, sha binary, suspect boolean")
+    return marked.select("sender", "row", "doc_id.doc_id", "sha", "suspect")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
@@ -123,24 +148,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``owners`` is the number of fingerprint owners; by default the session's
     number of shuffle partitions.
     """
-    owners = owners or shuffle_width(docs.sparkSession)
-    marked = shared_table(exchange(fingerprints(docs, id_col, text_col), owners), "marked")
+    spark = docs.sparkSession
+    owners = owners or shuffle_width(spark)
+    prints, printed = by_sender(fingerprints(docs, id_col, text_col), "prints", owners)
+    marked, marks = by_sender(exchange(prints, owners), "marked", owners)
     single = marked.where(~F.col("suspect")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
 
-    suspects = marked.where("suspect").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
-    texts = texts.join(suspects, texts["doc_id"].eqNullSafe(F.col("__id")), "inner")
     # A salt splits a group of copies over tasks: each salted part counts first, the parts meet, then each answers its rows.
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(owners)).cast("int")
-    texts = texts.withColumn("sha", F.unhex(F.sha2("norm", 256))).where("sha = __sha").select(
-        "doc_id", "sha", "norm", salt.alias("salt"))
-    texts = shared_table(texts, "suspects")
-    parts = texts.groupBy("norm", "salt").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    parts = shared_table(parts, "parts")
-    groups = parts.groupBy("norm").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"))
-    answers = parts.select("norm", "salt").join(groups, "norm")
-    verified = texts.join(answers, ["norm", "salt"]).select("doc_id", "keep_id", "group_size", "sha")
+    salt = F.pmod(F.xxhash64("row"), F.lit(owners)).cast("int").alias("salt")
+    wanted = marked.where("suspect").select("sender", "row").hint("shuffle_hash")
+    with joined_in_place(spark):
+        texts = shared_table(prints.select("sender", "row", "doc_id", "sha", "norm").join(wanted, ["sender", "row"]).select(
+            "doc_id", "sha", "norm", salt), "suspects")
+    parts = shared_table(texts.groupBy("sha", "salt").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("norm").alias("low"), F.max("norm").alias("high")), "parts")
+    groups = parts.groupBy("sha").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"),
+                                      (F.min("low") == F.max("high")).alias("equal"))
+    answers = shared_table(parts.select("sha", "salt").join(groups, "sha"), "answers")
+    verified = texts.join(answers, ["sha", "salt"])
+    mixed = verified.where(~F.col("equal")).select("doc_id", "sha", "norm")
+    anew = mixed.groupBy("sha", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    mixed = mixed.join(anew, ["sha", "norm"]).select("doc_id", "keep_id", "group_size", "sha")
+    verified = verified.where("equal").select("doc_id", "keep_id", "group_size", "sha")
+    if not answers.where(~F.col("equal")).isEmpty():
+        verified = verified.unionByName(mixed)
+
+    for name in (printed, marks):  # the files stay in the shared folder, read by what is returned
+        spark.sql(f"DROP TABLE {name}")
 
     both = single.unionByName(verified)
     return both.select("doc_id", "keep_id", "group_size",

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from agora.llm import hard_negatives, packing, queries, spelling, token_files, word_tokens
+from agora.llm import exact_dedup, hard_negatives, packing, queries, spelling, token_files, word_tokens
 
 
 def near(a, b):
@@ -268,3 +268,29 @@ def test_packing_fills_whole_sequences(spark):
         used[p.sequence_id] += p.length
     assert sorted(used) == list(range(len(used))) and max(used.values()) <= packing.CAPACITY
     assert sum(used.values()) >= 0.99 * packing.CAPACITY * len(used)
+
+
+def test_exact_groups_verify_bytes_and_move_suspects_only(spark, monkeypatch):
+    """Texts whose hashes collide are told apart by their bytes; many null ids and copies are split by a salt."""
+    rows = [(None, "copied text")] * 300 + [(i, "copied  text") for i in range(100, 140)] + [(None, "null alone")]
+    rows += [(i, f"own text {i}") for i in range(200, 260)] + [(7, "twin"), (8, "twin"), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+    def want(same):
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[" ".join(t.split())].append(i)
+        return sorted((str(i), str(min((x for x in groups[g] if x is not None), default=None)), len(groups[g]))
+                      for i, t in rows for g in [" ".join(t.split())])
+
+    got = exact_dedup.exact_groups(docs, owners=5)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got.collect()) == want(False)
+    full = exact_dedup.fingerprints
+
+    def weak(*a, **k):  # a hash of two values only
+        return full(*a, **k).withColumn("sha", F.sha2((F.length("norm") % 2).cast("string"), 256).cast("binary")).withColumn(
+            "fp", (F.length("norm") % 2).cast("long"))
+
+    monkeypatch.setattr(exact_dedup, "fingerprints", weak)
+    got = exact_dedup.exact_groups(docs, owners=5)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got.collect()) == want(True)
