@@ -37,6 +37,13 @@ def parse_date(x) -> Column:
     return F.try_to_date(php_trim(x), "yyyy-MM-dd")
 
 
-def category_key(category) -> Column:
-    """What the database's collation compares: case and trailing spaces do not count."""
-    return F.lower(F.rtrim(F.col(category) if isinstance(category, str) else category))
+# The database's text columns compare without case, accents and trailing spaces.
+COLLATION = "UNICODE_CI_AI_RTRIM"
+
+
+def compared(x) -> Column:
+    """Text that is equal, grouped and joined as the database's collation has it.
+
+    Comparing by a collation is dearer than comparing bytes: group by the plain
+    text first, and by this over what is left."""
+    return F.collate(_c(x), COLLATION)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from agora.config import AS_OF
 from agora.functions import metrics as M
-from agora.functions.text import category_key
+from agora.functions.text import compared
 from agora.operators import filters as FL
 from agora.sources.tables import Tables
 
@@ -133,16 +133,21 @@ def status_bars(t: Tables) -> DataFrame:
              .select("status", "total", M.percentage("total", "bar_max").alias("bar_percent")))
 
 
+def by_category(rows: DataFrame) -> DataFrame:
+    """(category, requests_count, revenue) of rows (category, final_price): by their spelling first,
+    then the spellings that the database's collation holds equal together, under the least of them."""
+    spelt = rows.groupBy("category").agg(F.count(F.lit(1)).alias("_n"), M.money_sum("final_price").alias("_revenue"))
+    return spelt.groupBy(compared("category").alias("_key")).agg(
+        F.min("category").alias("category"), F.sum("_n").alias("requests_count"), M.money_sum("_revenue").alias("revenue")).drop("_key")
+
+
 def category_sales(t: Tables, k: int = 5) -> DataFrame:
     """AG16: requests and revenue per category, top ``k`` by revenue then
     request count (category name breaks ties)."""
     r = FL.requests_real_client_optional_provider(t).select(F.col("id").alias("r_id"), "category")
     tx = t.transactions.select("request_id", "final_price")
     j = r.join(tx, r["r_id"] == tx["request_id"], "left")
-    agg = j.groupBy(category_key("category").alias("_key")).agg(
-        F.min("category").alias("category"), F.count(F.lit(1)).alias("requests_count"),
-        M.money_sum("final_price").alias("revenue")).drop("_key")
-    return agg.orderBy(F.desc("revenue"), F.desc("requests_count"), F.asc("category")).limit(k)
+    return by_category(j).orderBy(F.desc("revenue"), F.desc("requests_count"), F.asc("category")).limit(k)
 
 
 def category_bars(t: Tables, k: int = 5) -> DataFrame:
@@ -256,16 +261,18 @@ def report_lists(t: Tables, as_of: _dt.date = AS_OF, k: int = 5) -> DataFrame:
     tx = t.transactions.select("request_id", "final_price", "created_at")
     sold = F.col("_p").isNotNull() & F.col("_unreal").isNull() & (F.col("created_at") >= M.month_bound(as_of, 5))
     fact = req.join(tx, req["_r"] == tx["request_id"], "left").select(
-        "status", category_key("category").alias("_key"), F.when(sold, F.date_format("created_at", "yyyy-MM")).alias("month"),
-        "category", "final_price")
-    by = fact.groupingSets([["status"], ["_key"], ["month"]], "status", "_key", "month").agg(
-        F.grouping_id().alias("_set"), F.min("category").alias("_label"), F.count(F.lit(1)).alias("n"), M.money_sum("final_price").alias("amount"))
+        "status", "category", F.when(sold, F.date_format("created_at", "yyyy-MM")).alias("month"), "final_price")
+    by = fact.groupingSets([["status"], ["category"], ["month"]], "status", "category", "month").agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), M.money_sum("final_price").alias("amount"))
     # bits of _set: 1 where a column is not grouped by
     is_status, is_category, is_month = (F.col("_set") == F.lit(x) for x in (0b011, 0b101, 0b110))
     block = F.when(is_status, "status").when(is_category, "category").otherwise("month")
     rows = by.where(~is_month | F.col("month").isNotNull()).select(
-        block.alias("block"), F.when(is_status, F.col("status")).when(is_category, F.col("_label")).otherwise(F.col("month")).alias("label"),
+        block.alias("block"), F.when(is_status, F.col("status")).when(is_category, F.col("category")).otherwise(F.col("month")).alias("label"),
         "n", F.when(~is_status, F.col("amount")).alias("amount"))
+    # spellings of a category that the collation holds equal
+    rows = rows.groupBy("block", compared("label").alias("_key")).agg(
+        F.min("label").alias("label"), F.sum("n").alias("n"), F.sum("amount").cast("decimal(20,2)").alias("amount")).drop("_key")
     # a row per month, status and category, already summed
     order = [F.when(F.col("block") == "category", F.col("amount")).desc(), F.when(F.col("block") != "month", F.col("n")).desc(), F.asc("label")]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(*order)))
@@ -312,9 +319,7 @@ def admin_report(t: Tables, as_of: _dt.date = AS_OF) -> dict[str, DataFrame]:
     status = reqs.groupBy("status").agg(F.count(F.lit(1)).alias("total"))
     tx = t.transactions.select("request_id", "final_price")
     cats = (reqs.join(tx, reqs["id"] == tx["request_id"], "left")
-            .groupBy(category_key("category").alias("_key"))
-            .agg(F.min("category").alias("category"), F.count(F.lit(1)).alias("requests_count"),
-                 M.money_sum("final_price").alias("revenue")).drop("_key")
+            .transform(by_category)
             .orderBy(F.desc("revenue"), F.desc("requests_count"), F.asc("category")).limit(5))
     return {
         "overview": overview.crossJoin(req_summary).crossJoin(bid_summary(t))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.functions.text import parse_date, php_float, php_int, php_trim
+from agora.functions.text import compared, parse_date, php_float, php_int, php_trim
 from agora.operators.ranking import first_per_key, previous_within
 from agora.sources.tables import Tables
 
@@ -61,14 +61,14 @@ def or_zero(name: str) -> Column:
 # ---------------------------------------------------------------- VA1
 def validate_register(t: Tables, cmds: DataFrame) -> DataFrame:
     """VA1: blank name/email/password -> all_required; role not client or
-    provider -> invalid_role; email already registered (case-insensitive,
-    as the collation compares) or taken earlier in the batch -> email_exists."""
+    provider -> invalid_role; email already registered (as the
+    database's collation compares) or taken earlier in the batch -> email_exists."""
     c = cmds.select("command_id", "event_time",
                     php_trim("name").alias("name"), php_trim("email").alias("email"),
                     F.coalesce(F.col("has_password"), F.lit(False)).alias("has_password"),
                     php_trim(F.coalesce(F.col("role"), F.lit("client"))).alias("role"))
-    c = c.withColumn("email_key", F.lower("email"))
-    users = t.users.select(F.lower("email").alias("email_key"))
+    c = c.withColumn("email_key", compared("email"))
+    users = t.users.select(compared("email").alias("email_key"))
     known = restrict(users, ["email_key"], c.select("email_key")).distinct() \
         .withColumn("_known", F.lit(True))
     c = c.join(known, "email_key", "left")

@@ -35,9 +35,9 @@ def only(df: DataFrame, col: str, ids: DataFrame | None) -> DataFrame:
 
 
 def is_demo_email(email: Column | str, domain: str) -> Column:
-    """``email LIKE '%<domain>'`` under a case-insensitive collation."""
+    """``email LIKE '%<domain>'`` as the database's collation compares (a pattern minds trailing spaces)."""
     c = F.col(email) if isinstance(email, str) else email
-    return F.lower(c).endswith(domain.lower())
+    return F.collate(c, "UNICODE_CI_AI").endswith(F.collate(F.lit(domain), "UNICODE_CI_AI"))
 
 
 def keep_real(df: DataFrame, col: str, t: Tables) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from agora.config import AS_OF
 from agora.functions import metrics as M
-from agora.functions.text import category_key
+from agora.functions.text import compared
 from agora.operators import filters as FL
 from agora.operators.admin import real_sales
 from agora.operators.ranking import order_columns, rank_within, top_k_within
@@ -130,10 +130,11 @@ def provider_categories(t: Tables, k: int = 5, ids: IdFrame = None) -> DataFrame
     tx = t.transactions.select(F.col("request_id").alias("t_request_id"), "final_price")
     j = b.join(tx, (b["request_id"] == tx["t_request_id"])
                & (b["r_selected_provider_id"] == b["provider_id"]), "left")
-    agg = (j.groupBy("provider_id", category_key("r_category").alias("_key"))
-             .agg(F.min("r_category").alias("category"), F.count(F.lit(1)).alias("bids_count"),
-                  F.count_if(F.col("status") == "accepted").alias("accepted_count"),
-                  M.money_sum("final_price").alias("revenue")).drop("_key"))
+    spelt = j.groupBy("provider_id", "r_category").agg(
+        F.count(F.lit(1)).alias("_bids"), F.count_if(F.col("status") == "accepted").alias("_accepted"), M.money_sum("final_price").alias("_revenue"))
+    agg = (spelt.groupBy("provider_id", compared("r_category").alias("_key"))
+           .agg(F.min("r_category").alias("category"), F.sum("_bids").alias("bids_count"), F.sum("_accepted").alias("accepted_count"),
+                M.money_sum("_revenue").alias("revenue")).drop("_key"))
     order = [F.desc("revenue"), F.desc("accepted_count"), F.desc("bids_count"), F.asc("category")]
     return top_k_within(agg, ["provider_id"], order, k)
 

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agora.config import scratch_path
+from agora.functions.text import compared
 from agora.sources import schemas as S
 from agora.sources.tables import MOST_BROADCAST, TABLE_NAMES, Tables
 
 # Fixed values from the DDL: unique keys and foreign keys.
 UNIQUE_KEYS = [
-    ("users", ("id",)), ("users", ("lower(email)",)),
+    ("users", ("id",)), ("users", ("email",)),
     ("service_requests", ("id",)),
     ("bids", ("id",)), ("bids", ("request_id", "provider_id")),
     ("mkt_conversations", ("id",)), ("mkt_conversations", ("request_id",)),
@@ -45,6 +46,8 @@ FOREIGN_KEYS = [  # (child, column, parent)
     ("transactions", "request_id", "service_requests"),
 ]
 
+TEXT_KEYS = {"email"}  # compared by the database's collation
+
 ENUMS = [
     ("users", "role", S.USER_ROLES),
     ("service_requests", "status", S.REQUEST_STATUSES),
@@ -76,7 +79,7 @@ def dq_unique(t: Tables) -> DataFrame:
     for table, key_sets in by_table.items():
         exprs = sorted({c for cols in key_sets for c in cols})
         alias = {c: f"k{i}" for i, c in enumerate(exprs)}
-        df = getattr(t, table).select(*[F.expr(c).alias(alias[c]) for c in exprs])
+        df = getattr(t, table).select(*[(compared(c) if c in TEXT_KEYS else F.col(c)).alias(alias[c]) for c in exprs])
         names = [alias[c] for c in exprs]
         sets = [[alias[c] for c in cols] for cols in key_sets]
         dup = (df.groupingSets(sets, *names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agora.plans.sqlkit import AS_OF, AS_OF_SQL, avg_exact, goal_target, growth, month_ts, msum, pct, place, report
+from agora.plans.sqlkit import AS_OF, AS_OF_SQL, avg_exact, fold, goal_target, growth, month_ts, msum, pct, place, report
 
 THIS, LAST, SIX = (month_ts(AS_OF, back) for back in (0, 1, 5))
 
@@ -21,7 +21,7 @@ BY_STATUS = "by_status AS (SELECT status, count(*) AS total FROM market GROUP BY
 BY_CATEGORY = f"""by_category AS (
   SELECT min(category) AS category, count(*) AS requests_count, {msum('paid')} AS revenue
   FROM (SELECT category, (SELECT sum(final_price) FROM transactions WHERE request_id = market.id) AS paid FROM market)
-  GROUP BY lower(rtrim(category)) ORDER BY revenue DESC, requests_count DESC, category LIMIT 5)"""
+  GROUP BY {fold('category')} ORDER BY revenue DESC, requests_count DESC, category LIMIT 5)"""
 
 
 def bars(source: str, value: str, columns: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agora.plans.sqlkit import oracle, real
+from agora.plans.sqlkit import fold, oracle, real
 from agora.sources.commands import duckdb_ctes
 
 CMDS = duckdb_ctes()
@@ -113,13 +113,13 @@ SELECT command_id, name, email, role,
        {status()},
        reason
 FROM (SELECT *, CASE WHEN blank THEN 'all_required' WHEN bad_role THEN 'invalid_role'
-                     WHEN known OR {dup('lower(email)', 'cand')} THEN 'email_exists' END AS reason
+                     WHEN known OR {dup(fold('email'), 'cand')} THEN 'email_exists' END AS reason
       FROM (SELECT *, NOT blank AND NOT bad_role AND NOT known AS cand
             FROM (SELECT c.command_id, c.event_time, {trim('c.name')} AS name, {trim('c.email')} AS email,
                          {trim("coalesce(c.role, 'client')")} AS role,
                          ({trim('c.name')} = '' OR {trim('c.email')} = '' OR NOT coalesce(c.has_password, false)) AS blank,
                          {trim("coalesce(c.role, 'client')")} NOT IN ('client', 'provider') AS bad_role,
-                         EXISTS (SELECT 1 FROM users u WHERE lower(u.email) = lower({trim('c.email')})) AS known
+                         EXISTS (SELECT 1 FROM users u WHERE {fold('u.email')} = {fold(trim('c.email'))}) AS known
                   FROM register_commands c) a) b) x"""),
 
     "request_commands": q(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agora.plans.sqlkit import AS_OF, AS_OF_SQL, avg_exact, month_ts, msum, pct, place, report
+from agora.plans.sqlkit import AS_OF, AS_OF_SQL, avg_exact, fold, month_ts, msum, pct, place, report
 
 SIX = month_ts(AS_OF, 5)
 HOMES = "homes AS (SELECT who AS provider_id FROM genuine WHERE part = 'provider')"
@@ -73,7 +73,7 @@ SELECT provider_id, category, bids_count, accepted_count, revenue,
 FROM (SELECT o.provider_id, min(a.category) AS category, count(*) AS bids_count, count(*) FILTER (o.status = 'accepted') AS accepted_count,
              CAST(coalesce(sum((SELECT sum(final_price) FROM transactions x WHERE x.request_id = a.id))
                            FILTER (a.selected_provider_id = o.provider_id), 0) AS DECIMAL(20,2)) AS revenue
-      FROM offers o, asks a WHERE a.id = o.request_id GROUP BY o.provider_id, lower(rtrim(a.category)))
+      FROM offers o, asks a WHERE a.id = o.request_id GROUP BY o.provider_id, {fold('a.category')})
 QUALIFY rank <= 5"""),
 
     "revenue_trend": report(chart("months", "provider_id", "homes", "provider_id, "), f"{HOMES},\n{MONTHS}"),

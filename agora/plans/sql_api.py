@@ -34,7 +34,7 @@ FROM {service_requests} r
 LEFT SEMI JOIN {real_users} client ON client.id = r.client_id
 LEFT JOIN {transactions} t ON t.request_id = r.id
 LEFT ANTI JOIN {demo_users} demo ON demo.id = r.selected_provider_id
-GROUP BY lower(rtrim(r.category))
+GROUP BY collate(r.category, 'UNICODE_CI_AI_RTRIM')
 ORDER BY revenue DESC, requests_count DESC, category
 LIMIT :k"""
 

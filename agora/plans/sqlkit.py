@@ -31,8 +31,13 @@ def oracle(body: str, ctes: str = "") -> str:
 
 
 def real(alias: str) -> str:
-    """The reference's real-user predicate under a case-insensitive collation."""
-    return f"lower({alias}.email) NOT LIKE '%{DEMO_DOMAIN.lower()}'"
+    """The reference's real-user predicate under the database's collation."""
+    return f"strip_accents(lower({alias}.email)) NOT LIKE '%{DEMO_DOMAIN.lower()}'"
+
+
+def fold(x: str) -> str:
+    """What the database's collation compares: no case, accents or trailing spaces."""
+    return f"strip_accents(lower(rtrim({x})))"
 
 
 def d(x: _dt.date) -> str:
@@ -82,7 +87,7 @@ def goal_target(tot: str, tgt: str) -> str:
 # The sets that every report stands on, by what they mean: who is genuine, and
 # which rows only concern genuine people. Names are this file's own.
 FACTS = f"""
-folk AS (SELECT id AS who, name AS called, role AS part, suffix(lower(email), '{DEMO_DOMAIN.lower()}') AS staged FROM users),
+folk AS (SELECT id AS who, name AS called, role AS part, suffix(strip_accents(lower(email)), '{DEMO_DOMAIN.lower()}') AS staged FROM users),
 genuine AS (SELECT who, called, part FROM folk WHERE NOT staged),
 stage AS (SELECT who FROM folk WHERE staged),
 asks AS (FROM service_requests SEMI JOIN genuine ON who = client_id),

@@ -60,7 +60,8 @@ BATCHES: dict[str, str] = {
 SELECT CAST(u.id * 10 + u.k AS BIGINT) AS command_id,
        CAST(CAST(u.created_at AS DATE) + CAST(400 + u.k AS INTEGER) AS {ts}) AS event_time,
        CASE WHEN u.id % 7 = 0 THEN '   ' ELSE ' ' || u.name || ' ' END AS name,
-       CASE WHEN u.id % 4 = 0 THEN upper(u.email)
+       CASE WHEN u.id % 8 = 0 THEN replace(upper(u.email), 'E', 'É')
+            WHEN u.id % 4 = 0 THEN upper(u.email)
             WHEN u.id % 13 = 0 THEN 'shared' || CAST(u.id % 3 AS VARCHAR(20)) || '@example.org'
             ELSE 'new' || CAST(u.id AS VARCHAR(20)) || '@example.org' END AS email,
        u.id % 11 <> 0 AS has_password,

@@ -29,6 +29,7 @@ SELECT CAST(c_custkey + 1 AS BIGINT) AS id,
        c_name AS name,
        'c' || CAST(c_custkey AS VARCHAR(20)) ||
          CASE WHEN c_custkey % 10 = 0 THEN '@demo.local'
+              WHEN c_custkey % 20 = 15 THEN '@DÉMO.Local'
               WHEN c_custkey % 10 = 5 THEN '@Demo.Local'
               ELSE '@example.com' END AS email,
        'client' AS role,
@@ -68,6 +69,7 @@ SELECT CAST(o.o_orderkey + 1 AS BIGINT) AS id,
        CAST(o.o_custkey + 1 AS BIGINT) AS client_id,
        'Request ' || CAST(o.o_orderkey AS VARCHAR(20)) AS title,
        CASE WHEN o.o_orderkey % 7 = 3 THEN lower(c.c_mktsegment) || '/' || substr(o.o_orderpriority, 1, 1) || ' '
+            WHEN o.o_orderkey % 13 = 5 THEN replace(c.c_mktsegment, 'E', 'É') || '/' || substr(o.o_orderpriority, 1, 1)
             ELSE c.c_mktsegment || '/' || substr(o.o_orderpriority, 1, 1) END AS category,
        CAST(o.o_totalprice AS DECIMAL(10,2)) AS budget,
        n.n_name AS location,

@@ -144,11 +144,9 @@ class Tables:
     def user_flags(self) -> DataFrame:
         """(id, name, role, is_demo): users pruned to what joins need;
         ``email``'s demo test is computed once here."""
-        domain = self.demo_domain.lower()
-        return self.users.select(
-            "id", "name", "role",
-            F.lower(F.col("email")).endswith(domain).alias("is_demo"),
-        )
+        from agora.operators.filters import is_demo_email
+
+        return self.users.select("id", "name", "role", is_demo_email("email", self.demo_domain).alias("is_demo"))
 
     def barred_ids(self) -> tuple[DataFrame, int]:
         """(_uid, _demo): ids that a required party must not have, and how

@@ -142,3 +142,22 @@ def test_orphan_parties_follow_the_join_kind(spark):
     assert orphans[("service_requests", "client_id")] == 1
     assert orphans[("service_requests", "selected_provider_id")] == 1
     assert orphans[("bids", "provider_id")] == 1
+
+
+def test_text_compares_as_the_collation_does(spark):
+    """utf8mb4_unicode_ci: no case, accents or trailing spaces; 'É' and 'e' collide."""
+    from agora.operators import admin, commands, quality
+    from agora.sources.commands import SCHEMAS as CMDS
+
+    users = [(1, "A", "rené@x.org", "client", T0), (2, "B", "RENE@X.ORG ", "client", T0), (3, "C", "c@dÉmo.Local", "client", T0)]
+    requests = [(k, 1, "t", c, D("1.00"), "x", AS_OF, "open", None, None, T0) for k, c in enumerate(["Électricité", "ELECTRICITE ", "electricite", "other"], 10)]
+    t = Tables.from_rows(spark, {"users": users, "service_requests": requests})
+    assert [(r.category, r.requests_count) for r in admin.category_sales(t).collect()] == [("ELECTRICITE ", 3), ("other", 1)]
+    assert [r.label for r in admin.report_lists(t).where("block = 'category'").orderBy("rank").collect()] == ["ELECTRICITE ", "other"]
+    dup = {(r.table_name, r.key_columns): r.duplicate_rows for r in quality.dq_unique(t).collect()}
+    assert dup[("users", "email")] == 2
+    cmds = spark.createDataFrame([(1, T0, "n", "René@X.org", True, "client"), (2, T0, "n", "é@y.org", True, "client"),
+                                  (3, T0, "n", "E@Y.ORG", True, "client")], CMDS["register_commands"])
+    got = {r.command_id: r.reason for r in commands.validate_register(t, cmds).collect()}
+    assert got == {1: "email_exists", 2: None, 3: "email_exists"}
+    assert sorted(r[0] for r in t.demo_ids().collect()) == [3]
