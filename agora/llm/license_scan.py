@@ -2,29 +2,28 @@
 
 A multinomial logistic regression over sparse word n-grams (words and word
 pairs of the templates) tells license families from other paragraphs. It is
-trained here by gradient descent as joins and groupings: on the templates,
-variants of them with words left out, and other paragraphs: a fixed list of
-near misses and a bounded sample of the documents' own. The unknown class is
-calibrated on rows kept from training: a notice of any family needs a
+trained here by gradient descent with momentum as joins and groupings: on the
+templates, variants of them with words left out, and other paragraphs: a fixed
+list of near misses and a bounded sample of the documents' own. The unknown
+class is calibrated on rows kept from training: a notice of any family needs a
 probability that their other paragraphs reach in one of a hundred cases at
-most. It is confirmed by comparison: ``share`` of the n-grams of a template
-must stand in the paragraph, and the words that tell sibling licences apart
-(``MARKS``) must be the same in both, if the template has any. The closest
-such template names the family; without one the classifier's stays, unconfirmed.
+most. The classifier names the family. A template of that family, and of no
+other, may confirm it: some span of the unit as long as the template (and a
+quarter) holds ``share`` of its n-grams, and the words that tell sibling
+licences apart (``MARKS``) are the same in both, if the template has any.
 
 Paragraphs without any of the templates' key words are not scored. The key
 words are chosen so that a paragraph without them misses more than
 1 - ``share`` of every template's n-grams and could never be confirmed.
 
-Scored are lines with a key word, and spans of paragraphs. A paragraph is what
-stands between lines without letters or digits; its lines are joined, and
-comment marks are no words. For each length n of a template, all spans of n +
-n // 4 words of a paragraph, n // 4 + 1 apart, are compared, so every n words in
-a row stand in one whole; those that hold enough of a template are scored. So
-neither wrapped lines nor a long line hide a notice. ``n_paragraphs`` counts
-lines with a visible character; the other counts are of lines and such spans,
-which overlap. Defined results: null and empty
-texts have no paragraphs. Rows that repeat doc_id and text give a row each.
+Scored are lines with a key word, and spans of paragraphs with one. A paragraph
+is what stands between lines without letters or digits; its lines are joined,
+and comment marks are no words. For each length n of ``SPANS``, up to the
+longest template's, all spans of n + n // 4 words of a paragraph, n // 4 + 1
+apart, are scored, so every n words in a row stand in one whole. So neither
+wrapped lines nor a long line hide a notice. ``n_paragraphs`` counts lines with
+a visible character; the other counts are of lines and spans, which overlap.
+``families`` has the confirmed ones. Defined results: null and empty texts have no paragraphs. Rows that repeat doc_id and text give a row each.
 Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -42,8 +41,10 @@ SHARE = 0.8
 OTHER = "none"
 SAMPLE_DOCS = 600     # documents, in expectation, that give one paragraph each to train on
 BLOCK_WORDS = 256     # a long paragraph is cut into blocks of so many words, which overlap by a span
-STEPS = 15
+STEPS = 25
 RATE = 20.0
+MOMENTUM = 0.9
+SPANS = (6, 10, 17, 28)  # lengths of spans beside the longest template's
 SHRINK = 1e-3
 
 # Notices of license families, as their licences word them.
@@ -77,7 +78,16 @@ TEMPLATES = [
                      "that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc0-1.0", "This work is dedicated to the public domain under the CC0 1.0 Universal dedication."),
+    ("mit", "MIT License"),
+    ("mit", "Licensed under the MIT License."),
+    ("apache-2.0", "Apache License, Version 2.0"),
+    ("isc", "Released under the ISC License."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("epl-2.0", "Eclipse Public License v2.0"),
+    ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+TEMPLATES += [(family, f"SPDX-License-Identifier: {family}") for family in dict(TEMPLATES)]  # families are named by these identifiers
 # Paragraphs with the words of notices that are none.
 NEAR_MISSES = [
     "He was licensed to drive under the old rules.", "The public version of this work is free of charge.",
@@ -177,14 +187,16 @@ def train(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     labels = fit.select("row", "label").join(F.broadcast(share), "label").select(
         "row", "weight", F.array(*[(F.col("label") == c).cast("double") for c in names]).alias("y"))
     x = shared_table(features(fit, vocabulary, "row").join(labels, "row").coalesce(1), "license-features")
-    model = shared_table(vocabulary.select("gram", F.array(*[F.lit(0.0)] * len(names)).alias("w")).coalesce(1), "license-model")
+    zeros = F.array(*[F.lit(0.0)] * len(names))
+    model = shared_table(vocabulary.select("gram", zeros.alias("w"), zeros.alias("v")).coalesce(1), "license-model")
     for _ in range(STEPS):
         p = probabilities(x.select("row", "gram", "x"), model, "row")
         slope = x.join(p, "row").groupBy("gram").agg(F.array(*[
             F.sum(F.col("weight") * F.col("x") * (F.get("p", F.lit(k)) - F.get("y", F.lit(k)))) for k in range(len(names))]).alias("g"))
-        model = shared_table(model.join(F.broadcast(slope), "gram", "left").select("gram", F.when(F.col("g").isNull(), F.col("w")).otherwise(
-            F.zip_with("w", "g", lambda w, g: w * (1 - SHRINK) - RATE * g)).alias("w")), "license-model")
-    return model
+        step = model.join(F.broadcast(slope), "gram", "left").select("gram", "w", F.when(F.col("g").isNull(), F.transform(
+            "v", lambda v: MOMENTUM * v)).otherwise(F.zip_with("v", "g", lambda v, g: MOMENTUM * v - RATE * g)).alias("v"))
+        model = shared_table(step.select("gram", F.zip_with("w", "v", lambda w, v: w * (1 - SHRINK) + v).alias("w"), "v"), "license-model")
+    return model.select("gram", "w")
 
 
 def family_of(p: Column) -> tuple[Column, Column]:
@@ -194,18 +206,33 @@ def family_of(p: Column) -> tuple[Column, Column]:
     return likeliest, F.lit(1.0) - F.get(p, F.lit(0))
 
 
-def template_family(grams: Column, share: float) -> Column:
-    """The family of the template that ``grams`` hold most of, of those with ``share`` of it and equal marks; else null."""
-    own = F.array_sort(F.array_intersect(grams, F.array(*map(F.lit, MARKS))))
-    fits = []
-    for label, text in TEMPLATES:
-        words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
-        template = sorted(set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])})
-        held = F.size(F.array_intersect(grams, F.array(*map(F.lit, template))))
-        marks = sorted(set(words) & set(MARKS))
-        same = (own == F.array(*map(F.lit, marks))) if marks else F.lit(True)
-        fits.append(F.when((held >= share * len(template)) & same, F.struct((held / len(template)).alias("held"), F.lit(label).alias("label"))))
-    return F.greatest(*fits)["label"]
+def slices(words: Column, n: int) -> Column:
+    """Slices of n + n // 4 words, so far apart that every n words in a row stand in one whole; the last with the end."""
+    size, step = n + n // 4, n // 4 + 1
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - F.lit(size - step)), F.lit(step))
+    return F.transform(starts, lambda k: F.slice(words, k, F.lit(size)))
+
+
+def confirms(words: Column, family: Column, share: float) -> Column:
+    """A slice of ``words`` holds ``share`` of a template of ``family``, with the same marks."""
+    marks = F.array(*map(F.lit, MARKS))
+    found = F.lit(False)
+    for name in classes()[1:]:
+        fits = F.lit(False)
+        for text in (t for f, t in TEMPLATES if f == name):
+            template = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+            grams = sorted(set(template) | {f"{a} {b}" for a, b in zip(template, template[1:])})
+            fits = fits | F.exists(slices(words, len(template)), holder(grams, sorted(set(template) & set(MARKS)), marks, share))
+        found = F.when(family == name, fits).otherwise(found)
+    return found
+
+
+def holder(grams: list[str], own_marks: list[str], marks: Column, share: float):
+    """Whether a slice holds ``share`` of ``grams`` and, if there are any, just ``own_marks`` of the marks."""
+    def holds(part: Column) -> Column:
+        enough = F.size(F.array_intersect(ngrams_of(part), F.array(*map(F.lit, grams)))) >= share * len(grams)
+        return enough & (F.array_sort(F.array_intersect(part, marks)) == F.array(*map(F.lit, own_marks))) if own_marks else enough
+    return holds
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, float]:
@@ -221,54 +248,40 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, flo
     return model, max(0.5, level if level is not None and not math.isnan(level) else 0.5)
 
 
-def template_lengths() -> list[int]:
-    return sorted({len([w for w in re.split("[^a-z0-9]+", text.lower()) if w]) for _, text in TEMPLATES})
-
-
 def spans(paragraphs: DataFrame, share: float, *keep: str) -> DataFrame:
-    """(keep..., grams) of the paragraphs' spans that hold ``share`` of a template, its marks as they are; distinct."""
+    """(keep..., words) of the paragraphs' spans with a key word; distinct."""
     words, keys = words_of(F.col("paragraph")), F.array(*map(F.lit, key_words(share)))
-    most = max(template_lengths())
+    most = max(len([w for w in re.split("[^a-z0-9]+", text.lower()) if w]) for _, text in TEMPLATES)
     reach = most + most // 4
 
-    def cut(whole: Column, size: int, step: int) -> Column:
-        """Slices of ``size`` words, ``step`` apart, the last with the end."""
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(whole) - F.lit(size - step)), F.lit(step))
-        return F.transform(starts, lambda k: F.slice(whole, k, F.lit(size)))
-
     # blocks first, so that no row carries a long paragraph; each span stands in one whole
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - F.lit(reach)), F.lit(BLOCK_WORDS))
     blocks = paragraphs.select(*keep, F.explode(F.array(words)).alias("words")).select(
-        *keep, F.explode(cut(F.col("words"), BLOCK_WORDS + reach, BLOCK_WORDS)).alias("words")).where(F.arrays_overlap("words", keys))
-    rows = blocks.select(*keep, F.explode(F.concat(*[
-        cut(F.col("words"), n + n // 4, n // 4 + 1) for n in template_lengths()])).alias("words")).where(F.arrays_overlap("words", keys))
-    rows = rows.select(*keep, F.explode(F.array(ngrams_of(F.col("words")))).alias("grams"))  # made once, not in each comparison
-    return rows.where(template_family(F.col("grams"), share).isNotNull()).distinct()
+        *keep, F.explode(F.transform(starts, lambda k: F.slice("words", k, F.lit(BLOCK_WORDS + reach)))).alias("words"))
+    rows = blocks.where(F.arrays_overlap("words", keys)).select(*keep, F.explode(F.concat(*[
+        slices(F.col("words"), n) for n in (*[n for n in SPANS if n < most], most)])).alias("words"))
+    return rows.where(F.arrays_overlap("words", keys)).distinct()
 
 
 def scan_paragraphs(docs: DataFrame, share: float = SHARE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(doc_id, text_key, line, family, probability, confirmed) of lines with a key word, and of spans (line: minus a hash); family null: unknown."""
+    """(doc_id, text_key, line, family, probability, confirmed) of lines with a key word, and of spans (line: -1); family null: unknown."""
     model, level = fit(docs, sample_docs)
     pattern = r"(?<![a-z0-9])(?:" + "|".join(key_words(share)) + r")(?![a-z0-9])"
     lower = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), lower.alias("text")).where(F.rlike("text", F.lit(pattern)))
-    texts = lines.distinct()
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), lower.alias("text")).where(F.rlike("text", F.lit(pattern))).distinct()
     lines = texts.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(
         F.rlike("text", F.lit(pattern)))
-    grams = lines.select("doc_id", "text_key", F.col("line").cast("long").alias("line"), ngrams_of(words_of(F.col("text"))).alias("grams"))
+    lines = lines.select("doc_id", "text_key", F.col("line").cast("long").alias("line"), words_of(F.col("text")).alias("words"))
     parts = texts.select("doc_id", "text_key", F.explode(F.split("text", r"\n(?:[^a-z0-9\n]*\n)+")).alias("paragraph")).where(
         F.rlike("paragraph", F.lit(pattern)))
-    found = spans(parts, share, "doc_id", "text_key")
-    grams = grams.unionByName(found.select(
-        "doc_id", "text_key", (-F.lit(1) - F.pmod(F.xxhash64("grams"), F.lit((1 << 62) - 1))).alias("line"), "grams"))
-    key = ["doc_id", "text_key", "line"]
-    found = features(grams, model.select("gram"), *key, "grams")
-    scored = probabilities(found, model, *key, "grams")
-    family, best = family_of(F.col("p"))
-    scored = scored.select(*key, "grams", best.alias("probability"),
-                           F.when((best >= level) & (best > F.get("p", F.lit(0))), family).alias("family"))
-    scored = scored.withColumn("template", F.when(F.col("family").isNotNull(), template_family(F.col("grams"), share)))
-    return scored.select(*key, F.coalesce("template", "family").alias("family"), "probability",
-                         F.col("template").isNotNull().alias("confirmed"))
+    found = spans(parts, share, "doc_id", "text_key").select("doc_id", "text_key", F.lit(-1).cast("long").alias("line"), "words")
+    units = shared_table(lines.unionByName(found).withColumn("unit", F.monotonically_increasing_id()), "license-units")
+    scored = probabilities(features(units.select("unit", ngrams_of(F.col("words")).alias("grams")), model.select("gram"), "unit"), model, "unit")
+    family, any_family = family_of(F.col("p"))
+    scored = scored.select("unit", any_family.alias("probability"), F.when(any_family >= level, family).alias("family"))
+    out = units.join(scored, "unit")
+    return out.select("doc_id", "text_key", "line", "family", "probability",
+                      F.when(F.col("family").isNull(), False).otherwise(confirms(F.col("words"), F.col("family"), share)).alias("confirmed"))
 
 
 def scan(docs: DataFrame, share: float = SHARE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

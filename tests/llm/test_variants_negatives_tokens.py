@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from agora.llm import exact_dedup, hard_negatives, packing, queries, spelling, token_files, word_tokens
+from agora.llm import exact_dedup, hard_negatives, license_scan, packing, queries, spelling, token_files, word_tokens
 
 
 def near(a, b):
@@ -294,3 +294,39 @@ def test_exact_groups_verify_bytes_and_move_suspects_only(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "fingerprints", weak)
     got = exact_dedup.exact_groups(docs, owners=5)
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in got.collect()) == want(True)
+
+
+def test_license_classifier_arithmetic_and_recall(spark):
+    """Probabilities equal numpy's from the same weights; notices in contexts that training never saw are found, other lines are not."""
+    import re
+
+    rnd = random.Random(8)
+    prose = ["the general public may visit the free library in may", "a licensed driver of version two", "terms of the treaty were made public"]
+    rows, want = [], {}
+    for family, text in license_scan.TEMPLATES:
+        i = len(rows)
+        want[i] = [family]
+        rows.append((i, f"{rnd.choice(prose)}\n\nBefore it some words. {text} And {rnd.choice(prose)}\n\n{rnd.choice(prose)}"))
+    for k in range(40):
+        want[len(rows)] = []
+        rows.append((len(rows), "\n".join(rnd.sample([*prose, *license_scan.NEAR_MISSES], 3))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.families for r in license_scan.scan(docs).collect()}
+    notices = [i for i in want if want[i]]
+    recall = sum(set(want[i]) <= set(got[i]) for i in notices) / len(notices)
+    assert recall >= 0.95, [(rows[i][1], got[i]) for i in notices if not set(want[i]) <= set(got[i])]
+    assert all(got[i] == [] for i in want if not want[i])
+
+    model, level = license_scan.fit(docs, 100)
+    weights = {r.gram: np.array(r.w) for r in model.collect()}
+    assert 0.5 <= level <= 1
+    texts = [t for _, t in license_scan.TEMPLATES[:6]] + prose
+    frame = spark.createDataFrame(list(enumerate(texts)), "unit int, text string").select(
+        "unit", license_scan.ngrams_of(license_scan.words_of(F.col("text"))).alias("grams"))
+    p = license_scan.probabilities(license_scan.features(frame, model.select("gram"), "unit"), model, "unit")
+    for r in p.collect():
+        words = [w for w in re.split("[^a-z0-9]+", texts[r.unit].lower()) if w]
+        grams = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
+        s = 0.3 * weights[""] + sum(weights[g] for g in grams if g in weights) / len(grams) ** 0.5
+        e = np.exp(s - s.max())
+        assert np.allclose(r.p, e / e.sum())
