@@ -153,8 +153,8 @@ def training_rows(stats: DataFrame, labels: DataFrame, max_rows: int) -> tuple[n
         spread = 1 << 30
         bound = int(spread * (max_rows / total))
         known = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(spread)) < bound)
-    rows = known.join(stats, "doc_id").select("doc_id", "quality", "stats").toPandas().sort_values("doc_id")
-    rows = rows.head(max_rows)
+    # repeated ids give a row each: the bound is taken before anything goes to the driver
+    rows = known.join(stats, "doc_id").select("doc_id", "quality", "stats").orderBy("doc_id", "quality", F.xxhash64("stats")).limit(max_rows).toPandas()
     if not len(rows):
         return np.zeros((0, 1)), np.zeros(0)
     return np.stack(rows["stats"].to_numpy()).astype(np.float64), rows["quality"].to_numpy(np.float64)
