@@ -60,7 +60,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("AGORA_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("AGORA_DRIVER_MEMORY", "6g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in (extra_conf or {}).items():
