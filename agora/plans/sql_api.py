@@ -5,6 +5,7 @@ of the reference's prepared statements (SC3)."""
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -47,11 +48,11 @@ WHERE p.is_active = 1 AND :as_of BETWEEN p.start_date AND p.end_date"""
 
 def category_sales_sql(t: Tables, k: int = 5) -> DataFrame:
     """AG16 written as Spark SQL with a bound ``:k`` parameter."""
-    v = register_views(t, f"s{id(t)}")
+    v = register_views(t, f"s{uuid.uuid4().hex[:12]}")
     return t.spark.sql(CATEGORY_SALES.format(**v), args={"k": k})
 
 
 def active_promotions_sql(t: Tables, as_of: _dt.date = AS_OF) -> DataFrame:
     """FI5 written as Spark SQL with a bound ``:as_of`` parameter."""
-    v = register_views(t, f"s{id(t)}")
+    v = register_views(t, f"s{uuid.uuid4().hex[:12]}")
     return t.spark.sql(ACTIVE_PROMOTIONS.format(**v), args={"as_of": as_of})
