@@ -214,6 +214,13 @@ def unpacked(data: bytes) -> list[bytes]:
     return out
 
 
+def dealt(base: DataFrame, chunks: int) -> DataFrame:
+    """(order, known, text, sha, chunk): rows are dealt by id, text and place, so that those of one id, or without any, spread over chunks."""
+    rows = base.withColumn("sha", F.unhex(F.sha2("text", 256))).withColumn("row", F.monotonically_increasing_id())
+    return rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("order"), F.col("doc_id").isNotNull().alias("known"), "text",
+                       F.pmod(F.xxhash64("doc_id", "sha", "row"), F.lit(chunks)).alias("chunk"), "sha")
+
+
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int = CHUNK_BYTES,
                    with_text: bool = False) -> DataFrame:
     """Per document row: (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, spans, kept])."""
@@ -228,11 +235,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int
     owners, routes = max(buckets, chunks // 4), max(buckets, 2 * chunks)  # a route's windows take some 50 bytes each
     width = -(-(1 << bits) // owners)
 
-    dealt = base.select(F.coalesce("doc_id", F.lit(LAST)).alias("order"), "text",
-                        F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk")).withColumn(
-        "sha", F.unhex(F.sha2("text", 256)))
     name = f"agora_chunks_{uuid.uuid4().hex[:12]}"
-    dealt.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option(
+    dealt(base, chunks).repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option(
         "path", scratch_path(spark, name)).saveAsTable(name)
     texts = spark.table(name)
 
@@ -336,7 +340,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["spans"].append(edges.tolist() if with_text else [])
             out["kept"].append(kept if with_text else b"")
-        return pd.DataFrame({"order": rows["order"], **out})
+        return pd.DataFrame({"order": rows["order"], "known": rows["known"], **out})
 
     def with_notes(*notes: DataFrame):
         every = notes[0]
@@ -349,6 +353,6 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, chunk_bytes: int
     routed = with_notes(copies, maps).applyInPandas(fragments, "chunk long, route long, data binary")
     answers = shared_table(routed.groupBy("route").applyInPandas(sort_route, NOTES), "answers")
     result = with_notes(copies, maps, answers).applyInPandas(
-        cut_out, "order long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
-    columns = [F.when(F.col("order") < LAST, F.col("order")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        cut_out, "order long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>, kept binary")
+    columns = [F.when(F.col("known"), F.col("order")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return result.select(*columns, *(["spans", "kept"] if with_text else []))

@@ -10,7 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from agora.llm import exact_dedup, hard_negatives, license_scan, packing, queries, spelling, token_files, word_tokens
+from agora.llm import exact_dedup, hard_negatives, license_scan, packing, queries, spelling, suffix_dedup, token_files, word_tokens
+from agora.llm.common import id_and_bytes
 
 
 def near(a, b):
@@ -330,3 +331,18 @@ def test_license_classifier_arithmetic_and_recall(spark):
         s = 0.3 * weights[""] + sum(weights[g] for g in grams if g in weights) / len(grams) ** 0.5
         e = np.exp(s - s.max())
         assert np.allclose(r.p, e / e.sum())
+
+
+def test_rows_of_one_id_spread_over_chunks(spark):
+    rows = [(None, f"text {k % 50}") for k in range(4000)] + [(7, "same text")] * 1000 + [(2 ** 63 - 1, "last of all")]
+    docs = id_and_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    sizes = [r[0] for r in suffix_dedup.dealt(docs, 10).groupBy("chunk").count().select("count").collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * sum(sizes) / 10
+    phrase = "a phrase of more than fifty bytes that stands in several documents of this table. "
+    rows = [(None, phrase + f"null {k}") for k in range(30)] + [(2 ** 63 - 1, phrase + "last"), (5, phrase + "first"), (5, phrase + "fifth")]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=500).collect()
+    removed = defaultdict(list)
+    for r in got:
+        removed[r.doc_id].append(r.n_removed)
+    assert sorted(removed[5]) == [0, 0] and len(removed[None]) == 30 and len(removed[2 ** 63 - 1]) == 1
+    assert all(n >= len(phrase) for n in removed[None] + removed[2 ** 63 - 1])
