@@ -19,7 +19,7 @@ from agora.sources.tables import MOST_BROADCAST, TABLE_NAMES, Tables
 
 # Fixed values from the DDL: unique keys and foreign keys.
 UNIQUE_KEYS = [
-    ("users", ("id",)), ("users", ("email",)),
+    ("users", ("id",)), ("users", ("lower(email)",)),
     ("service_requests", ("id",)),
     ("bids", ("id",)), ("bids", ("request_id", "provider_id")),
     ("mkt_conversations", ("id",)), ("mkt_conversations", ("request_id",)),
@@ -46,7 +46,7 @@ FOREIGN_KEYS = [  # (child, column, parent)
     ("transactions", "request_id", "service_requests"),
 ]
 
-TEXT_KEYS = {"email"}  # compared by the database's collation
+TEXT_KEYS = {"lower(email)": "email"}  # compared as the database's collation has it, not by lower() alone
 
 ENUMS = [
     ("users", "role", S.USER_ROLES),
@@ -79,7 +79,7 @@ def dq_unique(t: Tables) -> DataFrame:
     for table, key_sets in by_table.items():
         exprs = sorted({c for cols in key_sets for c in cols})
         alias = {c: f"k{i}" for i, c in enumerate(exprs)}
-        df = getattr(t, table).select(*[(compared(c) if c in TEXT_KEYS else F.col(c)).alias(alias[c]) for c in exprs])
+        df = getattr(t, table).select(*[(compared(TEXT_KEYS[c]) if c in TEXT_KEYS else F.col(c)).alias(alias[c]) for c in exprs])
         names = [alias[c] for c in exprs]
         sets = [[alias[c] for c in cols] for cols in key_sets]
         dup = (df.groupingSets(sets, *names)

@@ -21,7 +21,7 @@ REQUIRED = {
 }
 TABLES = tuple(REQUIRED)
 UNIQUE = {
-    "users": ["id", "email"], "service_requests": ["id"], "bids": ["id", "request_id,provider_id"],
+    "users": ["id", "lower(email)"], "service_requests": ["id"], "bids": ["id", "request_id,provider_id"],
     "mkt_conversations": ["id", "request_id"], "messages": ["id"], "reviews": ["id", "request_id"], "promotions": ["id"],
     "transactions": ["id", "request_id"],
 }
@@ -54,7 +54,7 @@ def _uniq() -> str:
     parts = []
     for table, key in ((t, k) for t, keys in UNIQUE.items() for k in keys):
         cols = key.split(",")
-        keys = ", ".join(fold(c) if c == "email" else c for c in cols)
+        keys = ", ".join(fold("email") if c == "lower(email)" else c for c in cols)
         parts.append(f"""SELECT '{table}' AS table_name, '{",".join(cols)}' AS key_columns,
        COUNT(*) AS duplicate_keys, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS duplicate_rows
 FROM (SELECT {keys}, COUNT(*) AS n FROM d_{table} GROUP BY {keys} HAVING COUNT(*) > 1) d""")
