@@ -34,3 +34,10 @@ def test_the_count_reads_no_joined_table(spark, real_tables, monkeypatch):
     for listed in (provider.provider_bids, listings.provider_reviews):
         listed(real_tables)
     assert len(seen) == 2 and all("Join" not in plan_of(x) for x in seen)
+
+
+def test_discounts_are_not_written_between(spark):
+    """``sale_discount`` feeds one later step row by row; the other steps are handed to ``persist``."""
+    kept = []
+    derive.derive_tables(spark, SF, lambda name, df: (kept.append(name), df)[1])
+    assert "sale_discount" not in kept and {"sold", "sale_promo", "transactions", "messages"} <= set(kept)
