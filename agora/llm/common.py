@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agora.config import scratch_path
+from agora.config import released, scratch_path, shuffle_width  # noqa: F401
 
 # The ASCII letters that the contracts lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -45,20 +43,6 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, which grows with the cluster's data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps whose results are written and that nothing refers to any more.
-
-    It learns of them from the driver's garbage collector, which may otherwise not run for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def steps(batches, limit: int = STEP_BYTES):
     """Cut Arrow batches of (id, bytes) into (ids, list of bytes) steps of bounded size.
 

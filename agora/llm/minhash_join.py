@@ -262,7 +262,8 @@ def merged_lists(members: DataFrame) -> DataFrame:
     at_once = members.select("most", "node", "label").distinct().groupBy("most").agg((n * outside).alias("at_once"))
     merge = apart.join(at_once, "most").select("most", (F.col("at_once") <= F.col("apart")).alias("merge"))
     rows = members.join(merge, "most").withColumn("list", F.when(F.col("merge"), F.lit(-1)).otherwise(F.col("token")))
-    return rows.select("most", "list", "node", "n_shingles", "label").distinct()
+    rows = rows.select("most", "list", "node", "n_shingles", "label")
+    return rows.repartition("most", "node").distinct()  # else a component's rows would stay together behind the join
 
 
 def block_rows(members: DataFrame, block: int, block_bytes: int) -> DataFrame:
