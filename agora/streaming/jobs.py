@@ -8,7 +8,7 @@ user would run these as streams:
   provider) pairs earlier batches accepted is the query's keyed state
   (``dropDuplicates`` in Spark's state store): a batch gets the pairs that are
   new with it beside its commands, decides the order among its own commands
-  with the batch validator, and writes ``sink/batch=<id>``. It reads no
+  by the batch validator's rule, and writes ``sink/batch=<id>``. It reads no
   earlier output, so a batch costs what it brings. A re-run of a batch id
   starts from the state before it and overwrites its own folder, so the sink
   is idempotent per batch. The state holds one row per accepted pair, as the
@@ -29,19 +29,20 @@ Checkpoints and sinks live under the shared checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from agora.config import joined_in_place, released, written
 from agora.operators import filters as FL
 from agora.functions.metrics import money_sum
-from agora.operators.commands import bid_flags, decide_bids, validate_message
+from agora.operators.commands import PAIR, bid_flags, bid_rows, decide_bids, default_request, validate_message, with_first
 from agora.sources.commands import SCHEMAS as CMD_SCHEMAS
 from agora.sources.schemas import TRANSACTIONS
 from agora.sources.tables import Tables
 
-PAIR = ["request_id", "provider_id"]
-
 
 def start_bid_ingest(t: Tables, source: str, sink: str, checkpoint: str,
                      files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
@@ -50,23 +51,41 @@ def start_bid_ingest(t: Tables, source: str, sink: str, checkpoint: str,
     reader = spark.readStream.schema(CMD_SCHEMAS["bid_commands"])
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    rows = bid_flags(t, reader.parquet(source))
-    fresh = rows.where("_cand").select(*PAIR).dropDuplicates(PAIR)  # keyed state: pairs no earlier batch had
-    both = rows.withColumn("_fresh", F.lit(False)).unionByName(fresh.withColumn("_fresh", F.lit(True)), allowMissingColumns=True)
+    default = default_request(t)
+    c = bid_rows(reader.parquet(source), default)
+    # the commands of a request are kept together, but those of the default request by pair
+    place = F.when(F.col("request_id") == F.lit(default), F.xxhash64(*PAIR)).otherwise(F.col("request_id"))
+    rows = bid_flags(t, c, default).withColumn("_place", place)
+    right = c.where("not _invalid and not _unfit").select(*PAIR, "_invalid", "_unfit")
+    fresh = bid_flags(t, right, default).where("_cand").select(*PAIR).dropDuplicates(PAIR)  # keyed state: pairs no earlier batch had
+    fresh = fresh.withColumns({"_place": place, "_fresh": F.lit(True)})
+    if t.dealt:  # the rows that are not where their bids are kept: few, and dealt as these are
+        fresh = fresh.repartition(t.dealt, "_place")
+        if default is not None:
+            own = F.col("request_id") == F.lit(default)
+            rows = rows.where(~own).unionByName(rows.where(own).repartition(t.dealt, "_place"))
+    both = rows.withColumn("_fresh", F.lit(False)).unionByName(fresh, allowMissingColumns=True)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        staged = f"{sink.rstrip('/')}-staged/batch={batch_id}"  # the state is read once, what follows reads these rows
-        batch.write.mode("overwrite").parquet(staged)
-        rows = spark.read.schema(batch.schema).parquet(staged)
-        new = rows.where("_fresh").select(*PAIR, F.lit(True).alias("_new"))
-        own = rows.where("not _fresh").join(new, PAIR, "left")
-        taken = F.col("_cand") & F.col("_new").isNull()
-        own = own.withColumns({"_has": F.col("_has") | taken, "_cand": F.col("_cand") & ~taken})
+        staged = f"{sink.rstrip('/')}-staged/batch={batch_id}-{uuid.uuid4().hex[:12]}"  # the state is read once, what follows reads these rows
+        if t.dealt:
+            table = f"agora_staged_{uuid.uuid4().hex[:12]}"
+            batch.write.option("compression", "zstd").bucketBy(t.dealt, "_place").option("path", staged).saveAsTable(table)
+            kept = batch.sparkSession.table(table)
+        else:
+            kept = written(batch, staged)
+        pair = ["_place", *PAIR]
+        kept = kept.withColumn("_new", F.max("_fresh").over(Window.partitionBy(*pair)))
+        taken = F.col("_cand") & ~F.col("_new")
+        own = with_first(kept, pair).where("not _fresh").withColumns({
+            "_has": F.col("_has") | taken, "_dup": F.col("_dup") & ~taken, "_cand": F.col("_cand") & ~taken})
         decide_bids(own).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        released(spark)
 
     w = both.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    with joined_in_place(spark):  # a stream keeps the settings of its start
+        return w.start()
 
 
 def start_message_ingest(t: Tables, source: str, sink: str, checkpoint: str,
